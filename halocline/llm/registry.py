@@ -1,10 +1,16 @@
 """Queries of the corpus operators and, where SQL can say the same, their DuckDB SQL."""
 
-from halocline.llm import fingerprint, license_scan, line_dedup
+from halocline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, mixing, token_files, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_language_id": language_id.op5_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
