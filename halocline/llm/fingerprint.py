@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from halocline.llm import common as C
 
 PIECE, ROUNDS, LEVELS = 96, 12, 20
-IDS_PER_CELL, CELLS_PER_GROUP = 256, 4096
+IDS_PER_CELL, CELLS_PER_GROUP, BROADCAST_ROWS = 256, 4096, 1_000_000
 
 
 def _digests(text: str) -> str:
@@ -84,9 +84,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     line = W.partitionBy("cell").orderBy(F.desc_nulls_last("doc_id"), F.desc("th"))
     inner = rows.withColumn("mark", F.lead("th").over(line)).withColumn("next_text", F.lead("text").over(line)).withColumn("next_digests", F.lead("digests").over(line))
     inner = inner.where("mark IS NOT NULL").select("doc_id", "text", "digests", "next_text", "next_digests")
-    held = rows.join(cells, "cell")
-    ends = held.where("doc_id <=> tail").groupBy("cell", "next_cell").agg(F.min(F.struct("th", "doc_id", "text", "digests")).alias("e"))
-    heads = held.where("doc_id <=> head").groupBy("cell").agg(F.max(F.struct("th", "text", "digests")).alias("h")).withColumnRenamed("cell", "h_cell")
+    if cells.count() <= BROADCAST_ROWS:  # 32 bytes a row; beyond that the join shuffles
+        cells = F.broadcast(cells)
+    held = texts.withColumn("th", F.xxhash64("text")).withColumn("cell", cell).join(cells, "cell")
+    own = F.struct("th", "doc_id", "text", F.expr(_digests("text")).alias("digests"))
+    ends = held.where("doc_id <=> tail").groupBy("cell", "next_cell").agg(F.min(own).alias("e"))
+    heads = held.where("doc_id <=> head").groupBy("cell").agg(F.max(own).alias("h")).withColumnRenamed("cell", "h_cell")
     outer = ends.join(heads, F.col("next_cell") == F.col("h_cell")).select("e.doc_id", "e.text", "e.digests", F.col("h.text").alias("next_text"), F.col("h.digests").alias("next_digests"))
     return inner.unionByName(outer)
 
