@@ -1,12 +1,59 @@
-"""The corpus pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of its input. Null or repeated rows are treated as the operators say: a
+document without text or letters leaves at the first stage; rows that share a doc_id are one document for the second; the
+mix repeats a document as often as it draws it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halocline.llm import common as C
+from halocline.llm import decontaminate, jaccard_join, language_id, mixing, token_files
+
+BROADCAST_ROWS = 1_000_000
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents in no language (no text, or no letter in it)."""
+    marked = language_id.predict(docs, language_id.learn(language_id.training(docs)), docs.columns)
+    label = C.fresh(docs, "lang_pred")[0]
+    return marked.where(F.col(label) != "und").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near duplicates (five words, 0.8) the smallest doc_id stays; a row without id stays."""
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = C.materialise(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the documents are shuffled
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    marked, name = decontaminate.mark(docs, C.parquet(spark, sf_dir, "benchmark"), docs.columns)
+    return marked.where(F.size(name) == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_table(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_files", write_tokens),
+]
+#: SQL has no language model, permuted draw or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

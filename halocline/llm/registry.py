@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can say the same, their DuckDB SQL."""
 
-from halocline.llm import decontaminate, fingerprint, jaccard_join, language_id, license_scan, line_dedup, mixing, token_files, toxicity
+from halocline.llm import decontaminate, fingerprint, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, token_files, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_token_files": token_files.op4_token_files,
     "op5_language_id": language_id.op5_language_id,
+    "op6_language_model": language_model.op6_language_model,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_decontamination": decontaminate.op9_decontamination,
