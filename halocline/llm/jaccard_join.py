@@ -158,20 +158,36 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
     pieces = members.withColumn("parts", F.ceil(F.col("size") / PIECE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
-        left, right = rows[rows["own"] == rows["lo"]], rows[rows["own"] == rows["hi"]]
-        found = []
-        if len(left) and len(right):
-            tree = RTree(np.stack(right["point"].to_numpy()), right["n"].to_numpy())
-            nodes, comps = right["node"].to_numpy(), right["component"].to_numpy()
-            for r in left.itertuples():
-                at = tree.search(np.asarray(r.point), r.n, percent)
-                at = at[comps[at] != r.component]
-                found += [(min(r.node, v), max(r.node, v)) for v in nodes[at]]
-        return pd.DataFrame(sorted(set(found)), columns=["u", "v"]).astype("int64")
-
-    return pieces.groupBy("key", "lo", "hi").applyInPandas(search, "u long, v long")
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            # The last group of a batch may go on in the next one.
+            last = (rows[["key", "lo", "hi"]] == rows[["key", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
+            held, rows = rows[last], rows[~last]
+            if len(rows):
+                yield found(rows)
+        if held is not None:
+            yield found(held)
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        key, lo, hi, own, node, comp, n = (rows[c].to_numpy() for c in ("key", "lo", "hi", "own", "node", "component", "n"))
+        points = np.stack(rows["point"].to_numpy())
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+        pairs = []
+        for start, end in zip(cut[:-1], cut[1:], strict=True):
+            left = start + np.flatnonzero(own[start:end] == lo[start])
+            right = start + np.flatnonzero(own[start:end] == hi[start])
+            if not len(left) or not len(right):
+                continue
+            tree = RTree(points[right], n[right])
+            for i in left:
+                at = right[tree.search(points[i], n[i], percent)]
+                pairs += [(min(node[i], node[j]), max(node[i], node[j])) for j in at[comp[at] != comp[i]]]
+        return pd.DataFrame(sorted(set(pairs)), columns=["u", "v"]).astype("int64")
+
+    dealt = pieces.select("key", "lo", "hi", "own", "node", "component", "n", "point").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInPandas(search, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -190,7 +206,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     links = _verified(stars, sets, percent)
     labels = components(links)
     known = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    split = known.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    # Blocks of two components and more; of blocks with the same members one is searched.
+    split = known.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    split = split.where("a < b").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
     more = _verified(_search(known.join(split, "key").join(sets.select("node", "n", "point"), "node"), percent), sets, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
