@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-OCCURRENCE = T.StructType.fromDDL(
+OCCURRENCE = (
     "_id string, dataset_id string, interpreted struct<scientificName: string, phylum: string, class: string, subclass: string, `order`: string, genus: string, eventDate: string, date_year: long, "
     "depth: double, minimumDepthInMeters: double, maximumDepthInMeters: double, decimalLatitude: double, decimalLongitude: double>, flags array<string>, dropped boolean, absence boolean"
 )
