@@ -5,8 +5,8 @@ IPC file whose record batches hold sequences of equal length (fixed_size_list) a
 sequence is padded), and a small index file of its documents. A mapped file gives any sequence without a copy. File names
 carry a random part and only the files that a finished task reports stand in the manifest, so retried tasks do no harm.
 
-The encoder splits at space and line feed, which no token of the vocabulary crosses, and encodes each distinct word once
-with the tokenizers library; the remembered words are bounded.
+The encoder splits at spaces, line feeds and before closing commas and full stops, which no token of the vocabulary
+crosses, and encodes each distinct word once with the tokenizers library; the remembered words are bounded.
 
 Edge cases: a null or empty text has the end id only; null ids come first; rows that share an id are ordered by text and
 each has its own entry; an empty table gives no file and an empty manifest. Other columns are not read.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ from pyspark.sql import Window as W
 
 from halocline.llm import common as C
 
-SEQUENCE, SEQUENCES_PER_BATCH, END_ID, REMEMBERED = 1024, 256, 2, 400_000
+SEQUENCE, SEQUENCES_PER_BATCH, END_ID, REMEMBERED = 1024, 256, 2, 800_000
+#: A comma or full stop at the end of a word that follows another mark: the two may be one token.
+STICKS = re.compile(r"[.,](?:(?<=[^\w ].)|(?<=_.)) ")
 MANIFEST = "shard int, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -46,18 +49,29 @@ class Encoder:
         self.tokenizer, self.code, self.known = Tokenizer.from_file(path), code, {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(words)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[w] = array.array(self.code, e.ids).tobytes()
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The text cut at spaces and line feeds, and before a comma or full stop that ends a word of letters and digits;
+        ASCII in lower case, as the vocabulary has it. Texts where that could change a token are cut at white space only."""
+        text = text.replace("\n", " ") + " "
+        if "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            if not STICKS.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn({w for ws in split for w in ws})
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        split = [self.words(t) for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
