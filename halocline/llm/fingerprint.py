@@ -4,7 +4,7 @@ A text is the set of its paragraph digests: a paragraph is a line, and a line lo
 pieces of that length. A digest goes into one cell of each of three tables of eight; a cell holds (count, xor of digests,
 xor of check values). Two versions are compared by subtracting cell by cell and peeling: a cell with count 1 or -1 and a
 fitting check value gives up its digest, which is taken out of its other cells. If cells remain, the sketch is retried
-four times as large (digests are dealt over four sketches by further bits), for the failing part only.
+eight times as large (digests are dealt over eight sketches by further bits), for the failing part only.
 
 Edge cases: a null text is empty, and an empty text has no paragraphs; two empty sets are alike (1.0). Repeated paragraphs
 count once. Rows may repeat; each row comes back. Null ids stand last in descending order. Other columns are not read.
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from halocline.llm import common as C
 
-PIECE, ROUNDS, LEVELS = 96, 12, 20
+PIECE, ROUNDS, LEVELS = 96, 12, 13
 IDS_PER_CELL, CELLS_PER_GROUP, BROADCAST_ROWS = 256, 4096, 1_000_000
 
 
@@ -33,13 +33,15 @@ def _check(key: str) -> str:
     return f"((({key}) % 2147483647) * 48271 + 11) % 2147483647"
 
 
+#: The 24 cells as (shift, value): a digest is in a cell if the three bits at shift have the value.
+CELLS = "array(" + ", ".join(f"named_struct('s', {3 * t}, 'v', {v}L)" for t in range(3) for v in range(8)) + ")"
+
+
 def _sketch(keys: str) -> str:
     """SQL: the 24 cells of an array of digests."""
-    own = f"filter({keys}, d -> (shiftright(d, 3 * (c div 8)) & 7) = c % 8)"
-    return (
-        f"transform(transform(sequence(0L, 23L), c -> {own.replace('(c div 8)', 'cast(c div 8 AS int)')}), s -> named_struct('n', size(s), 'k', aggregate(s, 0L, (a, d) -> a ^ d), "
-        f"'x', aggregate(s, 0L, (a, d) -> a ^ ({_check('d')}))))"
-    )
+    checked = f"transform({keys}, d -> named_struct('k', d, 'x', {_check('d')}))"
+    own = f"transform({CELLS}, c -> filter(z, d -> (shiftright(d.k, c.s) & 7L) = c.v))"
+    return f"transform(transform(array({checked}), z -> {own})[0], s -> aggregate(s, named_struct('n', 0, 'k', 0L, 'x', 0L), (a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d.k, 'x', a.x ^ d.x)))"
 
 
 def _subtract(a: str, b: str) -> str:
@@ -49,7 +51,7 @@ def _subtract(a: str, b: str) -> str:
 def _peel(cells: str) -> str:
     """SQL: struct(cells left, a_only, b_only) after peeling. All pure cells of a round go at once."""
     pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND c.x = {_check('c.k')}), c -> named_struct('k', c.k, 'n', c.n)))"
-    hit = "(shiftright(q.k, 3 * cast(i div 8 AS int)) & 7) = i % 8"
+    hit = f"(shiftright(q.k, {CELLS}[i].s) & 7L) = {CELLS}[i].v"
     out = (
         "named_struct('cells', transform(t.cells, (c, i) -> aggregate(t.pure, c, (z, q) -> if(" + hit + f", named_struct('n', z.n - q.n, 'k', z.k ^ q.k, 'x', z.x ^ ({_check('q.k')})), z))), "
         "'a', s.a + size(filter(t.pure, q -> q.n = 1)), 'b', s.b + size(filter(t.pure, q -> q.n = -1)))"
@@ -101,8 +103,8 @@ def likeness(pairs: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
     left = pairs.select("uid", F.inline(sides)).where("NOT r.ok")
     done = []
     for level in range(LEVELS):
-        parts = left.select("uid", "pair", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), "a", "b")
-        deal = f"d -> (shiftright(d, {20 + 2 * level}) & 3) = part"
+        parts = left.select("uid", "pair", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"), "a", "b")
+        deal = f"d -> (shiftright(d, {20 + 3 * level}) & 7) = part"
         parts = parts.selectExpr("uid", "pair", f"filter(a, {deal}) AS a", f"filter(b, {deal}) AS b")
         last = level == LEVELS - 1  # digests that no retry can part are counted one by one
         parts = parts.withColumn("r", F.expr("named_struct('ok', true, 'a', size(array_except(a, b)), 'b', size(array_except(b, a)))" if last else _compare("a", "b")))
