@@ -23,6 +23,8 @@ from halocline.llm import common as C
 
 SAMPLE, FEATURES, MIN_DOCS, PREFIX, STEPS, THRESHOLD = 20_000, 3_000, 4, 5, 400, 0.7
 BROADCAST_ROWS = 1_000_000
+#: Documents whose doubt a feature must settle to keep its weight: words that only repeat what others tell lose theirs.
+SPARSE = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -52,7 +54,7 @@ def noisy_or_fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndar
         odds = np.where(labels == 1, np.exp(none) / np.maximum(-np.expm1(none), 1e-9), -1.0)
         dz = p * odds[doc_of]
         grad = np.append(np.bincount(feat, dz[sent_of], n) if len(feat) else np.zeros(n), dz.sum() + (empty * p0 * odds).sum()) / len(bags)
-        grad[:n] -= 1e-5 * w
+        grad[:n] -= 1e-5 * w + SPARSE / len(bags)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, bias = np.maximum(w + move[:n], 0), min(bias + move[n], -3.0)
