@@ -21,7 +21,7 @@ def sample(points: DataFrame, field: DataFrame, start: tuple[float, float], step
 
 def block_mean(field: DataFrame, size: int = 6) -> DataFrame:
     """Mean and number of values per block of size x size nodes; a block of gaps has mean null and count 0."""
-    return field.groupBy(F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj")).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
+    return field.groupBy(F.floor(F.col("i") / size).cast("int").alias("bi"), F.floor(F.col("j") / size).cast("int").alias("bj")).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
 
 
 def with_fallback(points: DataFrame, monthly: DataFrame, annual: DataFrame, keys: list[str], deepest: float = 1500.0) -> DataFrame:
