@@ -48,10 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage is cut and the files outlive executors."""
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage is cut and the files outlive executors. options
+    go to the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

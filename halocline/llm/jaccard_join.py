@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from halocline.llm import common as C
 from halocline.llm.components import components
 
-GROUPS, GROWTH, FIRST, PIECE, LEAF, BROADCAST_ROWS = 64, 1.5, 12, 2048, 32, 1_000_000
+GROUPS, GROWTH, FIRST, PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 1.5, 12, 2048, 32, 48, 1_000_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -61,7 +61,8 @@ def bands(n: int, percent: int) -> list[int]:
 
 
 def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a sorted set; two linked sets share one at least."""
+    """Keys of the parts of a sorted set, in order; two linked sets share one at least. A key that two parts share by chance
+    costs a candidate, never a link."""
     keys = []
     for top in bands(len(s), percent):
         parts = 2 * top * (100 - percent) // (100 + percent) + 2
@@ -73,7 +74,7 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if len(none) > 1:
             i, j = np.triu_indices(len(none), 1)
             keys.append(mix(mix(none[i] + tag + M2) + none[j]))
-    return np.unique(np.concatenate(keys))
+    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS))
 
 
 def point(s: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {c: [x[i] for x in out] for i, c in enumerate(("n", "d1", "d2", "keys"))})
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.word_hashes(C.whole_text()).alias("h"))
-    return C.materialise(hashed.mapInPandas(rows, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingles")
+    return C.materialise(hashed.mapInPandas(rows, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingles", **{"parquet.writer.version": "PARQUET_2_0"})  # sorted keys are stored as differences
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -194,8 +195,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id for every row of docs; two documents are linked when
     100 * shared shingles >= percent * all shingles of the two."""
     index = _index(docs, k, percent)
-    classes = index.where("keys IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("c")).select("d1", "d2", F.col("c.doc_id").alias("node"), F.col("c.keys").alias("keys"))
-    keys = classes.select("node", F.explode("keys").alias("key"))
+    classes = index.where("keys IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    nodes = classes.select("node").distinct()
+    if nodes.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the keys of all documents are shuffled
+        nodes = F.broadcast(nodes)
+    firsts = index.where("keys IS NOT NULL").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    # One shuffle by key: the blocks' sizes and their members both come from it.
+    keys = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
     blocks = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     members = C.materialise(keys.join(blocks.select("key", "size"), "key"), "members")
     sets = _sets(docs, members.select("node").distinct(), k)
