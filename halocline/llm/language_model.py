@@ -1,17 +1,18 @@
 """Language-model scoring by deleted interpolation.
 
-Words are counted exactly over the training documents (a row per distinct word, grown with the corpus). Words with at least
-HEAD of all tokens are classes of their own (so at most 1 / HEAD of them), all others share a class and are told apart
-inside it by their own add-one counts. Maximum-likelihood estimates of class bigrams (those with at least PAIR of all tokens, so
-at most 1 / PAIR rows), of class unigrams and the uniform distribution are mixed with weights that depend on how often the
+Words and bigrams are counted exactly over the training documents, in tables with a row per distinct word and per distinct
+bigram; both grow with the corpus and nothing is cut. Maximum-likelihood estimates of bigrams, add-one estimates of words
+and the uniform distribution (over the words and one for all unknown) are mixed with weights that depend on how often the
 context was seen (buckets of powers of two). The weights are learned by expectation-maximisation on the counts of a
 held-out seventh of the training documents, which is left out ("deleted") of the estimates while they are learned.
 
-Words below HEAD are rare by definition, so their exact counts are fetched by a join on the word without hot keys, and every
-document is scored in one pass beside it.
+What is frequent is looked up in the workers: words with at least HEAD of all tokens and bigrams with at least PAIR of them
+(so at most 1 / HEAD and 1 / PAIR rows are broadcast). All other bigrams of a document are counted in it and joined with
+the table, and those that the table lacks with the words; what is joined is rare by definition, so no key is hot. Both
+thresholds choose the way to a count, never its value.
 
 Edge cases: a null or empty text has the end token only; without training tokens N and V are 0, no word is known and the
-model is uniform over the two classes that remain; null ids count as the empty text in the fold; rows may repeat and
+model is uniform over the one class that remains; null ids count as the empty text in the fold; rows may repeat and
 each comes back. Other columns are not read.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-HEAD, PAIR, BUCKETS, ROUNDS, STEP = 1e-5, 1e-6, 24, 60, 0.05
+HEAD, PAIR, BUCKETS, ROUNDS, STEP, CHUNK = 1e-5, 1e-6, 24, 60, 0.05, 1000
 END = -0x5E3D  # stands for the end token; a word with this hash would share its count
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 REMEMBERED = 300_000
@@ -51,62 +52,107 @@ def folds() -> tuple[Column, Column]:
 
 
 class Lookup(dict):
-    """Class of a word; the words met are remembered up to a bound."""
+    """Code of a word: its place among the head words, or its hash; the words met are remembered up to a bound."""
 
-    def __init__(self, classes: Classes):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.by_hash, self.rest = {int(h): i for i, h in enumerate(classes.hashes)}, len(classes.hashes)
-        self.end = self.by_hash.get(END, self.rest)
+        self.by_hash = {int(h): i for i, h in enumerate(hashes)}
+        self.end = self.by_hash.get(END, END)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = found = self.by_hash.get(word_hash(word), self.rest)
+        h = word_hash(word)
+        self[word] = found = self.by_hash.get(h, h)
         return found
 
-    def of(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """The words of a text and the classes of its tokens, the end token among them."""
-        words = text.encode().translate(LOWER).split()  # bytes are cut at ASCII white space alone
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return words, np.append(out, self.end)
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The text, the context and the code of every token of the texts, end tokens among them."""
+        codes, sizes = [], []
+        for text in texts:
+            words = text.encode().translate(LOWER).split()  # bytes are cut at ASCII white space alone
+            codes += map(self.__getitem__, words)
+            codes.append(self.end)
+            sizes.append(len(words) + 1)
+        v = np.array(codes, np.int64)
+        return np.repeat(np.arange(len(texts)), sizes), np.append(self.end, v[:-1]), v  # every text follows an end token
 
 
-class Classes:
-    """Head words by hash; class of a word is its place, or the number of head words for all others."""
+def scatter(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number that nearly always tells pairs apart; places of equal numbers are then compared by the pairs themselves."""
+    x = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29)) ^ v.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, fit: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts, self.fit = hashes[order], counts[order], fit[order]
 
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order that puts rows with equal keys (the first the most significant) together, and where runs begin."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(context, 0) + 1).astype(np.int64), BUCKETS - 1)
+
+class Hot:
+    """Frequent words (hashes, counts) and pairs (codes u and v, log10 of the estimate, count of v), for the workers."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, u: np.ndarray, v: np.ndarray, lp: np.ndarray, cv: np.ndarray):
+        key = scatter(u, v)
+        order = np.argsort(key)
+        self.hashes, self.counts = hashes, counts
+        self.key, self.u, self.v, self.lp, self.cv = key[order], u[order], v[order], lp[order], cv[order]
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of pairs; one that is missed is joined with the table instead."""
+        if not len(self.key):
+            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
+        at = np.minimum(np.searchsorted(self.key, scatter(u, v)), len(self.key) - 1)
+        return at, (self.u[at] == u) & (self.v[at] == v)
+
+
+def bucket(count: Column) -> Column:
+    """The power of two of count + 1, capped."""
+    return F.least(F.length(F.bin(count + 1)) - 1, F.lit(BUCKETS - 1))
 
 
 class Model:
-    """p(v | u) = l2[b] pairs(u, v) / pairs(u) + l1[b] unigram(v) + l0[b] uniform, with b the bucket of pairs(u)."""
-
-    def __init__(self, classes: Classes, unigram: np.ndarray, pairs: np.ndarray, counts: np.ndarray, weights: np.ndarray | None):
-        order = np.argsort(pairs)
-        self.classes, self.pairs, self.counts, self.weights = classes, pairs[order], counts[order], weights
-        self.n = len(classes.hashes) + 1
-        self.unigram = (unigram + 1) / (unigram.sum() + self.n)
-        self.context = np.bincount(self.pairs // self.n, self.counts, self.n)
-
-    def parts(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bigram estimate, unigram estimate and bucket of class pairs."""
-        found = np.zeros(len(pairs))
-        if len(self.pairs):
-            at = np.searchsorted(self.pairs, pairs)
-            at[at == len(self.pairs)] = 0
-            found = np.where(self.pairs[at] == pairs, self.counts[at], 0)
-        u, v = pairs // self.n, pairs % self.n
-        return found / np.maximum(self.context[u], 1), self.unigram[v], bucket(self.context[u])
+    """p(v | u) = l2[b] c(u, v) / c(u) + l1[b] (c(v) + 1) / (N + V + 1) + l0[b] / (V + 1), with b the bucket of c(u).
+
+    hashes, counts: of the head words; a word is named by its code (see Lookup). rare: code, c, fit of the other words;
+    pairs: u, v, c, lp (log10 of p), cv for every bigram of training."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, fit: np.ndarray, rare: DataFrame, n: int, v: int):
+        self.hashes, self.counts, self.rare, self.tokens, self.types = hashes, counts, rare, n, v
+        self.head = rare.sparkSession.createDataFrame(pd.DataFrame({"code": np.arange(len(hashes)), "c": counts, "fit": fit}), "code long, c long, fit long")
+        self.n, self.context = len(hashes) + 1, np.append(counts, 0)
+        self.pairs: DataFrame | None = None
+        self.weights: np.ndarray | None = None
+
+    def is_head(self, code: Column) -> Column:
+        return (code >= 0) & (code < len(self.hashes))
+
+    def with_counts(self, rows: DataFrame, code: str, c: str, fit: str) -> DataFrame:
+        """rows with the counts of the word in column code (0 if it is unknown): rare words by a shuffle, head words, at
+        most 1 / HEAD rows, by broadcast."""
+        named = [t.select(F.col("code").alias("code_"), F.col("c").alias(c), F.col("fit").alias(fit)) for t in (self.rare, self.head)]
+        head = self.is_head(F.col(code))
+        rare = rows.where(~head).join(named[0], F.col(code) == F.col("code_"), "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in (c, fit)})
+        return rare.unionByName(rows.where(head).join(F.broadcast(named[1]), F.col(code) == F.col("code_"))).drop("code_")
+
+    def logarithm(self, c: Column, cu: Column, cv: Column) -> Column:
+        """log10 of p from the counts of the pair, its context and its word."""
+        w2, w1, w0 = (F.element_at(F.array(*[F.lit(float(x)) for x in self.weights[:, i]]), bucket(cu) + 1) for i in (2, 1, 0))
+        return F.log10(w2 * c / F.greatest(cu, F.lit(1)) + w1 * (cv + 1) / (self.tokens + self.types + 1.0) + w0 / (self.types + 1.0))
 
     def log10(self, pairs: np.ndarray) -> np.ndarray:
-        two, one, b = self.parts(pairs)
-        w = self.weights[b]
-        return np.log10(w[:, 2] * two + w[:, 1] * one + w[:, 0] / self.n)
+        """log10 of p for pairs of head words, u * n + v, asked of the tables; the last word of the n is an unknown one."""
+        asked = pd.DataFrame({"at": np.arange(len(pairs)), "u": pairs // self.n, "v": pairs % self.n})
+        asked = asked.assign(cu=self.context[asked["u"]], cv=self.context[asked["v"]])
+        rows = self.rare.sparkSession.createDataFrame(asked, "at long, u long, v long, cu long, cv long").join(self.pairs.select("u", "v", "c"), ["u", "v"], "left")
+        return rows.select("at", self.logarithm(F.coalesce("c", F.lit(0)), F.col("cu"), F.col("cv")).alias("lp")).toPandas().sort_values("at")["lp"].to_numpy()
 
 
 def learn_weights(events: pd.DataFrame) -> np.ndarray:
@@ -133,79 +179,98 @@ def fit(docs: DataFrame) -> tuple[DataFrame, int, int, Model]:
     words = C.materialise(words, "words")
     total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("fit").alias("fit")).first()
     n, v, n_fit = total.n or 0, total.v or 0, total.fit or 0
-    head = words.where(F.col("c") >= HEAD * n).toPandas()  # at most 1 / HEAD rows
-    classes = Classes(head["w"].to_numpy(np.int64), head["c"].to_numpy(np.int64), head["fit"].to_numpy(np.int64))
-    size, shared = len(head) + 1, spark.sparkContext.broadcast(classes)
+    head = words.where(F.col("c") >= HEAD * n).toPandas().sort_values("w")  # at most 1 / HEAD rows
+    hashes, counts, fitted = (head[x].to_numpy(np.int64) for x in ("w", "c", "fit"))
+    model = Model(hashes, counts, fitted, words.where(F.col("c") < HEAD * n).select(F.col("w").alias("code"), "c", "fit"), n, v)
+    shared = spark.sparkContext.broadcast(hashes)
 
     def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = Lookup(shared.value)
         for batch in batches:
             for deleted, rows in batch.groupby("deleted"):
                 for i in range(0, len(rows), 2000):
-                    part = [look.of(t)[1] for t in rows["text"].iloc[i : i + 2000]]
-                    pairs = np.concatenate([np.append(look.end, c[:-1]) * size + c for c in part])
-                    p, c = np.unique(pairs, return_counts=True)
-                    yield pd.DataFrame({"p": p, "c": c, "held": c if deleted else np.zeros(len(c), np.int64)})
-
-    pairs = training.mapInPandas(pair_counts, "p long, c long, held long").groupBy("p").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
-    pairs = C.materialise(pairs.where((F.col("c") >= PAIR * n) | (F.col("held") > 0)), "pairs")
-    kept = pairs.where(F.col("c") >= PAIR * n).toPandas()  # at most 1 / PAIR rows
-    p, c, held = (kept[x].to_numpy(np.int64) for x in ("p", "c", "held"))
-    # The estimates without the deleted seventh, for the weights; then with all training documents.
-    part = Model(classes, np.append(classes.fit, n_fit - classes.fit.sum()), p, c - held, None)
-    shared_part = spark.sparkContext.broadcast(part)
-
-    def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared_part.value
-        for batch in batches:
-            two, one, b = model.parts(batch["p"].to_numpy(np.int64))
-            r2 = pd.array(np.round(np.log(np.where(two > 0, two, 1) / one) / STEP).astype(np.int64), dtype="Int64")
-            r2[two == 0] = pd.NA
-            rows = pd.DataFrame({"bucket": b.astype(np.int32), "r0": np.round(np.log(1 / model.n / one) / STEP).astype(np.int64), "r2": r2, "n": batch["held"]})
-            yield rows.groupby(["bucket", "r0", "r2"], dropna=False, as_index=False)["n"].sum()
-
-    found = pairs.where("held > 0").mapInPandas(events, "bucket int, r0 long, r2 long, n long").groupBy("bucket", "r0", "r2").agg(F.sum("n").alias("n"))
+                    _, u, w = look.of(rows["text"].iloc[i : i + 2000].tolist())
+                    order, starts = runs(scatter(u, w))
+                    u, w = u[order], w[order]
+                    cut = np.union1d(starts, 1 + np.flatnonzero((u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+                    c = np.diff(np.append(cut, len(u)))
+                    yield pd.DataFrame({"u": u[cut], "v": w[cut], "c": c, "held": c if deleted else np.zeros(len(c), np.int64)})
+
+    pairs = C.materialise(training.mapInPandas(pair_counts, "u long, v long, c long, held long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.sum("held").alias("held")), "pairs")
+    pairs = C.materialise(model.with_counts(model.with_counts(pairs, "u", "cu", "fu"), "v", "cv", "fv"), "bigrams")
+    # A word is a context as often as it occurs. The deleted seventh is left out of the estimates for the weights.
+    one, two = (F.col("fv") + 1) / (n_fit + v + 1.0), (F.col("c") - F.col("held")) / F.greatest("fu", F.lit(1))
+    step = lambda x: F.round(F.log(x / one) / STEP).cast("long")
+    found = pairs.where("held > 0").groupBy(bucket(F.col("fu")).alias("bucket"), step(F.lit(1.0) / (v + 1.0)).alias("r0"), F.when(two > 0, step(two)).alias("r2")).agg(F.sum("held").alias("n"))
     # Ratios lie in steps of 5 % between a few bounds, so this histogram has a bounded number of rows.
-    weights = learn_weights(found.orderBy("bucket", "r0", "r2").toPandas())
-    return words, n, v, Model(classes, np.append(classes.counts, n - classes.counts.sum()), p, c, weights)
+    model.weights = learn_weights(found.orderBy("bucket", "r0", "r2").toPandas())
+    model.pairs = pairs.select("u", "v", "c", model.logarithm(F.col("c"), F.col("cu"), F.col("cv")).alias("lp"), "cv")
+    return words, n, v, model
 
 
 def score(docs: DataFrame, fitted: tuple[DataFrame, int, int, Model]) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    words, n, v, model = fitted
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / HEAD words and 1 / PAIR pairs
-    rare_n, rare_v = int(n - model.classes.counts.sum()), v - len(model.classes.hashes)
+    _, n, v, model = fitted
+    top = model.pairs.where(F.col("c") >= PAIR * n).toPandas()  # at most 1 / PAIR rows
+    shared = docs.sparkSession.sparkContext.broadcast(Hot(model.hashes, model.counts, *(top[x].to_numpy(np.int64) for x in "uv"), top["lp"].to_numpy(float), top["cv"].to_numpy(np.int64)))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        counts, look = np.append(model.classes.counts, 0), Lookup(model.classes)
+        hot = shared.value
+        look, words = Lookup(hot.hashes), len(hot.hashes)
         for batch in batches:
-            out = []
-            for t in batch.pop("text"):
-                words, c = look.of(t)
-                rare = c == model.n - 1
-                base = np.log10(counts[c[~rare]] + 1.0).sum() - len(c) * np.log10(n + v + 1.0)
-                own = model.log10(np.append(look.end, c[:-1]) * model.n + c).sum() - rare.sum() * np.log10(rare_n + rare_v + 1.0)
-                hashes = [word_hash(words[i]) if i < len(words) else END for i in np.flatnonzero(rare)]
-                out.append((len(c), int((~rare).sum()), base, own, hashes))
-            for i, name in enumerate(("n_tokens", "head", "base", "own", "rare")):
-                batch[name] = [x[i] for x in out]
-            yield batch
+            for i in range(0, len(batch), CHUNK):
+                part = batch.iloc[i : i + CHUNK]
+                d, u, w = look.of(part["text"].tolist())
+                size = len(part)
+                at, there = hot.find(u, w)
+                head = (w >= 0) & (w < words)
+                # Counts of the tokens that need no join: head words, and words of hot pairs.
+                c = np.zeros(len(w), np.int64)
+                c[head] = hot.counts[w[head]]
+                if there.any():
+                    c[there] = hot.cv[at[there]]
+                total = lambda x, of: np.bincount(d[of], x[of], size)
+                own = np.zeros(len(w))
+                if there.any():
+                    own[there] = hot.lp[at[there]]
+                done = there | head
+                key = pd.to_numeric(part["doc_id"]).fillna(0).to_numpy(np.int64)
+                # A row for the document itself under a key of its own, and one for each other pair in it.
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].array, "th": part["th"].array, "held_out": part["held_out"].array, "u": part["th"].array ^ key, "v": scatter(key, part["th"].to_numpy(np.int64)).view(np.int64), "n": 0,
+                    "n_tokens": np.bincount(d, minlength=size), "known": total((c > 0).astype(float), done).astype(np.int64), "base": total(np.log10(c + 1.0), done) - np.bincount(d, minlength=size) * np.log10(n + v + 1.0), "own": total(own, there),
+                })
+                left = np.flatnonzero(~there)
+                d, u, w = d[left], u[left], w[left]
+                order, starts = runs(d, u, w)
+                first = order[starts]
+                more = pd.DataFrame({"doc_id": part["doc_id"].array[d[first]], "th": part["th"].array[d[first]], "held_out": part["held_out"].array[d[first]], "u": u[first], "v": w[first], "n": np.diff(np.append(starts, len(order)))})
+                yield more.assign(n_tokens=0, known=0, base=0.0, own=0.0)
 
     out, _ = folds()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(C.whole_text()).alias("th"), out.alias("held_out"), C.whole_text().alias("text"))
-    scored = texts.mapInPandas(rows, "doc_id long, th long, held_out boolean, n_tokens long, head long, base double, own double, rare array<long>")
-    # A row per rare token, and one for the document itself under a key of its own (so no key is hot).
-    each = scored.select("doc_id", "th", "held_out", "n_tokens", "head", "base", "own", F.posexplode(F.concat(F.array(F.xxhash64("doc_id", "th", F.lit(1))), "rare")).alias("at", "w"))
-    each = each.select("doc_id", "th", "at", "w", *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("held_out", "n_tokens", "head", "base", "own")])
-    found = each.join(words.select(F.col("w").alias("k"), "c"), F.col("w") == F.col("k"), "left").withColumn("c", F.when(F.col("at") > 0, F.coalesce("c", F.lit(0))))
-    sums = found.groupBy("doc_id", "th").agg(
-        *[F.max(c).alias(c) for c in ("held_out", "n_tokens", "head", "base", "own")], F.count(F.when(F.col("at") == 0, 1)).alias("copies"),
-        F.count(F.when(F.col("c") > 0, 1)).alias("known"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("logs"),
-    )
-    logs = F.coalesce("logs", F.lit(0.0)) / F.col("copies")
-    sums = sums.withColumn("n_known", (F.col("head") + F.col("known") / F.col("copies")).cast("long")).withColumn("base_score", F.col("base") + logs).withColumn("score", F.col("own") + logs)
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    parts = {"n_tokens": "long", "known": "long", "base": "double", "own": "double"}
+    each = texts.mapInPandas(rows, "doc_id long, th long, held_out boolean, u long, v long, n long, " + ", ".join(f"{k} {t}" for k, t in parts.items()))
+    found = each.join(model.pairs.select(F.col("u").alias("pu"), F.col("v").alias("pv"), "lp", "cv"), (F.col("u") == F.col("pu")) & (F.col("v") == F.col("pv")), "left")
+
+    def add(rows: DataFrame) -> DataFrame:
+        """known, base and own with what the n tokens of a pair add; a head word is in known and base already."""
+        rare = F.when(model.is_head(F.col("v")), 0).otherwise(F.col("n"))
+        return rows.withColumns({"known": F.col("known") + F.when(F.col("cv") > 0, rare).otherwise(0), "base": F.col("base") + rare * F.log10(F.col("cv") + 1.0), "own": F.col("own") + F.col("n") * F.col("lp")})
+
+    # All seen pairs of a document become one row; a pair that training lacks keeps its own.
+    lacks = (F.col("n") > 0) & F.col("lp").isNull()
+    zero = F.lit(0).cast("long")
+    found = found.withColumns({"lacks": lacks, "lp": F.when(F.col("n") > 0, F.coalesce("lp", F.lit(0.0))).otherwise(0.0), "cv": F.when(F.col("n") > 0, F.coalesce("cv", zero)).otherwise(zero)})
+    docs_key = ["doc_id", "th", "held_out"]
+    found = add(found).groupBy(*docs_key, F.when(F.col("lacks"), F.col("u")).alias("u"), F.when(F.col("lacks"), F.col("v")).alias("v")).agg(*[F.sum(c).alias(c) for c in parts], F.count(F.when(F.col("n") == 0, 1)).alias("copies"), F.sum("n").alias("n"))
+    found = C.materialise(found, "found")
+    new = model.with_counts(model.with_counts(found.where("u IS NOT NULL"), "u", "cu", "fu"), "v", "cv", "fv")
+    new = add(new.withColumn("lp", model.logarithm(F.lit(0.0), F.col("cu"), F.col("cv")))).select(found.columns)
+    sums = found.where("u IS NULL").unionByName(new).groupBy(*docs_key).agg(*[F.sum(c).alias(c) for c in (*parts, "copies")])
+    mean = {c: (F.col(c) / F.col("copies")).cast(t) for c, t in parts.items()}
+    sums = sums.select("doc_id", "held_out", mean["n_tokens"].alias("n_tokens"), mean["known"].alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), mean["base"].alias("base_score"), mean["own"].alias("score"), "copies")
+    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

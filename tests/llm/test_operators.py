@@ -236,6 +236,33 @@ def test_language_model_is_a_distribution(docs):
         assert (10 ** model.log10(u * model.n + np.arange(model.n))).sum() == pytest.approx(1, abs=0.02) or model.context[u] == 0
 
 
+def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
+    """The thresholds of what is broadcast change no score, and scores are the interpolation of whole counts."""
+    monkeypatch.setattr(language_model, "HEAD", 0.02)
+    monkeypatch.setattr(language_model, "PAIR", 0.004)
+    fitted = language_model.fit(docs)
+    got = collections.defaultdict(list)
+    for r in language_model.score(docs, fitted).collect():
+        got[r.doc_id].append((r.n_known, r.base_score, r.score))
+    tokens = lambda t: WHITE.findall((t or "").translate(LOWER)) + ["\n"]
+    c, pairs = collections.Counter(), collections.Counter()
+    for r in rows:
+        if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 != 2:
+            t = tokens(r.text)
+            c.update(t)
+            pairs.update(zip(["\n", *t], t, strict=False))
+    n, v, weights = sum(c.values()), len(c), fitted[3].weights
+    want = collections.defaultdict(list)
+    for r in rows:
+        t, s = tokens(r.text), 0
+        for a, b in zip(["\n", *t], t, strict=False):
+            w = weights[min(int(math.log2(c[a] + 1)), language_model.BUCKETS - 1)]
+            s += math.log10(w[2] * pairs[a, b] / max(c[a], 1) + w[1] * (c[b] + 1) / (n + v + 1) + w[0] / (v + 1))
+        want[r.doc_id].append((sum(x in c for x in t), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), s))
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b) for k in want for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True))
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     bad = ["scumbag", "worthless"]
