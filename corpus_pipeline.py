@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near duplicates (five words, 0.8) the smallest doc_id stays; a row without id stays."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"), count_links=False)
     gone = C.materialise(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the documents are shuffled
         gone = F.broadcast(gone)

@@ -10,6 +10,11 @@ not empty, or two parts that are empty in both. A block holds the classes with t
 block (around its member with most company) joins nearly all; the R-tree then searches the blocks that still hold more
 than one component, for pairs of different components only. Large blocks are searched in pieces of PIECE members.
 
+Links are counted after that, if asked for: two linked classes are in one component, so the members of a component (in
+pairs of pieces of COUNT_PIECE, each pair of members in one of them) are searched by an R-tree, every candidate is verified
+on the sets, and a link between classes counts once for each document of the other class. A caller that needs components
+only leaves the count out.
+
 Edge cases: a null or empty text, or one without a word, has an empty set, is linked with nothing and is its own component;
 a text with fewer words than a shingle has its whole sequence as its one shingle. Rows that share a doc_id are one
 document. A row without doc_id is linked with nothing and has no component. Other columns are not read.
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from halocline.llm import common as C
 from halocline.llm.components import components
 
-GROUPS, GROWTH, FIRST, PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 1.5, 12, 2048, 32, 48, 1_000_000
+GROUPS, GROWTH, FIRST, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 1.5, 12, 2048, 512, 32, 48, 1_000_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -191,11 +196,66 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(search, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; two documents are linked when
-    100 * shared shingles >= percent * all shingles of the two."""
+def _linked(sets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """node, linked (documents of the other classes that node's class is linked with; left out where none). labels: node, component."""
+    sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / COUNT_PIECE).cast("int").alias("parts"))
+    weights = classes.select("node", "docs")
+    pieces = sets.join(labels, "node").join(sizes, "component").join(weights, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            key = batch[["component", "lo", "hi"]].to_numpy()
+            cut = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]).any(1))).tolist(), len(batch)]
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                if start == end:
+                    continue
+                if held and (held[-1][["component", "lo", "hi"]].to_numpy()[-1] != key[start]).any():
+                    yield counted(pd.concat(held))
+                    held = []
+                held.append(batch.iloc[start:end])
+        if held:
+            yield counted(pd.concat(held))
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
+        # Repeated rows of a document are one member.
+        digest = [(node, s.tobytes()) for node, s in zip(rows["node"], rows["s"], strict=True)]
+        rows = rows[~pd.Series(digest, index=rows.index).duplicated().to_numpy()]
+        node, n, docs, own = (rows[c].to_numpy() for c in ("node", "n", "docs", "own"))
+        ids = np.unique(np.concatenate(rows["s"].tolist()), return_inverse=True)[1]
+        starts = np.cumsum(n) - n
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        linked = np.zeros(len(rows), np.int64)
+        if len(left) and len(right):
+            tree = RTree(np.stack(rows["point"].iloc[right].to_list()), n[right]) if len(right) > LEAF else None
+            mark = np.zeros(int(ids.max()) + 1, np.int64)
+            for i in left:
+                mine = ids[starts[i] : starts[i] + n[i]]
+                at = right if tree is None else right[tree.search(rows["point"].iloc[i], n[i], percent)]
+                at = at[node[at] != node[i]]
+                if not len(at):
+                    continue
+                mark[mine] = 1
+                first = np.cumsum(n[at]) - n[at]
+                both = np.add.reduceat(mark[ids[np.repeat(starts[at] - first, n[at]) + np.arange(n[at].sum())]], first)
+                mark[mine] = 0
+                at = at[(100 + percent) * both >= percent * (n[i] + n[at])]
+                linked[i] += docs[at].sum()
+                if lo != hi:
+                    linked[at] += docs[i]
+        return pd.DataFrame({"node": node, "linked": linked})
+
+    dealt = pieces.select("component", "lo", "hi", "own", "node", "docs", "n", "point", "s").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return dealt.mapInPandas(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs, and n_links with count_links: the number of other documents it
+    is linked with. Two documents are linked when 100 * shared shingles >= percent * all shingles of the two."""
     index = _index(docs, k, percent)
-    classes = index.where("keys IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    classes = index.where("keys IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs"))
     nodes = classes.select("node").distinct()
     if nodes.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the keys of all documents are shuffled
         nodes = F.broadcast(nodes)
@@ -218,9 +278,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     more = _verified(_search(known.join(split, "key").join(sets.select("node", "n", "point"), "node"), percent), sets, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    roots = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = index.where("n > 0 AND doc_id IS NOT NULL").join(roots, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.unionByName(index.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")))
+    roots = classes.join(labels, "node", "left")
+    if count_links:
+        roots = roots.join(C.materialise(_linked(sets, labels, classes, percent), "linked"), "node", "left")
+    else:
+        roots = roots.withColumn("linked", F.lit(None).cast("long"))
+    roots = roots.select("d1", "d2", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("links"))
+    out = index.where("n > 0 AND doc_id IS NOT NULL").join(roots, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
+    alone = index.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    out = out.unionByName(alone)
+    return out if count_links else out.drop("n_links")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

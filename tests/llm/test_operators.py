@@ -323,6 +323,27 @@ def test_jaccard_join(spark, docs, none, k, percent):
     assert jaccard_join.jaccard_components(none, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("piece", [7, 512])
+def test_jaccard_counts_every_link(spark, monkeypatch, piece):
+    """A group of distinct near copies has all its pairs, not a star; exact copies and pieces change nothing."""
+    monkeypatch.setattr(jaccard_join, "COUNT_PIECE", piece)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    made = []
+    for g in range(60):
+        w = list(base)
+        for _ in range(g % 4):
+            w[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        made.append((g, " ".join(w)))
+    made += [(100, "two words here now"), (101, "Two words here now"), (102, "alone in the world"), (103, None)]
+    sets = {d: {tuple((t or "").lower().split()[i : i + 3]) for i in range(max(0, len((t or "").split()) - 2))} for d, t in made}
+    want = {d: sum(1 for e in sets if e != d and sets[d] and 190 * len(sets[d] & sets[e]) >= 90 * (len(sets[d]) + len(sets[e]))) for d in sets}
+    df = spark.createDataFrame([*made, made[3], (None, made[0][1])], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df, 3, 90).collect()
+    assert len(got) == len(made) + 2 and {r.doc_id: r.n_links for r in got} == want | {None: 0}
+    assert len(set(want.values())) > 3 and want[100] == 1
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(1)
     points = rng.poisson(4, (300, jaccard_join.GROUPS)).astype(np.int32)
