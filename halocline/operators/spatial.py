@@ -6,6 +6,8 @@ Null coordinates or times match nothing. Ties are broken by the key columns name
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from halocline.functions.geo import EARTH_KM, haversine_km
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
+#: Radii in km and cells in degrees of a search that widens; the last radius is beyond half the way round the Earth.
+RINGS = ((100.0, 1.0), (400.0, 4.0), (1600.0, 15.0), (6400.0, 60.0), (25600.0, 60.0))
 
 
 def _neighbours(df: DataFrame, radius_km: float, step: float) -> DataFrame:
@@ -108,6 +112,36 @@ def nearest(pairs: DataFrame, by: list[str], tie: str, k: int = 1) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/rings-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def nearest_of_each(left: DataFrame, right: DataFrame, key: str, source: str, tie: str) -> DataFrame:
+    """key, source, km, tie: for every key of left (unique; lon, lat) the nearest row of each source in right (source, tie,
+    lon, lat), however far; of equally near ones the least tie. Places are one row per source first, and the cell rings
+    widen for the pairs of key and source that are not answered yet. Null sources match nothing."""
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    places = _written(right.where(known & F.col(source).isNotNull()).groupBy(source, "lon", "lat").agg(F.min(tie).alias(tie)))
+    names = places.agg(F.collect_set(source)).scalar()
+    open_ = _written(left.where(known).select(key, "lon", "lat").withColumn("names_", names).select(key, "lon", "lat", F.explode("names_").alias(source)))
+    answers = None
+    for radius, step in RINGS:
+        cells = _cell(places, step).select(F.col(source).alias("r_source"), tie, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("cx").alias("r_cx"), F.col("cy").alias("r_cy"))
+        pairs = _neighbours(open_, radius, step).join(cells, (F.col(source) == F.col("r_source")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")))
+        pairs = pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") <= radius)
+        found = _written(pairs.groupBy(key, source).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col(tie))).alias("best")).select(key, source, "best.*"))
+        answers = found if answers is None else answers.unionByName(found)
+        open_ = _written(open_.join(found, [key, source], "left_anti"))
+        if open_.isEmpty():
+            break
+    return answers
+
+
 def match_detections(detections: DataFrame, positions: DataFrame, radius_km: float = 0.5, seconds: int = 600, heard_km: float = 50.0, heard_seconds: int = 3600) -> DataFrame:
     """det_id, class (matched, dark or ambiguous), mmsi, gap_s, neighbours. A detection (det_id, lon, lat, t) is matched by
     the nearest position (mmsi, r_t, lon, lat; ties by mmsi, then time) of the window; without one it is dark if another

@@ -81,17 +81,42 @@ def zones_near_points(spark, d):
     return near.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("zones"), F.min_by("zone_id", F.struct(F.round("km", 9), "zone_id")).alias("nearest"), F.round(F.min("km"), 6).alias("km"), ids.alias("all_zones")).select(F.round("lon", 3).alias("rlon"), F.round("lat", 3).alias("rlat"), "zones", "nearest", "km", "all_zones")
 
 
-@query("J8 J10 A41", f"""
+@query("", f"""
 WITH p AS (SELECT DISTINCT grp AS src, lon, lat FROM occurrences), z AS (SELECT zone_id, mx AS lon, my AS lat FROM boxes),
 k AS (SELECT a.zone_id, b.src, {AB} AS km FROM z a JOIN p b ON true)
 SELECT zone_id, src, round(min(km), 1) AS km FROM k GROUP BY zone_id, src HAVING min(km) <= 500""")
 def nearest_per_source(spark, d):
+    """Within 500 km only; nearest_of_every_source has no radius."""
     centres = table(spark, d, "boxes").select("zone_id", F.col("mx").alias("lon"), F.col("my").alias("lat"))
     points = table(spark, d, "occurrences").select(F.col("grp").alias("src"), "lon", "lat").distinct()
     near = S.within_distance(centres, points, 500.0)
     return near.groupBy("zone_id", "src").agg(F.round(F.min("km"), 1).alias("km"))
 
 
+@query("J10", f"""
+WITH p AS (SELECT DISTINCT grp AS src, lon, lat FROM occurrences UNION ALL SELECT 'far' AS src, CAST(179.5 AS DOUBLE) AS lon, CAST(-80 AS DOUBLE) AS lat),
+z AS (SELECT zone_id, mx AS lon, my AS lat FROM boxes), k AS (SELECT a.zone_id, b.src, {AB} AS km FROM z a JOIN p b ON true)
+SELECT zone_id, src, round(min(km), 1) AS km FROM k GROUP BY zone_id, src""")
+def nearest_of_every_source(spark, d):
+    """The nearest place of every source, however far; a source of one remote place is added."""
+    centres = table(spark, d, "boxes").select("zone_id", F.col("mx").alias("lon"), F.col("my").alias("lat"))
+    points = table(spark, d, "occurrences").select(F.col("grp").alias("src"), "lon", "lat", F.col("occ_id").cast("long").alias("place"))
+    far = spark.range(1).select(F.lit("far").alias("src"), F.lit(179.5).alias("lon"), F.lit(-80.0).alias("lat"), F.lit(0).cast("long").alias("place"))
+    return S.nearest_of_each(centres, points.unionByName(far), "zone_id", "src", "place").select("zone_id", "src", F.round("km", 1).alias("km"))
+
+
+@query("J8", f"""
+WITH z AS (SELECT zone_id, mx AS lon, my AS lat FROM boxes WHERE zone_id % 5 = 1)
+SELECT a.det_id, min_by(b.zone_id, (round({AB}, 6), b.zone_id)) AS zone_id, round(min({AB}), 6) AS km FROM detections a JOIN z b ON true GROUP BY a.det_id""")
+def nearest_zone(spark, d):
+    """The zone with the nearest centre for every detection, however far, ties by id."""
+    det = table(spark, d, "detections").select("det_id", "lon", "lat")
+    places = det.groupBy("lon", "lat").agg(F.min("det_id").alias("first"))
+    z = table(spark, d, "boxes").where("zone_id % 5 = 1").select(F.lit(1).alias("all"), "zone_id", F.col("mx").alias("lon"), F.col("my").alias("lat"))
+    near = S.nearest_of_each(places, z, "first", "all", "zone_id").join(places.withColumnsRenamed({"lon": "p_lon", "lat": "p_lat"}), "first")
+    return det.join(near, (F.col("lon") == F.col("p_lon")) & (F.col("lat") == F.col("p_lat"))).select("det_id", "zone_id", F.round("km", 6).alias("km"))
+
+
 @query("J23", f"""
 WITH k AS (SELECT a.det_id, b.pos_id, {AB} AS km FROM detections a JOIN positions b ON a.t // 3600 = b.r_t // 3600 AND {AB} <= 5),
 l AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY round(km, 9), pos_id) AS rn FROM k)

@@ -75,6 +75,25 @@ def test_within_distance_over_the_date_line_and_far_north(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+def test_nearest_of_each_widens_until_all_are_answered(spark):
+    rng = random.Random(8)
+    places = [("dense", i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(300)] + [("one", 900, 179.9, 89.0), ("one", 901, 179.9, 89.0), ("two", 902, -60.0, -45.0), (None, 5, 0.0, 0.0), ("gone", 6, None, 1.0)]
+    left = [(0, 0.0, 0.0), (1, -179.99, 10.0), (2, 120.0, 45.0), (3, 0.0, -90.0), (4, 10.0, 4.6), (5, None, 1.0)]
+    got = {(r.id, r.src): (round(r.km, 6), r.place) for r in spatial.nearest_of_each(spark.createDataFrame(left, "id long, lon double, lat double"), spark.createDataFrame(places, "src string, place long, lon double, lat double"), "id", "src", "place").collect()}
+
+    def km(a, b):
+        (x, y), (u, v) = ([math.radians(c) for c in p] for p in (a, b))
+        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2)))
+
+    want = {}
+    for i, x, y in left[:5]:
+        for src in ("dense", "one", "two"):
+            d, place = min((km((x, y), p[2:]), p[1]) for p in places if p[0] == src)
+            want[i, src] = (round(d, 6), place)
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-3) for k in want)
+    assert max(v[0] for v in want.values()) > 15000
+
+
 def test_match_classes(spark):
     det = spark.createDataFrame([(1, 0.0, 0.0, 1000), (2, 1.0, 0.0, 1000), (3, 9.0, 9.0, 1000)], "det_id long, lon double, lat double, t long")
     pos = spark.createDataFrame([(7, 0.001, 0.0, 1300), (8, 0.001, 0.0, 700), (9, 1.1, 0.0, 4000)], "mmsi long, lon double, lat double, r_t long")
