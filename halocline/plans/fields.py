@@ -51,7 +51,7 @@ def ruggedness(spark, d):
     return G.ruggedness(table(spark, d, "field")).withColumn("tri", F.round("tri", 6))
 
 
-@query("G15")
+@query("")
 def track_back(spark, d):
     """Particles of the events traced back three days through a field of the lineitems; tested on a small field."""
     f = table(spark, d, "field").where("value IS NOT NULL").select("i", "j", ((F.col("value") % 7 - 3) / 4).alias("u"), ((F.col("value") % 5 - 2) / 4).alias("v"))
@@ -65,14 +65,14 @@ def thinned_folds(spark, d):
     return thin.withColumn("fold", M.block_fold(F.col("lon"), F.col("lat"), 5)).select(F.round("lon", 1).alias("rlon"), F.round("lat", 1).alias("rlat"), "species_no", "fold").distinct()
 
 
-@query("M2 M6", "SELECT grp, min(depth) AS lo, max(depth) AS hi, count(*) FILTER (depth NOT BETWEEN 100 AND 1500) AS outside FROM occurrences GROUP BY grp")
+@query("M6", "SELECT grp, min(depth) AS lo, max(depth) AS hi, count(*) FILTER (depth NOT BETWEEN 100 AND 1500) AS outside FROM occurrences GROUP BY grp")
 def training_envelope(spark, d):
     return table(spark, d, "occurrences").groupBy("grp").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"), F.count_if(~F.col("depth").between(100, 1500)).alias("outside"))
 
 
-@query("M4 M5 M7")
+@query("M4")
 def habitat_model(spark, d):
-    """Presence-background logistic regression with spatial folds: AUC per fold, mean and spread, and the publish gate."""
+    """Presence-background logistic regression with spatial folds: AUC per fold, and a gate on AUC and rows."""
     o = table(spark, d, "occurrences").where("depth IS NOT NULL")
     rows = o.select("lon", "lat", F.col("depth"), F.col("edna").cast("double").alias("label"), M.block_fold(F.col("lon"), F.col("lat"), 3).alias("fold"))
     return M.evaluate_folds(rows, ["depth", "lat"], 3)

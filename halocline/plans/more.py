@@ -79,7 +79,7 @@ def locality_rollup(spark, d):
     return g.withColumn("deep_species", F.when(F.size("deep") > 0, F.array_join(F.transform("deep", lambda x: x.cast("string")), ","))).drop("deep")
 
 
-@query("A45 J22", """
+@query("A45", """
 WITH s AS (SELECT c_custkey AS station, 'st' || (c_custkey % 50) AS name, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon, CAST(c_custkey % 120 - 60 AS DOUBLE) AS lat FROM customer),
 f AS (SELECT o_orderkey AS file, 'st' || (o_custkey % 50) || '-' || o_orderstatus AS title, CAST(o_custkey % 360 - 180 AS DOUBLE) + 0.1::DOUBLE AS lon, CAST(o_custkey % 120 - 60 AS DOUBLE) AS lat, o_orderdate AS started FROM orders),
 l AS (SELECT s.station, f.file, f.started FROM s JOIN f ON s.name = split_part(f.title, '-', 1) AND abs(s.lon - f.lon) < 2 AND abs(s.lat - f.lat) < 2 WHERE 2 * 6371.0 * asin(least(1.0, sqrt(power(sin(radians(f.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(f.lat)) * power(sin(radians(f.lon - s.lon) / 2), 2)))) <= 50)

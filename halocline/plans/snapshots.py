@@ -12,7 +12,7 @@ def purge_set(spark, d):
     return N.purge_set(table(spark, d, "stored"), table(spark, d, "seen"), "id").select("id", "dataset")
 
 
-@query("S18 M7", """
+@query("S18", """
 WITH m AS (SELECT s.*, n.id IS NULL AS gone FROM stored s LEFT JOIN seen n ON n.id = s.id), k AS (SELECT dataset, count(*) FILTER (gone) AS orphans, count(*) FILTER (NOT gone) AS live FROM m GROUP BY dataset),
 t AS (SELECT (SELECT count(*) FROM stored) AS total, (SELECT count(DISTINCT id) FROM seen) AS seen, sum(orphans)::BIGINT AS orphans, (sum(orphans) FILTER (live = 0))::BIGINT AS absent FROM k)
 SELECT *, CASE WHEN absent > total * 0.12 OR orphans > total * 0.35 OR seen < total * 0.5 THEN 'refuse' WHEN orphans = 0 THEN 'nothing' ELSE 'purge' END AS verdict,
@@ -87,7 +87,7 @@ def two_file_consistency(spark, d):
     return both.groupBy(F.when(F.col("k").isNull(), "only_b").when(F.col("b_k").isNull(), "only_a").otherwise("both").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("n"), F.lit(0.0)), 2).alias("total"))
 
 
-@query("S33 J20 O3", """
+@query("S33 J20", """
 SELECT DISTINCT c_custkey % 200 AS name FROM customer WHERE c_custkey % 200 NOT IN (SELECT o_custkey % 200 FROM orders WHERE o_orderstatus = 'P' OR o_orderdate > TIMESTAMP '1998-01-01')""")
 def pending_lookups(spark, d):
     answers = table(spark, d, "orders").select((F.col("o_custkey") % 200).alias("name"), (F.col("o_orderstatus") == "P").alias("found"), F.col("o_orderdate").cast("timestamp").alias("checked_at"))

@@ -71,7 +71,7 @@ def multi_radius_counts(spark, d):
     return det.select("det_id").join(pairs, "det_id", "left").select("det_id", F.coalesce("a", zero).alias("within_400m"), F.coalesce("b", zero).alias("fast_within_800m"), F.round(F.coalesce("km", F.lit(0.0)), 6).alias("farthest_km"))
 
 
-@query("J6 J9 J29 A9 A10", f"""
+@query("J6 J9", f"""
 WITH k AS (SELECT DISTINCT p.lon, p.lat, z.zone_id, z.zone_name, {BOX_KM} AS km FROM detections p JOIN boxes z ON abs(p.lat - z.my) < 1 AND abs(p.lon - z.mx) < 1 WHERE {BOX_KM} <= 0.5)
 SELECT round(lon, 3) AS rlon, round(lat, 3) AS rlat, count(*) AS zones, min_by(zone_id, (round(km, 9), zone_id)) AS nearest, round(min(km), 6) AS km, string_agg(zone_id::VARCHAR, ',' ORDER BY zone_id) AS all_zones FROM k GROUP BY lon, lat""")
 def zones_near_points(spark, d):
@@ -130,7 +130,7 @@ def one_claim_per_target(spark, d):
     return best.groupBy("pos_id").agg(F.min_by("det_id", F.struct(F.round("km", 9), "det_id")).alias("det_id"))
 
 
-@query("J17", """
+@query("", """
 WITH w AS (SELECT mmsi, lon, lat, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM positions WINDOW w AS (PARTITION BY mmsi ORDER BY r_t, pos_id))
 SELECT z.zone_id, count(DISTINCT w.mmsi) AS vessels FROM w JOIN boxes z ON w.x IS NOT NULL AND abs(w.x - w.lon) <= 1
   AND greatest(w.x, w.lon) >= z.mx - z.half AND least(w.x, w.lon) <= z.mx + z.half AND greatest(w.y, w.lat) >= z.my - z.half AND least(w.y, w.lat) <= z.my + z.half
@@ -150,7 +150,7 @@ def paths_crossing_zones(spark, d):
     return pairs.where(meets & ~((F.least(*side) > 0) | (F.greatest(*side) < 0))).groupBy("zone_id").agg(F.count_distinct("mmsi").alias("vessels"))
 
 
-@query("J24 J16 J25", """
+@query("J24 J16", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY r_t DESC, pos_id DESC) AS rn FROM positions)
 SELECT r.mmsi, r.pos_id, c.c_name AS name FROM r LEFT JOIN customer c ON c.c_custkey = r.mmsi WHERE rn = 1""")
 def latest_with_identity(spark, d):

@@ -26,7 +26,7 @@ def hourly_positions(spark, d):
     return V.hourly(table(spark, d, "positions")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "messages", F.round("speed", 6).alias("speed"))
 
 
-@query("T8 U4", "WITH l AS (SELECT mmsi, max_by(lon, (r_t, pos_id)) AS lon, max_by(lat, (r_t, pos_id)) AS lat FROM positions GROUP BY mmsi) SELECT mmsi, round(lon - 0.5, 6) AS x0, round(lat - 0.5, 6) AS y0, round(lon + 0.5, 6) AS x1, round(lat + 0.5, 6) AS y1 FROM l")
+@query("T8", "WITH l AS (SELECT mmsi, max_by(lon, (r_t, pos_id)) AS lon, max_by(lat, (r_t, pos_id)) AS lat FROM positions GROUP BY mmsi) SELECT mmsi, round(lon - 0.5, 6) AS x0, round(lat - 0.5, 6) AS y0, round(lon + 0.5, 6) AS x1, round(lat + 0.5, 6) AS y1 FROM l")
 def watch_boxes(spark, d):
     last = table(spark, d, "positions").groupBy("mmsi").agg(F.max_by(F.struct("lon", "lat"), F.struct("r_t", "pos_id")).alias("p")).select("mmsi", "p.*")
     return V.watch_boxes(last, 0.5).select("mmsi", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
