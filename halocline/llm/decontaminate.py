@@ -2,18 +2,20 @@
 
 Texts and benchmark items are normalised (lower case, runs of other than letters and digits as one space). An occurrence of
 an item of m characters with at most e edits shares at least m - q + 1 - q * e of its q-grams with the text, all within
-e + 1 neighbouring diagonals. Shared q-grams are counted in overlapping diagonal bands of twice that width; bands that meet
+e + 1 neighbouring diagonals. q is Q, or m // (e + 1) where that is less, so the bound is never under 1. Shared q-grams are counted in overlapping diagonal bands of twice that width; bands that meet
 the bound are aligned (banded, with free ends in the text), and those within the budget of EDITS percent are matches.
 
 The benchmark is the query set: it is read in blocks of at most BLOCK_CHARS characters, each broadcast in turn.
 
-Edge cases: null and empty texts and items match nothing; an item under Q normalised characters has no q-gram and is not
-searched; repeated items and repeated rows are treated alike; null ids are kept. Of an item that a text holds several
-times, the match with the fewest edits (then the first) is reported.
+Edge cases: null and empty texts and items match nothing; an item under Q normalised characters is matched exactly and
+as whole words (next to a script that writes no spaces, anywhere); repeated items and repeated rows are treated alike; null
+ids are kept. Of matches of an item that overlap (ends closer than its least length) the one with the fewest edits, then
+the first, is reported, and so on until none is left. The whole item must match: a quotation of a part of it is not found.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -24,9 +26,11 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-Q, EDITS, BLOCK_CHARS, TABLE_BITS, CHUNK = 10, 6, 2_000_000, 22, 2_000_000
+Q, EDITS, BLOCK_CHARS, TABLE_BITS, SHORT_BITS, CHUNK = 10, 6, 2_000_000, 22, 16, 2_000_000
 OTHER = re.compile(r"[\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Code points of scripts without spaces between words (Thai to Myanmar, Khmer, Chinese, Japanese).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 KIND = "array<struct<item_id: long, start: long, end: long, edits: int>>"
 
 
@@ -53,34 +57,57 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return parts ^ (parts >> np.uint64(29))
 
 
-class Items:
-    """The q-grams of a block of items, sorted by hash, and a bit table that tells most others apart."""
+class Grams:
+    """The q-grams of items for one q, sorted by hash, and a bit table that tells most others apart."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        items = [(i, c) for i, c in items if len(c) >= Q]
-        self.ids, self.codes = [i for i, _ in items], [c for _, c in items]
-        sizes = np.array([len(c) for c in self.codes], np.int64)
-        self.budget = sizes * EDITS // 100
-        self.need = np.maximum(sizes - Q + 1 - Q * self.budget, 1)
-        hashes = [gram_hashes(c) for c in self.codes]
-        h = np.concatenate([*hashes, np.empty(0, np.uint64)])
+    def __init__(self, q: int, codes: list[tuple[int, np.ndarray]]):
+        self.q, self.bits = q, np.uint64(64 - (TABLE_BITS if q == Q else SHORT_BITS))
+        hashes = [gram_hashes(c, q) for _, c in codes]
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
-        self.item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])[order]
-        self.at = np.concatenate([*[np.arange(len(x)) for x in hashes], np.empty(0, np.int64)]).astype(np.int64)[order]
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.hash >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        self.item = np.repeat([i for i, _ in codes], [len(x) for x in hashes])[order]
+        self.at = np.concatenate([np.arange(len(x)) for x in hashes])[order]
+        self.table = np.zeros(1 << (64 - int(self.bits)), bool)
+        self.table[(self.hash >> self.bits).astype(np.int64)] = True
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in codes, item, place in the item) of every shared q-gram."""
-        h = gram_hashes(codes)
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        h = gram_hashes(codes, self.q)
+        at = np.flatnonzero(self.table[(h >> self.bits).astype(np.int64)])
         lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
         n = hi - lo
         rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(at, n), self.item[rows], self.at[rows]
 
 
+class Items:
+    """The items of a block and their q-grams."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        items = [(i, c) for i, c in items if len(c)]
+        self.ids, self.codes = [i for i, _ in items], [c for _, c in items]
+        sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.budget = sizes * EDITS // 100
+        q = np.minimum(sizes // (self.budget + 1), Q)
+        self.need = sizes - q + 1 - q * self.budget
+        self.grams = [Grams(int(x), [(i, self.codes[i]) for i in np.flatnonzero(q == x)]) for x in np.unique(q)]
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in codes, item, place in the item) of every shared q-gram."""
+        found = [g.hits(codes) for g in self.grams] or [(np.empty(0, np.int64),) * 3]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def unspaced(code: int) -> bool:
+    return any(low <= code <= high for low, high in UNSPACED)
+
+
+def whole_words(text: np.ndarray, start: int, end: int) -> bool:
+    """Whether a word may begin at start and end at end."""
+    edges = [(i - 1, i) for i in (start, end) if 0 < i < len(text)]
+    return all(text[a] == 32 or text[b] == 32 or unspaced(int(text[a])) or unspaced(int(text[b])) for a, b in edges)
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
     """(edits, end in the text) of the best alignment of the whole item whose diagonals lie in [low, high]."""
     width = high - low + 1
@@ -105,29 +132,50 @@ def find(items: Items, texts: list[np.ndarray]) -> list[list[tuple]]:
     """For each text its matches (item_id, start, end, edits) in normalised characters."""
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])
     codes = np.concatenate([np.append(t, np.uint32(0)) for t in texts]) if texts else np.empty(0, np.uint32)
-    best: list[dict] = [{} for _ in texts]
+    found: list[dict] = [{} for _ in texts]
     place, item, at = items.hits(codes)
     if len(place):
         doc = np.searchsorted(starts, place, "right") - 1
         diagonal = place - starts[doc] - at
         step = items.budget[item] + 1
         band = (diagonal + (1 << 40)) // step
-        # A window of e + 1 diagonals lies wholly in one of the overlapping bands of 2 (e + 1).
-        band, doc, item, diagonal = np.concatenate([band, band - 1]), np.tile(doc, 2), np.tile(item, 2), np.tile(diagonal, 2)
+        # A window of e + 1 diagonals lies wholly in one of the overlapping bands of 2 (e + 1); without edits it is one diagonal.
+        wide = np.flatnonzero(step > 1)
+        band, doc, item, diagonal = np.append(band, band[wide] - 1), np.append(doc, doc[wide]), np.append(item, item[wide]), np.append(diagonal, diagonal[wide])
         order = np.lexsort((band, item, doc))
         band, doc, item, diagonal = band[order], doc[order], item[order], diagonal[order]
         new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])))
         count = np.diff(np.append(new, len(band)))
         low, high = np.minimum.reduceat(diagonal, new), np.maximum.reduceat(diagonal, new)
+        last = None
         for g in np.flatnonzero(count >= items.need[item[new]]):
             d, k = int(doc[new[g]]), int(item[new[g]])
-            e = int(items.budget[k])
-            if best[d].get(k, (1,))[0] == 0:
-                continue
-            found = align(items.codes[k], texts[d], int(low[g]) - e, int(high[g]) + e, e)
-            if found and (k not in best[d] or (found[0], found[1]) < best[d][k]):
-                best[d][k] = found
-    return [[(items.ids[k], max(0, end - len(items.codes[k])), end, edits) for k, (edits, end) in sorted(b.items())] for b in best]
+            e, code, text, start = int(items.budget[k]), items.codes[k], texts[d], int(low[g])
+            regions = found[d].setdefault(k, [])
+            if e:
+                # The overlapping band with the same diagonals would give the same again.
+                if last == (d, k, start, int(high[g])):
+                    continue
+                last = d, k, start, int(high[g])
+                region = align(code, text, start - e, int(high[g]) + e, e)
+            else:
+                same = start >= 0 and np.array_equal(text[start : start + len(code)], code)
+                region = (0, start + len(code)) if same and (len(code) >= Q or whole_words(text, start, start + len(code))) else None
+            if region:
+                regions.append(region)
+    return [[(items.ids[k], max(0, end - len(items.codes[k])), end, edits) for k, r in sorted(f.items()) for edits, end in apart(r, len(items.codes[k]) - int(items.budget[k]))] for f in found]
+
+
+def apart(regions: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Of (edits, end) the best, then the best whose end is at least least away from all taken, and so on; by end."""
+    taken: list[int] = []
+    out = []
+    for edits, end in sorted(set(regions)):
+        i = bisect.bisect_left(taken, end)
+        if (i == 0 or end - taken[i - 1] >= least) and (i == len(taken) or taken[i] - end >= least):
+            taken.insert(i, end)
+            out.append((edits, end))
+    return sorted(out, key=lambda r: r[1])
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -163,6 +211,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFr
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each (contaminated document, item): doc_id, item_id, start, end, edits."""
+    """A row for each match: doc_id, item_id, start, end, edits."""
     rows, name = mark(C.parquet(spark, sf_dir, "documents").select("doc_id", "text"), C.parquet(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select("doc_id", F.explode(name).alias("m")).select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.edits").alias("edits"))

@@ -414,6 +414,19 @@ def test_decontamination(spark, docs, none):
     assert all(not r[1] for r in decontaminate.mark(df.select("doc_id", "text"), bench.limit(0), ["doc_id"])[0].collect())
 
 
+def test_decontamination_of_short_items_and_repeats(spark):
+    items = [(1, "abcdefghijklmnopq"), (2, "abcdefgh ijklmnopqr"), (3, "ab c"), (4, "東京都"), (5, "The quick brown fox jumps over a lazy dog"), (6, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"xx {t[:i]}#{t[i + 1:]} yy".replace("#", "z") for _, t in items[:2] for i in range(1, len(t) - 1)]
+    fox = items[4][1]
+    texts += ["It was AB, c!", "ab cd", "xab c", "この東京都は 東京都東京都", f"{fox}. {fox.replace('brown', 'brawn')} and\n{fox}"]
+    marked, name = decontaminate.mark(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, ["doc_id"])
+    got = {r.doc_id: [(m.item_id, m.edits) for m in r[name]] for r in marked.collect()}
+    n = len(texts) - 5
+    assert all(got[d] and {m[0] for m in got[d]} <= {1, 2} and min(m[1] for m in got[d]) <= 1 for d in range(n))
+    assert [got[d] for d in range(n, n + 5)] == [[(3, 0)], [], [], [(4, 0)] * 3, [(5, 0), (5, 1), (5, 0)]]
+
+
 @pytest.mark.parametrize("q", [2, 3, 7, 10])
 def test_gram_hashes_tell_grams_apart(q):
     codes = np.random.default_rng(0).integers(97, 100, 400).astype(np.uint32)
