@@ -7,6 +7,7 @@ mix repeats a document as often as it draws it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language (no text, or no letter in it)."""
-    marked = language_id.predict(docs, language_id.learn(language_id.training(docs)), docs.columns)
+    """Rejects documents in no language (no text, or no letter in it); where no row has a lang to learn from, one nameless
+    language stands for all."""
+    model = language_id.learn(language_id.training(docs)) or [("?", np.zeros(language_id.DIM, np.float32))]
+    marked = language_id.predict(docs, model, docs.columns)
     label = C.fresh(docs, "lang_pred")[0]
     return marked.where(F.col(label) != "und").select(*docs.columns)
 

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_operators import SCHEMA, brute_components, documents
 
 ITEM = "This benchmark question asks which of the northern harbours has the deepest water in the month of March"
@@ -45,5 +46,12 @@ def test_stages(spark, folder):
             assert ids == sorted((r.doc_id for r in before), key=lambda x: (x is None, x))
 
 
+def test_documents_without_labels_pass(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = P.identify_language(spark, docs, folder)
+    want = sum(any(c.isalpha() for c in r.text or "") for r in docs.collect())
+    assert kept.columns == docs.columns and kept.count() == want > 40
+
+
 def test_run(spark, folder):
     assert P.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
