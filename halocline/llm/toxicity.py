@@ -2,7 +2,8 @@
 
 Every labelled training document counts in the word statistics that choose the features (a word, or its first five
 letters); the weights are then learned by gradient ascent on the noisy-or likelihood of the document labels, over at most
-SAMPLE documents drawn by a hash of the id (the documented bound), each reduced to the chosen features of its sentences.
+SAMPLE documents drawn by a hash of the id (the documented bound), each reduced to the chosen features of its sentences. A
+chosen feature that no drawn document holds takes its weight from the statistics. The features grow with the corpus.
 Sentence scores then tell which sentences offend.
 
 Edge cases: a null or empty text has no sentence and scores 0; without both labels in training all scores are 0; several
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-SAMPLE, FEATURES, MIN_DOCS, PREFIX, STEPS, THRESHOLD = 20_000, 3_000, 4, 5, 400, 0.7
+SAMPLE, MIN_DOCS, PREFIX, STEPS, THRESHOLD = 20_000, 4, 5, 400, 0.7
 BROADCAST_ROWS = 1_000_000
 #: Documents whose doubt a feature must settle to keep its weight: words that only repeat what others tell lose theirs.
 SPARSE = 0.3
@@ -61,7 +62,7 @@ def noisy_or_fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndar
     return w, float(bias)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = FEATURES) -> tuple[dict[str, float], float]:
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     """Feature weights and bias from columns doc_id, text (not null), toxic (0 or 1)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     both = F.array_distinct(F.concat(found, F.transform(F.filter(found, lambda w: F.length(w) >= PREFIX), lambda w: F.concat(F.lit("^"), F.substring(w, 1, PREFIX)))))
@@ -73,7 +74,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = FEATURES) -> tu
     # The gain in log-likelihood that the feature's own rate brings over the base rate, of features that speak for toxic.
     rate = F.col("pos") / F.col("n")
     gain = F.col("pos") * F.log(rate / base) + F.when(F.col("pos") < F.col("n"), (F.col("n") - F.col("pos")) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    chosen = [r.f for r in counts.where((F.col("n") >= MIN_DOCS) & (rate > min(0.9, 2 * base))).withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(size).select("f").collect()]
+    rows = counts.where((F.col("n") >= MIN_DOCS) & (rate > min(0.9, 2 * base))).withColumn("gain", gain).orderBy(F.desc("gain"), "f").select("f", "n", "pos").toPandas()
+    chosen = rows["f"].tolist()
     ids = {f: i for i, f in enumerate(chosen)}
     shared = labelled.sparkSession.sparkContext.broadcast(ids)
 
@@ -92,12 +94,19 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, size: int = FEATURES) -> tu
     if not len(drawn) or drawn["toxic"].nunique() < 2:
         return {}, -30.0
     w, bias = noisy_or_fit([[list(s) for s in b] for b in drawn["bags"]], drawn["empty"].to_numpy(float), drawn["toxic"].to_numpy(), len(chosen))
+    seen = np.zeros(len(chosen), bool)
+    seen[[f for b in drawn["bags"] for s in b for f in s]] = True
+    # Others: the probability that the noisy-or needs beside the base rate; a word and its first letters share it.
+    rate = (rows["pos"].to_numpy(float) + MIN_DOCS * base) / (rows["n"].to_numpy(float) + MIN_DOCS)
+    lift = np.clip(1 - (1 - rate) / (1 - base), 1e-9, 1 - 1e-9)
+    own = np.maximum(np.log(lift / (1 - lift)) - bias, 0) * np.where(rows["f"].str.len() >= PREFIX, 0.5, 1.0)
+    w = np.where(seen, w, own)
     return {f: float(x) for f, x in zip(chosen, w, strict=True) if x > 1e-3}, bias
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str]) -> DataFrame:
     """The columns of keep with score and offending, an array of (sentence, score) of sentences scoring over a half."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights, a few bytes a feature
     value, where, text = C.fresh(docs.select(*keep), "score", "offending", "text_in")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

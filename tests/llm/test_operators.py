@@ -282,6 +282,16 @@ def test_toxicity(spark, none):
     assert {round(r.score, 6) for r in toxicity.score(df, nothing, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_keeps_words_that_the_sample_lacks(spark):
+    rng = random.Random(6)
+    late = [r.id for r in spark.range(1000, 1100).where("pmod(xxhash64(id), 1000000) > 600000").take(6)]
+    made = [(i, sentence(rng, EN, 8) + (" Scumbag you." if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)] + [(i, sentence(rng, EN, 8) + " You zorgon.", 1) for i in late]
+    weights, bias = toxicity.learn(spark.createDataFrame(made, "doc_id long, text string, toxic int"), sample=203)
+    out = toxicity.score(spark.createDataFrame([(1, "Such a zorgon."), (2, "Such a tree.")], "doc_id long, text string"), (weights, bias), ["doc_id"])
+    scores = {r.doc_id: r.score for r in out.collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for d, t in rows:
