@@ -4,11 +4,13 @@ A document's set of word shingles is hashed into GROUPS groups; the group counts
 minima of their coordinates bound the overlap from above, and an R-tree over points bounds a whole subtree by its upper
 corner; pairs that survive are verified on the sets themselves.
 
-How the tree is spread: equal sets become one class first. A set is cut by hash range into d + 2 parts, where d is the
-largest symmetric difference that a linked pair of its size band can have; so a linked pair shares a whole part that is
-not empty, or two parts that are empty in both. A block holds the classes with the same part. One star of candidates per
-block (around its member with most company) joins nearly all; the R-tree then searches the blocks that still hold more
-than one component, for pairs of different components only. Large blocks are searched in pieces of PIECE members.
+How the tree is spread: equal sets become one class first. In the order of their hashes, the x shingles that only one of
+two linked sets has and the y that only the other has cut the common ones into x + y + 1 runs at most; so the first
+r * (1 - p) * n + r shingles of each set hold a common run of r. A block holds the classes with the same run. Of blocks with
+the same members one stays. The tree of a block (a block of up to LEAF members is one leaf) gives each member its nearest
+earlier one that may be linked, which joins nearly all; blocks that still hold more than one component are then searched
+for all pairs of different components. Large blocks are dealt over pieces of PIECE members: twice by independent hashes in
+the first search; in the second, members outside the block's largest component meet every piece.
 
 Links are counted after that, if asked for: two linked classes are in one component, so the members of a component (in
 pairs of pieces of COUNT_PIECE, each pair of members in one of them) are searched by an R-tree, every candidate is verified
@@ -17,7 +19,8 @@ only leaves the count out.
 
 Edge cases: a null or empty text, or one without a word, has an empty set, is linked with nothing and is its own component;
 a text with fewer words than a shingle has its whole sequence as its one shingle. Rows that share a doc_id are one
-document. A row without doc_id is linked with nothing and has no component. Other columns are not read.
+document: where their texts differ, it is in one component with all that any of them is linked with. A row without doc_id
+is linked with nothing and has no component. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from halocline.llm import common as C
 from halocline.llm.components import components
 
-GROUPS, GROWTH, FIRST, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 1.5, 12, 2048, 512, 32, 48, 1_000_000
+GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 3, 2048, 512, 32, 48, 1_000_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -57,35 +60,37 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(n: int, percent: int) -> list[int]:
-    """The upper sizes of the bands in which a set of n shingles is indexed: its own and, near its end, the next."""
-    top = FIRST
-    while top < n:
-        top = int(top * GROWTH)
-    return [top, int(top * GROWTH)] if 100 * n >= percent * (top + 1) else [top]
+def run_of(percent: int) -> int:
+    """Shingles in a run: so few that sets with less than a whole prefix of runs can only be linked if equal."""
+    return max(1, min(LONGEST_RUN, 100 * percent // (10_000 - percent * percent))) if percent < 100 else LONGEST_RUN
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a sorted set, in order; two linked sets share one at least. A key that two parts share by chance
-    costs a candidate, never a link."""
-    keys = []
-    for top in bands(len(s), percent):
-        parts = 2 * top * (100 - percent) // (100 + percent) + 2
-        part = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        tag = np.uint64(top * int(M1) % 2**64)
-        keys.append(mix(np.add.reduceat(mix(s ^ M3), starts) ^ mix(part[starts] + tag)))
-        none = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts])
-        if len(none) > 1:
-            i, j = np.triu_indices(len(none), 1)
-            keys.append(mix(mix(none[i] + tag + M2) + none[j]))
-    return np.unique(np.concatenate(keys) >> np.uint64(64 - KEY_BITS))
+def run_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the runs in the prefix of a sorted set, in order; two linked sets share one at least, if they differ. A key that
+    two runs share by chance costs a candidate, never a link."""
+    r = run_of(percent)
+    n = min(len(s), r * (100 - percent) * len(s) // 100 + r) - r + 1
+    if n < 1:
+        return s[:0]
+    key = np.full(n, r, np.uint64)
+    for i in range(r):
+        key = mix(key * M1 + s[i : i + n])
+    return np.unique(key >> np.uint64(64 - KEY_BITS))
 
 
 def point(s: np.ndarray) -> np.ndarray:
     return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes, two for each coordinate if that is enough."""
+    return p.astype(np.uint16 if p.max() < 1 << 16 else np.int32).tobytes()
+
+
+def unpacked(points: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * GROUPS else np.int32) for b in points]).astype(np.int32)
+
+
 class RTree:
     """Points packed into leaves of LEAF by size and then by their widest coordinate, and leaves into nodes; each has its
     upper corner and its least and greatest size."""
@@ -119,7 +124,7 @@ class RTree:
 
 
 def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), keys of every row."""
+    """doc_id, n, d1, d2 (digests of the set), point, keys of every row."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,113 +132,194 @@ def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for doc, h in zip(batch["doc_id"], batch["h"], strict=True):
                 s = shingles(h, k)
                 known = len(s) > 0 and not pd.isna(doc)
-                out.append((len(s), *(int(mix(s ^ m).sum(dtype=np.uint64).view(np.int64)) for m in (M1, M2)), part_keys(s, percent).view(np.int64) if known else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {c: [x[i] for x in out] for i, c in enumerate(("n", "d1", "d2", "keys"))})
+                digests = (int(mix(s ^ m).sum(dtype=np.uint64).view(np.int64)) for m in (M1, M2))
+                out.append((len(s), *digests, packed(point(s)) if known else None, run_keys(s, percent).view(np.int64) if known else None))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {c: [x[i] for x in out] for i, c in enumerate(("n", "d1", "d2", "point", "keys"))})
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.word_hashes(C.whole_text()).alias("h"))
-    return C.materialise(hashed.mapInPandas(rows, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingles", **{"parquet.writer.version": "PARQUET_2_0"})  # sorted keys are stored as differences
+    return C.materialise(hashed.mapInPandas(rows, "doc_id long, n long, d1 long, d2 long, point binary, keys array<long>"), "shingles", **{"parquet.writer.version": "PARQUET_2_0"})  # sorted keys are stored as differences
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has BROADCAST_ROWS rows of a few numbers at most; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of rows that are sorted by the columns of by, cut between groups, and where their groups begin (and the end)."""
+
+    def cut(rows: pd.DataFrame) -> np.ndarray:
+        new = np.append(True, np.zeros(len(rows) - 1, bool))
+        for c in by:
+            x = rows[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.append(np.flatnonzero(new), len(rows))
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        at = cut(batch)
+        if held and (held[-1][by].iloc[-1] != batch[by].iloc[0]).any():
+            rows = pd.concat(held)
+            yield rows, cut(rows)
+            held = []
+        if len(at) > 2:
+            rows = pd.concat([*held, batch.iloc[: at[-2]]])
+            yield rows, cut(rows)
+            held = [batch.iloc[at[-2] :]]
+        else:
+            held.append(batch)
+    if held:
+        rows = pd.concat(held)
+        yield rows, cut(rows)
+
+
+def nearest_earlier(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each row j the last row i before it in its group that may be linked with it. Groups begin at cut."""
+    left, right = [], []
+    size = np.diff(cut)
+    for m in np.unique(size[(size > 1) & (size <= LEAF)]):  # groups of one leaf, side by side
+        start = cut[:-1][size == m]
+        for j in range(1, m):
+            open_ = start
+            for i in range(j - 1, -1, -1):
+                a, b = open_ + i, open_ + j
+                fits = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & ((100 + percent) * np.minimum(points[a], points[b]).sum(1) >= percent * (n[a] + n[b]))
+                left.append(a[fits])
+                right.append(b[fits])
+                open_ = open_[~fits]
+                if not len(open_):
+                    break
+    for start, end in zip(cut[:-1][size > LEAF], cut[1:][size > LEAF], strict=True):
+        tree = RTree(points[start:end], n[start:end])
+        for j in range(1, end - start):
+            at = tree.search(points[start + j], n[start + j], percent)
+            at = at[at < j]
+            if len(at):
+                left.append(np.array([start + at.max()]))
+                right.append(np.array([start + j]))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+PAIRS = "u long, v long"
+
+
+def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    return pd.DataFrame({"u": u, "v": v})[u != v].drop_duplicates()
+
+
+def _first_search(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) in each block (members: key, node, size): one for each member at most, and so a number in
+    proportion to the members."""
+    parts = F.ceil(F.col("size") / PIECE).cast("int")
+    deals = F.when(parts > 1, F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), parts).cast("int") + i * parts for i in range(2)])).otherwise(F.array(F.lit(0)))
+    dealt = members.select("key", "node", F.explode(deals).alias("piece")).join(points, "node").repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "node")
 
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cut in whole_groups(batches, ["key", "piece"]):
+            yield _pairs(rows["node"].to_numpy(), *nearest_earlier(unpacked(rows["point"]), rows["n"].to_numpy(), cut, percent))
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """node, n, point, s (the hashed set) of the documents whose id is in ids (column node, distinct)."""
+    return dealt.mapInPandas(search, PAIRS)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(h, k) for h in batch["h"]]
-            yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "point": [point(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    if ids.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the texts are shuffled
-        ids = F.broadcast(ids)
-    found = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(ids, "node", "left_semi")
-    return C.materialise(found.select("node", C.word_hashes(F.col("text")).alias("h")).mapInPandas(rows, "node long, n long, point array<int>, s array<long>"), "sets")
+def _second_search(known: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (u, v) of different components in the blocks (known: key, node, size, component) that hold more
+    than one. Members of the largest component of a block meet the others only."""
+    each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    top = each.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    top = top.select(F.col("key").alias("t_key"), F.col("top.component").alias("largest"), F.ceil(F.col("top.m") / PIECE).cast("int").alias("p_in"), F.ceil((F.col("all") - F.col("top.m")) / PIECE).cast("int").alias("p_out"))
+    rows = known.join(top, F.col("key") == F.col("t_key")).withColumn("out", F.col("component") != F.col("largest"))
+    # Pieces 0 to p_out - 1 hold the members outside the largest component, the next p_in those inside.
+    rows = rows.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("p_out"))).otherwise(F.col("p_out") + F.pmod(F.xxhash64("node"), F.col("p_in"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("p_out") + F.col("p_in")).otherwise(F.col("p_out")) - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cut in whole_groups(batches, ["key", "lo", "hi"]):
+            node, comp, n, own, lo, hi = (rows[c].to_numpy() for c in ("node", "component", "n", "own", "lo", "hi"))
+            points = unpacked(rows["point"])
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                left, right = start + np.flatnonzero(own[start:end] == lo[start]), start + np.flatnonzero(own[start:end] == hi[start])
+                if not len(left) or not len(right):
+                    continue
+                tree = RTree(points[right], n[right])
+                for i in left:
+                    at = right[tree.search(points[i], n[i], percent)]
+                    at = at[comp[at] != comp[i]]
+                    if len(at):
+                        yield _pairs(node, np.full(len(at), i), at)
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (u, v) whose sets are linked: bound by the summed minima first, then the overlap itself."""
-    a, b = (sets.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "point", "s")]) for x in "ab")
-    both = pairs.select("u", "v").distinct().join(b, F.col("v") == F.col("b_node")).join(a, F.col("u") == F.col("a_node"))
-    need = f"{percent} * (a_n + b_n)"
-    bound = f"{100 + percent} * aggregate(zip_with(a_point, b_point, (p, q) -> least(p, q)), 0L, (x, y) -> x + y) >= {need}"
-    exact = f"{100 + percent} * size(array_intersect(a_s, b_s)) >= {need}"
-    return C.materialise(both.where(bound).where(exact).select("u", "v").distinct(), "links")
+    dealt = rows.select("key", "lo", "hi", "own", "node", "component").join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInPandas(search, PAIRS)
 
 
-def _search(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) of different components among the members (key, node, size, component, n, point) of blocks,
-    by an R-tree per block or pair of pieces of one."""
-    pieces = members.withColumn("parts", F.ceil(F.col("size") / PIECE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The distinct pairs (u, v) whose sets are linked. Each text is read once; its set goes to every pair that names it."""
+    pairs = C.materialise(pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("node"), "u", "v").unionByName(pairs.select(F.col("v").alias("node"), "u", "v"))
+    ends = ends.groupBy("node").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(_small(ends) if pairs.count() <= BROADCAST_ROWS else ends, "node")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch])
-            # The last group of a batch may go on in the next one.
-            last = (rows[["key", "lo", "hi"]] == rows[["key", "lo", "hi"]].iloc[-1]).all(axis=1).to_numpy()
-            held, rows = rows[last], rows[~last]
-            if len(rows):
-                yield found(rows)
-        if held is not None:
-            yield found(held)
-
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        key, lo, hi, own, node, comp, n = (rows[c].to_numpy() for c in ("key", "lo", "hi", "own", "node", "component", "n"))
-        points = np.stack(rows["point"].to_numpy())
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
-        pairs = []
-        for start, end in zip(cut[:-1], cut[1:], strict=True):
-            left = start + np.flatnonzero(own[start:end] == lo[start])
-            right = start + np.flatnonzero(own[start:end] == hi[start])
-            if not len(left) or not len(right):
-                continue
-            tree = RTree(points[right], n[right])
-            for i in left:
-                at = right[tree.search(points[i], n[i], percent)]
-                pairs += [(min(node[i], node[j]), max(node[i], node[j])) for j in at[comp[at] != comp[i]]]
-        return pd.DataFrame(sorted(set(pairs)), columns=["u", "v"]).astype("int64")
+            for i in range(0, len(batch), 64):
+                part = batch.iloc[i : i + 64]
+                reps = part["us"].map(len).to_numpy()
+                own = [shingles(h, k).tobytes() for h in part["h"]]
+                yield pd.DataFrame({"u": np.concatenate(part["us"].tolist()), "v": np.concatenate(part["vs"].tolist()), "node": np.repeat(part["node"].to_numpy(), reps), "s": np.repeat(np.array(own, object), reps)})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cut in whole_groups(batches, ["u", "v"]):
+            u, node, s = rows["u"].to_numpy(), rows["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["s"]]
+            linked = []
+            for start, end in zip(cut[:-1], cut[1:], strict=True):
+                a, b = ([s[i] for i in range(start, end) if (node[i] == u[start]) == first] for first in (True, False))
+                if any((100 + percent) * len(np.intersect1d(x, y, True)) >= percent * (len(x) + len(y)) for x in a for y in b):
+                    linked.append(start)
+            yield pd.DataFrame({"u": u[linked], "v": rows["v"].to_numpy()[linked]})
 
-    dealt = pieces.select("key", "lo", "hi", "own", "node", "component", "n", "point").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInPandas(search, "u long, v long")
+    sent = rows.select("node", "us", "vs", C.word_hashes(F.col("text")).alias("h")).mapInPandas(sets, "u long, v long, node long, s binary")
+    return C.materialise(sent.repartition("u", "v").sortWithinPartitions("u", "v").mapInPandas(verify, PAIRS), "links")
 
 
-def _linked(sets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, labels: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, linked (documents of the other classes that node's class is linked with; left out where none). labels: node, component."""
     sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / COUNT_PIECE).cast("int").alias("parts"))
-    weights = classes.select("node", "docs")
-    pieces = sets.join(labels, "node").join(sizes, "component").join(weights, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    ids = _small(C.materialise(labels.join(sizes, "component").join(classes.groupBy("node").agg(F.sum("docs").alias("docs")), "node"), "labelled"))
+    found = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(ids, "node")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            s = [shingles(h, k) for h in batch.pop("h")]
+            yield batch.assign(n=[len(x) for x in s], point=[packed(point(x)) for x in s], s=[x.tobytes() for x in s])
+
+    pieces = found.select("component", "parts", "docs", "node", C.word_hashes(F.col("text")).alias("h")).mapInPandas(sets, "component long, parts int, docs long, node long, n long, point binary, s binary")
+    pieces = pieces.where("n > 0").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pieces = pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            key = batch[["component", "lo", "hi"]].to_numpy()
-            cut = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]).any(1))).tolist(), len(batch)]
+        for rows, cut in whole_groups(batches, ["component", "lo", "hi"]):
             for start, end in zip(cut[:-1], cut[1:], strict=True):
-                if start == end:
-                    continue
-                if held and (held[-1][["component", "lo", "hi"]].to_numpy()[-1] != key[start]).any():
-                    yield counted(pd.concat(held))
-                    held = []
-                held.append(batch.iloc[start:end])
-        if held:
-            yield counted(pd.concat(held))
+                yield counted(rows.iloc[start:end])
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-        # Repeated rows of a document are one member.
-        digest = [(node, s.tobytes()) for node, s in zip(rows["node"], rows["s"], strict=True)]
-        rows = rows[~pd.Series(digest, index=rows.index).duplicated().to_numpy()]
+        rows = rows[~rows.duplicated(["node", "s"]).to_numpy()]  # repeated rows of a document are one member
         node, n, docs, own = (rows[c].to_numpy() for c in ("node", "n", "docs", "own"))
-        ids = np.unique(np.concatenate(rows["s"].tolist()), return_inverse=True)[1]
+        points = unpacked(rows["point"])
+        ids = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["s"]]), return_inverse=True)[1]
         starts = np.cumsum(n) - n
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         linked = np.zeros(len(rows), np.int64)
         if len(left) and len(right):
-            tree = RTree(np.stack(rows["point"].iloc[right].to_list()), n[right]) if len(right) > LEAF else None
+            tree = RTree(points[right], n[right]) if len(right) > LEAF else None
             mark = np.zeros(int(ids.max()) + 1, np.int64)
             for i in left:
                 mine = ids[starts[i] : starts[i] + n[i]]
-                at = right if tree is None else right[tree.search(rows["point"].iloc[i], n[i], percent)]
+                at = right if tree is None else right[tree.search(points[i], n[i], percent)]
                 at = at[node[at] != node[i]]
                 if not len(at):
                     continue
@@ -244,43 +330,39 @@ def _linked(sets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int
                 at = at[(100 + percent) * both >= percent * (n[i] + n[at])]
                 linked[i] += docs[at].sum()
                 if lo != hi:
-                    linked[at] += docs[i]
+                    np.add.at(linked, at, docs[i])
         return pd.DataFrame({"node": node, "linked": linked})
 
     dealt = pieces.select("component", "lo", "hi", "own", "node", "docs", "n", "point", "s").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return dealt.mapInPandas(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return C.materialise(dealt.mapInPandas(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked")), "linked")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs, and n_links with count_links: the number of other documents it
     is linked with. Two documents are linked when 100 * shared shingles >= percent * all shingles of the two."""
     index = _index(docs, k, percent)
-    classes = index.where("keys IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs"))
-    nodes = classes.select("node").distinct()
-    if nodes.count() <= BROADCAST_ROWS:  # 8 bytes a row; beyond that the keys of all documents are shuffled
-        nodes = F.broadcast(nodes)
-    firsts = index.where("keys IS NOT NULL").join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    # One shuffle by key: the blocks' sizes and their members both come from it.
+    known = index.where("keys IS NOT NULL")
+    classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs"))
+    firsts = known.join(_small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
+    # One shuffle by key: the blocks and their members both come from it. Of blocks with the same members one stays.
     keys = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
-    blocks = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    members = C.materialise(keys.join(blocks.select("key", "size"), "key"), "members")
-    sets = _sets(docs, members.select("node").distinct(), k)
-    # The star of a block stands around its member that shares parts with most others.
-    company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    hub = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", F.col("node").alias("hub"))).alias("h")).select("key", "h.hub")
-    stars = members.join(hub, "key").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
-    links = _verified(stars, sets, percent)
+    blocks = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum(F.shiftright(F.xxhash64("node"), 32)).alias("z"))  # repeated rows cancel in x and y
+    blocks = blocks.where("low < high").groupBy("size", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "size")
+    members = C.materialise(keys.join(blocks, "key"), "members")
+    points = firsts.select(F.col("doc_id").alias("node"), "n", "point").distinct()
+    links = _verified(_first_search(members, points, percent), docs, k, percent)
+    # The texts of one doc_id, where they differ.
+    many = known.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+    same = known.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node")
+    links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")).where("u < v"))
     labels = components(links)
-    known = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    # Blocks of two components and more; of blocks with the same members one is searched.
-    split = known.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    split = split.where("a < b").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    more = _verified(_search(known.join(split, "key").join(sets.select("node", "n", "point"), "node"), percent), sets, percent)
+    now = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    more = _verified(_second_search(now, points, percent), docs, k, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     roots = classes.join(labels, "node", "left")
     if count_links:
-        roots = roots.join(C.materialise(_linked(sets, labels, classes, percent), "linked"), "node", "left")
+        roots = roots.join(_linked(docs, labels, classes, k, percent), "node", "left")
     else:
         roots = roots.withColumn("linked", F.lit(None).cast("long"))
     roots = roots.select("d1", "d2", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("links"))
