@@ -1,12 +1,12 @@
 """Token ids in Arrow stream-file format with fixed-size-list batches.
 
-Documents are range-partitioned by id, encoded, closed with an end id and laid end to end; each partition writes one Arrow
-IPC file whose record batches hold sequences of equal length (fixed_size_list) and their masks (false where the last
-sequence is padded), and a small index file of its documents. A mapped file gives any sequence without a copy. File names
+Documents are range-partitioned by id (or by the shard and place that a mix gave them), encoded, closed with an end id and
+laid end to end; each partition writes one Arrow IPC file per shard whose record batches hold sequences of equal length
+(fixed_size_list) and their masks (false where the last sequence is padded), and a small index file of its documents. A mapped file gives any sequence without a copy. File names
 carry a random part and only the files that a finished task reports stand in the manifest, so retried tasks do no harm.
 
 The encoder splits at spaces, line feeds and before closing commas and full stops, which no token of the vocabulary
-crosses, and encodes each distinct word once with the tokenizers library; the remembered words are bounded.
+crosses, and encodes words with the tokenizers library; frequent words are remembered in two generations of MEMORY bytes.
 
 Edge cases: a null or empty text has the end id only; null ids come first; rows that share an id are ordered by text and
 each has its own entry; an empty table gives no file and an empty manifest. Other columns are not read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import array
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +34,18 @@ from pyspark.sql import Window as W
 
 from halocline.llm import common as C
 
-SEQUENCE, SEQUENCES_PER_BATCH, END_ID, REMEMBERED = 1024, 256, 2, 800_000
-#: A comma or full stop at the end of a word that follows another mark: the two may be one token.
-STICKS = re.compile(r"[.,](?:(?<=[^\w ].)|(?<=_.)) ")
-MANIFEST = "shard int, path string, index_path string, n_docs long, n_tokens long"
+SEQUENCE, SEQUENCES_PER_BATCH, END_ID, MEMORY, LONGEST = 1024, 256, 2, 40_000_000, 32
+#: What stands before a comma or full stop at the end of a word, unless it is an ASCII letter or digit.
+BEFORE = re.compile(r"([^A-Za-z0-9 ])[.,] ")
+MANIFEST = "shard int, part int, path string, index_path string, n_docs long, n_tokens long"
+
+
+@lru_cache(maxsize=100_000)
+def parts(char: str) -> bool:
+    """Whether a comma or full stop after char is a token of its own: the normalised char is one letter or digit. (Some lower
+    cases and compositions end in a mark, and a mark and the full stop may be one token.)"""
+    norm = unicodedata.normalize("NFC", unicodedata.normalize("NFC", char).lower())
+    return len(norm) == 1 and unicodedata.category(norm)[0] in "LN"
 
 
 class Encoder:
@@ -46,15 +55,24 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code, self.known = Tokenizer.from_file(path), code, {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
+        self.tokenizer, self.code = Tokenizer.from_file(path), code
+        self.young, self.old, self.size = {}, {}, 0
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Brings words into young; returns those that are too long to stay."""
+        if self.size > MEMORY:  # words not met in a whole generation are forgotten
+            self.young, self.old, self.size = {}, self.young, 0
+        new = []
+        for w in words.difference(self.young):
+            if (known := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.young[w] = known
+                self.size += 150 + len(known) + len(w)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = array.array(self.code, e.ids).tobytes()
+            self.young[w] = known = array.array(self.code, e.ids).tobytes()
+            self.size += 150 + len(known) + len(w)
+        return [w for w in new if len(w) > LONGEST]
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -64,14 +82,17 @@ class Encoder:
         if "<|" not in text:
             if text.isascii():
                 text = text.lower()
-            if not STICKS.search(text):
+            if all(map(parts, set(BEFORE.findall(text)))):
                 text = text.replace(", ", " , ").replace(". ", " . ")
         return text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        long = self.learn(set().union(*split))
+        out = [b"".join(map(self.young.__getitem__, ws)) for ws in split]
+        for w in long:
+            self.size -= 150 + len(self.young.pop(w)) + len(w)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -84,54 +105,71 @@ def _sequences(values: np.ndarray, valid: int, length: int) -> pa.RecordBatch:
     return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(values), length), pa.FixedSizeListArray.from_arrays(mask, length)], names=["tokens", "mask"])
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, dtype: str = "uint16") -> DataFrame:
-    """Writes the files into folder (a URI that all executors reach) and returns the manifest, one row per file."""
+class Files:
+    """A file of sequences and the index of its documents, being written."""
+
+    def __init__(self, store: pafs.FileSystem, base: str, shard: int, part: int, length: int, dtype: str):
+        self.shard, self.part, self.length, self.step, self.dtype = shard, part, length, length * SEQUENCES_PER_BATCH, np.dtype(dtype)
+        self.paths = [f"{base}/{kind}-{shard:06d}-{part:06d}-{uuid.uuid4().hex}.arrow" for kind in ("tokens", "index")]
+        self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        store.create_dir(base, recursive=True)
+        self.sinks = [store.open_output_stream(p) for p in self.paths]
+        self.out, self.index = pa.ipc.new_file(self.sinks[0], schema), pa.ipc.new_file(self.sinks[1], self.index_schema)
+        self.held, self.size, self.total, self.n_docs = [], 0, 0, 0
+
+    def add(self, keys: list[int | None], ids: list[bytes]) -> None:
+        counts = np.array([len(b) for b in ids], np.int64) // self.dtype.itemsize
+        starts = self.total + np.cumsum(counts) - counts
+        self.index.write_batch(pa.record_batch([pa.array(keys, pa.int64()), pa.array(starts), pa.array(counts)], schema=self.index_schema))
+        self.total, self.n_docs, self.size = self.total + int(counts.sum()), self.n_docs + len(ids), self.size + int(counts.sum())
+        self.held += ids
+        if self.size >= self.step:
+            flat = np.frombuffer(b"".join(self.held), self.dtype)
+            whole = len(flat) // self.step * self.step
+            for at in range(0, whole, self.step):
+                self.out.write_batch(_sequences(flat[at : at + self.step], self.step, self.length))
+            self.held, self.size = [flat[whole:].tobytes()], len(flat) - whole
+
+    def close(self) -> pd.DataFrame:
+        if self.size:
+            flat = np.frombuffer(b"".join(self.held), self.dtype)
+            padded = np.concatenate([flat, np.zeros(-len(flat) % self.length, self.dtype)])
+            self.out.write_batch(_sequences(padded, len(flat), self.length))
+        for x in (self.out, self.index, *self.sinks):
+            x.close()
+        return pd.DataFrame({"shard": [self.shard], "part": [self.part], "path": self.paths[:1], "index_path": self.paths[1:], "n_docs": [self.n_docs], "n_tokens": [self.total]})
+
+
+def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, length: int = SEQUENCE, dtype: str = "uint16", shard: str | None = None, place: str | None = None) -> DataFrame:
+    """Writes the files into folder (a URI that all executors reach) and returns the manifest, one row per file. Documents lie
+    in ascending doc_id order or, if columns shard (int) and place are named, in order of place in files of one shard each."""
     code = {"uint16": "H", "uint32": "I"}[dtype]
-    step = length * SEQUENCES_PER_BATCH
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer, code), np.array([end_id], dtype).tobytes()
         store, base = pafs.FileSystem.from_uri(folder)
-        shard = TaskContext.get().partitionId()
-        path, index_path = (f"{base}/{kind}-{shard:06d}-{uuid.uuid4().hex}.arrow" for kind in ("tokens", "index"))
-        schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), length)), ("mask", pa.list_(pa.bool_(), length))])
-        index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        out = index = None
-        held, size, total, n_docs = [], 0, 0, 0
+        part, files = TaskContext.get().partitionId(), None
         for batch in batches:
             for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                if out is None:
-                    store.create_dir(base, recursive=True)
-                    sinks = store.open_output_stream(path), store.open_output_stream(index_path)
-                    out, index = pa.ipc.new_file(sinks[0], schema), pa.ipc.new_file(sinks[1], index_schema)
-                ids = [b + end for b in encode(part["text"].tolist())]
-                counts = np.array([len(b) for b in ids], np.int64) // np.dtype(dtype).itemsize
-                starts = total + np.cumsum(counts) - counts
-                keys = pa.array([None if pd.isna(x) else int(x) for x in part["doc_id"]], pa.int64())
-                index.write_batch(pa.record_batch([keys, pa.array(starts), pa.array(counts)], schema=index_schema))
-                total, n_docs = total + int(counts.sum()), n_docs + len(part)
-                held += ids
-                size += int(counts.sum())
-                if size >= step:
-                    flat = np.frombuffer(b"".join(held), dtype)
-                    whole = len(flat) // step * step
-                    for at in range(0, whole, step):
-                        out.write_batch(_sequences(flat[at : at + step], step, length))
-                    held, size = [flat[whole:].tobytes()], len(flat) - whole
-        if out is None:
-            return
-        if size:
-            flat = np.frombuffer(b"".join(held), dtype)
-            padded = np.concatenate([flat, np.zeros(-len(flat) % length, dtype)])
-            out.write_batch(_sequences(padded, len(flat), length))
-        for x in (out, index, *sinks):
-            x.close()
-        yield pd.DataFrame({"shard": [shard], "path": [path], "index_path": [index_path], "n_docs": [n_docs], "n_tokens": [total]})
-
-    rows = docs.select("doc_id", C.whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id"), "th").sortWithinPartitions(F.asc_nulls_first("doc_id"), "th", "text")
-    return C.materialise(ordered.mapInPandas(write, MANIFEST), "manifest")
+                rows = batch.iloc[i : i + 64]
+                of = rows["shard"].to_numpy()
+                ids = [b + end for b in encode(rows["text"].tolist())]
+                keys = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
+                cut = [0, *(1 + np.flatnonzero(of[1:] != of[:-1])).tolist(), len(rows)]
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    if files is None or files.shard != of[lo]:
+                        if files is not None:
+                            yield files.close()
+                        files = Files(store, base, int(of[lo]), part, length, dtype)
+                    files.add(keys[lo:hi], ids[lo:hi])
+        if files is not None:
+            yield files.close()
+
+    rows = docs.select("doc_id", C.whole_text().alias("text"), (F.col(shard) if shard else F.lit(0)).cast("int").alias("shard"), *([F.col(place).alias("place")] if place else [])).withColumn("th", F.xxhash64("text"))
+    order = ["shard", "place"] if place else [F.asc_nulls_first("doc_id")]
+    ordered = rows.repartitionByRange(*order, "th").sortWithinPartitions(*order, "th", "text")
+    return C.materialise(ordered.select("doc_id", "text", "shard").mapInPandas(write, MANIFEST), "manifest")
 
 
 def open_file(store: pafs.FileSystem, path: str) -> pa.ipc.RecordBatchFileReader:
@@ -172,17 +210,17 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "start": part["start"].astype("int64") + f.offset, "n_tokens": part["n_tokens"].astype("int64"), "ids_crc32": np.array(sums, "int64")})
 
     # A row per file: their number is that of the partitions, not of the documents.
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)
     files = manifest.withColumn("offset", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     return files.repartition(max(1, manifest.count())).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame) -> DataFrame:
+def token_table(docs: DataFrame, **order: str) -> DataFrame:
     """Write and read back with the production parameters."""
     import public_tokenizers
 
     folder = f"{C.shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    return read_documents(write_sequences(docs, folder, public_tokenizers.path("word_bpe_49k.json")), folder)
+    return read_documents(write_sequences(docs, folder, public_tokenizers.path("word_bpe_49k.json"), **order), folder)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
