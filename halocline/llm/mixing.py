@@ -4,7 +4,7 @@ A block is a document. Each source draws an exact number of blocks: whole passes
 order (by a seeded hash), as many as its target still asks for, the last one cut to the word. A binary tree splits the
 quotas of all sources over the output shards: a node gives its left half a multivariate-hypergeometric share of every
 source and the right half the rest, so that leaves hold disjoint runs of the permuted blocks that add up exactly. Within a
-shard, blocks are shuffled by hash. Permuted order is found by hash bins of about BIN documents, so a source that holds a
+shard, blocks are shuffled by hash. The draws in the tree are exact at every size. Permuted order is found by hash bins of about BIN documents, so a source that holds a
 third of all rows is spread over many tasks.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in order; rows
@@ -13,6 +13,8 @@ alike in doc_id, source and text are told apart by a number; an empty table, or
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +43,28 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; beyond numpy's range, its normal limit rounded into the possible range."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total, share = good + bad, good / (good + bad)
-    value = rng.normal(n * share, (n * share * (1 - share) * (total - n) / (total - 1)) ** 0.5)
-    return int(min(max(round(value), n - bad, 0), good, n))
+    """A hypergeometric draw, by rejection from the hat that lies over every log-concave distribution: flat for about one
+    over the height of the mode on each side of it, exponential beyond."""
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+
+    def log_weight(x: int) -> float:
+        return -sum(map(math.lgamma, (x + 1, good - x + 1, n - x + 1, bad - n + x + 1)))
+
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    top = log_weight(mode)
+    whole = math.lgamma(good + 1) + math.lgamma(bad + 1) + math.lgamma(n + 1) + math.lgamma(good + bad - n + 1) - math.lgamma(good + bad + 1)
+    height = min(1.0, math.exp(whole + top))
+    wide = 1 + height / 2
+    while True:
+        u, v, sign, accept = rng.random(), 1 - rng.random(), 1 if rng.random() < 0.5 else -1, 1 - rng.random()
+        y = (v * wide if u <= wide / (1 + wide) else wide - math.log(v)) / height
+        if y > high - low + 1:
+            continue
+        x = mode + sign * round(y)
+        if low <= x <= high and math.log(accept) + min(0.0, wide - height * y) <= log_weight(x) - top:
+            return x
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -82,12 +100,16 @@ def _unit(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *columns), 11) / F.lit(float(1 << 53))
 
 
-def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, h, th, m, size, source_size, target, taken, draws array<struct<shard, place, words>> for every row."""
+def plan(docs: DataFrame, shards: int = SHARDS, once: bool = False) -> DataFrame:
+    """doc_id, h, th, m, size, source_size, target, taken, draws array<struct<shard, place, words>> for every row. once: a
+    mix that is made already is dealt over the shards; every block is drawn once."""
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
     rows = C.materialise(sized(rows).drop("text"), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("count"))
-    sources = targets(sources).withColumn("passes", F.floor(F.try_divide("target", "size"))).withColumn("passes", F.coalesce(F.least("passes", F.lit(LIMIT)), F.lit(0)))
+    sources = targets(sources)
+    if once:
+        sources = sources.withColumn("target", F.col("size").cast("double"))
+    sources = sources.withColumn("passes", F.floor(F.try_divide("target", "size"))).withColumn("passes", F.coalesce(F.least("passes", F.lit(LIMIT)), F.lit(0)))
     sources = sources.withColumn("rest", F.least(F.round(F.col("target") - F.col("passes") * F.col("size")).cast("long"), "size"))
     sources = C.materialise(sources.withColumn("bins", F.ceil(F.col("count") / BIN).cast("int")).withColumnsRenamed({"source": "s_name", "size": "source_size"}), "sources")
     if sources.count() <= 10_000:  # a short row per source; beyond that the join shuffles
@@ -118,16 +140,17 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return out.select("doc_id", "h", "th", "m", "size", "source_size", F.col("target"), (F.col("passes") * F.col("size") + F.col("last")).alias("taken"), F.expr(draws).alias("draws"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, once: bool = False) -> DataFrame:
     """The mix itself: the columns of docs, a row for each draw (a repeated document comes as often as it is drawn; the
-    last block of a source is cut after its words), with shard and place (order by them to read a shard shuffled)."""
+    last block of a source is cut after its words), with shard and place (order by them to read a shard shuffled). once: the
+    rows of docs as they are, also those without a word, dealt over the shards."""
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     keyed = sized(packed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.col("row.text").alias("text"), "row"))
-    wanted = plan(docs, shards).where("taken > 0").select(F.col("h").alias("p_h"), F.col("th").alias("p_th"), F.col("m").alias("p_m"), F.explode("draws").alias("draw"))
+    wanted = plan(docs, shards, once).where("taken > 0 OR " + str(once)).select(F.col("h").alias("p_h"), F.col("th").alias("p_th"), F.col("m").alias("p_m"), (F.explode_outer if once else F.explode)("draws").alias("draw"))
     both = keyed.join(wanted, F.expr("h = p_h AND th = p_th AND m = p_m"))
     cut = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(C.words(C.whole_text()), F.lit(1), F.greatest(F.col("draw.words"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
     out = both.withColumn("cut", cut)
-    return out.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("draw.shard").alias(C.fresh(docs, "shard")[0]), F.col("draw.place").alias(C.fresh(docs, "place")[0]))
+    return out.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.coalesce("draw.shard", F.lit(0)).alias(C.fresh(docs, "shard")[0]), F.coalesce("draw.place", F.col("h")).alias(C.fresh(docs, "place")[0]))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
