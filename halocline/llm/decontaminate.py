@@ -108,24 +108,28 @@ def whole_words(text: np.ndarray, start: int, end: int) -> bool:
     return all(text[a] == 32 or text[b] == 32 or unspaced(int(text[a])) or unspaced(int(text[b])) for a, b in edges)
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
-    """(edits, end in the text) of the best alignment of the whole item whose diagonals lie in [low, high]."""
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, end in the text, start in the text) of the best alignment of the whole item whose diagonals lie in [low, high]."""
     width = high - low + 1
     shift = np.arange(width)
     far = np.int64(1 << 30)
     start = low + shift
     d = np.where((start >= 0) & (start <= len(text)), 0, far)
+    begin = start.copy()  # where the path to a cell begins in the text
     for i, c in enumerate(item):
         col = start + i  # text place that a match at this row would use
         inside = (col >= 0) & (col < len(text))
         sub = d + np.where(inside, text[np.clip(col, 0, max(len(text) - 1, 0))] != c, far)
         gap = np.append(d[1:], far) + 1
-        d = np.minimum(sub, gap)
-        d = np.minimum.accumulate(d - shift) + shift  # text characters that the item lacks
+        begin = np.where(sub <= gap, begin, np.append(begin[1:], 0))
+        own = np.minimum(sub, gap) - shift
+        low_own = np.minimum.accumulate(own)  # text characters that the item lacks
+        from_ = np.maximum.accumulate(np.where(np.append(True, own[1:] < low_own[:-1]), shift, 0))
+        d, begin = low_own + shift, begin[from_]
         if d.min() > budget:
             return None
     best = int(np.argmin(d))
-    return int(d[best]), min(int(start[best]) + len(item), len(text))
+    return int(d[best]), min(int(start[best]) + len(item), len(text)), max(0, int(begin[best]))
 
 
 def find(items: Items, texts: list[np.ndarray]) -> list[list[tuple]]:
@@ -160,21 +164,21 @@ def find(items: Items, texts: list[np.ndarray]) -> list[list[tuple]]:
                 region = align(code, text, start - e, int(high[g]) + e, e)
             else:
                 same = start >= 0 and np.array_equal(text[start : start + len(code)], code)
-                region = (0, start + len(code)) if same and (len(code) >= Q or whole_words(text, start, start + len(code))) else None
+                region = (0, start + len(code), start) if same and (len(code) >= Q or whole_words(text, start, start + len(code))) else None
             if region:
                 regions.append(region)
-    return [[(items.ids[k], max(0, end - len(items.codes[k])), end, edits) for k, r in sorted(f.items()) for edits, end in apart(r, len(items.codes[k]) - int(items.budget[k]))] for f in found]
+    return [[(items.ids[k], start, end, edits) for k, r in sorted(f.items()) for edits, end, start in apart(r, len(items.codes[k]) - int(items.budget[k]))] for f in found]
 
 
-def apart(regions: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Of (edits, end) the best, then the best whose end is at least least away from all taken, and so on; by end."""
+def apart(regions: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Of (edits, end, start) the best, then the best whose end is at least least away from all taken, and so on; by end."""
     taken: list[int] = []
     out = []
-    for edits, end in sorted(set(regions)):
+    for edits, end, start in sorted(set(regions)):
         i = bisect.bisect_left(taken, end)
         if (i == 0 or end - taken[i - 1] >= least) and (i == len(taken) or taken[i] - end >= least):
             taken.insert(i, end)
-            out.append((edits, end))
+            out.append((edits, end, start))
     return sorted(out, key=lambda r: r[1])
 
 
