@@ -46,7 +46,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.token_table(docs)
+    """The mix is dealt over shards by the splitting tree (its rows carry no more than the columns of documents, so that
+    happens here); each shard has files of its own, in shuffled order."""
+    dealt = mixing.mix(docs, once=True)
+    return token_files.token_table(dealt, shard=dealt.columns[-2], place=dealt.columns[-1])
 
 
 STAGES = [
