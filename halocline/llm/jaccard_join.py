@@ -9,8 +9,9 @@ two linked sets has and the y that only the other has cut the common ones into x
 r * (1 - p) * n + r shingles of each set hold a common run of r. A block holds the classes with the same run. Of blocks with
 the same members one stays. The tree of a block (a block of up to LEAF members is one leaf) gives each member its nearest
 earlier one that may be linked, which joins nearly all; blocks that still hold more than one component are then searched
-for all pairs of different components. Large blocks are dealt over pieces of PIECE members: twice by independent hashes in
-the first search; in the second, members outside the block's largest component meet every piece.
+for pairs of different components, the nearest few first and in the end all of them. Large blocks are dealt over pieces of
+PIECE members: twice by independent hashes in the first search; later, members outside the block's largest component meet
+every piece.
 
 Links are counted after that, if asked for: two linked classes are in one component, so the members of a component (in
 pairs of pieces of COUNT_PIECE, each pair of members in one of them) are searched by an R-tree, every candidate is verified
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from halocline.llm import common as C
 from halocline.llm.components import components
 
-GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 64, 3, 2048, 512, 32, 48, 1_000_000
+GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 256, 3, 2048, 512, 32, 48, 1_000_000
+NEAREST, CHUNK = (1, 4, None), 1 << 16
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -83,12 +85,25 @@ def point(s: np.ndarray) -> np.ndarray:
 
 
 def packed(p: np.ndarray) -> bytes:
-    """A point as bytes, two for each coordinate if that is enough."""
-    return p.astype(np.uint16 if p.max() < 1 << 16 else np.int32).tobytes()
+    """A point as bytes, with one, two or four for each coordinate."""
+    top = p.max()
+    return p.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.int32).tobytes()
 
 
 def unpacked(points: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.uint16 if len(b) == 2 * GROUPS else np.int32) for b in points]).astype(np.int32)
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.int32}
+    widest = kinds[max(map(len, points))]
+    return np.stack([np.frombuffer(b, kinds[len(b)]).astype(widest, copy=False) for b in points])
+
+
+def may(q: np.ndarray, n: np.ndarray, corner: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Row by row, whether a box with that upper corner and those sizes can hold a set linked with point q of n shingles:
+    sizes in ratio, and the summed minima not under the least overlap."""
+    fits = (100 * n >= percent * low) & (100 * high >= percent * n)
+    at = np.flatnonzero(fits)
+    need = percent * (n[at] + np.maximum(low[at], -(-percent * n[at] // 100)))
+    fits[at] = (100 + percent) * np.minimum(corner[at], q[at]).sum(1, dtype=np.int64) >= need
+    return fits
 
 
 class RTree:
@@ -100,27 +115,35 @@ class RTree:
         wide = int(np.argmax(points.max(0) - points.min(0)))
         step = LEAF * LEAF
         self.order = np.concatenate([slab[i : i + step][np.argsort(points[slab[i : i + step], wide], kind="stable")] for i in range(0, len(slab), step)])
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        cut = np.arange(0, len(self.order), LEAF)
-        self.corner, self.low, self.high = np.maximum.reduceat(self.points, cut), np.minimum.reduceat(self.sizes, cut), np.maximum.reduceat(self.sizes, cut)
-        top = np.arange(0, len(cut), LEAF)
-        self.top = np.maximum.reduceat(self.corner, top), np.minimum.reduceat(self.low, top), np.maximum.reduceat(self.high, top)
-
-    @staticmethod
-    def may(q: np.ndarray, n: int, corner: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
-        """Which boxes can hold a linked set: sizes in ratio, and the summed minima not under the least overlap."""
-        need = percent * (n + np.maximum(low, -(-percent * n // 100)))
-        return (100 * n >= percent * low) & (100 * high >= percent * n) & ((100 + percent) * np.minimum(corner, q).sum(1) >= need)
+        own = points[self.order], sizes[self.order], sizes[self.order]
+        self.levels = [own]  # points, leaves, nodes: (corner, least size, greatest size)
+        for _ in range(2):
+            corner, low, high = self.levels[-1]
+            cut = np.arange(0, len(low), LEAF)
+            self.levels.append((np.maximum.reduceat(corner, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
+
+    def pairs(self, q: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, place of a point) of all pairs that may be linked; q has n shingles row by row."""
+        found: list[tuple] = [(np.empty(0, np.int64),) * 2]
+        tops = len(self.levels[2][1])
+        for first in range(0, len(q), max(1, CHUNK // tops)):
+            rows = np.arange(first, min(len(q), first + max(1, CHUNK // tops)))
+            who, box = np.repeat(rows, tops), np.tile(np.arange(tops), len(rows))
+            for depth in (2, 1, 0):
+                corner, low, high = self.levels[depth]
+                keep = [np.arange(i, min(i + CHUNK, len(who)))[may(q[w := who[i : i + CHUNK]], n[w], corner[x := box[i : i + CHUNK]], low[x], high[x], percent)] for i in range(0, len(who), CHUNK)]
+                keep = np.concatenate([np.empty(0, np.int64), *keep])
+                who, box = who[keep], box[keep]
+                if depth:
+                    who, box = np.repeat(who, LEAF), (box[:, None] * LEAF + np.arange(LEAF)).ravel()
+                    inside = box < len(self.levels[depth - 1][1])
+                    who, box = who[inside], box[inside]
+            found.append((who, self.order[box]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def search(self, q: np.ndarray, n: int, percent: int) -> np.ndarray:
         """Places of the points that may be linked with point q of n shingles."""
-        tops = np.flatnonzero(self.may(q, n, *self.top, percent))
-        leaves = (tops[:, None] * LEAF + np.arange(LEAF)).ravel()
-        leaves = leaves[leaves < len(self.low)]
-        leaves = leaves[self.may(q, n, self.corner[leaves], self.low[leaves], self.high[leaves], percent)]
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.order)]
-        return self.order[at[self.may(q, n, self.points[at], self.sizes[at], self.sizes[at], percent)]]
+        return self.pairs(q[None, :], np.array([n]), percent)[1]
 
 
 def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -175,32 +198,61 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tup
         yield rows, cut(rows)
 
 
-def nearest_earlier(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): for each row j the last row i before it in its group that may be linked with it. Groups begin at cut."""
-    left, right = [], []
+def candidates(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int, asks: np.ndarray, comp: np.ndarray | None, own: np.ndarray | None, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each row j that asks, the rows i before it in its group that may be linked with it (of another component
+    if comp is given, and of another piece if the group has two), or only the nearest of them. Groups begin at cut."""
     size = np.diff(cut)
+    out: list[tuple] = [(np.empty(0, np.int64),) * 2]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        order = np.lexsort((-i, j))
+        i, j = i[order], j[order]
+        if nearest is not None:
+            first = np.maximum.accumulate(np.where(np.append(True, j[1:] != j[:-1]), np.arange(len(j)), 0)) if len(j) else j
+            i, j = i[np.arange(len(j)) - first < nearest], j[np.arange(len(j)) - first < nearest]
+        out.append((i, j))
+
+    def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(i), bool) if comp is None else comp[i] != comp[j]
+        return keep if own is None else keep & ((own[i] != own[j]) | ~two[j])
+
+    if own is not None:  # groups that hold two pieces are searched for pairs between them
+        two = np.repeat((np.maximum.reduceat(own, cut[:-1]) != np.minimum.reduceat(own, cut[:-1])), size) if len(size) else own > own
     for m in np.unique(size[(size > 1) & (size <= LEAF)]):  # groups of one leaf, side by side
-        start = cut[:-1][size == m]
-        for j in range(1, m):
-            open_ = start
-            for i in range(j - 1, -1, -1):
-                a, b = open_ + i, open_ + j
-                fits = (100 * n[a] >= percent * n[b]) & (100 * n[b] >= percent * n[a]) & ((100 + percent) * np.minimum(points[a], points[b]).sum(1) >= percent * (n[a] + n[b]))
-                left.append(a[fits])
-                right.append(b[fits])
-                open_ = open_[~fits]
-                if not len(open_):
-                    break
+        i, j = np.tril_indices(m, -1)[::-1]
+        starts = cut[:-1][size == m]
+        for at in range(0, len(starts), max(1, CHUNK // len(i))):
+            start = starts[at : at + max(1, CHUNK // len(i))]
+            a, b = (start[:, None] + i).ravel(), (start[:, None] + j).ravel()
+            keep = asks[b] & differ(a, b)
+            a, b = a[keep], b[keep]
+            keep = may(points[a], n[a], points[b], n[b], n[b], percent)
+            add(a[keep], b[keep])
     for start, end in zip(cut[:-1][size > LEAF], cut[1:][size > LEAF], strict=True):
+        q = start + np.flatnonzero(asks[start:end])
+        if not len(q):
+            continue
         tree = RTree(points[start:end], n[start:end])
-        for j in range(1, end - start):
-            at = tree.search(points[start + j], n[start + j], percent)
-            at = at[at < j]
-            if len(at):
-                left.append(np.array([start + at.max()]))
-                right.append(np.array([start + j]))
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        for at in range(0, len(q), 256):
+            who, found = tree.pairs(points[q[at : at + 256]], n[q[at : at + 256]], percent)
+            a, b = start + found, q[at + who]
+            keep = a < b
+            a, b = a[keep], b[keep]
+            keep = differ(a, b)
+            add(a[keep], b[keep])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest_earlier(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each row j the last row i before it in its group that may be linked with it. Groups begin at cut."""
+    first = np.zeros(len(n), bool)
+    first[cut[:-1]] = True
+    j = np.flatnonzero(~first)  # the row just before is tried at once for all
+    fits = np.concatenate([np.empty(0, bool), *[may(points[x - 1], n[x - 1], points[x], n[x], n[x], percent) for x in (j[i : i + CHUNK] for i in range(0, len(j), CHUNK))]])
+    asks = ~first
+    asks[j[fits]] = False
+    a, b = candidates(points, n, cut, percent, asks, None, None, 1)
+    return np.append(j[fits] - 1, a), np.append(j[fits], b)
 
 
 PAIRS = "u long, v long"
@@ -225,9 +277,9 @@ def _first_search(members: DataFrame, points: DataFrame, percent: int) -> DataFr
     return dealt.mapInPandas(search, PAIRS)
 
 
-def _second_search(known: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (u, v) of different components in the blocks (known: key, node, size, component) that hold more
-    than one. Members of the largest component of a block meet the others only."""
+def _second_search(known: DataFrame, points: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Candidate pairs (u, v) of different components, all or for each member and piece the nearest, in the blocks (known: key,
+    node, size, component) that hold more than one. Members of the largest component of a block meet the others only."""
     each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     top = each.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     top = top.select(F.col("key").alias("t_key"), F.col("top.component").alias("largest"), F.ceil(F.col("top.m") / PIECE).cast("int").alias("p_in"), F.ceil((F.col("all") - F.col("top.m")) / PIECE).cast("int").alias("p_out"))
@@ -239,20 +291,10 @@ def _second_search(known: DataFrame, points: DataFrame, percent: int) -> DataFra
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in whole_groups(batches, ["key", "lo", "hi"]):
-            node, comp, n, own, lo, hi = (rows[c].to_numpy() for c in ("node", "component", "n", "own", "lo", "hi"))
-            points = unpacked(rows["point"])
-            for start, end in zip(cut[:-1], cut[1:], strict=True):
-                left, right = start + np.flatnonzero(own[start:end] == lo[start]), start + np.flatnonzero(own[start:end] == hi[start])
-                if not len(left) or not len(right):
-                    continue
-                tree = RTree(points[right], n[right])
-                for i in left:
-                    at = right[tree.search(points[i], n[i], percent)]
-                    at = at[comp[at] != comp[i]]
-                    if len(at):
-                        yield _pairs(node, np.full(len(at), i), at)
-
-    dealt = rows.select("key", "lo", "hi", "own", "node", "component").join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            node, comp, n, own = (rows[c].to_numpy() for c in ("node", "component", "n", "own"))
+            yield _pairs(node, *candidates(unpacked(rows["point"]), n, cut, percent, np.ones(len(n), bool), comp, own, nearest))
+
+    dealt = rows.select("key", "lo", "hi", "own", "node", "component").join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
     return dealt.mapInPandas(search, PAIRS)
 
 
@@ -315,14 +357,15 @@ def _linked(docs: DataFrame, labels: DataFrame, classes: DataFrame, k: int, perc
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         linked = np.zeros(len(rows), np.int64)
         if len(left) and len(right):
-            tree = RTree(points[right], n[right]) if len(right) > LEAF else None
             mark = np.zeros(int(ids.max()) + 1, np.int64)
-            for i in left:
+            who, found = RTree(points[right], n[right]).pairs(points[left], n[left], percent)
+            order = np.argsort(who, kind="stable")
+            who, found = left[who[order]], right[found[order]]
+            found, who = found[node[found] != node[who]], who[node[found] != node[who]]
+            cut = np.append(np.flatnonzero(np.append(True, who[1:] != who[:-1])), len(who)) if len(who) else [0]
+            for first_at, end in zip(cut[:-1], cut[1:], strict=True):
+                i, at = who[first_at], found[first_at:end]
                 mine = ids[starts[i] : starts[i] + n[i]]
-                at = right if tree is None else right[tree.search(points[i], n[i], percent)]
-                at = at[node[at] != node[i]]
-                if not len(at):
-                    continue
                 mark[mine] = 1
                 first = np.cumsum(n[at]) - n[at]
                 both = np.add.reduceat(mark[ids[np.repeat(starts[at] - first, n[at]) + np.arange(n[at].sum())]], first)
@@ -350,16 +393,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_lin
     blocks = blocks.where("low < high").groupBy("size", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "size")
     members = C.materialise(keys.join(blocks, "key"), "members")
     points = firsts.select(F.col("doc_id").alias("node"), "n", "point").distinct()
-    links = _verified(_first_search(members, points, percent), docs, k, percent)
+    links = _verified(_first_search(members, points, percent), docs, k, percent)  # NEAREST[0]
     # The texts of one doc_id, where they differ.
     many = known.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
     same = known.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node")
     links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")).where("u < v"))
     labels = components(links)
-    now = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    more = _verified(_second_search(now, points, percent), docs, k, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for nearest in NEAREST[1:]:
+        now = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        more = _verified(_second_search(now, points, percent, nearest), docs, k, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     roots = classes.join(labels, "node", "left")
     if count_links:
         roots = roots.join(_linked(docs, labels, classes, k, percent), "node", "left")
