@@ -200,12 +200,12 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tup
 
 def candidates(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int, asks: np.ndarray, comp: np.ndarray | None, own: np.ndarray | None, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): for each row j that asks, the rows i before it in its group that may be linked with it (of another component
-    if comp is given, and of another piece if the group has two), or only the nearest of them. Groups begin at cut."""
+    if comp is given; of the other piece, before or after, if the group has two), or only the nearest. Groups begin at cut."""
     size = np.diff(cut)
     out: list[tuple] = [(np.empty(0, np.int64),) * 2]
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
-        order = np.lexsort((-i, j))
+        order = np.lexsort((np.abs(j - i), j))
         i, j = i[order], j[order]
         if nearest is not None:
             first = np.maximum.accumulate(np.where(np.append(True, j[1:] != j[:-1]), np.arange(len(j)), 0)) if len(j) else j
@@ -229,14 +229,17 @@ def candidates(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int,
             keep = may(points[a], n[a], points[b], n[b], n[b], percent)
             add(a[keep], b[keep])
     for start, end in zip(cut[:-1][size > LEAF], cut[1:][size > LEAF], strict=True):
-        q = start + np.flatnonzero(asks[start:end])
+        rows, q = np.arange(start, end), start + np.flatnonzero(asks[start:end])
+        if own is not None and two[start]:  # the smaller piece asks the other one
+            low = own[start:end] == own[start:end].min()
+            q, rows = (rows[low], rows[~low]) if 2 * low.sum() <= len(low) else (rows[~low], rows[low])
         if not len(q):
             continue
-        tree = RTree(points[start:end], n[start:end])
+        tree = RTree(points[rows], n[rows])
         for at in range(0, len(q), 256):
             who, found = tree.pairs(points[q[at : at + 256]], n[q[at : at + 256]], percent)
-            a, b = start + found, q[at + who]
-            keep = a < b
+            a, b = rows[found], q[at + who]
+            keep = a < b if len(rows) == end - start else a != b
             a, b = a[keep], b[keep]
             keep = differ(a, b)
             add(a[keep], b[keep])
