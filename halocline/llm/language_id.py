@@ -1,9 +1,10 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter class has a fixed random vector of +1 and -1. A letter 3-gram is the product of its letters' vectors, each
-permuted (rolled) by its place; a document is the bundle (sum) of its 3-grams and a language prototype the bundle of all
-3-grams of its training documents. Prediction is by the cosine of document and prototype, both without the mean
-prototype. Spark sums the 3-gram counts per language; a prototype is made of at most 64**3 counts.
+Every lower-case letter has a fixed random vector of +1 and -1, made from a hash of its code point; all that is no letter has
+one more. A letter 3-gram is the product of its letters' vectors, each permuted (rolled) by its place; a document is the
+bundle (sum) of its 3-grams and a language prototype the bundle of all 3-grams of its training documents. Prediction is by
+the cosine of document and prototype, both without the mean prototype. Bundles are integers and additive: tasks bundle what
+they read, Spark adds the coordinates.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; with nothing learned every text is `und`; ties go
 to the first language in code-point order; null ids count as the empty text in the fold; rows may repeat. Other columns
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,43 +23,42 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-CLASSES, DIM, SEED = 64, 512, 11
-
-
-@lru_cache(maxsize=1)
-def letter_classes() -> np.ndarray:
-    """Class of every code point: 0 no letter, 1-26 a-z, else 27-63 by a hash of the lower-case letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if (s := chr(c)).isalpha():
-            low = ord(s.lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % (CLASSES - 27)
+DIM, SEED, GRAMS, LANGUAGES = 512, 11, 4096, 32
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A row of DIM numbers +1 and -1 for each code point, from a hash of it."""
+    x = letters.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(SEED << 40)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    bits = np.unpackbits((x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of a text (0 for all else), its distinct 3-grams with a letter in the middle as rows of three places in
+    them, and how often each stands in the text."""
+    codes = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le"), np.uint32)
+    marks, at = np.unique(codes, return_inverse=True)
+    letters = np.append(0, marks[[chr(c).isalpha() for c in marks]])
+    at = np.where(np.isin(marks, letters), np.searchsorted(letters, marks), 0)[at]
+    grams = ((at[:-2] * len(letters) + at[1:-1]) * len(letters) + at[2:])[at[1:-1] > 0]
+    grams, n = np.unique(grams, return_counts=True)
+    return letters, np.stack([grams // len(letters) ** 2, grams // len(letters) % len(letters), grams % len(letters)], 1), n
+
+
+def bundle(letters: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of the 3-grams' vectors, each as often as it stands in the text."""
+    own = letter_vectors(letters)
+    a, b, c = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own
+    out = np.zeros(DIM, np.int64)
+    for i in range(0, len(grams), GRAMS):
+        g = grams[i : i + GRAMS]
+        # Sums of up to GRAMS products of +1 and -1 with counts are whole numbers that a double holds exactly.
+        out += np.rint(n[i : i + GRAMS].astype(np.float64) @ (a[g[:, 0]] * b[g[:, 1]] * c[g[:, 2]]).astype(np.float32)).astype(np.int64)
     return out
 
 
-@lru_cache(maxsize=1)
-def rolled() -> list[np.ndarray]:
-    """The letters' vectors as they enter a 3-gram at its first, second and third place."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIM))
-    return [np.roll(letters, 2 - i, axis=1) for i in range(3)]
-
-
-def gram_vectors(grams: np.ndarray) -> np.ndarray:
-    a, b, c = rolled()
-    return a[grams >> 12] * b[(grams >> 6) & 63] * c[grams & 63]
-
-
-def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 3-grams with a letter in the middle, and how often each stands in the text."""
-    codes = letter_classes()[np.frombuffer((" " + text + " ").encode("utf-32-le"), np.uint32)].astype(np.int32)
-    grams = (codes[:-2] << 12 | codes[1:-1] << 6 | codes[2:])[codes[1:-1] > 0]
-    return np.unique(grams, return_counts=True)
-
-
-def bundle(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return sum((counts[i : i + 4096].astype(np.float32) @ gram_vectors(grams[i : i + 4096]).astype(np.float32) for i in range(0, len(grams), 4096)), np.zeros(DIM, np.float32))
-
-
 def unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.linalg.norm(v)), 1e-12)
 
@@ -67,30 +66,21 @@ def unit(v: np.ndarray) -> np.ndarray:
 def learn(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
     """Prototypes (language, vector) from columns text and lang, both not null."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = defaultdict(lambda: np.zeros(CLASSES**3, np.int64))
-
-        def rows() -> Iterator[pd.DataFrame]:
-            for lang, v in sums.items():
-                at = np.flatnonzero(v)
-                yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": v[at]})
-            sums.clear()
-
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = defaultdict(lambda: np.zeros(DIM, np.int64))
+        rows = lambda: pd.DataFrame({"lang": np.repeat(list(held), DIM), "i": np.tile(np.arange(DIM, dtype=np.int32), len(held)), "v": np.concatenate(list(held.values()))})
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                if lang not in sums and len(sums) >= 32:  # memory stays bounded however many languages there are
-                    yield from rows()
-                grams, n = gram_counts(text)
-                sums[lang][grams] += n
-        yield from rows()
-
-    def prototype(rows: pd.DataFrame) -> pd.DataFrame:
-        v = bundle(rows["gram"].to_numpy(), rows["n"].to_numpy())
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "v": [v.tobytes()]})
+                if lang not in held and len(held) >= LANGUAGES:  # memory stays bounded however many languages there are
+                    yield rows()
+                    held.clear()
+                held[lang] += bundle(*gram_counts(text))
+        if held:
+            yield rows()
 
-    counts = labelled.select("text", "lang").mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    model = counts.groupBy("lang").applyInPandas(prototype, "lang string, v binary").collect()
-    return sorted((r.lang, np.frombuffer(bytes(r.v), np.float32)) for r in model)
+    rows = labelled.select("text", "lang").mapInPandas(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    rows = rows.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
+    return sorted((r.lang, np.array(r.v, np.float32)) for r in rows.collect())
 
 
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str]) -> DataFrame:
@@ -107,11 +97,11 @@ def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str
         for batch in batches:
             said = []
             for t in batch.pop(text):
-                grams, n = gram_counts(t or "")
+                letters, grams, n = gram_counts(t or "")
                 if not len(grams) or not names:
                     said.append(("und", 0.0))
                     continue
-                cos = centred @ unit(unit(bundle(grams, n)) - mean)
+                cos = centred @ unit(unit(bundle(letters, grams, n).astype(np.float32)) - mean)
                 best = int(np.argmax(cos))
                 said.append((names[best], float(min(1.0, max(0.0, (1 + cos[best]) / 2)))))
             batch[label], batch[score] = [x[0] for x in said], [x[1] for x in said]
