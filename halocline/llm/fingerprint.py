@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from halocline.llm import common as C
 
 PIECE, ROUNDS, LEVELS = 96, 12, 13
-IDS_PER_CELL, CELLS_PER_GROUP, BROADCAST_ROWS = 256, 4096, 1_000_000
+KNOTS, IDS_PER_CELL, CELLS_PER_GROUP, BROADCAST_ROWS = 1024, 64, 4096, 1_000_000
 
 
 def _digests(text: str) -> str:
@@ -67,14 +67,30 @@ def _compare(a: str, b: str) -> str:
     return f"transform(array({peeled}), s -> named_struct('ok', NOT exists(s.cells, c -> c.n <> 0 OR c.k <> 0 OR c.x <> 0), 'a', s.a, 'b', s.b))[0]"
 
 
+def _cells(docs: DataFrame) -> Column:
+    """The cell of a row, from doc_id (and th, the hash of its text, where that is null): a number that never falls as doc_id
+    grows. KNOTS quantiles of the ids are cut into cells of equal width, of IDS_PER_CELL ids if they lie evenly; whatever
+    their spread, a cell has about 1 / KNOTS of them at most."""
+    n, quantiles = docs.agg(F.count("doc_id"), F.percentile_approx(F.col("doc_id").cast("long"), [i / KNOTS for i in range(KNOTS)], 10 * KNOTS)).first()
+    knots = sorted(set(quantiles or [0]))
+    number = max(1, -(-n // (KNOTS * IDS_PER_CELL)))
+    step = 32
+    array = lambda values: "array(" + ", ".join(f"{v}L" if v > -(2**63) else f"({v + 1}L - 1L)" for v in values) + ")"
+    # The piece between two knots, in two steps; within it doubles are exact enough, as they never fall either.
+    coarse = f"greatest(size(filter({array(knots[::step])}, k -> k <= doc_id)) - 1, 0)"
+    piece = f"(c * {step} + greatest(size(filter(slice({array(knots)}, c * {step} + 1, {step}), k -> k <= doc_id)) - 1, 0))"
+    low, high = (f"cast(element_at({array(x)}, i + 1) AS double)" for x in (knots, [*knots[1:], 2**63 - 1]))
+    place = f"least(greatest(cast(floor((cast(doc_id AS double) - {low}) / greatest(({high} - {low}) / {number}, 1D)) AS bigint), 0L), {number - 1}L)"
+    inside = f"transform(transform(array({coarse}), c -> {piece}), i -> i * {number}L + {place})[0]"
+    return F.expr(f"if(doc_id IS NULL, -1 - pmod(th, 4096), {inside})")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, digests, next_text, next_digests: each document beside the next one in descending doc_id order (after
-    the last, the first; ties by text hash). Documents meet in cells of neighbouring ids, of at most a known number of
-    ids; only the last of a cell is joined with the first of the next cell."""
+    the last, the first; ties by text hash). Documents meet in cells of neighbouring ids; only the last of a cell is joined
+    with the first of the next cell. Cells lie between quantiles of the ids, so that a few far ids cannot fill one."""
     texts = docs.select("doc_id", C.whole_text().alias("text"))
-    seen = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
-    lo, width = (seen.lo, max(1, -(-(seen.hi - seen.lo + 1) * IDS_PER_CELL // seen.n))) if seen.n else (0, 1)
-    cell = F.expr(f"if(doc_id IS NULL, -1 - pmod(th, 4096), cast(floor((doc_id - {lo}L) / {width}) AS bigint))")
+    cell = _cells(docs)
     rows = texts.withColumn("th", F.xxhash64("text")).withColumn("cell", cell).withColumn("digests", F.expr(_digests("text"))).repartition("cell")
     ids = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(C.whole_text())).alias("th"))
     cells = ids.withColumn("cell", cell).groupBy("cell").agg(F.min("doc_id").alias("tail"), F.max("doc_id").alias("head")).withColumn("g", F.floor(F.col("cell") / CELLS_PER_GROUP))
@@ -108,7 +124,7 @@ def likeness(pairs: DataFrame, names: list[tuple[str, str, str]]) -> DataFrame:
         parts = parts.selectExpr("uid", "pair", f"filter(a, {deal}) AS a", f"filter(b, {deal}) AS b")
         last = level == LEVELS - 1  # digests that no retry can part are counted one by one
         parts = parts.withColumn("r", F.expr("named_struct('ok', true, 'a', size(array_except(a, b)), 'b', size(array_except(b, a)))" if last else _compare("a", "b")))
-        tried = C.materialise(parts.selectExpr("uid", "pair", "r", "if(r.ok, NULL, a) AS a", "if(r.ok, NULL, b) AS b"), f"sketch{level + 1}")
+        tried = C.materialise(parts.selectExpr("uid", "pair", "r", "if(r.ok, NULL, a) AS a", "if(r.ok, NULL, b) AS b"), f"sketch{level + 1}", compression="none")  # digests don't shrink
         done.append(tried.where("r.ok").select("uid", "pair", "r.a", "r.b"))
         left = tried.where("NOT r.ok")
         if left.isEmpty():
@@ -135,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     names = [("near_edited", "digests", "edited_digests"), ("near_next", "digests", "next_digests")]
     for n, a, b in names:
         table = table.withColumn(f"{n}_0", F.expr(_compare(a, b)))
-    table = C.materialise(table.withColumn("uid", F.monotonically_increasing_id()), "sketch0")
+    table = C.materialise(table.withColumn("uid", F.monotonically_increasing_id()), "sketch0", compression="none")
     return likeness(table, names).selectExpr("doc_id", "n_chars", "edited_sha256", f"{fingerprint_text('digests')} AS fingerprint", f"{fingerprint_text('edited_digests')} AS edited_fingerprint", "round(near_edited, 6) AS near_edited", "round(near_next, 6) AS near_next")
 
 
