@@ -90,7 +90,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float],
             yield pd.DataFrame({"toxic": batch["toxic"], "bags": bags, "empty": empty})
 
     share = min(1.0, sample / total.n)
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).mapInPandas(reduce_rows, "toxic int, bags array<array<int>>, empty long").toPandas()
+    drawn = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**15)) < int(10**15 * share)).mapInPandas(reduce_rows, "toxic int, bags array<array<int>>, empty long").toPandas()
     if not len(drawn) or drawn["toxic"].nunique() < 2:
         return {}, -30.0
     w, bias = noisy_or_fit([[list(s) for s in b] for b in drawn["bags"]], drawn["empty"].to_numpy(float), drawn["toxic"].to_numpy(), len(chosen))
