@@ -124,6 +124,18 @@ def test_fingerprints(docs, rows, none):
     assert fingerprint.fingerprints(none).count() == 0
 
 
+def test_fingerprints_of_far_ids(spark):
+    """A few far ids must not put all others into one cell, nor change who is next."""
+    ids = [*range(3000), 2**60, -(2**63), 2**63 - 1, None]
+    rows = [(i, f"text {i}\nline {(i or 0) % 7}") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cells = df.withColumn("th", F.xxhash64("text")).withColumn("cell", fingerprint._cells(df)).groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert cells <= 3 * max(fingerprint.IDS_PER_CELL, len(ids) // fingerprint.KNOTS)
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [rows[-1]]
+    want = {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r.doc_id: r.next_text for r in fingerprint.with_next(df).collect()} == want
+
+
 def test_mixing(docs, rows, none):
     out = mixing.plan(docs).collect()
     assert sorted((r.doc_id, r["size"]) for r in out if r.doc_id is not None) == sorted((r.doc_id, len(WHITE.findall(r.text or ""))) for r in rows if r.doc_id is not None)
@@ -189,6 +201,26 @@ def test_token_files(docs, rows, none, tmp_path):
     assert token_files.token_table(none).count() == 0
 
 
+def test_encoder_agrees_with_the_library_on_mixtures():
+    """Letters that lower case or composition take apart, marks, and what ends a word, in all orders."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    lib, own = Tokenizer.from_file(path), token_files.Encoder(path, "H")
+    signs = ["a", "B", "1", "İ", "I", "e\u0301", "é", "\u095d", "\u095e", "\u0a5e", "\u0b5d", "Σ", "й", "한", "\u1112\u1161", "日", "²", "_", "'s", ",", ".", ". ", ", ", " ", "\n", "…", "\u0307", "ﬁ", "Ⅳ", "<|", "\x1c", "BELGESİ, ", "ढ़. "]
+    for _ in range(8000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 12)))
+        assert np.frombuffer(own([text])[0], np.uint16).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_encoder_forgets(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_files, "MEMORY", 20_000)
+    lib, own = Tokenizer.from_file(path), token_files.Encoder(path, "H")
+    for i in range(400):
+        text = f"the word{i} and word{i // 2} " + "x" * 1000 + str(i)
+        assert np.frombuffer(own([text])[0], np.uint16).tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(own.young) + len(own.old) < 400 and max(map(len, own.young)) <= token_files.LONGEST
+
+
 @pytest.mark.parametrize("text", ["a\x1cb  C\td é ü", "it's <|endoftext|>x 12ab3!?\r\n\x00z", "é ́ ﬁ İ ß", "\n\n  ", "日本語 текст 👍🏽x"])
 def test_encoder_agrees_with_the_library(text):
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -263,6 +295,57 @@ def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
     assert all(a == pytest.approx(b) for k in want for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True))
 
 
+def test_language_vectors_by_hand():
+    """Prototype and document vectors against sums of products made letter by letter."""
+    text = "Ça va, 東京 va ça ß1x"
+    vector = {}
+
+    def letter(c):
+        if c not in vector:
+            vector[c] = language_id.letter_vectors(np.array([ord(c) if c.isalpha() else 0]))[0].astype(int)
+        return vector[c]
+
+    low, want = f" {text.lower()} ", np.zeros(language_id.DIM, int)
+    for a, b, c in zip(low, low[1:], low[2:], strict=False):
+        if b.isalpha():
+            want += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+    assert language_id.bundle(*language_id.gram_counts(text)).tolist() == want.tolist()
+    letters = language_id.letter_vectors(np.arange(0x4E00, 0x4E40)).astype(int)
+    assert abs(letters @ letters.T - language_id.DIM * np.eye(64)).max() < 150
+
+
+def test_language_id_by_hand(docs, rows):
+    """Every prediction is the largest cosine with prototypes summed over the training rows one by one."""
+    bundle = lambda t: language_id.bundle(*language_id.gram_counts(t or "")).astype(float)
+    sums = collections.defaultdict(lambda: np.zeros(language_id.DIM))
+    for r in rows:
+        if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+            sums[r.lang] += bundle(r.text)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    table = {k: unit(v) for k, v in sorted(sums.items())}
+    mean = sum(table.values()) / len(table)
+    want = {}
+    for r in rows:
+        cos = {k: float(unit(v - mean) @ unit(unit(bundle(r.text)) - mean)) for k, v in table.items()}
+        best = max(cos, key=cos.get)
+        want[r.doc_id] = (best, (1 + cos[best]) / 2) if any(c.isalpha() for c in r.text or "") else ("und", 0.0)
+    for r in language_id.identify(docs).collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-4)
+
+
+def test_toxicity_scores_are_noisy_or(spark):
+    """A document's score is one less the product of its sentences' complements."""
+    weights, bias = {"bad": 2.0, "worse": 3.5}, -4.0
+    texts = ["A bad day. Nothing here! A worse and bad one?", "Fine.", "worse worse"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, (weights, bias), ["doc_id"]).collect():
+        clean = 1.0
+        for s in toxicity.sentences(texts[r.doc_id]):
+            z = bias + sum(sum(weights.get(f, 0.0) for f in toxicity.features(w)) for w in s)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        assert r.score == pytest.approx(1 - clean, abs=1e-6)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     bad = ["scumbag", "worthless"]
@@ -284,7 +367,7 @@ def test_toxicity(spark, none):
 
 def test_toxicity_keeps_words_that_the_sample_lacks(spark):
     rng = random.Random(6)
-    late = [r.id for r in spark.range(1000, 1100).where("pmod(xxhash64(id), 1000000) > 600000").take(6)]
+    late = [r.id for r in spark.range(1000, 1100).where("pmod(xxhash64(id), 1000000000000000) > 600000000000000").take(6)]
     made = [(i, sentence(rng, EN, 8) + (" Scumbag you." if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)] + [(i, sentence(rng, EN, 8) + " You zorgon.", 1) for i in late]
     weights, bias = toxicity.learn(spark.createDataFrame(made, "doc_id long, text string, toxic int"), sample=203)
     out = toxicity.score(spark.createDataFrame([(1, "Such a zorgon."), (2, "Such a tree.")], "doc_id long, text string"), (weights, bias), ["doc_id"])
@@ -333,6 +416,38 @@ def test_jaccard_join(spark, docs, none, k, percent):
     assert jaccard_join.jaccard_components(none, k, percent).count() == 0
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """200,000 words, with a near copy and one too far; keys stay in proportion to the words."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    near, far = list(base), list(base)
+    for w, n in ((near, 3000), (far, 9000)):
+        for i in rng.sample(range(len(w)), n):
+            w[i] = f"y{i}"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 5, 80).collect()} == {1: 1, 2: 1, 3: 3}
+    s = np.arange(200_000, dtype=np.uint64) * np.uint64(2**40)
+    assert all(len(jaccard_join.run_keys(s, p)) <= 3 * len(s) * (100 - p) // 100 + 3 for p in (80, 90))
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 78, 80, 85, 90, 95, 100])
+def test_linked_sets_share_a_run(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(1500):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            assert len(np.intersect1d(jaccard_join.run_keys(a, percent), jaccard_join.run_keys(b, percent)))
+
+
+def test_texts_of_one_id_are_in_one_component(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (3, a), (2, b), (3, b), (4, "other words here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90).collect()) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+
+
 @pytest.mark.parametrize("piece", [7, 512])
 def test_jaccard_counts_every_link(spark, monkeypatch, piece):
     """A group of distinct near copies has all its pairs, not a star; exact copies and pieces change nothing."""
@@ -437,6 +552,29 @@ def test_decontamination_of_short_items_and_repeats(spark):
     assert [got[d] for d in range(n, n + 5)] == [[(3, 0)], [], [], [(4, 0)] * 3, [(5, 0), (5, 1), (5, 0)]]
 
 
+def test_decontamination_starts():
+    """Start and end enclose the item, whatever was put in or left out."""
+    item = decontaminate.normal("the deepest northern harbour in the month of march")
+    items = decontaminate.Items([(1, item)])
+    for at in range(2, len(item) - 2):
+        for middle in ([], [int(item[at]), 113]):
+            hurt = np.concatenate([item[:at], np.array(middle, np.uint32), item[at + 1 :]]).astype(np.uint32)
+            text = np.concatenate([decontaminate.normal("xyz "), [np.uint32(32)], hurt, [np.uint32(32)], decontaminate.normal("uvw")]).astype(np.uint32)
+            [(_, start, end, edits)] = decontaminate.find(items, [text])[0]
+            assert (start, end, edits) == (4, 4 + len(hurt), 1)
+
+
+@pytest.mark.parametrize("length", range(3, 20))
+def test_decontamination_of_items_of_every_length(length):
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdefgh") for _ in range(length))
+    items = decontaminate.Items([(1, decontaminate.normal(item))])
+    budget = length * decontaminate.EDITS // 100
+    texts = [f"zz {item} zz"] + [f"zz {item[:i]}{x}{item[i + 1:]} zz" for i in range(1, length - 1) for x in ("q", "")]
+    for t, found in zip(texts, decontaminate.find(items, [decontaminate.normal(t) for t in texts]), strict=True):
+        assert bool(found) == (edits(item, t) <= budget)
+
+
 @pytest.mark.parametrize("q", [2, 3, 7, 10])
 def test_gram_hashes_tell_grams_apart(q):
     codes = np.random.default_rng(0).integers(97, 100, 400).astype(np.uint32)
