@@ -1,25 +1,27 @@
 """Language-model scoring by deleted interpolation.
 
-Words and bigrams are counted exactly over the training documents, in tables with a row per distinct word and per distinct
-bigram; both grow with the corpus and nothing is cut. Maximum-likelihood estimates of bigrams, add-one estimates of words
-and the uniform distribution (over the words and one for all unknown) are mixed with weights that depend on how often the
-context was seen (buckets of powers of two). The weights are learned by expectation-maximisation on the counts of a
-held-out seventh of the training documents, which is left out ("deleted") of the estimates while they are learned.
+Maximum-likelihood estimates of bigrams, add-one estimates of words and the uniform distribution (over the words and one for
+all unknown) are mixed with weights that depend on how often the context was seen (buckets of powers of two). The weights
+are learned by expectation-maximisation on the counts of a held-out seventh of the training documents, which is left out
+("deleted") of the estimates while they are learned. Every word and every bigram of training is counted; nothing is cut.
 
-What is frequent is looked up in the workers: words with at least HEAD of all tokens and bigrams with at least PAIR of them
-(so at most 1 / HEAD and 1 / PAIR rows are broadcast). All other bigrams of a document are counted in it and joined with
-the table, and those that the table lacks with the words; what is joined is rare by definition, so no key is hot. Both
-thresholds choose the way to a count, never its value.
+Texts become blocks of about BLOCK tokens: a sorted dictionary of word keys and the tokens as places in it. A block sends
+its distinct words and bigrams, with their training counts in it, to parts of the key space (about PART tokens' worth each);
+a part adds up what the blocks sent and answers each of them in the order asked. So a word in every text is one key per
+block, counting and looking up are one shuffle, and the answers are a byte or two per key. A block then has the counts of
+all its tokens, words and contexts at hand. Words and bigrams are named by 64-bit hashes.
 
 Edge cases: a null or empty text has the end token only; without training tokens N and V are 0, no word is known and the
 model is uniform over the one class that remains; null ids count as the empty text in the fold; rows may repeat and
-each comes back. Other columns are not read.
+each comes back. Other columns are not read. A text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,21 +31,12 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-HEAD, PAIR, BUCKETS, ROUNDS, STEP, CHUNK = 1e-5, 1e-6, 24, 60, 0.05, 1000
+BLOCK, PART, BUCKETS, ROUNDS, STEP = 1 << 20, 1 << 21, 24, 60, 0.05
 END = -0x5E3D  # stands for the end token; a word with this hash would share its count
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
-REMEMBERED = 300_000
-
-
-def word_hash(word: bytes) -> int:
-    """The hash that Spark's xxhash64 gives a string, as a signed number."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def token_arrays(docs: DataFrame, *keep: Column) -> DataFrame:
-    """keep and t, the hashes of a text's lower-cased words and the end token."""
-    return docs.select(*keep, F.concat(C.word_hashes(C.whole_text()), F.array(F.lit(END).cast("long"))).alias("t"))
+REMEMBERED = 200_000
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+CODED = "block long, deleted boolean, doc_id array<long>, no_id array<boolean>, held_out array<boolean>, sizes array<int>, words binary, tokens binary"
 
 
 def folds() -> tuple[Column, Column]:
@@ -51,108 +44,146 @@ def folds() -> tuple[Column, Column]:
     return C.fold("doc_id", 7) == 2, C.fold("doc_id", 7) == 3
 
 
-class Lookup(dict):
-    """Code of a word: its place among the head words, or its hash; the words met are remembered up to a bound."""
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.by_hash = {int(h): i for i, h in enumerate(hashes)}
-        self.end = self.by_hash.get(END, END)
+class Keys(dict):
+    """The 64-bit key of a word (bytes, as a signed number); the words met are remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        h = word_hash(word)
-        self[word] = found = self.by_hash.get(h, h)
-        return found
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text, the context and the code of every token of the texts, end tokens among them."""
-        codes, sizes = [], []
-        for text in texts:
-            words = text.encode().translate(LOWER).split()  # bytes are cut at ASCII white space alone
-            codes += map(self.__getitem__, words)
-            codes.append(self.end)
-            sizes.append(len(words) + 1)
-        v = np.array(codes, np.int64)
-        return np.repeat(np.arange(len(texts)), sizes), np.append(self.end, v[:-1]), v  # every text follows an end token
-
-
-def scatter(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A number that nearly always tells pairs apart; places of equal numbers are then compared by the pairs themselves."""
-    x = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29)) ^ v.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts): an order that puts rows with equal keys (the first the most significant) together, and where runs begin."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order, np.flatnonzero(new)
-
-
-class Hot:
-    """Frequent words (hashes, counts) and pairs (codes u and v, log10 of the estimate, count of v), for the workers."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, u: np.ndarray, v: np.ndarray, lp: np.ndarray, cv: np.ndarray):
-        key = scatter(u, v)
-        order = np.argsort(key)
-        self.hashes, self.counts = hashes, counts
-        self.key, self.u, self.v, self.lp, self.cv = key[order], u[order], v[order], lp[order], cv[order]
-
-    def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there) of pairs; one that is missed is joined with the table instead."""
-        if not len(self.key):
-            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
-        at = np.minimum(np.searchsorted(self.key, scatter(u, v)), len(self.key) - 1)
-        return at, (self.u[at] == u) & (self.v[at] == v)
-
-
-def bucket(count: Column) -> Column:
-    """The power of two of count + 1, capped."""
-    return F.least(F.length(F.bin(count + 1)) - 1, F.lit(BUCKETS - 1))
+        h = xxhash.xxh64_intdigest(word, 42)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+
+def small(x: np.ndarray) -> bytes:
+    """Counts as bytes, one, two, four or eight for each."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+
+
+def wide(b: bytes, n: int) -> np.ndarray:
+    """What small made of n counts."""
+    return np.frombuffer(b, f"u{len(b) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def coded(docs: DataFrame, train: bool) -> DataFrame:
+    """The blocks of docs. Those of the deleted seventh are apart; without train no row counts for training."""
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, held = Keys(), {False: [[], [], [], [], []], True: [[], [], [], [], []]}
+
+        def block(deleted: bool) -> pd.DataFrame:
+            ids, none, out, sizes, hashes = held[deleted]
+            held[deleted] = [[], [], [], [], []]
+            words, tokens = np.unique(np.array(hashes, np.int64).view(np.uint64) * M1, return_inverse=True)  # an odd factor keeps keys apart
+            return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "deleted": [deleted], "doc_id": [ids], "no_id": [none], "held_out": [out], "sizes": [sizes], "words": [words.tobytes()], "tokens": [small(tokens)]})
+
+        for batch in batches:
+            for doc, out, deleted, text in zip(batch["doc_id"], batch["held_out"], batch["deleted"], batch["text"], strict=True):
+                words = text.encode().translate(LOWER).split()  # bytes are cut at ASCII white space alone
+                own = held[deleted]
+                if own[4] and len(own[4]) + len(words) > BLOCK:
+                    yield block(deleted)
+                    own = held[deleted]
+                own[0].append(0 if pd.isna(doc) else int(doc))
+                own[1].append(bool(pd.isna(doc)))
+                own[2].append(bool(out))
+                own[3].append(len(words) + 1)
+                own[4] += map(keys.__getitem__, words)
+                own[4].append(END)
+        for deleted in (False, True):
+            if held[deleted][0]:
+                yield block(deleted)
+
+    out, deleted = folds()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), (deleted if train else F.lit(False)).alias("deleted"), C.whole_text().alias("text"))
+    return C.materialise(rows.mapInPandas(code, CODED), "blocks", compression="zstd")
+
+
+@dataclass
+class Block:
+    """A block's tokens: document, place of the context's and of the token's word, place of the bigram; keys of both."""
+
+    doc: np.ndarray
+    u: np.ndarray
+    v: np.ndarray
+    pair: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
 
 
+def opened(row) -> Block:
+    words = np.frombuffer(row.words, np.uint64)
+    v = wide(row.tokens, int(sum(row.sizes)))
+    end = int(np.searchsorted(words, np.array([END], np.int64).view(np.uint64) * M1)[0])
+    u = np.append(end, v[:-1])  # every text follows an end token
+    key = (words[u] ^ (words[u] >> np.uint64(29))) * M2 + words[v]
+    key = (key ^ (key >> np.uint64(32))) * M2
+    pairs, pair = np.unique(key ^ (key >> np.uint64(29)), return_inverse=True)
+    return Block(np.repeat(np.arange(len(row.sizes)), row.sizes), u, v, pair, words, pairs)
+
+
+def requests(blocks: DataFrame, n_tokens: int, train: bool) -> DataFrame:
+    """kind (1 words, 2 bigrams), part, block, deleted, keys, c (training count in the block), held (of it, the deleted)."""
+    parts = {1: max(1, n_tokens // (4 * PART)), 2: max(1, n_tokens // PART)}
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                b = opened(row)
+                trains = ~np.array(row.held_out, bool)[b.doc] if train else np.zeros(len(b.doc), bool)
+                for kind, keys, at in ((1, b.words, b.v), (2, b.pairs, b.pair)):
+                    c = np.bincount(at[trains], minlength=len(keys))
+                    edges = np.searchsorted(keys, [np.uint64((i << 64) // parts[kind]) for i in range(1, parts[kind])])
+                    cut = [0, *edges.tolist(), len(keys)]
+                    rows = [(kind, p, keys[lo:hi].tobytes(), small(c[lo:hi])) for p, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+                    yield pd.DataFrame(rows, columns=["kind", "part", "keys", "c"]).assign(block=row.block, deleted=row.deleted)
+
+    return blocks.mapInPandas(ask, "kind int, part int, keys binary, c binary, block long, deleted boolean")
+
+
+def answers(asked: DataFrame, tell: Column) -> DataFrame:
+    """For the requests that tell holds for: kind, part, block, deleted, n (keys), c and held (training counts of all blocks
+    together); and a row for each part without block: types (keys with c > 0), tokens and fit (their sums, all and not deleted)."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["keys"].map(len).to_numpy() // 8
+        ends = np.cumsum(sizes)
+        keys, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
+        own = np.concatenate([wide(c, n) for c, n in zip(rows["c"], sizes, strict=True)])
+        whole = lambda x: np.rint(np.bincount(at, x, len(keys))).astype(np.int64)
+        c, held = whole(own), whole(np.where(np.repeat(rows["deleted"].to_numpy(), sizes), own, 0))
+        out = [(b, d, int(n), small(c[x]), small(held[x]), 0, 0, 0) for b, d, n, end, t in zip(rows["block"], rows["deleted"], sizes, ends, rows["tell"], strict=True) if t for x in (at[end - n : end],)]
+        out.append((None, False, 0, b"", b"", int((c > 0).sum()), int(c.sum()), int((c - held).sum())))
+        return pd.DataFrame(out, columns=["block", "deleted", "n", "c", "held", "types", "tokens", "fit"]).astype({"block": "Int64"}).assign(kind=rows["kind"].iloc[0], part=rows["part"].iloc[0])
+
+    schema = "block long, deleted boolean, n long, c binary, held binary, types long, tokens long, fit long, kind int, part int"
+    return C.materialise(asked.withColumn("tell", tell).groupBy("kind", "part").applyInPandas(count, schema), "answers", compression="zstd")
+
+
+def counts_of(answer: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(c, held) of a block's keys of a kind, in their order."""
+    rows = answer[answer["kind"] == kind].sort_values("part")
+    return tuple(np.concatenate([wide(b, n) for b, n in zip(rows[x], rows["n"], strict=True)]) for x in ("c", "held"))
+
+
+@dataclass
 class Model:
-    """p(v | u) = l2[b] c(u, v) / c(u) + l1[b] (c(v) + 1) / (N + V + 1) + l0[b] / (V + 1), with b the bucket of c(u).
-
-    hashes, counts: of the head words; a word is named by its code (see Lookup). rare: code, c, fit of the other words;
-    pairs: u, v, c, lp (log10 of p), cv for every bigram of training."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, fit: np.ndarray, rare: DataFrame, n: int, v: int):
-        self.hashes, self.counts, self.rare, self.tokens, self.types = hashes, counts, rare, n, v
-        self.head = rare.sparkSession.createDataFrame(pd.DataFrame({"code": np.arange(len(hashes)), "c": counts, "fit": fit}), "code long, c long, fit long")
-        self.n, self.context = len(hashes) + 1, np.append(counts, 0)
-        self.pairs: DataFrame | None = None
-        self.weights: np.ndarray | None = None
-
-    def is_head(self, code: Column) -> Column:
-        return (code >= 0) & (code < len(self.hashes))
-
-    def with_counts(self, rows: DataFrame, code: str, c: str, fit: str) -> DataFrame:
-        """rows with the counts of the word in column code (0 if it is unknown): rare words by a shuffle, head words, at
-        most 1 / HEAD rows, by broadcast."""
-        named = [t.select(F.col("code").alias("code_"), F.col("c").alias(c), F.col("fit").alias(fit)) for t in (self.rare, self.head)]
-        head = self.is_head(F.col(code))
-        rare = rows.where(~head).join(named[0], F.col(code) == F.col("code_"), "left").withColumns({x: F.coalesce(x, F.lit(0).cast("long")) for x in (c, fit)})
-        return rare.unionByName(rows.where(head).join(F.broadcast(named[1]), F.col(code) == F.col("code_"))).drop("code_")
-
-    def logarithm(self, c: Column, cu: Column, cv: Column) -> Column:
-        """log10 of p from the counts of the pair, its context and its word."""
-        w2, w1, w0 = (F.element_at(F.array(*[F.lit(float(x)) for x in self.weights[:, i]]), bucket(cu) + 1) for i in (2, 1, 0))
-        return F.log10(w2 * c / F.greatest(cu, F.lit(1)) + w1 * (cv + 1) / (self.tokens + self.types + 1.0) + w0 / (self.types + 1.0))
-
-    def log10(self, pairs: np.ndarray) -> np.ndarray:
-        """log10 of p for pairs of head words, u * n + v, asked of the tables; the last word of the n is an unknown one."""
-        asked = pd.DataFrame({"at": np.arange(len(pairs)), "u": pairs // self.n, "v": pairs % self.n})
-        asked = asked.assign(cu=self.context[asked["u"]], cv=self.context[asked["v"]])
-        rows = self.rare.sparkSession.createDataFrame(asked, "at long, u long, v long, cu long, cv long").join(self.pairs.select("u", "v", "c"), ["u", "v"], "left")
-        return rows.select("at", self.logarithm(F.coalesce("c", F.lit(0)), F.col("cu"), F.col("cv")).alias("lp")).toPandas().sort_values("at")["lp"].to_numpy()
+    """p(v | u) = l2[b] c(u, v) / c(u) + l1[b] (c(v) + 1) / (N + V + 1) + l0[b] / (V + 1), with b the bucket of c(u)."""
+
+    docs: DataFrame
+    blocks: DataFrame
+    asked: DataFrame
+    answered: DataFrame
+    n_tokens: int
+    tokens: int
+    types: int
+    weights: np.ndarray
+
+
+def bucket(count: np.ndarray) -> np.ndarray:
+    """The power of two of count + 1, capped."""
+    return np.minimum(np.frexp(count + 1.0)[1] - 1, BUCKETS - 1)
 
 
 def learn_weights(events: pd.DataFrame) -> np.ndarray:
@@ -170,107 +201,55 @@ def learn_weights(events: pd.DataFrame) -> np.ndarray:
     return weights / weights.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, int, int, Model]:
-    """(table of words: w, c), N, V and the model."""
-    spark = docs.sparkSession
-    out, deleted = folds()
-    training = docs.where(~out).select(deleted.alias("deleted"), C.whole_text().alias("text"))
-    words = token_arrays(docs.where(~out), deleted.alias("deleted")).select("deleted", F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(~F.col("deleted"), 1)).alias("fit"))
-    words = C.materialise(words, "words")
-    total = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum("fit").alias("fit")).first()
+def fit(docs: DataFrame) -> Model:
+    """N, V, the weights and the tables of counts that scoring reads."""
+    blocks = coded(docs, True)
+    n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    asked = requests(blocks, n_tokens, True)
+    answered = answers(asked, F.lit(True))
+    total = answered.where("block IS NULL AND kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum("fit").alias("fit")).first()
     n, v, n_fit = total.n or 0, total.v or 0, total.fit or 0
-    head = words.where(F.col("c") >= HEAD * n).toPandas().sort_values("w")  # at most 1 / HEAD rows
-    hashes, counts, fitted = (head[x].to_numpy(np.int64) for x in ("w", "c", "fit"))
-    model = Model(hashes, counts, fitted, words.where(F.col("c") < HEAD * n).select(F.col("w").alias("code"), "c", "fit"), n, v)
-    shared = spark.sparkContext.broadcast(hashes)
 
-    def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = Lookup(shared.value)
-        for batch in batches:
-            for deleted, rows in batch.groupby("deleted"):
-                for i in range(0, len(rows), 2000):
-                    _, u, w = look.of(rows["text"].iloc[i : i + 2000].tolist())
-                    order, starts = runs(scatter(u, w))
-                    u, w = u[order], w[order]
-                    cut = np.union1d(starts, 1 + np.flatnonzero((u[1:] != u[:-1]) | (w[1:] != w[:-1])))
-                    c = np.diff(np.append(cut, len(u)))
-                    yield pd.DataFrame({"u": u[cut], "v": w[cut], "c": c, "held": c if deleted else np.zeros(len(c), np.int64)})
-
-    pairs = C.materialise(training.mapInPandas(pair_counts, "u long, v long, c long, held long").groupBy("u", "v").agg(F.sum("c").alias("c"), F.sum("held").alias("held")), "pairs")
-    pairs = C.materialise(model.with_counts(model.with_counts(pairs, "u", "cu", "fu"), "v", "cv", "fv"), "bigrams")
-    # A word is a context as often as it occurs. The deleted seventh is left out of the estimates for the weights.
-    one, two = (F.col("fv") + 1) / (n_fit + v + 1.0), (F.col("c") - F.col("held")) / F.greatest("fu", F.lit(1))
-    step = lambda x: F.round(F.log(x / one) / STEP).cast("long")
-    found = pairs.where("held > 0").groupBy(bucket(F.col("fu")).alias("bucket"), step(F.lit(1.0) / (v + 1.0)).alias("r0"), F.when(two > 0, step(two)).alias("r2")).agg(F.sum("held").alias("n"))
+    def histogram(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        b = opened(next(block.itertuples()))
+        (c, held), (c2, held2) = counts_of(answer, 1), counts_of(answer, 2)
+        # The deleted seventh is left out of the estimates for the weights.
+        fu, fv, two = (c - held)[b.u], (c - held)[b.v], (c2 - held2)[b.pair]
+        one = (fv + 1) / (n_fit + v + 1.0)
+        step = lambda x: np.rint(np.log(x) / STEP)
+        seen = two > 0
+        r2 = np.full(len(two), np.nan)
+        r2[seen] = step(two[seen] / np.maximum(fu[seen], 1) / one[seen])
+        rows = pd.DataFrame({"bucket": bucket(fu), "r0": step(1 / (v + 1.0) / one), "r2": r2})
+        return rows.groupby(["bucket", "r0", "r2"], dropna=False).size().reset_index(name="n").astype({"bucket": "int64", "r0": "int64", "r2": "Int64", "n": "int64"})
+
+    apart = blocks.where("deleted").groupBy("block").cogroup(answered.where("deleted").groupBy("block"))
     # Ratios lie in steps of 5 % between a few bounds, so this histogram has a bounded number of rows.
-    model.weights = learn_weights(found.orderBy("bucket", "r0", "r2").toPandas())
-    model.pairs = pairs.select("u", "v", "c", model.logarithm(F.col("c"), F.col("cu"), F.col("cv")).alias("lp"), "cv")
-    return words, n, v, model
+    found = apart.applyInPandas(histogram, "bucket long, r0 long, r2 long, n long").groupBy("bucket", "r0", "r2").agg(F.sum("n").alias("n"))
+    return Model(docs, blocks, asked, answered, n_tokens, n, v, learn_weights(found.orderBy("bucket", "r0", "r2").toPandas()))
 
 
-def score(docs: DataFrame, fitted: tuple[DataFrame, int, int, Model]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    _, n, v, model = fitted
-    top = model.pairs.where(F.col("c") >= PAIR * n).toPandas()  # at most 1 / PAIR rows
-    shared = docs.sparkSession.sparkContext.broadcast(Hot(model.hashes, model.counts, *(top[x].to_numpy(np.int64) for x in "uv"), top["lp"].to_numpy(float), top["cv"].to_numpy(np.int64)))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = shared.value
-        look, words = Lookup(hot.hashes), len(hot.hashes)
-        for batch in batches:
-            for i in range(0, len(batch), CHUNK):
-                part = batch.iloc[i : i + CHUNK]
-                d, u, w = look.of(part["text"].tolist())
-                size = len(part)
-                at, there = hot.find(u, w)
-                head = (w >= 0) & (w < words)
-                # Counts of the tokens that need no join: head words, and words of hot pairs.
-                c = np.zeros(len(w), np.int64)
-                c[head] = hot.counts[w[head]]
-                if there.any():
-                    c[there] = hot.cv[at[there]]
-                total = lambda x, of: np.bincount(d[of], x[of], size)
-                own = np.zeros(len(w))
-                if there.any():
-                    own[there] = hot.lp[at[there]]
-                done = there | head
-                key = pd.to_numeric(part["doc_id"]).fillna(0).to_numpy(np.int64)
-                # A row for the document itself under a key of its own, and one for each other pair in it.
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array, "th": part["th"].array, "held_out": part["held_out"].array, "u": part["th"].array ^ key, "v": scatter(key, part["th"].to_numpy(np.int64)).view(np.int64), "n": 0,
-                    "n_tokens": np.bincount(d, minlength=size), "known": total((c > 0).astype(float), done).astype(np.int64), "base": total(np.log10(c + 1.0), done) - np.bincount(d, minlength=size) * np.log10(n + v + 1.0), "own": total(own, there),
-                })
-                left = np.flatnonzero(~there)
-                d, u, w = d[left], u[left], w[left]
-                order, starts = runs(d, u, w)
-                first = order[starts]
-                more = pd.DataFrame({"doc_id": part["doc_id"].array[d[first]], "th": part["th"].array[d[first]], "held_out": part["held_out"].array[d[first]], "u": u[first], "v": w[first], "n": np.diff(np.append(starts, len(order)))})
-                yield more.assign(n_tokens=0, known=0, base=0.0, own=0.0)
-
-    out, _ = folds()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(C.whole_text()).alias("th"), out.alias("held_out"), C.whole_text().alias("text"))
-    parts = {"n_tokens": "long", "known": "long", "base": "double", "own": "double"}
-    each = texts.mapInPandas(rows, "doc_id long, th long, held_out boolean, u long, v long, n long, " + ", ".join(f"{k} {t}" for k, t in parts.items()))
-    found = each.join(model.pairs.select(F.col("u").alias("pu"), F.col("v").alias("pv"), "lp", "cv"), (F.col("u") == F.col("pu")) & (F.col("v") == F.col("pv")), "left")
-
-    def add(rows: DataFrame) -> DataFrame:
-        """known, base and own with what the n tokens of a pair add; a head word is in known and base already."""
-        rare = F.when(model.is_head(F.col("v")), 0).otherwise(F.col("n"))
-        return rows.withColumns({"known": F.col("known") + F.when(F.col("cv") > 0, rare).otherwise(0), "base": F.col("base") + rare * F.log10(F.col("cv") + 1.0), "own": F.col("own") + F.col("n") * F.col("lp")})
-
-    # All seen pairs of a document become one row; a pair that training lacks keeps its own.
-    lacks = (F.col("n") > 0) & F.col("lp").isNull()
-    zero = F.lit(0).cast("long")
-    found = found.withColumns({"lacks": lacks, "lp": F.when(F.col("n") > 0, F.coalesce("lp", F.lit(0.0))).otherwise(0.0), "cv": F.when(F.col("n") > 0, F.coalesce("cv", zero)).otherwise(zero)})
-    docs_key = ["doc_id", "th", "held_out"]
-    found = add(found).groupBy(*docs_key, F.when(F.col("lacks"), F.col("u")).alias("u"), F.when(F.col("lacks"), F.col("v")).alias("v")).agg(*[F.sum(c).alias(c) for c in parts], F.count(F.when(F.col("n") == 0, 1)).alias("copies"), F.sum("n").alias("n"))
-    found = C.materialise(found, "found")
-    new = model.with_counts(model.with_counts(found.where("u IS NOT NULL"), "u", "cu", "fu"), "v", "cv", "fv")
-    new = add(new.withColumn("lp", model.logarithm(F.lit(0.0), F.col("cu"), F.col("cv")))).select(found.columns)
-    sums = found.where("u IS NULL").unionByName(new).groupBy(*docs_key).agg(*[F.sum(c).alias(c) for c in (*parts, "copies")])
-    mean = {c: (F.col(c) / F.col("copies")).cast(t) for c, t in parts.items()}
-    sums = sums.select("doc_id", "held_out", mean["n_tokens"].alias("n_tokens"), mean["known"].alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), mean["base"].alias("base_score"), mean["own"].alias("score"), "copies")
-    return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+    blocks, answered, n, v, weights = model.blocks, model.answered, model.tokens, model.types, model.weights
+    if docs is not model.docs:  # other texts than the model's own ask with counts of 0
+        blocks = coded(docs, False)
+        asked = requests(blocks, model.n_tokens, False).withColumn("new", F.lit(True)).unionByName(model.asked.withColumn("new", F.lit(False)))
+        answered = answers(asked, F.col("new"))
+
+    def rows(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        row = next(block.itertuples())
+        b, size = opened(row), len(row.sizes)
+        c, c2 = counts_of(answer, 1)[0], counts_of(answer, 2)[0]
+        cu, cv, w = c[b.u], c[b.v], weights[bucket(c)][b.u]
+        p = w[:, 2] * c2[b.pair] / np.maximum(cu, 1) + w[:, 1] * (cv + 1) / (n + v + 1.0) + w[:, 0] / (v + 1.0)
+        total = lambda x: np.bincount(b.doc, x, size)
+        n_tokens = np.asarray(row.sizes, np.int64)
+        out = {"doc_id": pd.Series(row.doc_id, dtype="Int64").mask(np.array(row.no_id, bool)), "held_out": row.held_out, "n_tokens": n_tokens, "n_known": np.rint(total((cv > 0).astype(float))).astype(np.int64), "train_tokens": n}
+        return pd.DataFrame(out | {"base_score": total(np.log10(cv + 1.0)) - n_tokens * np.log10(n + v + 1.0), "score": total(np.log10(p))})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answered.where("block IS NOT NULL").groupBy("block")).applyInPandas(rows, schema)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
