@@ -262,16 +262,11 @@ def test_language_model(docs, rows, none):
     assert language_model.score(none, language_model.fit(none)).count() == 0
 
 
-def test_language_model_is_a_distribution(docs):
-    _, _, _, model = language_model.fit(docs)
-    for u in range(0, model.n, max(1, model.n // 5)):
-        assert (10 ** model.log10(u * model.n + np.arange(model.n))).sum() == pytest.approx(1, abs=0.02) or model.context[u] == 0
-
-
-def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
-    """The thresholds of what is broadcast change no score, and scores are the interpolation of whole counts."""
-    monkeypatch.setattr(language_model, "HEAD", 0.02)
-    monkeypatch.setattr(language_model, "PAIR", 0.004)
+@pytest.mark.parametrize("block, part", [(50, 300), (1 << 20, 1 << 20)])
+def test_language_model_keeps_every_pair(docs, rows, monkeypatch, block, part):
+    """Scores are the interpolation of whole counts, a distribution for every context, however texts lie in blocks and parts."""
+    monkeypatch.setattr(language_model, "BLOCK", block)
+    monkeypatch.setattr(language_model, "PART", part)
     fitted = language_model.fit(docs)
     got = collections.defaultdict(list)
     for r in language_model.score(docs, fitted).collect():
@@ -283,7 +278,8 @@ def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
             t = tokens(r.text)
             c.update(t)
             pairs.update(zip(["\n", *t], t, strict=False))
-    n, v, weights = sum(c.values()), len(c), fitted[3].weights
+    n, v, weights = sum(c.values()), len(c), fitted.weights
+    assert (fitted.tokens, fitted.types) == (n, v) and weights.sum(1) == pytest.approx(np.ones(len(weights))) and weights.min() > 0
     want = collections.defaultdict(list)
     for r in rows:
         t, s = tokens(r.text), 0
@@ -293,6 +289,8 @@ def test_language_model_keeps_every_pair(docs, rows, monkeypatch):
         want[r.doc_id].append((sum(x in c for x in t), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), s))
     assert got.keys() == want.keys()
     assert all(a == pytest.approx(b) for k in want for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True))
+    other = {r.doc_id: r.score for r in language_model.score(docs.where("doc_id < 40"), fitted).collect()}
+    assert len(other) == 40 and all(want[d][0][2] == pytest.approx(x) for d, x in other.items())
 
 
 def test_language_vectors_by_hand():
