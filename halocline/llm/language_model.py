@@ -144,7 +144,7 @@ def requests(blocks: DataFrame, n_tokens: int, train: bool) -> DataFrame:
 
 def answers(asked: DataFrame, tell: Column) -> DataFrame:
     """For the requests that tell holds for: kind, part, block, deleted, n (keys), c and held (training counts of all blocks
-    together); and a row for each part without block: types (keys with c > 0), tokens and fit (their sums, all and not deleted)."""
+    together); and a row for each part with block -1: types (keys with c > 0), tokens and fit (their sums, all and not deleted)."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["keys"].map(len).to_numpy() // 8
@@ -154,8 +154,8 @@ def answers(asked: DataFrame, tell: Column) -> DataFrame:
         whole = lambda x: np.rint(np.bincount(at, x, len(keys))).astype(np.int64)
         c, held = whole(own), whole(np.where(np.repeat(rows["deleted"].to_numpy(), sizes), own, 0))
         out = [(b, d, int(n), small(c[x]), small(held[x]), 0, 0, 0) for b, d, n, end, t in zip(rows["block"], rows["deleted"], sizes, ends, rows["tell"], strict=True) if t for x in (at[end - n : end],)]
-        out.append((None, False, 0, b"", b"", int((c > 0).sum()), int(c.sum()), int((c - held).sum())))
-        return pd.DataFrame(out, columns=["block", "deleted", "n", "c", "held", "types", "tokens", "fit"]).astype({"block": "Int64"}).assign(kind=rows["kind"].iloc[0], part=rows["part"].iloc[0])
+        out.append((-1, False, 0, b"", b"", int((c > 0).sum()), int(c.sum()), int((c - held).sum())))
+        return pd.DataFrame(out, columns=["block", "deleted", "n", "c", "held", "types", "tokens", "fit"]).assign(kind=rows["kind"].iloc[0], part=rows["part"].iloc[0])
 
     schema = "block long, deleted boolean, n long, c binary, held binary, types long, tokens long, fit long, kind int, part int"
     return C.materialise(asked.withColumn("tell", tell).groupBy("kind", "part").applyInPandas(count, schema), "answers", compression="zstd")
@@ -207,7 +207,7 @@ def fit(docs: DataFrame) -> Model:
     n_tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     asked = requests(blocks, n_tokens, True)
     answered = answers(asked, F.lit(True))
-    total = answered.where("block IS NULL AND kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum("fit").alias("fit")).first()
+    total = answered.where("block < 0 AND kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum("fit").alias("fit")).first()
     n, v, n_fit = total.n or 0, total.v or 0, total.fit or 0
 
     def histogram(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame(out | {"base_score": total(np.log10(cv + 1.0)) - n_tokens * np.log10(n + v + 1.0), "score": total(np.log10(p))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answered.where("block IS NOT NULL").groupBy("block")).applyInPandas(rows, schema)
+    return blocks.groupBy("block").cogroup(answered.where("block >= 0").groupBy("block")).applyInPandas(rows, schema)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
