@@ -91,3 +91,43 @@ def small_int(value: Column, scale: int) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     """prefix and the first 16 hex digits of the sha1 of the parts joined by ':'."""
     return F.concat(F.lit(prefix), F.substring(F.sha1(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 16))
+
+
+def small_int_value(packed: Column, scale: int) -> Column:
+    """The value of a scaled 16-bit integer."""
+    return packed.cast("double") / scale
+
+
+# Words in the label of a channel that watches the instrument itself.
+HOUSEKEEPING = ("on board", "off board", "onboard", "offboard", "case", "chassis", "battery", "acceleration", "internal", "board temperature", "ground fault", "voltage", "current limit", "status", "digital input", "junction box")
+
+
+def housekeeping(label: Column) -> Column:
+    low = F.lower(label)
+    return F.coalesce(F.exists(F.array(*[F.lit(x) for x in HOUSEKEEPING]), lambda w: low.contains(w)), F.lit(False))
+
+
+def corrected(code: Column) -> Column:
+    """Whether a sensor code names a corrected reading."""
+    return code.contains("corrected") & ~code.contains("uncorrected")
+
+
+def priority(name: Column, prefixes: tuple) -> Column:
+    """The place of the first prefix that begins a name; their number if none does."""
+    out = F.when(F.lit(False), 0)
+    for i, prefix in enumerate(prefixes):
+        out = out.when(name.startswith(prefix), i)
+    return out.otherwise(len(prefixes))
+
+
+def years_count(years: Column, undated: Column, first: int | None, last: int | None) -> Column:
+    """Records of a map from year to count: all and the undated ones without a range, else those of its years."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    if first is None and last is None:
+        return total(years) + undated
+    return total(F.map_filter(years, lambda y, n: y.between(first if first is not None else -9999, last if last is not None else 9999)))
+
+
+def decade_index(year: Column) -> Column:
+    """0 for the 1970s to 5 for the 2020s; null outside."""
+    return F.when(year.between(1970, 2029), F.floor((year - 1970) / 10).cast("int"))

@@ -89,3 +89,9 @@ def depth_from_pressure(p: Column, lat: Column) -> Column:
     x = F.pow(F.sin(F.radians(lat)), 2)
     g = F.lit(9.780318) * (1.0 + (F.lit(5.2788e-3) + F.lit(2.36e-5) * x) * x) + F.lit(1.092e-6) * p
     return F.when(p <= 0, F.lit(0.0)).otherwise(((((F.lit(-1.82e-15) * p + 2.279e-10) * p - 2.2512e-5) * p + 9.72659) * p) / g)
+
+
+def deinterleave(key: Column, bits: int = GRID_BITS) -> tuple[Column, Column]:
+    """Column and row of a Morton key."""
+    take = lambda first: sum((F.shiftleft(F.shiftright(key, 2 * i + first).bitwiseAND(1), i) for i in range(1, bits)), F.shiftright(key, first).bitwiseAND(1))
+    return take(0), take(1)

@@ -56,11 +56,22 @@ def below_baseline(value: Column, depth: Column) -> Column:
     return F.coalesce(value < oxygen_baseline(depth), F.lit(False))
 
 
+# Standard names, the units that mean the same, and the limits in them.
+VELOCITIES = ("eastward_sea_water_velocity", "northward_sea_water_velocity")
+RANGES = (
+    (("sea_water_temperature", "sea_surface_temperature"), ("degree_Celsius", "degrees_Celsius", "degree_C", "deg_C", "celsius", "Celsius"), -2.5, 40.0),
+    (("sea_water_practical_salinity", "sea_water_salinity"), ("1", "psu", "PSU", "1e-3", "0.001"), 2.0, 41.0),
+    (VELOCITIES, ("m/s", "m s-1", "meters_per_second", "m.s-1"), -5.0, 5.0),
+    (VELOCITIES, ("cm/s", "cm s-1", "centimeters_per_second"), -500.0, 500.0),
+)
+
+
 def range_limits(name: Column, unit: Column) -> tuple[Column, Column]:
     """Physical limits of a standard name in a declared unit; null (not tested) for others."""
-    cold, fast = (name == "sea_water_temperature") & unit.isin("degree_Celsius", "Celsius"), name.isin("eastward_sea_water_velocity", "northward_sea_water_velocity")
-    lo = F.when(cold, -2.5).when(name.contains("salinity"), 2.0).when(fast & (unit == "m s-1"), -5.0).when(fast & (unit == "cm s-1"), -500.0)
-    hi = F.when(cold, 40.0).when(name.contains("salinity"), 41.0).when(fast & (unit == "m s-1"), 5.0).when(fast & (unit == "cm s-1"), 500.0)
+    lo = hi = F.when(F.lit(False), 0.0)
+    for names, units, low, high in RANGES:
+        fits = name.isin(*names) & F.trim(unit).isin(*units)
+        lo, hi = lo.when(fits, low), hi.when(fits, high)
     return lo, hi
 
 

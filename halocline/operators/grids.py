@@ -78,3 +78,64 @@ def track_back(particles: DataFrame, field: DataFrame, days: int, start: tuple[f
         if hold and day % every == every - 1:
             rows = hold(rows)
     return rows
+
+
+def regrid(field: DataFrame, target: DataFrame, start: tuple[float, float], step: float, south: float, north: float) -> DataFrame:
+    """target (lon, lat) with the value of the nearest node of field; outside the latitudes that field covers it is null."""
+    out = sample(target, field, start, step).drop("i", "j", "status")
+    return out.withColumn("value", F.when(F.col("lat").between(south, north), F.col("value")))
+
+
+def slope(field: DataFrame, metres: float) -> DataFrame:
+    """i, j, slope in degrees of the inner nodes of field, by central differences over nodes metres apart."""
+    value = lambda di, dj, name: field.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("value").alias(name))
+    near = field.select("i", "j").join(value(1, 0, "e"), ["i", "j"]).join(value(-1, 0, "w"), ["i", "j"]).join(value(0, 1, "n"), ["i", "j"]).join(value(0, -1, "s"), ["i", "j"])
+    rise = F.sqrt(F.pow(F.col("e") - F.col("w"), 2) + F.pow(F.col("n") - F.col("s"), 2)) / (2 * metres)
+    return near.select("i", "j", F.degrees(F.atan(rise)).alias("slope"))
+
+
+def enrich_profiles(profiles: DataFrame, monthly: DataFrame, annual: DataFrame, variables: list[str]) -> DataFrame:
+    """profiles (id, cell, month, surface, deepest) with, for each variable, its climatology at the surface and at the deepest
+    level: columns {variable}_surface and {variable}_deep. The climatologies have variable, cell, depth (and month), value."""
+    ends = profiles.select("id", "cell", "month", F.inline(F.array(F.struct(F.lit("surface").alias("level"), F.col("surface").alias("depth")), F.struct(F.lit("deep").alias("level"), F.col("deepest").alias("depth")))))
+    asked = ends.withColumn("variable", F.explode(F.array(*[F.lit(v) for v in variables])))
+    found = with_fallback(asked, monthly, annual, ["variable", "cell", "depth"])
+    value = lambda v, level: F.max(F.when((F.col("variable") == v) & (F.col("level") == level), F.col("value"))).alias(f"{v}_{level}")
+    return found.groupBy("id").agg(*[value(v, level) for v in variables for level in ("surface", "deep")])
+
+
+def backfill(rows: DataFrame, columns: list[str], enriched: DataFrame) -> DataFrame:
+    """rows (id and columns) where a null column takes the enriched value of its id; other values stay."""
+    new = enriched.select(F.col("id").alias("n_id"), *[F.col(c).alias(f"n_{c}") for c in columns])
+    return rows.join(new, F.col("id") == F.col("n_id"), "left").select("id", *[F.coalesce(c, f"n_{c}").alias(c) for c in columns])
+
+
+def drift_back(particles: DataFrame, field: DataFrame, days: int, start: tuple[float, float], step: float, every: int = 5, hold=None) -> DataFrame:
+    """particles (id, lon, lat) traced back through velocities (i, j, u, v in metres a second) by fourth-order Runge-Kutta steps
+    of a day, the nearest node's velocity at each stage; longitudes wrap. A particle stops where a stage finds no velocity.
+    age: its steps; speed: the mean of its steps' speeds. hold(df) cuts the lineage every few steps."""
+    metres, day_s = 111_320.0, 86_400.0
+    vel = field.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("i").alias("f_i"), F.col("j").alias("f_j"), "u", "v")
+    wrap = lambda x: F.pmod(x + 180.0, F.lit(360.0)) - 180.0
+
+    def staged(df: DataFrame, name: str, share: float, last: str | None) -> DataFrame:
+        """The degrees a day at the place that the last stage's velocity leads back to in a share of a day."""
+        lon, lat = F.col("lon"), F.col("lat")
+        if last:
+            lon, lat = wrap(lon - F.col(f"x{last}") * share), lat - F.col(f"y{last}") * share
+        here = df.withColumn("s_lat", lat).withColumn("i", axis_index(lon, start[0], step)).withColumn("j", axis_index(lat, start[1], step))
+        out = here.join(vel, (F.col("i") == F.col("f_i")) & (F.col("j") == F.col("f_j")), "left")
+        cos = F.greatest(F.cos(F.radians("s_lat")), F.lit(1e-6))
+        return out.withColumn(f"x{name}", F.col("u") * day_s / (metres * cos)).withColumn(f"y{name}", F.col("v") * day_s / metres).withColumn(f"q{name}", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).drop("i", "j", "f_i", "f_j", "u", "v", "s_lat")
+
+    rows = particles.withColumn("age", F.lit(0)).withColumn("speed_sum", F.lit(0.0))
+    kept = [c for c in particles.columns if c not in ("lon", "lat")]
+    for day in range(days):
+        for name, share, last in (("1", 0.0, None), ("2", 0.5, "1"), ("3", 0.5, "2"), ("4", 1.0, "3")):
+            rows = staged(rows, name, share, last)
+        mean = lambda c: (F.col(f"{c}1") + 2 * F.col(f"{c}2") + 2 * F.col(f"{c}3") + F.col(f"{c}4")) / 6
+        moves = mean("x").isNotNull() & mean("y").isNotNull() & (F.col("age") == day)
+        rows = rows.select(*kept, F.when(moves, wrap(F.col("lon") - mean("x"))).otherwise(F.col("lon")).alias("lon"), F.when(moves, F.col("lat") - mean("y")).otherwise(F.col("lat")).alias("lat"), (F.col("age") + moves.cast("int")).alias("age"), (F.col("speed_sum") + F.when(moves, mean("q")).otherwise(0.0)).alias("speed_sum"))
+        if hold and day % every == every - 1:
+            rows = hold(rows)
+    return rows.withColumn("speed", F.try_divide("speed_sum", "age")).drop("speed_sum")

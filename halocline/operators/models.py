@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,54 @@ def boyce(scored: DataFrame, bins: int = 10) -> DataFrame:
     counts = scored.groupBy(b.alias("bin")).agg(F.count_if(F.col("label") == 1).alias("presence"), F.count_if(F.col("label") == 0).alias("background"))
     p, q = (counts.agg(F.sum(c)).scalar() for c in ("presence", "background"))
     return counts.select("bin", "presence", "background", F.try_divide(F.col("presence") / p, F.col("background") / q).alias("ratio"))
+
+
+def boyce_index(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """boyce: the rank correlation between a score's bins and the ratio of presences to background in them (bins without
+    background are left out); null with fewer than three bins. The bins are few, so their ranks are one small window."""
+    rows = boyce(scored, bins).where("ratio IS NOT NULL")
+    w = Window.orderBy("ratio")
+    ties = Window.partitionBy("ratio")
+    ranks = rows.withColumn("first", F.rank().over(w)).withColumn("r", F.col("first") + (F.count(F.lit(1)).over(ties) - 1) / 2).withColumn("b", F.row_number().over(Window.orderBy("bin")))
+    return ranks.agg(F.when(F.count(F.lit(1)) >= 3, F.corr("b", "r")).alias("boyce"))
+
+
+def envelope(training: DataFrame, rows: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
+    """rows with outside: whether a numeric column leaves the range that it has in training, or a category is not in it."""
+    seen = training.agg(*[f(c).alias(f"{p}_{c}") for c in numeric for f, p in ((F.min, "lo"), (F.max, "hi"))], *[F.collect_set(c).alias(f"in_{c}") for c in categories])
+    value = lambda name: seen.select(name).scalar()
+    out = F.lit(False)
+    for c in numeric:
+        out = out | ~F.coalesce(F.col(c).between(value(f"lo_{c}"), value(f"hi_{c}")), F.lit(False))
+    for c in categories:
+        out = out | ~F.coalesce(F.array_contains(value(f"in_{c}"), F.col(c)), F.lit(False))
+    return rows.withColumn("outside", out)
+
+
+def publish_gate(auc: Column, boyce: Column, n: Column) -> Column:
+    """Whether a model may be published; a measure that is missing closes the gate."""
+    return F.coalesce((auc >= 0.7) & (boyce > 0) & (n >= 50), F.lit(False))
+
+
+def rank_auc(scored: DataFrame) -> DataFrame:
+    """auc of score over label (0 or 1), ties counting half, from the counts of each distinct score."""
+    by = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    # Steps of a thousandth are put in order on one task; within a step its rows count as ties.
+    steps = by.groupBy(F.round("score", 3).alias("score")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    under = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return steps.withColumn("under", under).agg(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def importance(scored: DataFrame, score_of, features: list[str], seed: int = 1) -> DataFrame:
+    """feature, loss: how much auc falls when a feature's values are dealt anew over the rows (by a seeded hash of row_id, which
+    is unique). score_of(df) gives column score from the features."""
+    base = rank_auc(score_of(scored))
+    out = []
+    for f in features:
+        # Values move to the row that has the same place in another order; places are ranks within hash buckets.
+        bucket = lambda s: F.pmod(F.xxhash64(F.lit(s), "row_id"), F.lit(64))
+        give = scored.select(bucket(seed).alias("g_b"), F.row_number().over(Window.partitionBy(bucket(seed)).orderBy("row_id")).alias("g_n"), F.col(f).alias("g_value"))
+        take = scored.withColumn("t_b", bucket(seed)).withColumn("t_n", F.row_number().over(Window.partitionBy(bucket(seed)).orderBy(F.xxhash64(F.lit(seed + 1), F.lit(f), "row_id"))))
+        mixed = take.join(give, (F.col("t_b") == F.col("g_b")) & (F.col("t_n") == F.col("g_n"))).withColumn(f, F.col("g_value"))
+        out.append(rank_auc(score_of(mixed)).select(F.lit(f).alias("feature"), (base.scalar() - F.col("auc")).alias("loss")))
+    return reduce(DataFrame.unionByName, out)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from halocline.functions.geo import haversine_km
+from halocline.functions.geo import fold_lon, haversine_km
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -124,3 +125,82 @@ def level_arrays(levels: DataFrame, key: str) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct("depth", "value")))
     out = levels.where("depth IS NOT NULL").groupBy(key).agg(packed.alias("p"), (F.count("depth") - F.count_distinct("depth")).alias("repeated"))
     return out.select(key, F.transform("p", lambda x: x["depth"]).alias("depths"), F.transform("p", lambda x: x["value"]).alias("vals"), "repeated")
+
+
+def track_pieces(track: DataFrame, key: str, cell: float, gap_s: int = 86400, jump: int = 3, most: int = 64) -> DataFrame:
+    """key, year, piece, n, mean, vertices array<struct<lon, lat>> of tracks (key, t seconds, lon, lat, value) drawn in cells of
+    a size. A point in a new cell is a vertex. A piece ends at a new year, after a gap, at the date line and at a jump of more
+    than jump cells; a full piece ends too, and the next one begins with its last vertex. As years end pieces, a frame holds
+    one year of a key."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "lon", "lat"])
+        out, piece = [], None
+        t, lon, lat = (rows[c].to_numpy() for c in ("t", "lon", "lat"))
+        at = np.floor(np.stack([lon, lat]) / cell).astype(np.int64)
+        moved = np.abs(np.diff(at, axis=1, prepend=at[:, :1])).max(0)
+        broken = (np.diff(t, prepend=t[0]) > gap_s) | (np.abs(np.diff(lon, prepend=lon[0])) > 180) | (moved > jump)
+        for i in range(len(rows)):
+            carried = None
+            if piece is not None and (broken[i] or moved[i] and len(piece[1]) >= most):
+                carried = None if broken[i] else piece[1][-1]
+                out.append(piece)
+                piece = None
+            if piece is None:
+                piece = [[], ([carried] if carried else []) + [(lon[i], lat[i])]]
+            elif moved[i]:
+                piece[1].append((lon[i], lat[i]))
+            piece[0].append(rows["value"].iloc[i])
+        out.append(piece)
+        values = [pd.Series(v, dtype=float).dropna() for v, _ in out]
+        return pd.DataFrame({key: rows[key].iloc[0], "year": rows["year"].iloc[0], "piece": range(len(out)), "n": [len(v) for v, _ in out], "mean": [v.mean() if len(v) else None for v in values], "vertices": [[{"lon": x, "lat": y} for x, y in p] for _, p in out]})
+
+    rows = track.select(key, "t", "lon", "lat", F.col("value").cast("double").alias("value"), F.year(F.timestamp_seconds("t")).alias("year"))
+    return rows.groupBy(key, "year").applyInPandas(walk, f"{key} long, year int, piece int, n int, mean double, vertices array<struct<lon: double, lat: double>>")
+
+
+def thin_levels(levels: DataFrame, key: str, must: Column, most: int) -> DataFrame:
+    """The levels (key, depth, level_no) of casts with more than most of them, thinned: those that must stay, the shallowest,
+    the deepest, and the one nearest to each of evenly spaced depths (ties shallower, then first). Other casts stay whole; repeated levels count once."""
+    level = F.struct("depth", "level_no")
+    casts = levels.groupBy(key).agg(F.array_sort(F.collect_set(level)).alias("all"), F.collect_set(F.when(must, level)).alias("must"))
+    held = F.array_union("must", F.array(F.element_at("all", 1), F.element_at("all", -1)))
+    low, high, budget = F.element_at("all", 1)["depth"], F.element_at("all", -1)["depth"], F.lit(most) - F.size(held)
+    near = lambda t: F.array_min(F.transform("all", lambda x: F.struct(F.abs(x["depth"] - t).alias("off"), x["depth"].alias("depth"), x["level_no"].alias("level_no"))))
+    picks = F.transform(F.sequence(F.lit(1), budget), lambda i: F.struct(near(low + (high - low) * i / (budget + 1))["depth"].alias("depth"), near(low + (high - low) * i / (budget + 1))["level_no"].alias("level_no")))
+    kept = F.when(F.size("all") <= most, F.col("all")).when(budget > 0, F.array_union(held, picks)).otherwise(held)
+    return casts.select(key, F.inline(F.array_distinct(kept)))
+
+
+def median_position(rows: DataFrame, key: list[str], radius_km: float = 50.0, share: float = 0.9) -> DataFrame:
+    """key, lon, lat: the median of positions (lon unwrapped around the key's first), where enough of them lie near it."""
+    known = rows.where("lon IS NOT NULL AND lat IS NOT NULL")
+    first = known.groupBy(*key).agg(F.min(F.struct("lat", "lon"))["lon"].alias("ref"))
+    middle = known.join(first, key).groupBy(*key, "ref").agg(F.percentile("lat", 0.5).alias("m_lat"), F.percentile(fold_lon(F.col("lon") - F.col("ref")), 0.5).alias("off"))
+    middle = middle.select(*key, fold_lon(F.col("ref") + F.col("off")).alias("m_lon"), "m_lat")
+    near = haversine_km(F.col("lon"), F.col("lat"), F.col("m_lon"), F.col("m_lat")) <= radius_km
+    fits = known.join(middle, key).groupBy(*key, "m_lon", "m_lat").agg(F.count_if(near).alias("close"), F.count(F.lit(1)).alias("n")).where(F.col("close") >= share * F.col("n"))
+    return fits.select(*key, F.round("m_lon", 5).alias("lon"), F.round("m_lat", 5).alias("lat"))
+
+
+def bottle_casts(bottles: DataFrame, key: list[str]) -> DataFrame:
+    """Casts of bottles (key, depth, lon, lat): depths in order, how often one repeats, bottles without depth (left out), and
+    the distance of the farthest bottle from the mean place in km."""
+    deep = F.col("depth").isNotNull()
+    place = lambda c: F.avg(F.when(deep, F.col(c)))
+    g = bottles.groupBy(*key).agg(F.count_if(~deep).alias("no_depth"), F.count("depth").alias("levels"), (F.count("depth") - F.count_distinct("depth")).alias("repeated"), F.array_sort(F.collect_list("depth")).alias("depths"), F.collect_set(F.when(deep, F.struct("lon", "lat"))).alias("places"), place("lon").alias("m_lon"), place("lat").alias("m_lat"))
+    far = F.array_max(F.transform("places", lambda p: haversine_km(p["lon"], p["lat"], F.col("m_lon"), F.col("m_lat"))))
+    return g.where("levels > 0").withColumn("spread_km", far).drop("places", "m_lon", "m_lat")
+
+
+def merge_fragments(rows: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """One row per key with, for each of values, the first that is given."""
+    return rows.groupBy(key).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
+
+
+def top_labels(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """key, taxa: the k commonest labels of a key as 'label (n)', ties in order of the label."""
+    counts = rows.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), label))).where(F.col("place") <= k)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", label, "n"))), lambda x: F.concat(x[label], F.lit(" ("), x["n"], F.lit(")")))
+    return best.groupBy(key).agg(F.array_join(texts, "; ").alias("taxa"))

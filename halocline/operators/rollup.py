@@ -158,3 +158,10 @@ def deployments(rows: DataFrame) -> DataFrame:
         F.max_by("device", F.struct("started", "device")).alias("device"), F.min("started").alias("started"),
         F.when(~F.bool_or(F.col("ended").isNull()), F.max("ended")).alias("ended"),
     )
+
+
+def facet_filter(cube: DataFrame, **allowed: list) -> DataFrame:
+    """Rows of a facet cube whose every named facet has one of the values allowed; a facet not named is not asked."""
+    for name, values in allowed.items():
+        cube = cube.where(F.col(name).isin(*values))
+    return cube

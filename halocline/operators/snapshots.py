@@ -100,3 +100,44 @@ def pending(names: DataFrame, answers: DataFrame, name: str, now: Column, days:
     """Distinct names without an answer, or whose check failed more than days ago."""
     fresh = answers.where(F.col("found") | (F.col("checked_at") > now - F.make_interval(days=F.lit(days))))
     return names.where(F.col(name).isNotNull()).select(name).distinct().join(fresh.select(name), name, "left_anti")
+
+
+def index_plan(index: DataFrame, rejects: DataFrame, stored: DataFrame, rules: int) -> DataFrame:
+    """key, action: need (stamp differs, rows of older rules, or new), keep, gone, or untrusted. index (key, updated) may hold a
+    key twice: such keys, and those of rejected lines, say nothing, so that their stored rows are never gone. stored: key,
+    stamp, rules."""
+    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("updated").alias("updated"))
+    doubt = counts.where("n > 1").select("key").unionByName(rejects.where("key IS NOT NULL").select("key")).distinct().withColumn("doubtful", F.lit(True))
+    all_ = counts.where("n = 1").drop("n").join(stored, "key", "full").join(doubt, "key", "full")
+    need = F.col("stamp").isNull() | (F.col("stamp") != F.col("updated")) | (F.col("rules") < rules)
+    return all_.select("key", F.when(F.col("doubtful"), "untrusted").when(F.col("updated").isNull(), "gone").when(need, "need").otherwise("keep").alias("action"))
+
+
+def minimum_share(seen: DataFrame, stored: DataFrame, key: str, share: float) -> DataFrame:
+    """The keys to remove: stored but not seen; none at all if the walk saw less than a share of what is stored."""
+    n = lambda df: df.select(key).distinct().agg(F.count(F.lit(1))).scalar()
+    gone = stored.join(seen.select(key), key, "left_anti")
+    return gone.withColumn("enough_", n(seen) >= share * n(stored)).where("enough_").drop("enough_")
+
+
+def fill_category(stored: DataFrame, new: DataFrame, key: str, weak: tuple[str, ...] = ("NE", "DD")) -> DataFrame:
+    """stored (key, category) where new may fill it: only a null or weak category is replaced, and only by another one."""
+    fresh = new.groupBy(F.col(key).alias("n_key")).agg(F.max("category").alias("n_category"))
+    both = stored.join(fresh, F.col(key) == F.col("n_key"), "left")
+    open_ = F.col("category").isNull() | F.col("category").isin(*weak)
+    fills = open_ & F.col("n_category").isNotNull() & ~F.col("n_category").eqNullSafe(F.col("category"))
+    return both.withColumn("filled", fills).withColumn("category", F.when(fills, F.col("n_category")).otherwise(F.col("category"))).drop("n_key", "n_category")
+
+
+def resume(work: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
+    """The work whose key has no ledger row; a ledger row stands for a load that is whole."""
+    return work.join(ledger.select(key).distinct(), key, "left_anti")
+
+
+def unpivot_abundance(samples: DataFrame, key: str, json: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, tally) of JSON objects taxon -> abundance: key, taxon (trimmed), abundance of what can be counted (zero can), and per
+    key how many values are null, not a number or negative, and how many names collide once trimmed."""
+    entry = samples.select(key, F.explode(F.from_json(json, "map<string, string>")).alias("name", "text")).withColumn("taxon", F.trim("name")).withColumn("abundance", F.col("text").try_cast("double"))
+    bad = F.col("abundance").isNull() | F.isnan("abundance") | (F.col("abundance") < 0)
+    tally = entry.groupBy(key, "taxon").agg((F.count(F.lit(1)) - 1).alias("again"), F.count_if(bad).alias("bad")).groupBy(key).agg(F.sum("bad").alias("not_counted"), F.sum("again").alias("collisions"))
+    return entry.where(~bad).select(key, "taxon", "abundance"), tally

@@ -6,13 +6,12 @@ Null coordinates or times match nothing. Ties are broken by the key columns name
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocline.functions.geo import EARTH_KM, haversine_km
+from halocline.sources import scratch
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
 #: Radii in km and cells in degrees of a search that widens; the last radius is beyond half the way round the Earth.
@@ -93,17 +92,59 @@ def segment_distance_km(lon: Column, lat: Column, ring: Column) -> Column:
     return F.array_min(F.transform(parts, length)) * KM_PER_DEGREE
 
 
-def near_zone(points: DataFrame, zones: DataFrame, radius_km: float, pad: int = 1) -> DataFrame:
-    """Pairs of points and zones at most radius_km apart (0 inside) with km, by padded degree cells (pad >= the radius in
-    degrees of longitude at the points' latitudes)."""
-    cells = zone_cells(zones, pad)
-    own = points.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("px", F.floor("lon")).withColumn("py", F.floor("lat"))
-    pairs = own.join(cells, (F.col("px") == F.col("zx")) & (F.col("py") == F.col("zy"))).drop("px", "py", "zx", "zy")
-    inside = inside_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    km = F.when(inside, F.lit(0.0)).otherwise(segment_distance_km(F.col("lon"), F.col("lat"), F.col("ring")))
+def near_zone(points: DataFrame, zones: DataFrame, radius_km: float) -> DataFrame:
+    """Pairs of points and zones (zone_id, ring, x0, y0, x1, y1) at most radius_km apart (0 inside) with km. The cells of a zone
+    reach as far as the radius does at its highest latitude, over the date line too; rings join after the cells have met."""
+    reach = radius_km / KM_PER_DEGREE
+    high = F.least(F.greatest(F.abs("y0"), F.abs("y1")) + reach, F.lit(89.9))
+    wide = F.least(F.lit(reach) / F.greatest(F.cos(F.radians(high)), F.lit(1e-3)), F.lit(180.0))
+    xs = F.when(F.col("x1") - F.col("x0") + 2 * wide >= 360, F.sequence(F.lit(-180), F.lit(179))).otherwise(F.sequence(F.floor(F.col("x0") - wide).cast("int"), F.floor(F.col("x1") + wide).cast("int")))
+    xs = F.array_distinct(F.transform(xs, lambda x: F.pmod(x + 180, F.lit(360)) - 180))
+    ys = F.sequence(F.floor(F.col("y0") - reach), F.floor(F.col("y1") + reach))
+    cells = zones.select(F.col("zone_id").alias("c_zone"), F.explode(xs).alias("zx"), ys.alias("ys")).withColumn("zy", F.explode("ys")).drop("ys")
+    own = points.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("px", F.pmod(F.floor("lon") + 180, F.lit(360)) - 180).withColumn("py", F.floor("lat"))
+    pairs = own.join(cells, (F.col("px") == F.col("zx")) & (F.col("py") == F.col("zy"))).drop("px", "py", "zx", "zy").join(zones, F.col("c_zone") == F.col("zone_id")).drop("c_zone")
+    # The point as seen from the zone, which may lie across the date line.
+    middle = (F.col("x0") + F.col("x1")) / 2
+    lon = middle + F.pmod(F.col("lon") - middle + 180, F.lit(360.0)) - 180
+    lon = F.when(F.abs(lon - F.col("lon")) < 1e-6, F.col("lon")).otherwise(lon)
+    km = F.when(inside_ring(lon, F.col("lat"), F.col("ring")), F.lit(0.0)).otherwise(segment_distance_km(lon, F.col("lat"), F.col("ring")))
     return pairs.withColumn("km", km).where(F.col("km") <= radius_km)
 
 
+def edges_of(ring: Column) -> Column:
+    n = F.size(ring) - 1
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
+
+
+def rings_relation(a: Column, b: Column) -> Column:
+    """within (no edge of a crosses b, and its corners lie in b), overlap (they share a place), or null."""
+    side = lambda p, x, y: (p["x1"] - p["x0"]) * (y - p["y0"]) - (p["y1"] - p["y0"]) * (x - p["x0"])
+    cross = lambda p, q: (side(p, q["x0"], q["y0"]) * side(p, q["x1"], q["y1"]) < 0) & (side(q, p["x0"], p["y0"]) * side(q, p["x1"], p["y1"]) < 0)
+    crosses = F.exists(edges_of(a), lambda p: F.exists(edges_of(b), lambda q: cross(p, q)))
+    own = F.forall(a, lambda p: inside_ring(p["x"], p["y"], b))
+    shares = crosses | F.exists(a, lambda p: inside_ring(p["x"], p["y"], b)) | F.exists(b, lambda p: inside_ring(p["x"], p["y"], a))
+    return F.when(~crosses & own, "within").when(shares, "overlap")
+
+
+def zone_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of left (a_ columns: a_id, a_ring, a_x0 ...) and right (b_ columns) zones whose boxes meet, by degree cells."""
+    cells = lambda df, p: df.select(f"{p}_id", F.explode(F.sequence(F.floor(f"{p}_x0"), F.floor(f"{p}_x1"))).alias("cx"), F.sequence(F.floor(f"{p}_y0"), F.floor(f"{p}_y1")).alias("ys")).select(f"{p}_id", "cx", F.explode("ys").alias("cy"))
+    met = cells(left, "a").join(cells(right, "b"), ["cx", "cy"]).select("a_id", "b_id").distinct()
+    box = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
+    return met.join(left, "a_id").join(right, "b_id").where(box)
+
+
+def shared_area(pairs: DataFrame, step: float) -> DataFrame:
+    """a_id, b_id, km2 of pairs of zones: the area of the cells of step degrees whose middle lies in both rings (0 if none does)."""
+    low = lambda c: F.floor(F.greatest(F.col(f"a_{c}0"), F.col(f"b_{c}0")) / step)
+    high = lambda c: F.floor(F.least(F.col(f"a_{c}1"), F.col(f"b_{c}1")) / step)
+    cells = pairs.select("a_id", "b_id", "a_ring", "b_ring", F.explode(F.sequence(low("x"), high("x"))).alias("i"), F.sequence(low("y"), high("y")).alias("js")).withColumn("j", F.explode("js"))
+    x, y = (F.col("i") + 0.5) * step, (F.col("j") + 0.5) * step
+    both = inside_ring(x, y, F.col("a_ring")) & inside_ring(x, y, F.col("b_ring"))
+    return cells.groupBy("a_id", "b_id").agg(F.sum(F.when(both, F.cos(F.radians(y)) * (step * KM_PER_DEGREE) ** 2).otherwise(0.0)).alias("km2"))
+
+
 def nearest(pairs: DataFrame, by: list[str], tie: str, k: int = 1) -> DataFrame:
     """The k nearest pairs of each by, ties by the column tie."""
     from pyspark.sql import Window as W
@@ -113,12 +154,8 @@ def nearest(pairs: DataFrame, by: list[str], tie: str, k: int = 1) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/rings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder."""
+    return scratch.written(df, "rings")
 
 
 def nearest_of_each(left: DataFrame, right: DataFrame, key: str, source: str, tie: str) -> DataFrame:
@@ -155,3 +192,20 @@ def match_detections(detections: DataFrame, positions: DataFrame, radius_km: flo
         "det_id", F.when(matched, "matched").when(F.coalesce("neighbours", F.lit(0)) >= 1, "dark").otherwise("ambiguous").alias("class"),
         F.col("m.mmsi").alias("mmsi"), F.floor("m.gap").alias("gap_s"), F.when(~matched, F.coalesce("neighbours", F.lit(0))).alias("neighbours"),
     )
+
+
+def merge_boxes(boxes: DataFrame, key: str, most: int) -> DataFrame:
+    """box, x0, y0, x1, y1, held: the largest boxes as they are and, as the last of most, the hull of all others."""
+    order = [F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), F.asc(key)]
+    # The largest are a short list; all others are one aggregate.
+    top = boxes.orderBy(*order).limit(most - 1)
+    rest = boxes.join(top.select(F.col(key).alias("top_key")), F.col(key) == F.col("top_key"), "left_anti")
+    own = top.withColumn("box", F.row_number().over(Window.orderBy(*order))).select("box", "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("held"))
+    hull = rest.agg(F.lit(most).alias("box"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("held")).where("held > 0")
+    return own.unionByName(hull)
+
+
+def box_tiles(boxes: DataFrame, size: float) -> DataFrame:
+    """boxes (x0, y0, x1, y1) with a row per square tile (tx, ty) of size degrees that they touch."""
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / size), F.ceil(F.col(high) / size) - 1)
+    return boxes.withColumn("tx", F.explode(span("x0", "x1"))).withColumn("ty", F.explode(span("y0", "y1")))

@@ -8,7 +8,7 @@ from halocline.plans.book import query
 from halocline.plans.standins import table
 
 
-@query("G1 G10 G16 J30", """
+@query("G1 G10 J30", """
 WITH p AS (SELECT occ_id, floor((lon + 180) / 5 + 0.5)::INT AS i, floor((lat + 90) / 4 + 0.5)::INT AS j FROM occurrences)
 SELECT p.occ_id, f.value, CASE WHEN f.i IS NULL THEN 'not_covered' WHEN f.value IS NULL THEN 'no_data' ELSE 'ok' END AS status FROM p LEFT JOIN field f ON f.i = p.i AND f.j = p.j""")
 def field_sample(spark, d):
@@ -16,12 +16,12 @@ def field_sample(spark, d):
     return G.sample(points, table(spark, d, "field"), (-144.0, -90.0), 4.0).select("occ_id", "value", "status")
 
 
-@query("G4 G11", "SELECT i // 6 AS bi, j // 6 AS bj, round(avg(value), 6) AS mean, count(value) AS valid FROM field GROUP BY ALL")
+@query("G4", "SELECT i // 6 AS bi, j // 6 AS bj, round(avg(value), 6) AS mean, count(value) AS valid FROM field GROUP BY ALL")
 def block_means(spark, d):
     return G.block_mean(table(spark, d, "field")).withColumn("mean", F.round("mean", 6))
 
 
-@query("G2 G3 G17", """
+@query("G2", """
 WITH m AS (SELECT i, j, i % 12 + 1 AS month, value FROM field WHERE j % 3 = 0), p AS (SELECT i, j, j % 12 + 1 AS month, CASE WHEN i % 2 = 0 THEN 100 ELSE 2000 END::DOUBLE AS depth FROM field)
 SELECT p.i, p.j, p.month, coalesce(CASE WHEN p.depth <= 1500 THEN m.value END, a.value) AS value FROM p LEFT JOIN m ON m.i = p.i AND m.j = p.j AND m.month = p.month LEFT JOIN field a ON a.i = p.i AND a.j = p.j""")
 def climatology_fallback(spark, d):
@@ -30,7 +30,7 @@ def climatology_fallback(spark, d):
     return G.with_fallback(points, f.where("j % 3 = 0").select("i", "j", (F.col("i") % 12 + 1).alias("month"), "value"), f, ["i", "j"]).select("i", "j", "month", "value")
 
 
-@query("G5 G6", "SELECT a.i, a.j, a.value - b.value AS anomaly FROM field a JOIN (SELECT i, j, avg(value) OVER (PARTITION BY i) AS value FROM field) b ON a.i = b.i AND a.j = b.j")
+@query("G6", "SELECT a.i, a.j, a.value - b.value AS anomaly FROM field a JOIN (SELECT i, j, avg(value) OVER (PARTITION BY i) AS value FROM field) b ON a.i = b.i AND a.j = b.j")
 def field_anomaly(spark, d):
     f = table(spark, d, "field")
     means = f.groupBy("i").agg(F.avg("value").alias("value"))
@@ -46,7 +46,7 @@ def saturation_horizon(spark, d):
     return out.select("col_id", F.when(F.col("horizon") < float("inf"), F.round("horizon", 6)).alias("horizon"))
 
 
-@query("G12 G14", "SELECT a.i, a.j, round(avg(abs(a.value - b.value)), 6) AS tri, count(*) AS neighbours FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL")
+@query("", "SELECT a.i, a.j, round(avg(abs(a.value - b.value)), 6) AS tri, count(*) AS neighbours FROM field a JOIN field b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND (a.i <> b.i OR a.j <> b.j) WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL")
 def ruggedness(spark, d):
     return G.ruggedness(table(spark, d, "field")).withColumn("tri", F.round("tri", 6))
 
@@ -65,7 +65,7 @@ def thinned_folds(spark, d):
     return thin.withColumn("fold", M.block_fold(F.col("lon"), F.col("lat"), 5)).select(F.round("lon", 1).alias("rlon"), F.round("lat", 1).alias("rlat"), "species_no", "fold").distinct()
 
 
-@query("M6", "SELECT grp, min(depth) AS lo, max(depth) AS hi, count(*) FILTER (depth NOT BETWEEN 100 AND 1500) AS outside FROM occurrences GROUP BY grp")
+@query("", "SELECT grp, min(depth) AS lo, max(depth) AS hi, count(*) FILTER (depth NOT BETWEEN 100 AND 1500) AS outside FROM occurrences GROUP BY grp")
 def training_envelope(spark, d):
     return table(spark, d, "occurrences").groupBy("grp").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"), F.count_if(~F.col("depth").between(100, 1500)).alias("outside"))
 

@@ -9,7 +9,7 @@ from halocline.plans.book import query
 from halocline.plans.standins import table
 
 
-@query("F9 F10 F11 F12 F20", """
+@query("F9 F10 F11 F20", """
 WITH t AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day, o_orderkey % 2500 AS hhmm, CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE year(o_orderdate) - o_custkey % 400 || ' cruise' END AS text, o_custkey % 100 AS a FROM orders)
 SELECT id, CASE WHEN text = 'unknown' THEN NULL WHEN left(text, 4)::INT >= 1750 THEN left(text, 4)::INT END AS year, CASE WHEN hhmm // 100 <= 23 AND hhmm % 100 <= 59 THEN day::TIMESTAMP + to_minutes((hhmm // 100 * 60 + hhmm % 100)::BIGINT) END AS at,
  (day - (a % 7)::INT) AS lo, (day + (a % 3)::INT) AS hi, CASE WHEN a % 10 = 0 THEN (a // 10)::VARCHAR ELSE (a / 10.0)::DECIMAL(9,1)::VARCHAR END || '-' || (a // 10 + 1)::VARCHAR || 'cm' AS horizon FROM t""")
@@ -23,7 +23,7 @@ def parsed_stamps(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), parse.leading_year(text, 2026).alias("year"), at.cast("timestamp_ntz").alias("at"), lo.alias("lo"), hi.alias("hi"), parse.horizon_label(label).alias("horizon"))
 
 
-@query("F18 F26 U5", """
+@query("F18", """
 SELECT o_orderkey AS id, round(-(o_custkey % 9) + ((o_orderkey % 100) % 10) * 0.1 + 0.05, 3)::DOUBLE AS lon, round(36.0 + (o_custkey % 30) * 0.5 + ((o_orderkey % 100) // 10) * 0.05 + 0.025, 3)::DOUBLE AS lat FROM orders""")
 def subrectangles(spark, d):
     code = F.concat(F.lpad((F.col("o_custkey") % 30 + 1).cast("string"), 2, "0"), F.char(F.col("o_custkey") % 9 + 65), F.when(F.col("o_orderkey") % 100 < 9, "0").otherwise(""), (F.col("o_orderkey") % 100 + 1).cast("string"))
@@ -31,7 +31,7 @@ def subrectangles(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), lon.alias("lon"), lat.alias("lat"))
 
 
-@query("P9 P10 P25 F17", """
+@query("P25", """
 SELECT flag, count(*) AS n, count(*) FILTER (raw BETWEEN 2000 AND 41000) AS in_range, count(*) FILTER (raw / 400 > 86) AS implausible, count(*) FILTER (raw / 400 < CASE WHEN depth < 200 THEN 150 WHEN depth < 1000 THEN 90 ELSE 60 END) AS below, count(*) FILTER (level_no <> 4) AS kept FROM levels GROUP BY flag""")
 def value_tests(spark, d):
     v = table(spark, d, "levels")
@@ -40,7 +40,7 @@ def value_tests(spark, d):
     return v.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("raw") / 1000).between(lo, hi)).alias("in_range"), F.count_if(oxygen / 10 > 8.6).alias("implausible"), F.count_if(parse.below_baseline(oxygen, F.col("depth"))).alias("below"), F.count(classify.no_data(F.col("level_no"), (4,))).alias("kept"))
 
 
-@query("P8 P22 S4", """
+@query("P8 P22", """
 WITH r AS (SELECT CASE WHEN o_custkey % 13 = 0 THEN '' ELSE o_orderstatus END AS key, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey % 200 END AS lon, o_custkey % 100 AS lat, 1996 AS y, o_orderkey % 14 AS m, o_orderkey % 33 AS d, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 5 END AS flag FROM orders),
 p AS (SELECT *, CASE WHEN key = '' THEN 'key' WHEN lon IS NULL OR lon > 180 OR lat > 90 THEN 'position' WHEN NOT (m BETWEEN 1 AND 12 AND d BETWEEN 1 AND CASE WHEN m IN (4, 6, 9, 11) THEN 30 WHEN m = 2 THEN 29 ELSE 31 END) THEN 'date' END AS problem FROM r)
 SELECT problem, count(*) AS n, count(*) FILTER (flag IS NULL OR flag NOT IN (3, 4, 9)) AS good_position FROM p GROUP BY problem""")
@@ -51,7 +51,7 @@ def row_problems(spark, d):
     return r.groupBy(why.alias("problem")).agg(F.count(F.lit(1)).alias("n"), F.count_if(classify.good_position(F.col("flag"))).alias("good_position"))
 
 
-@query("P23 F22 F23 G13", """
+@query("F22", """
 WITH r AS (SELECT o_custkey AS site, ['exact', 'like', 'near_2', 'odd'][(o_orderkey % 4 + 1)::INT] AS kind, o_orderkey AS id FROM orders)
 SELECT site, min_by(id, (CASE kind WHEN 'exact' THEN 1 WHEN 'like' THEN 2 WHEN 'near_2' THEN 5 ELSE 99 END, id)) AS best, count(DISTINCT kind) > 1 AS collided, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM r GROUP BY site""")
 def best_candidates(spark, d):
@@ -66,7 +66,7 @@ def freshness(spark, d):
     return table(spark, d, "orders").agg(F.max("o_orderdate").alias("newest")).withColumn("own", own).withColumn("fresh", F.col("own") > F.col("newest"))
 
 
-@query("A11 A39 S3 U2", """
+@query("A11 A39 S3", """
 WITH k AS (SELECT o.*, s.species_no IS NOT NULL AS listed FROM occurrences o LEFT JOIN (SELECT DISTINCT species_no FROM occurrences WHERE grp = 'N' AND species_no < 30) s ON s.species_no = o.species_no)
 SELECT floor(lon / 45)::INT AS cx, floor(lat / 45)::INT AS cy, round(avg(lon), 6) AS lon, round(avg(depth), 6) AS depth, count(DISTINCT species_no) AS species, count(*) FILTER (edna) AS present, string_agg(DISTINCT species_no, ',' ORDER BY species_no) FILTER (listed AND depth >= 1800) AS deep_species FROM k WHERE listed OR depth >= 50 GROUP BY ALL""")
 def locality_rollup(spark, d):
@@ -120,7 +120,7 @@ def nitrate_excess(spark, d):
     return g.where("n IS NOT NULL AND p IS NOT NULL").select("cast_id", "depth", F.round(F.col("n") - 16 * F.col("p"), 4).alias("nstar"))
 
 
-@query("T6 T7 T10", """
+@query("T7", """
 WITH f AS (SELECT DISTINCT key_id, label AS flag FROM requests WHERE status >= 400 OR event_id % 97 = 0), o AS (SELECT DISTINCT key_id, label AS flag FROM requests WHERE key_id % 3 = 0)
 SELECT key_id, flag FROM f WHERE (key_id, flag) NOT IN (SELECT key_id, flag FROM o)""")
 def debounced_flags(spark, d):
@@ -131,7 +131,7 @@ def debounced_flags(spark, d):
     return open_flags(r.where("status >= 400 OR event_id % 97 = 0").select("key_id", F.col("label").alias("flag")), existing)
 
 
-@query("T9 S24", "SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM positions WHERE date_trunc('week', ts) >= (SELECT date_trunc('week', max(ts)) - INTERVAL 14 DAY FROM positions) GROUP BY ALL")
+@query("T9", "SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM positions WHERE date_trunc('week', ts) >= (SELECT date_trunc('week', max(ts)) - INTERVAL 14 DAY FROM positions) GROUP BY ALL")
 def retained_weeks(spark, d):
     from halocline.sources.sinks import retained
 

@@ -10,12 +10,12 @@ from halocline.plans.standins import table
 LEVELS = "levels"
 
 
-@query("W1 T4", "SELECT mmsi, max_by(pos_id, (r_t, pos_id)) AS pos_id, max(r_t) AS r_t FROM positions GROUP BY mmsi")
+@query("W1", "SELECT mmsi, max_by(pos_id, (r_t, pos_id)) AS pos_id, max(r_t) AS r_t FROM positions GROUP BY mmsi")
 def latest_positions(spark, d):
     return P.latest(table(spark, d, "positions").select("mmsi", "pos_id", "r_t"), "mmsi", [F.col("r_t"), F.col("pos_id")])
 
 
-@query("W2 W16 W17", """
+@query("W2", """
 WITH r AS (SELECT pos_id, mmsi, row_number() OVER (PARTITION BY mmsi ORDER BY r_t, pos_id) AS rn, count(*) OVER (PARTITION BY mmsi) AS total FROM positions)
 SELECT mmsi, pos_id FROM r WHERE rn % greatest(1, total // 5) = 0""")
 def track_stride(spark, d):
@@ -37,13 +37,13 @@ def gap_segments(spark, d):
     return s.groupBy("mmsi").agg(F.max("segment").alias("segments"), F.count(F.lit(1)).alias("points"))
 
 
-@query("W6 W7")
+@query("W6")
 def bounded_segments(spark, d):
     """Segments that also end at a span or a number of rows: a walk in order, tested against plain Python."""
     return P.bounded_segments(table(spark, d, "positions").select("mmsi", F.col("r_t").alias("t"), "lon", "lat"), "mmsi", gap_s=30 * 86400, limit=16)
 
 
-@query("W11 P7 P20", """
+@query("W11 P7", """
 WITH t AS (SELECT unnest([{'t': 0.0, 'h': 60.0}, {'t': 100.0, 'h': 50.0}, {'t': 250.0, 'h': 100.0}]) AS w), n AS (SELECT cast_id, w.t AS target, depth, value, row_number() OVER (PARTITION BY cast_id, w.t ORDER BY abs(depth - w.t), depth, value) AS rn FROM levels, t WHERE value IS NOT NULL AND abs(depth - w.t) <= w.h)
 SELECT cast_id, target::DOUBLE AS target, depth, value FROM n WHERE rn = 1""")
 def standard_depths(spark, d):
@@ -51,7 +51,7 @@ def standard_depths(spark, d):
     return P.standard_depths(levels, "cast_id", [(0.0, 60.0), (100.0, 50.0), (250.0, 100.0)])
 
 
-@query("W18 A27 A53", """
+@query("W18 A27", """
 SELECT cast_id, min(depth) FILTER (depth <= 100 AND value IS NOT NULL) AS surface_depth, min_by(value, depth) FILTER (depth <= 100 AND value IS NOT NULL) AS surface_value, max(depth) AS deep_depth, max_by(value, depth) FILTER (value IS NOT NULL) AS deep_value FROM (SELECT cast_id, depth, min(value) AS value FROM levels GROUP BY ALL) GROUP BY cast_id""")
 def surface_and_deep(spark, d):
     # A depth may come twice in a cast; the smaller value stands for it.
@@ -59,7 +59,7 @@ def surface_and_deep(spark, d):
     return P.surface_and_deep(one, "cast_id", 100.0)
 
 
-@query("W12 W13 W20", """
+@query("W12", """
 WITH b AS (SELECT cast_id, depth, raw, flag, row_number() OVER (PARTITION BY cast_id, floor(depth / 100) ORDER BY flag, depth, raw) AS rn FROM levels), c AS (SELECT *, row_number() OVER (PARTITION BY cast_id ORDER BY depth) AS nth FROM b WHERE rn = 1)
 SELECT cast_id, depth, raw AS value FROM c WHERE nth <= 2""")
 def thinned_levels(spark, d):
@@ -75,14 +75,14 @@ def best_instances(spark, d):
     return P.best_instance(rows, ["series", "ts"], {"F": 0, "O": 1}, "o_orderstatus", "o_totalprice", "o_orderkey").select("series", "ts", F.col("o_orderkey").alias("kept"), "losers")
 
 
-@query("A49 W15", """
+@query("A49", """
 WITH s AS (SELECT mmsi, r_t, 2 * 6371.0 * asin(least(1.0, sqrt(power(sin(radians(lat - lag(lat) OVER w) / 2), 2) + cos(radians(lat)) * cos(radians(lag(lat) OVER w)) * power(sin(radians(lon - lag(lon) OVER w) / 2), 2)))) AS km FROM positions WINDOW w AS (PARTITION BY mmsi ORDER BY r_t, lon, lat))
 SELECT mmsi, count(*) AS points, round(coalesce(sum(km), 0), 4) AS km, min(r_t) AS t0, max(r_t) AS t1 FROM s GROUP BY mmsi""")
 def trail_summary(spark, d):
     return P.trail(table(spark, d, "positions").select("mmsi", F.col("r_t").alias("t"), "lon", "lat"), "mmsi").withColumn("km", F.round("km", 4))
 
 
-@query("A50 A51", """
+@query("A50", """
 WITH s AS (SELECT mmsi, r_t, lon, lat, coalesce(((lon - lag(lon) OVER w + 540) % 360) - 180, 0) AS delta, first_value(lon) OVER w AS f FROM positions WINDOW w AS (PARTITION BY mmsi ORDER BY r_t, lon, lat)),
 u AS (SELECT mmsi, f + sum(delta) OVER (PARTITION BY mmsi ORDER BY r_t, lon, lat ROWS UNBOUNDED PRECEDING) AS u FROM s)
 SELECT mmsi, round((min(u) + 540) % 360 - 180, 6) AS west, round((max(u) + 540) % 360 - 180, 6) AS east, floor((min(u) + 180) / 360) <> floor((max(u) + 180) / 360) AS crosses FROM u GROUP BY mmsi""")
@@ -96,7 +96,7 @@ def month_stamps(spark, d):
     return P.month_stamped(rows, "leg")
 
 
-@query("A28 A29 A31 A54", """
+@query("A28", """
 SELECT 'set' || (o_custkey % 3) AS set_name, 'st' || (o_custkey % 50) AS station, o_orderdate::DATE AS day, count(*) AS samples, min(o_totalprice) AS min_depth, max(o_totalprice) AS max_depth, bool_or(k > 0) AS has_value, substr(sha1('set' || (o_custkey % 3) || '|' || 'st' || (o_custkey % 50) || '|' || strftime(o_orderdate, '%Y-%m-%d')), 1, 16) AS cast_key
 FROM (SELECT *, o_orderkey % 5 - 2 AS k FROM orders) GROUP BY ALL""")
 def cast_derivation(spark, d):
@@ -104,7 +104,7 @@ def cast_derivation(spark, d):
     return P.casts(rows)
 
 
-@query("A30 A55 A40 W19", """
+@query("", """
 SELECT cast_id, array_to_string(list_transform(list_sort(list({'d': depth, 'v': raw})), lambda x: x.d::INT::VARCHAR), ',') AS depths, count(depth) - count(DISTINCT depth) AS repeated, round(list_sum(list_transform(list_sort(list({'d': depth, 'v': raw})), lambda x: x.v)), 2) AS total FROM levels GROUP BY cast_id""")
 def level_arrays(spark, d):
     out = P.level_arrays(table(spark, d, LEVELS).select("cast_id", "depth", F.col("raw").alias("value")), "cast_id")

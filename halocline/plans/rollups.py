@@ -30,7 +30,7 @@ def cube(spark, d):
     return R.facet_cube(table(spark, d, "occurrences"), CUTOFF)
 
 
-@query("A1 P5 P6 S2", f"SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, grp, decade, depth_band, edna, n FROM ({CUBE})")
+@query("A1 P5 P6", f"SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, grp, decade, depth_band, edna, n FROM ({CUBE})")
 def facet_cube(spark, d):
     return cube(spark, d).select(F.round(F.col("rlon").cast("double"), 6).alias("lon"), F.round(F.col("rlat").cast("double"), 6).alias("lat"), "grp", "decade", "depth_band", "edna", "n")
 
@@ -41,7 +41,7 @@ def site_dimension(spark, d):
     return R.site_ids(places).select("site_id", F.col("rlon").cast("double").alias("lon"), F.col("rlat").cast("double").alias("lat"))
 
 
-@query("A3 A4 P16", f"""
+@query("A3 A4", f"""
 WITH c AS ({CUBE}), g AS (SELECT least(floor(round(lon, 6)), 179)::INT AS cx, least(floor(round(lat, 6)), 89)::INT AS cy, grp, sum(n) AS n, bool_and(edna) AS e FROM c GROUP BY ALL)
 SELECT cx, cy, sum(n)::BIGINT AS total, min_by(grp, (-n, grp)) AS top_group, bit_or(CASE grp WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END) AS groups, bool_and(e) AS edna_only FROM g GROUP BY cx, cy""")
 def grid_rollup(spark, d):
@@ -63,7 +63,7 @@ def hex_density(spark, d):
     return R.hex_density(points.select(q.alias("q"), r.alias("r"), "src"))
 
 
-@query("A7 A24 F25 P26", """
+@query("A7 F25", """
 WITH o AS (SELECT floor(lon / 10)::INT AS cx, floor(lat / 10)::INT AS cy, year FROM occurrences), k AS (SELECT cx, cy, year // 10 * 10 AS decade, count(*) AS k, min(year) AS lo, max(year) AS hi FROM o GROUP BY ALL)
 SELECT cx, cy, sum(k)::BIGINT AS n, min(lo) AS min_year, max(hi) AS max_year, coalesce(sum(k) FILTER (decade IS NULL), 0)::BIGINT AS undated, string_agg(decade || ':' || k, ',' ORDER BY decade) FILTER (decade IS NOT NULL) AS decades FROM k GROUP BY cx, cy""")
 def decade_histogram(spark, d):
@@ -83,12 +83,12 @@ def hotspots(spark, d):
     return R.hotspot_grid(rows, 20.0)
 
 
-@query("A13 A14 T5", "SELECT key_id, date_trunc('hour', ts) AS hour, label, count(*) AS requests, count(*) FILTER (status >= 400) AS errors, sum(bytes)::BIGINT AS bytes FROM requests GROUP BY ALL")
+@query("A13", "SELECT key_id, date_trunc('hour', ts) AS hour, label, count(*) AS requests, count(*) FILTER (status >= 400) AS errors, sum(bytes)::BIGINT AS bytes FROM requests GROUP BY ALL")
 def hourly_usage(spark, d):
     return R.usage(table(spark, d, "requests")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("A15 A16", """
+@query("", """
 WITH n AS (SELECT max(ts) AS t FROM requests), a AS (SELECT key_id, agent, epoch_us(n.t) - epoch_us(ts) AS age FROM requests, n),
 s AS (SELECT key_id, count(*) FILTER (age < 86400000000) AS recent, count(DISTINCT agent) FILTER (age < 86400000000) AS agents, count(*) FILTER (age >= 86400000000 AND age < 604800000000) / 6.0 AS baseline FROM a GROUP BY key_id)
 SELECT key_id, 'multi_agent' AS flag, CASE WHEN agents >= 6 THEN 'warn' ELSE 'info' END AS severity FROM s WHERE agents >= 3
@@ -120,7 +120,7 @@ def heavy_tiles(spark, d):
     return R.heavy_tiles(table(spark, d, "occurrences").select(x.alias("tx"), y.alias("ty")), 6, 3, 50)
 
 
-@query("A20 A21 W5 O1", """
+@query("A20", """
 WITH k AS (SELECT floor(lon / 30)::INT AS cx, floor(lat / 30)::INT AS cy, * FROM occurrences)
 SELECT cx, cy, count(*) AS n, min_by(occ_id, (year, occ_id)) AS first_id, count(DISTINCT species_no) AS species, round(avg(depth), 6) AS depth FROM k WHERE year IS NOT NULL GROUP BY cx, cy""")
 def cell_readout(spark, d):
@@ -128,7 +128,7 @@ def cell_readout(spark, d):
     return k.agg(F.count(F.lit(1)).alias("n"), F.min_by("occ_id", F.struct("year", "occ_id")).alias("first_id"), F.count_distinct("species_no").alias("species"), F.round(F.avg("depth"), 6).alias("depth"))
 
 
-@query("A23 A25 A38 W4 O4", f"""
+@query("A38 W4", f"""
 WITH g AS (SELECT grp, count(*) AS n, count(*) FILTER (edna) AS edna, count(*) FILTER (year IS NULL) AS undated, count(*) FILTER (depth IS NULL) AS no_depth, min(year) AS min_year, max(year) FILTER (year <= {CUTOFF}) AS max_year, median(year) AS median_year FROM occurrences GROUP BY grp)
 SELECT *, sum(n) OVER ()::BIGINT AS total FROM g""")
 def place_profile(spark, d):
@@ -137,7 +137,7 @@ def place_profile(spark, d):
     return g.withColumn("total", o.agg(F.count(F.lit(1))).scalar())
 
 
-@query("A26 F14", """
+@query("A26", """
 WITH m AS (SELECT l_suppkey, median(l_extendedprice) FILTER (l_extendedprice > 0) AS med FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_suppkey)
 SELECT l.l_suppkey, count(*) AS n, count(*) FILTER (coalesce(med >= 35000 AND l_extendedprice >= 35000, false)) AS flagged FROM lineitem l LEFT JOIN m ON m.l_suppkey = l.l_suppkey GROUP BY l.l_suppkey""")
 def median_flag(spark, d):
@@ -145,7 +145,7 @@ def median_flag(spark, d):
     return R.median_flag(rows, "l_suppkey", "l_extendedprice", 35000.0, F.col("l_returnflag") != "R").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"))
 
 
-@query("A34 A32 A33 J15 F21", """
+@query("A34", """
 WITH c AS (SELECT floor(lon / 5)::INT AS cx, floor(lat / 5)::INT AS cy, count(*) FILTER (edna)::DOUBLE AS k, max(CAST(species_no AS DOUBLE)) / 50 AS noise, 1 + (min(species_no) % 3)::DOUBLE / 2 AS weight FROM occurrences GROUP BY ALL),
 d AS (SELECT *, CASE WHEN cy < 0 THEN 'south' ELSE 'north' END AS region, nullif(k, 0) AS cnt FROM c), p AS (SELECT region, quantile_cont(cnt, 0.95) AS p95 FROM d GROUP BY region),
 i AS (SELECT d.*, least(1.0, CASE WHEN cnt IS NULL THEN noise * 0.5 ELSE noise * least(1.0, cnt / p95) * weight END) AS idx FROM d JOIN p ON d.region = p.region)
@@ -157,7 +157,7 @@ def noise_risk(spark, d):
     return out.select("cx", "cy", "region", F.round("index", 6).alias("risk"), classify.risk_level(F.round("index", 9), F.col("noise").isNull()).alias("level"))
 
 
-@query("A35 G9 G8", """
+@query("A35 G9", """
 WITH c AS (SELECT l_partkey, CASE WHEN l_quantity IS NULL OR l_quantity < 3 THEN 'no_data' WHEN l_quantity <= l_suppkey % 20 THEN 'supersaturated' WHEN l_quantity <= l_suppkey % 20 + l_linenumber THEN 'newly_corrosive' ELSE 'corrosive_preindustrial' END AS class, l_linenumber::DOUBLE AS weight, l_quantity / 50 AS s FROM lineitem), t AS (SELECT unnest([0.2, 0.5, 0.8]::DOUBLE[]) AS cutoff)
 SELECT cutoff, round(sum(CASE WHEN class IN ('newly_corrosive', 'corrosive_preindustrial') THEN weight ELSE 0 END) / sum(weight), 6) AS exposed_share FROM c, t WHERE class <> 'no_data' AND s >= cutoff GROUP BY cutoff""")
 def exposure_shares(spark, d):
@@ -175,7 +175,7 @@ def segment_statistics(spark, d):
     return g.select("dataset", "n", "total", "customers", *[F.round(F.col("p")[i], 4).alias(x) for i, x in enumerate(("p1", "p50", "p99"))], "states")
 
 
-@query("A37 A57", """SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY ALL""")
+@query("A37", """SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY ALL""")
 def monthly_means(spark, d):
     return table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("std"), F.count(F.lit(1)).alias("n"))
 
@@ -187,7 +187,7 @@ def deployments(spark, d):
     return R.deployments(rows)
 
 
-@query("A46 F7 F8", """SELECT dataset, pattern, count(*) AS n, count(*) FILTER (a > 12) AS first_over_12, count(*) FILTER (b > 12) AS second_over_12 FROM (SELECT o_custkey % 5 AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'slash' ELSE 'dot' END AS pattern, day(o_orderdate) AS a, month(o_orderdate) AS b FROM orders) GROUP BY ALL""")
+@query("", """SELECT dataset, pattern, count(*) AS n, count(*) FILTER (a > 12) AS first_over_12, count(*) FILTER (b > 12) AS second_over_12 FROM (SELECT o_custkey % 5 AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'slash' ELSE 'dot' END AS pattern, day(o_orderdate) AS a, month(o_orderdate) AS b FROM orders) GROUP BY ALL""")
 def date_order_evidence(spark, d):
     text = F.concat(F.date_format("o_orderdate", "dd"), F.when(F.col("o_orderkey") % 2 == 0, "/").otherwise("."), F.date_format("o_orderdate", "MM"))
     rows = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("dataset"), text.alias("t"))
@@ -195,7 +195,7 @@ def date_order_evidence(spark, d):
     return rows.groupBy("dataset", F.when(F.col("t").contains("/"), "slash").otherwise("dot").alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.count_if(a > 12).alias("first_over_12"), F.count_if(b > 12).alias("second_over_12"))
 
 
-@query("P1 P2 P3 P4 P11 P18 P19 F2", """
+@query("P11 P18", """
 WITH o AS (SELECT occ_id, CASE WHEN l_linenumber = 5 THEN lon * 2 ELSE lon END AS lon, lat, grp, edna FROM occurrences),
 c AS (SELECT *, CASE WHEN grp = 'R' AND edna THEN 'dropped' WHEN lon NOT BETWEEN -180 AND 180 THEN 'out_of_range' ELSE NULL END AS reason,
  CASE WHEN lon NOT BETWEEN -180 AND 180 THEN NULL WHEN lat >= 66.5 THEN 'Arctic Ocean' WHEN lat <= -60 THEN 'Southern Ocean' WHEN lat BETWEEN 30 AND 46 AND lon BETWEEN -6 AND 36 THEN 'Mediterranean Sea' WHEN lat > 30 AND lon >= 20 AND lon < 100 THEN NULL WHEN lat > -10 AND lon BETWEEN 100 AND 130 THEN NULL
@@ -208,14 +208,14 @@ def drop_reasons_and_basins(spark, d):
     return o.groupBy(reason.alias("reason"), classify.basin(F.col("lon"), F.col("lat")).alias("basin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P17 P24 F24", """
+@query("P17", """
 SELECT CASE WHEN regexp_matches(t, '(^|[^a-z])nc([^a-z]|$)|non-?commercial') THEN 'cc-by-nc' WHEN regexp_matches(t, '(^|[^a-z])nd([^a-z]|$)|no-?deriv') THEN 'unknown' WHEN t LIKE '%cc0%' THEN 'cc0' WHEN t LIKE '%by-sa%' OR t LIKE '%sharealike%' THEN 'cc-by-sa' WHEN t LIKE '%cc-by%' THEN 'cc-by' ELSE 'unknown' END AS licence, count(*) AS n
 FROM (SELECT regexp_replace(trim(lower(coalesce(text, ''))), '[\\s_]+', '-', 'g') AS t FROM documents) GROUP BY ALL""")
 def licence_classes(spark, d):
     return table(spark, d, "documents").groupBy(classify.licence(F.col("text")).alias("licence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P13 P12", """
+@query("P13", """
 WITH k AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT *, lag(day) OVER (ORDER BY day) AS a, lead(day) OVER (ORDER BY day) AS b FROM k)
 SELECT day, n FROM w WHERE n >= 5 AND (a IS NULL OR day - a > 1) AND (b IS NULL OR b - day > 1)""")
 def date_spikes(spark, d):

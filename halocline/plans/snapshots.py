@@ -7,7 +7,7 @@ from halocline.plans.book import query
 from halocline.plans.standins import table
 
 
-@query("S12 S17 U3 J19 S19 S20", "SELECT id, dataset FROM stored WHERE id NOT IN (SELECT id FROM seen)")
+@query("S17 U3", "SELECT id, dataset FROM stored WHERE id NOT IN (SELECT id FROM seen)")
 def purge_set(spark, d):
     return N.purge_set(table(spark, d, "stored"), table(spark, d, "seen"), "id").select("id", "dataset")
 
@@ -26,13 +26,13 @@ def orphan_split(spark, d):
     return N.orphan_split(table(spark, d, "stored"), table(spark, d, "seen"), "id", "dataset")
 
 
-@query("S13 S30", "SELECT s.id, s.dataset, coalesce(n.value, s.value) AS value, coalesce(n.state, s.state) AS state FROM stored s LEFT JOIN (SELECT id, nullif(value, 0) AS value, CASE WHEN state = 'P' THEN NULL ELSE state END AS state FROM seen) n ON n.id = s.id")
+@query("S13", "SELECT s.id, s.dataset, coalesce(n.value, s.value) AS value, coalesce(n.state, s.state) AS state FROM stored s LEFT JOIN (SELECT id, nullif(value, 0) AS value, CASE WHEN state = 'P' THEN NULL ELSE state END AS state FROM seen) n ON n.id = s.id")
 def coalescing_upsert(spark, d):
     new = table(spark, d, "seen").selectExpr("id", "dataset", "nullif(value, 0D) AS value", "CASE WHEN state = 'P' THEN NULL ELSE state END AS state")
     return N.coalescing_upsert(table(spark, d, "stored"), new, "id")
 
 
-@query("S14 S11", "SELECT dataset, sum(n)::BIGINT AS n FROM (SELECT dataset, count(*) AS n FROM stored GROUP BY dataset UNION ALL SELECT dataset, count(*) FROM seen GROUP BY dataset) GROUP BY dataset")
+@query("S14", "SELECT dataset, sum(n)::BIGINT AS n FROM (SELECT dataset, count(*) AS n FROM stored GROUP BY dataset UNION ALL SELECT dataset, count(*) FROM seen GROUP BY dataset) GROUP BY dataset")
 def additive_upsert(spark, d):
     a, b = (table(spark, d, t).groupBy("dataset").agg(F.count(F.lit(1)).alias("n")) for t in ("stored", "seen"))
     return N.additive_upsert(a, b, ["dataset"], ["n"])
@@ -48,7 +48,7 @@ def change_only_upsert(spark, d):
     return N.change_only_upsert(table(spark, d, "stored").where("dataset <> 5"), table(spark, d, "seen"), "id", ["value", "state"])
 
 
-@query("S29 A44", """
+@query("S29", """
 SELECT CASE WHEN s.id IS NULL THEN 'not_in_table' WHEN s.v IS NOT DISTINCT FROM n.v THEN 'unchanged' WHEN s.v IS NULL THEN 'null_to_value' WHEN n.v IS NULL THEN 'value_to_null' WHEN s.v = 0 THEN 'zero_to_value' WHEN s.v * n.v < 0 THEN 'sign_flip' ELSE 'other' END AS change, count(*) AS n
 FROM (SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 - 2 END AS v FROM seen) n LEFT JOIN (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 4 - 1 END AS v FROM stored WHERE dataset <> 5) s ON s.id = n.id GROUP BY ALL""")
 def change_report(spark, d):
@@ -56,7 +56,7 @@ def change_report(spark, d):
     return N.change_report(old, table(spark, d, "seen").selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 - 2 END AS v"), "id", "v")
 
 
-@query("S25 S26", """
+@query("S25", """
 WITH r AS (SELECT id, id % 9 AS revision FROM seen WHERE id % 11 <> 0), s AS (SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE 4 END AS stamp, id % 17 <> 0 AS has_values FROM stored WHERE dataset <> 2), k AS (SELECT id, 5 AS judged FROM stored WHERE dataset = 2 AND id % 2 = 0)
 SELECT coalesce(r.id, s.id) AS id, CASE WHEN r.id IS NULL THEN 'vanished' WHEN s.id IS NULL AND judged >= revision THEN 'skip' WHEN s.id IS NULL THEN 'new' WHEN NOT has_values THEN 'broken' WHEN stamp IS NOT NULL AND revision > stamp THEN 'corrected' WHEN stamp IS NULL THEN 'stamp_only' ELSE 'keep' END AS action
 FROM r FULL JOIN s ON r.id = s.id LEFT JOIN k ON k.id = r.id""")
@@ -66,7 +66,7 @@ def revision_plan(spark, d):
     return N.revision_plan(remote, stored.where("dataset <> 2").selectExpr("id", "CASE WHEN id % 13 = 0 THEN NULL ELSE 4 END AS stamp", "id % 17 <> 0 AS has_values"), stored.where("dataset = 2 AND id % 2 = 0").selectExpr("id", "5 AS judged"))
 
 
-@query("S27 S28", """
+@query("S27", """
 WITH g AS (SELECT dataset, count(*) AS g FROM stored WHERE id NOT IN (SELECT id FROM seen) GROUP BY dataset), s AS (SELECT dataset, count(*) AS s FROM stored GROUP BY dataset)
 SELECT sum(coalesce(g, 0))::BIGINT AS gone, sum(s)::BIGINT AS stored, sum(coalesce(g, 0)) > greatest(100, sum(s) * 0.5) OR bool_or(coalesce(g, 0) > s * 0.8) AS hold FROM s LEFT JOIN g ON g.dataset = s.dataset""")
 def held_deletions(spark, d):
@@ -74,7 +74,7 @@ def held_deletions(spark, d):
     return N.held_deletions(N.purge_set(stored, table(spark, d, "seen"), "id"), stored, "dataset", 100, 0.5, 0.8)
 
 
-@query("S31 S32", """
+@query("", """
 WITH a AS (SELECT l_orderkey AS k, 't' || (l_suppkey % 4) AS taxon, sum(l_quantity) AS n FROM lineitem GROUP BY ALL), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n, round(coalesce(sum(a.n), 0), 2) AS total FROM a FULL JOIN b ON a.k = b.k GROUP BY ALL""")
 def two_file_consistency(spark, d):
@@ -87,14 +87,14 @@ def two_file_consistency(spark, d):
     return both.groupBy(F.when(F.col("k").isNull(), "only_b").when(F.col("b_k").isNull(), "only_a").otherwise("both").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("n"), F.lit(0.0)), 2).alias("total"))
 
 
-@query("S33 J20", """
+@query("S33", """
 SELECT DISTINCT c_custkey % 200 AS name FROM customer WHERE c_custkey % 200 NOT IN (SELECT o_custkey % 200 FROM orders WHERE o_orderstatus = 'P' OR o_orderdate > TIMESTAMP '1998-01-01')""")
 def pending_lookups(spark, d):
     answers = table(spark, d, "orders").select((F.col("o_custkey") % 200).alias("name"), (F.col("o_orderstatus") == "P").alias("found"), F.col("o_orderdate").cast("timestamp").alias("checked_at"))
     return N.pending(table(spark, d, "customer").select((F.col("c_custkey") % 200).alias("name")), answers, "name", F.expr("TIMESTAMP '1998-01-31'"), 30)
 
 
-@query("S21 S22 S23 M8", """SELECT n_nationkey AS id, CASE WHEN n_name LIKE 'I%' THEN '''' || n_name ELSE n_name END AS name, 'POLYGON((' || x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 || '))' AS wkt
+@query("S23", """SELECT n_nationkey AS id, CASE WHEN n_name LIKE 'I%' THEN '''' || n_name ELSE n_name END AS name, 'POLYGON((' || x0 || ' ' || y0 || ',' || x1 || ' ' || y0 || ',' || x1 || ' ' || y1 || ',' || x0 || ' ' || y1 || ',' || x0 || ' ' || y0 || '))' AS wkt
 FROM (SELECT *, n_nationkey * 3 AS x0, n_nationkey AS y0, n_nationkey * 3 + 2 AS x1, n_nationkey + 1 AS y1 FROM nation)""")
 def export_rows(spark, d):
     from halocline.sources.sinks import guard_formula, wkt

@@ -31,7 +31,7 @@ def point_in_zone(spark, d):
     return pos.select("pos_id").join(held, "pos_id", "left").select("pos_id", F.coalesce("zones", F.lit(0)).alias("zones"), "smallest")
 
 
-@query("J2 A12 T3", f"""
+@query("J2 A12", f"""
 WITH i AS (SELECT p.mmsi, p.r_t, z.zone_name FROM positions p JOIN boxes z ON {IN})
 SELECT mmsi, min(r_t) AS first_seen, max(r_t) AS last_seen, max_by(zone_name, (r_t, zone_name)) AS last_zone FROM i GROUP BY mmsi HAVING max(r_t) - min(r_t) > 86400""")
 def loiter(spark, d):
@@ -47,7 +47,7 @@ def zone_has_detection(spark, d):
     return z.join(hit, F.col("zone_id") == F.col("hit_id"), "left").select("zone_id", F.col("hit_id").isNotNull().alias("has_detection"))
 
 
-@query("J4 J18", """
+@query("", """
 SELECT a.zone_id AS zone_a, b.zone_id AS zone_b, abs(a.mx - b.mx) + a.half <= b.half AND abs(a.my - b.my) + a.half <= b.half AS inside
 FROM boxes a JOIN boxes b ON a.zone_id <> b.zone_id AND abs(a.mx - b.mx) <= a.half + b.half AND abs(a.my - b.my) <= a.half + b.half""")
 def zone_overlap(spark, d):
@@ -150,7 +150,7 @@ def paths_crossing_zones(spark, d):
     return pairs.where(meets & ~((F.least(*side) > 0) | (F.greatest(*side) < 0))).groupBy("zone_id").agg(F.count_distinct("mmsi").alias("vessels"))
 
 
-@query("J24 J16", """
+@query("J24", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY r_t DESC, pos_id DESC) AS rn FROM positions)
 SELECT r.mmsi, r.pos_id, c.c_name AS name FROM r LEFT JOIN customer c ON c.c_custkey = r.mmsi WHERE rn = 1""")
 def latest_with_identity(spark, d):
@@ -159,7 +159,7 @@ def latest_with_identity(spark, d):
     return last.join(names, F.col("mmsi") == F.col("id"), "left").select("mmsi", "p.pos_id", "name")
 
 
-@query("J26 J27 P14 P15 O2 F4 F5", """
+@query("P15 O2", """
 WITH k AS (SELECT occ_id, lon, lat FROM occurrences WHERE lon BETWEEN -20 AND 20 AND lat BETWEEN -10 AND 30), r AS (SELECT *, row_number() OVER (ORDER BY occ_id) AS rn FROM k)
 SELECT occ_id, round(lon, 6) AS lon, round(lat, 6) AS lat, (SELECT count(*) FROM k) > 500 AS capped FROM r WHERE rn <= 500""")
 def area_export(spark, d):

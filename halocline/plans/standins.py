@@ -26,6 +26,20 @@ TABLES = {
     "field": "SELECT CAST(l_partkey % 60 AS INT) AS i, CAST(l_suppkey % 40 AS INT) AS j, CASE WHEN min(l_quantity) < 2 THEN NULL ELSE CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) END AS value FROM lineitem GROUP BY CAST(l_partkey % 60 AS INT), CAST(l_suppkey % 40 AS INT)",
     "columns": "SELECT o_custkey AS col_id, CAST(o_orderkey % 40 * 100 AS DOUBLE) AS depth, max(CAST(o_orderkey % 13 AS DOUBLE)) / CAST(4 AS DOUBLE) AS value FROM orders GROUP BY o_custkey, o_orderkey % 40",
 }
+TABLES |= {
+    # Raw finds: ranks, coordinates with gaps and zeros, depths of both signs, dates written in several ways.
+    "finds": """SELECT l_orderkey * 8 + l_linenumber AS occ_id, l_suppkey % 6 AS dataset, l_linenumber, l_partkey, l_suppkey,
+    CASE l_partkey % 23 WHEN 0 THEN NULL WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST(200 AS DOUBLE) ELSE CAST(l_partkey * 37 % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) END AS lon,
+    CASE l_partkey % 23 WHEN 1 THEN CAST(0 AS DOUBLE) ELSE CAST(l_suppkey * 53 % 1800 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(90 AS DOUBLE) END AS lat,
+    CASE l_partkey % 11 WHEN 0 THEN 'Copepoda' WHEN 1 THEN 'Dinophyceae' WHEN 2 THEN 'Bacillariophyceae' WHEN 3 THEN 'Coccolithophyceae' WHEN 4 THEN 'Prymnesiophyceae' WHEN 5 THEN 'Malacostraca' WHEN 6 THEN NULL ELSE 'Maxillopoda' END AS class,
+    CASE WHEN l_partkey % 7 = 0 THEN 'Copepoda' END AS subclass, CASE l_suppkey % 5 WHEN 0 THEN 'Harpacticoida' WHEN 1 THEN 'Euphausiacea' WHEN 2 THEN 'Phaeocystales' WHEN 3 THEN NULL ELSE 'Calanoida' END AS ord,
+    CASE l_suppkey % 3 WHEN 0 THEN 'Microsetella' WHEN 1 THEN 'Tisbe' END AS genus, CASE l_suppkey % 8 WHEN 0 THEN 'Bacillariophyta' WHEN 1 THEN 'Dinoflagellata' END AS phylum,
+    l_linenumber = 7 AS absence, CASE WHEN l_quantity < 2 THEN true WHEN l_quantity < 3 THEN NULL ELSE false END AS dropped, l_quantity > 48 AS on_land,
+    CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN -l_quantity ELSE l_quantity * 300 END AS depth, CASE WHEN l_linenumber % 2 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE l_quantity END AS dmin,
+    CASE WHEN l_suppkey % 4 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN -l_quantity * 2 ELSE l_quantity * 3 END AS dmax, CASE l_suppkey % 9 WHEN 0 THEN 'Arctic 18S amplicons' WHEN 1 THEN 'eDNA survey' ELSE 'Net tows' END AS title,
+    CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE l_linenumber % 4 - 1 END AS n_dna, CAST(year(l_shipdate) AS INT) AS y, CAST(month(l_shipdate) AS INT) AS m, CAST(day(l_shipdate) AS INT) AS d, l_partkey % 10 AS style FROM lineitem""",
+    "tags": "SELECT o_orderkey AS tag_id, o_custkey % 60 AS site, o_custkey, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS seen_at, CAST(o_custkey % 60 * 3 - 90 AS DOUBLE) AS lon, CAST(o_custkey % 60 - 80 AS DOUBLE) AS lat, 'Species ' || CAST(o_custkey % 37 AS STRING) AS name, o_orderkey % 9 AS cat_no FROM orders",
+}
 MARK = re.compile(r"\{(epoch|year):(\w+)\}")
 SPARK = {"epoch": "unix_seconds(CAST({0} AS TIMESTAMP))", "year": "year({0})"}
 DUCK = {"epoch": "CAST(floor(epoch({0})) AS BIGINT)", "year": "CAST(year({0}) AS INT)"}

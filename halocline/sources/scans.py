@@ -22,30 +22,50 @@ def occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def measured_text(spark: SparkSession, path: str, header: list[str], types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of tab-separated text whose header must be exactly header. The lines before it are a preamble; a line
-    with another number of fields is a reject. A file without the header fails the read."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    """(rows, rejects) of tab-separated text whose header must be exactly header. All lines before it are a preamble, whatever
+    they look like; a line after it with another number of fields is a reject. A file without just one header fails the read."""
     head = "\t".join(header)
-    good = lines.groupBy("file").agg(F.count_if(F.col("value") == head).alias("n")).where("n <> 1").limit(1).collect()
-    if good:
-        raise ValueError(f"{good[0].file} has {good[0].n} lines with the expected header")
+    # Lines of a split come in order, and splits of a file by their start.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = lines.groupBy("file").agg(F.count_if(F.col("value") == head).alias("n"), F.min(F.when(F.col("value") == head, F.struct("block", "line"))).alias("at"))
+    bad = heads.where("n <> 1").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].file} has {bad[0].n} lines with the expected header")
     parts = F.split("value", "\t", -1)
-    data = lines.where((F.col("value") != head) & ~F.col("value").startswith("#") & (F.col("value") != ""))
+    data = lines.join(heads.select(F.col("file").alias("h_file"), "at"), F.col("file") == F.col("h_file")).where(F.struct("block", "line") > F.col("at")).where("value <> ''")
     rows = data.where(F.size(parts) == len(header)).select("file", *[F.nullif(parts[i], F.lit("")).try_cast(types.get(c, "string")).alias(c) for i, c in enumerate(header)])
     return rows, data.where(F.size(parts) != len(header)).select("file", "value")
 
 
-def profile_index(spark: SparkSession, path: str, parameter: str) -> DataFrame:
-    """file, date, lon, lat and the mode letter of parameter, of the lines of a profile index that list it. Blank coordinates
-    are null; malformed lines are left out."""
+def commented_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """file, title, columns of tab files that begin with a comment block between /* and */ and a header. The block's 'Title:'
+    line is kept; a value that does not fit its column's type is null; a column that a file lacks is null."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    body = F.regexp_replace("value", r"(?s)^/\*.*?\*/\r?\n", "")
+    split = whole.select("file", F.nullif(F.regexp_extract("value", r"(?m)^Title:\s*(.*?)\s*$", 1), F.lit("")).alias("title"), F.filter(F.split(body, r"\r?\n"), lambda x: x != "").alias("lines"))
+    rows = split.select("file", "title", F.split(F.col("lines")[0], "\t", -1).alias("names"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).withColumn("parts", F.split("line", "\t", -1))
+    value = lambda c: F.get("parts", F.array_position("names", c).cast("int") - 1)
+    return rows.select("file", "title", *[F.when(F.array_contains("names", c), F.nullif(F.trim(value(c)), F.lit(""))).try_cast(t).alias(c) for c, t in columns.items()])
+
+
+def profile_index(spark: SparkSession, path: str, parameter: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a profile index: key, file, date, lon, lat, updated and the mode letter of parameter of the lines that
+    list it (blank coordinates are null), and the lines that cannot be read, each with its reason and, if the path tells, its key."""
     c = F.split("value", ",", -1)
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(c) == 10) & ~F.col("value").startswith("file,"))
-    at = F.array_position(F.split(c[7], " "), parameter)
-    return rows.where(at > 0).select(c[0].alias("file"), F.try_to_timestamp(c[1], F.lit("yyyyMMddHHmmss")).alias("date"), c[3].try_cast("double").alias("lon"), c[2].try_cast("double").alias("lat"), F.substr(c[8], at.cast("int"), F.lit(1)).alias("mode"))
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & ~F.col("value").startswith("file,") & (F.col("value") != ""))
+    key = F.regexp_extract(c[0], r"^(\w+)/(\d+)/profiles/[SBMR]*[RD]?\d+_(\d+D?)\.nc$", 1)
+    full = F.concat_ws("_", key, F.regexp_extract(c[0], r"^(\w+)/(\d+)/", 2), F.regexp_extract(c[0], r"_(\d+D?)\.nc$", 1))
+    listed, at = F.size(c) == 10, F.array_position(F.split(F.get(c, F.lit(7)), " "), parameter)
+    stamp = lambda i: F.try_to_timestamp(F.get(c, F.lit(i)), F.lit("yyyyMMddHHmmss"))
+    modes = F.length(F.get(c, F.lit(8)))
+    reason = F.when(~listed, "fields").when(key == "", "path").when(stamp(9).isNull(), "update").when((at > 0) & (modes < at), "mode")
+    rows = lines.withColumns({"key": F.when(key != "", full), "reason": reason, "place": at})
+    good = rows.where("reason IS NULL AND place > 0")
+    return good.select("key", c[0].alias("file"), stamp(1).alias("date"), c[3].try_cast("double").alias("lon"), c[2].try_cast("double").alias("lat"), stamp(9).alias("updated"), F.substr(c[8], F.col("place").cast("int"), F.lit(1)).alias("mode")), rows.where("reason IS NOT NULL").select("key", "reason", "value")
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """id (sha1 of the feature), type and geometry and properties as JSON text, a row per feature."""
+    """id (sha1 of the feature), kind of the geometry, its coordinates and properties as JSON text, a row per feature."""
     schema = "features array<struct<type: string, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
     f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     return f.select(F.sha1(F.to_json("f")).alias("id"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))

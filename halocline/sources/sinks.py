@@ -35,7 +35,7 @@ def write_csv(df: DataFrame, path: str, provenance: dict[str, str]) -> None:
 def write_weekly(positions: DataFrame, path: str, ts: str = "ts") -> None:
     """Positions partitioned by the week they fall in; only the weeks present are replaced."""
     weeks = positions.withColumn("week", F.to_date(F.date_trunc("week", ts)))
-    weeks.repartition("week").write.mode("append").partitionBy("week").parquet(path)
+    weeks.repartition("week").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
 
 
 def retained(table: DataFrame, now: Column, weeks: int) -> DataFrame:
@@ -53,3 +53,14 @@ def publish(tables: dict[str, DataFrame], folder: str, version: str, valid) -> b
         return False
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").json(f"{folder}/versions")
     return True
+
+
+def write_geojson(df: DataFrame, path: str, cap: int, provenance: dict[str, str]) -> None:
+    """One feature collection of at most cap rows (in order of their columns), with metadata: provenance, count and capped. The
+    cap bounds the one file."""
+    part = df.orderBy(*df.columns).limit(cap + 1)
+    total = part.agg(F.count(F.lit(1))).scalar()
+    rows = geojson_features(df.orderBy(*df.columns).limit(cap)).agg(F.collect_list("value").alias("f"))
+    meta = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in provenance.items()], F.size("f").alias("count"), (F.col("total") > cap).alias("capped")))
+    text = F.concat(F.lit('{"type":"FeatureCollection","metadata":'), meta, F.lit(',"features":['), F.array_join("f", ","), F.lit("]}"))
+    rows.withColumn("total", total).select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)

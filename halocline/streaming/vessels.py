@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MESSAGE = "MessageType string, MetaData struct<MMSI: long, ShipName: string, time_utc: string>, Message struct<Latitude: double, Longitude: double, Sog: double, Cog: double, TrueHeading: int, NavigationalStatus: int>"
@@ -31,10 +31,10 @@ def hourly(positions: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def merge_latest(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """The newest row per mmsi of a table and a micro-batch (for foreachBatch; the table is written to a new version)."""
+    """The newest row per mmsi of a table and a micro-batch, ties by the other columns in order (for foreachBatch; the table is written to a new version)."""
     rows = old.unionByName(batch)
     others = [c for c in rows.columns if c != "mmsi"]
-    return rows.groupBy("mmsi").agg(F.max_by(F.struct(*others), "ts").alias("r")).select("mmsi", "r.*")
+    return rows.groupBy("mmsi").agg(F.max(F.struct("ts", *[c for c in others if c != "ts"])).alias("r")).select("mmsi", *[F.col("r")[c].alias(c) for c in others])
 
 
 def watch_boxes(latest: DataFrame, degrees: float) -> DataFrame:
@@ -45,3 +45,40 @@ def watch_boxes(latest: DataFrame, degrees: float) -> DataFrame:
 def open_flags(flags: DataFrame, existing: DataFrame) -> DataFrame:
     """New (key_id, flag) rows without an open flag of the same kind."""
     return flags.dropDuplicates(["key_id", "flag"]).join(existing.where("acknowledged_at IS NULL").select("key_id", "flag"), ["key_id", "flag"], "left_anti")
+
+
+def split_late(rows: DataFrame, batch: str, weeks: int = 1) -> DataFrame:
+    """rows (ts and the number of their micro-batch) with late: whether their week is older than the weeks that stay open before
+    the newest week of earlier batches. Only one row per batch is put in order."""
+    week = F.date_trunc("week", F.col("ts"))
+    marks = rows.groupBy(F.col(batch).alias("m_batch")).agg(F.max(week).alias("newest"))
+    before = Window.orderBy("m_batch").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("open", F.max("newest").over(before))
+    return rows.join(marks.select("m_batch", "open"), F.col(batch) == F.col("m_batch")).withColumn("late", F.coalesce(week < F.col("open") - F.expr(f"INTERVAL {7 * weeks} DAYS"), F.lit(False))).drop("m_batch", "open")
+
+
+def correlate_pending(detections: DataFrame, results: DataFrame, positions: DataFrame) -> DataFrame:
+    """results with those of detections that have none yet, matched against positions."""
+    from halocline.operators.spatial import match_detections
+
+    pending = detections.join(results.select("det_id"), "det_id", "left_anti")
+    return results.unionByName(match_detections(pending, positions).select(results.columns))
+
+
+def reclassify(results: DataFrame, detections: DataFrame, positions: DataFrame) -> DataFrame:
+    """results where ambiguous ones are judged again with the positions that came since; others stay."""
+    from halocline.operators.spatial import match_detections
+
+    again = detections.join(results.where("class = 'ambiguous'").select("det_id"), "det_id", "left_semi")
+    return results.where("class <> 'ambiguous'").unionByName(match_detections(again, positions).select(results.columns))
+
+
+def run_to_end(source: DataFrame, checkpoint: str, each) -> None:
+    """Run a stream over what there is now, in micro-batches as its source limits them; each(batch, number) gets every one once."""
+    source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def merge_counted(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Per mmsi the newest (ts, pos_id) of both, and the sum of rows_seen."""
+    both = old.unionByName(batch).groupBy("mmsi").agg(F.max(F.struct("ts", "pos_id")).alias("r"), F.sum("rows_seen").alias("rows_seen"))
+    return both.select("mmsi", "r.ts", "r.pos_id", "rows_seen")

@@ -204,9 +204,13 @@ def test_measured_text(spark, tmp_path):
 
 
 def test_profile_index(spark, tmp_path):
-    (tmp_path / "i.txt").write_text("# c\nfile,date,latitude,longitude,ocean,type,institution,parameters,modes,update\na.nc,20200101000000,1.5,,A,1,X,TEMP DOXY,RD,20200102000000\nb.nc,20200101000000,1,2,A,1,X,TEMP,R,20200102000000\nbroken\n")
-    r = scans.profile_index(spark, str(tmp_path / "i.txt"), "DOXY").collect()
-    assert len(r) == 1 and (r[0].mode, r[0].lat, r[0].lon) == ("D", 1.5, None)
+    line = "%s,20200101000000,1.5,,A,1,X,%s,%s,20200102000000\n"
+    text = line % ("dac/12/profiles/SR12_001.nc", "TEMP DOXY", "RD") + line % ("dac/12/profiles/SR12_002D.nc", "TEMP", "R") + line % ("a.nc", "TEMP DOXY", "RD") + line % ("dac/12/profiles/SR12_003.nc", "TEMP DOXY", "R") + "broken\n"
+    (tmp_path / "i.txt").write_text("# c\nfile,date,latitude,longitude,ocean,type,institution,parameters,modes,update\n" + text)
+    rows, rejects = scans.profile_index(spark, str(tmp_path / "i.txt"), "DOXY")
+    r = rows.collect()
+    assert len(r) == 1 and (r[0].key, r[0].mode, r[0].lat, r[0].lon) == ("dac_12_001", "D", 1.5, None)
+    assert sorted((x.reason, x.key) for x in rejects.collect() if x.key) == [("mode", "dac_12_003")] and sorted(x.reason for x in rejects.collect()) == ["fields", "mode", "path"]
 
 
 def test_ragged_rejects_one_variable_only(spark):
