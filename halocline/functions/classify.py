@@ -131,3 +131,8 @@ def years_count(years: Column, undated: Column, first: int | None, last: int | N
 def decade_index(year: Column) -> Column:
     """0 for the 1970s to 5 for the 2020s; null outside."""
     return F.when(year.between(1970, 2029), F.floor((year - 1970) / 10).cast("int"))
+
+
+def concentration(value: Column, codes: tuple) -> Column:
+    """A concentration; null for a fill code or a negative value."""
+    return F.when(~value.isin(*codes) & (value >= 0), value)

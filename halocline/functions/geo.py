@@ -95,3 +95,27 @@ def deinterleave(key: Column, bits: int = GRID_BITS) -> tuple[Column, Column]:
     """Column and row of a Morton key."""
     take = lambda first: sum((F.shiftleft(F.shiftright(key, 2 * i + first).bitwiseAND(1), i) for i in range(1, bits)), F.shiftright(key, first).bitwiseAND(1))
     return take(0), take(1)
+
+
+def area_key_ranges(west: float, south: float, east: float, north: float, most: int = 16) -> list[tuple[int, int]]:
+    """At most that many half-open ranges of Morton keys that hold a box: its tiles at the deepest zoom at which they are few
+    enough, neighbouring ranges joined."""
+
+    def place(lon: float, lat: float, zoom: int) -> tuple[int, int]:
+        y = math.log(math.tan(math.pi / 4 + math.radians(max(-MERC_LAT, min(MERC_LAT, lat))) / 2)) / math.pi
+        at = lambda v: max(0, min((1 << zoom) - 1, math.floor(v * (1 << zoom))))
+        return at((lon + 180) / 360), at((1 - y) / 2)
+
+    tiles: list[tuple[int, int]] = [(0, 1 << 2 * GRID_BITS)]
+    for zoom in range(1, GRID_BITS + 1):
+        (x0, y0), (x1, y1) = place(west, north, zoom), place(east, south, zoom)
+        if (x1 - x0 + 1) * (y1 - y0 + 1) > most:
+            break
+        tiles = sorted(tile_key_range(zoom, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1))
+    out = tiles[:1]
+    for low, high in tiles[1:]:
+        if low == out[-1][1]:
+            out[-1] = out[-1][0], high
+        else:
+            out.append((low, high))
+    return out

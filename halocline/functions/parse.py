@@ -85,3 +85,7 @@ def row_problem(key: Column, lon: Column, lat: Column, y: Column, m: Column, d:
 def match_rank(kind: Column) -> Column:
     order = F.array(*[F.lit(x) for x in ("exact", "like", "phonetic", "near_1", "near_2", "near_3")])
     return F.coalesce(F.nullif(F.array_position(order, kind), F.lit(0)), F.lit(99))
+
+
+def ph_baseline(depth: Column) -> Column:
+    return F.when(depth.isNull() | (depth < 200), 7.95).when(depth < 1000, 7.75).otherwise(7.60)

@@ -165,3 +165,24 @@ def facet_filter(cube: DataFrame, **allowed: list) -> DataFrame:
     for name, values in allowed.items():
         cube = cube.where(F.col(name).isin(*values))
     return cube
+
+
+def leak_statistics(requests: DataFrame, now: Column, window_h: float = 24, days: int = 6) -> DataFrame:
+    """key_id, recent, countries, asns, agents, names (countries in order), baseline: the last window of a key (unknown countries,
+    networks and agents are not counted) and the mean of the windows of days before. A null key is left out."""
+    rows = requests.where("key_id IS NOT NULL").withColumn("age", (F.unix_micros(now) - F.unix_micros(F.col("ts"))) / 3.6e9)
+    recent = F.col("age") < window_h
+    own = lambda c: F.when(recent, F.col(c))
+    earlier = F.count_if((F.col("age") >= window_h) & (F.col("age") < window_h * (days + 1)))
+    g = rows.groupBy("key_id").agg(F.count_if(recent).alias("recent"), *[F.count_distinct(own(c)).alias(n) for c, n in (("country", "countries"), ("asn", "asns"), ("agent", "agents"))], F.array_sort(F.collect_set(own("country"))).alias("names"), F.nullif(earlier / float(days), F.lit(0.0)).alias("baseline"))
+    return g.where("recent > 0").withColumn("names", F.when(F.size("names") > 0, F.array_join("names", ",")))
+
+
+def leak_rules(stats: DataFrame, countries: int = 3, asns: int = 5, agents: int = 5, factor: float = 5.0, least: int = 1000) -> DataFrame:
+    """stats with a row for each flag that it raises: flag and severity."""
+    said = lambda when, flag, severity: F.when(when, F.struct(F.lit(flag).alias("flag"), severity.alias("severity")))
+    rules = F.array(
+        said(F.col("countries") >= countries, "multi_country", F.when(F.col("countries") >= 2 * countries, "critical").otherwise("warn")), said(F.col("asns") >= asns, "multi_asn", F.lit("warn")),
+        said(F.col("agents") >= agents, "multi_agent", F.when(F.col("agents") >= 2 * agents, "warn").otherwise("info")), said((F.col("baseline") > 0) & (F.col("recent") >= least) & (F.col("recent") > F.col("baseline") * factor), "spike", F.lit("warn")),
+    )
+    return stats.select("*", F.inline(F.array_compact(rules)))

@@ -209,3 +209,35 @@ def box_tiles(boxes: DataFrame, size: float) -> DataFrame:
     """boxes (x0, y0, x1, y1) with a row per square tile (tx, ty) of size degrees that they touch."""
     span = lambda low, high: F.sequence(F.floor(F.col(low) / size), F.ceil(F.col(high) / size) - 1)
     return boxes.withColumn("tx", F.explode(span("x0", "x1"))).withColumn("ty", F.explode(span("y0", "y1")))
+
+
+def in_area(points: DataFrame, box: tuple | None = None, ring: Column | None = None, cells: list | None = None, step: float = 1.0, most: int = 500) -> DataFrame:
+    """points (lon, lat) inside exactly one of a box (west, south, east, north), a closed ring, or a list of cells (x, y) of step
+    degrees, at most that many."""
+    if sum(x is not None for x in (box, ring, cells)) != 1:
+        raise ValueError("name one of box, ring and cells")
+    if box is not None:
+        return points.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    if ring is not None:
+        return points.where(inside_ring(F.col("lon"), F.col("lat"), ring))
+    if len(cells) > most:
+        raise ValueError(f"{len(cells)} cells, more than {most}")
+    wanted = F.array(*[F.concat_ws(",", F.lit(x), F.lit(y)) for x, y in cells])
+    return points.where(F.array_contains(wanted, F.concat_ws(",", F.floor(F.col("lon") / step), F.floor(F.col("lat") / step))))
+
+
+def path_zone(paths: DataFrame, zones: DataFrame, radius_km: float) -> DataFrame:
+    """id, zone_id, fallback: the zone (the least id) that a path (array<struct<x, y>>) crosses or begins in, else the nearest
+    to its origin (lon, lat) within a radius; paths without either have no row."""
+    legs = paths.select("id", F.explode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("leg"))
+    xs = F.sequence(F.floor(F.least("leg.a.x", "leg.b.x")), F.floor(F.greatest("leg.a.x", "leg.b.x")))
+    ys = F.sequence(F.floor(F.least("leg.a.y", "leg.b.y")), F.floor(F.greatest("leg.a.y", "leg.b.y")))
+    at = legs.withColumn("sx", F.explode(xs)).withColumn("sy", F.explode(ys)).join(zone_cells(zones), (F.col("sx") == F.col("zx")) & (F.col("sy") == F.col("zy")))
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    a, b, n = F.col("leg.a"), F.col("leg.b"), F.size("ring") - 1
+    edges = F.zip_with(F.slice("ring", F.lit(1), n), F.slice("ring", F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    cuts = F.exists(edges, lambda e: (side(a, b, e["p"]) * side(a, b, e["q"]) <= 0) & (side(e["p"], e["q"], a) * side(e["p"], e["q"], b) <= 0) & (F.greatest(a["x"], b["x"]) >= F.least(e["p"]["x"], e["q"]["x"])) & (F.least(a["x"], b["x"]) <= F.greatest(e["p"]["x"], e["q"]["x"])))
+    crossed = at.where(cuts | inside_ring(a["x"], a["y"], F.col("ring"))).groupBy("id").agg(F.min("zone_id").alias("zone_id"))
+    open_ = paths.select("id", "lon", "lat").join(crossed.select("id"), "id", "left_anti")
+    near = near_zone(open_, zones, radius_km).groupBy("id").agg(F.min(F.struct(F.round("km", 3).alias("km"), "zone_id"))["zone_id"].alias("zone_id"))
+    return crossed.withColumn("fallback", F.lit(False)).unionByName(near.withColumn("fallback", F.lit(True)))
