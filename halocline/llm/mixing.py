@@ -146,8 +146,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, once: bool = False) -> DataFrame:
     rows of docs as they are, also those without a word, dealt over the shards."""
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     keyed = sized(packed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.col("row.text").alias("text"), "row"))
-    wanted = plan(docs, shards, once).where("taken > 0 OR " + str(once)).select(F.col("h").alias("p_h"), F.col("th").alias("p_th"), F.col("m").alias("p_m"), (F.explode_outer if once else F.explode)("draws").alias("draw"))
-    both = keyed.join(wanted, F.expr("h = p_h AND th = p_th AND m = p_m"))
+    wanted = plan(docs, shards, once).where("taken > 0 OR " + str(once)).groupBy(F.col("h").alias("p_h"), F.col("th").alias("p_th")).agg(F.collect_list(F.struct("m", "draws")).alias("drawn"))
+    # The keys are those that numbered the rows, so the texts are not shuffled again.
+    both = keyed.join(wanted, F.expr("h = p_h AND th = p_th")).withColumn("draws", F.get(F.filter("drawn", lambda x: x["m"] == F.col("m")), F.lit(0))["draws"])
+    both = both.drop("drawn").where("draws IS NOT NULL").withColumn("draw", (F.explode_outer if once else F.explode)("draws"))
     cut = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(C.words(C.whole_text()), F.lit(1), F.greatest(F.col("draw.words"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
     out = both.withColumn("cut", cut)
     return out.select(*[F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.coalesce("draw.shard", F.lit(0)).alias(C.fresh(docs, "shard")[0]), F.coalesce("draw.place", F.col("h")).alias(C.fresh(docs, "place")[0]))
