@@ -59,7 +59,7 @@ def zone_overlap(spark, d):
     return pairs.select(F.col("zone_id").alias("zone_a"), F.col("b_zone_id").alias("zone_b"), inside.alias("inside")).distinct()
 
 
-@query("J5 J7", f"""
+@query("J5", f"""
 SELECT a.det_id, count(b.pos_id) FILTER (WHERE {AB} <= 0.4) AS within_400m, count(b.pos_id) FILTER (WHERE {AB} <= 0.8 AND b.sog > 50) AS fast_within_800m, round(coalesce(max({AB}) FILTER (WHERE {AB} <= 0.8), 0), 6) AS farthest_km
 FROM detections a LEFT JOIN positions b ON b.lon BETWEEN a.lon - 1 AND a.lon + 1 AND b.lat BETWEEN a.lat - 1 AND a.lat + 1 GROUP BY a.det_id""")
 def multi_radius_counts(spark, d):
