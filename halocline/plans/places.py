@@ -168,14 +168,14 @@ MEASURED, INDIRECT, UNKNOWN = range(10, 18), range(40, 47), range(70, 73)
 
 @query("A42", """
 WITH c AS (SELECT l_suppkey % 30 AS aoi, CASE WHEN l_partkey % 10 < l_suppkey % 30 % 11 THEN 10 + l_partkey % 3 WHEN l_partkey % 10 = 9 THEN 0 WHEN l_partkey % 2 = 0 THEN 40 ELSE 71 END AS tid, l_extendedprice / 20 - 200 AS depth FROM lineitem), k AS (SELECT aoi, count(*) AS n, count(*) FILTER (tid < 20) AS m, count(*) FILTER (tid = 40) AS i, count(*) FILTER (tid = 71) AS u, count(*) FILTER (tid = 11) AS b, min(depth) FILTER (depth > 0) AS lo, median(depth) FILTER (depth > 0) AS mid, max(depth) FILTER (depth > 0) AS hi FROM c WHERE tid <> 0 GROUP BY aoi)
-SELECT aoi, n AS cells, round(100.0 * m / n, 6)::DOUBLE AS measured, round(100.0 * i / n, 6)::DOUBLE AS indirect, round(100.0 * u / n, 6)::DOUBLE AS unknown, round(100.0 * b / n, 6)::DOUBLE AS multibeam, CASE WHEN 100.0 * m / n >= 80 THEN 'high' WHEN 100.0 * m / n < 20 THEN 'low' ELSE 'medium' END AS confidence, round(lo, 4) AS depth_min, round(mid, 4) AS depth_median, round(hi, 4) AS depth_max FROM k""")
+SELECT aoi, n AS cells, round(100.0 * m / n, 6)::DOUBLE AS measured, round(100.0 * i / n, 6)::DOUBLE AS indirect, round(100.0 * u / n, 6)::DOUBLE AS unknown, round(100.0 * b / n, 6)::DOUBLE AS multibeam, CASE WHEN 100.0 * m / n >= 80 THEN 'high' WHEN 100.0 * m / n < 20 THEN 'low' ELSE 'medium' END AS confidence, round(lo, 6) AS depth_min, round(mid, 6) AS depth_median, round(hi, 6) AS depth_max FROM k""")
 def sounding_confidence(spark, d):
     part = F.col("l_partkey")
     tid = F.when(part % 10 < F.col("l_suppkey") % 30 % 11, 10 + part % 3).when(part % 10 == 9, 0).when(part % 2 == 0, 40).otherwise(71)
     c = table(spark, d, "lineitem").select((F.col("l_suppkey") % 30).alias("aoi"), tid.alias("tid"), (F.col("l_extendedprice") / 20 - 200).alias("depth")).where("tid <> 0")
     share = lambda codes: F.round(100.0 * F.count_if(F.col("tid").isin(*codes)) / F.count(F.lit(1)), 6)
     below = F.when(F.col("depth") > 0, F.col("depth"))
-    g = c.groupBy("aoi").agg(F.count(F.lit(1)).alias("cells"), share(MEASURED).alias("measured"), share(INDIRECT).alias("indirect"), share(UNKNOWN).alias("unknown"), share([11]).alias("multibeam"), F.round(F.min(below), 4).alias("depth_min"), F.round(F.percentile(below, 0.5), 4).alias("depth_median"), F.round(F.max(below), 4).alias("depth_max"))
+    g = c.groupBy("aoi").agg(F.count(F.lit(1)).alias("cells"), share(MEASURED).alias("measured"), share(INDIRECT).alias("indirect"), share(UNKNOWN).alias("unknown"), share([11]).alias("multibeam"), F.round(F.min(below), 6).alias("depth_min"), F.round(F.percentile(below, 0.5), 6).alias("depth_median"), F.round(F.max(below), 6).alias("depth_max"))
     return g.withColumn("confidence", F.when(F.col("measured") >= 80, "high").when(F.col("measured") < 20, "low").otherwise("medium"))
 
 

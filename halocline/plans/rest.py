@@ -55,12 +55,12 @@ def year_maps(spark, d):
     return g.join(years, (F.col("cx") == F.col("y_cx")) & (F.col("cy") == F.col("y_cy")), "left").select("cx", "cy", text.alias("years"), "undated", "min_depth", "max_depth", "labels")
 
 
-@query("A57", "SELECT o_custkey AS dataset, CASE WHEN count(v) >= 2 AND stddev_pop(v) > 0 THEN round(avg(v), 4) END AS mean, CASE WHEN count(v) >= 2 AND stddev_pop(v) > 0 THEN round(stddev_pop(v), 4) END AS std FROM (SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 7.0::DOUBLE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders) GROUP BY o_custkey")
+@query("A57", "SELECT o_custkey AS dataset, CASE WHEN count(v) >= 2 AND stddev_pop(v) > 0 THEN round(avg(v), 7) END AS mean, CASE WHEN count(v) >= 2 AND stddev_pop(v) > 0 THEN round(stddev_pop(v), 5) END AS std FROM (SELECT o_custkey, CASE WHEN o_custkey % 5 = 0 THEN 7.0::DOUBLE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders) GROUP BY o_custkey")
 def dataset_spread(spark, d):
     """Mean and spread; null with fewer than two values or no spread."""
     v = table(spark, d, "orders").select(F.col("o_custkey").alias("dataset"), F.when(F.col("o_custkey") % 5 == 0, 7.0).when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("v"))
     ok = (F.count("v") >= 2) & (F.stddev_pop("v") > 0)
-    return v.groupBy("dataset").agg(F.when(ok, F.round(F.avg("v"), 4)).alias("mean"), F.when(ok, F.round(F.stddev_pop("v"), 4)).alias("std"))
+    return v.groupBy("dataset").agg(F.when(ok, F.round(F.avg("v"), 7)).alias("mean"), F.when(ok, F.round(F.stddev_pop("v"), 5)).alias("std"))
 
 
 @query("P9 P10 F17", """
