@@ -14,44 +14,78 @@ from halocline.functions.geo import EARTH_KM, haversine_km
 from halocline.sources import scratch
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
-#: Radii in km and cells in degrees of a search that widens; the last radius is beyond half the way round the Earth.
-RINGS = ((100.0, 1.0), (400.0, 4.0), (1600.0, 15.0), (6400.0, 60.0), (25600.0, 60.0))
+#: Radii in km of a search that widens; the last is beyond half the way round the Earth.
+RINGS = (100.0, 400.0, 1600.0, 6400.0, 25600.0)
+#: Bounds of a cell's side in degrees, and what covers the rounding of a radius.
+SMALLEST, LARGEST, SLACK = 0.001, 60.0, 1e-9
 
 
-def _neighbours(df: DataFrame, radius_km: float, step: float) -> DataFrame:
-    """A row per cell that a circle around (lon, lat) may touch; the span in longitude widens by 1 / cos(lat) and wraps."""
-    reach = radius_km / KM_PER_DEGREE
-    cos = F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.9)))), F.lit(1e-3))
-    half = F.least(F.lit(reach) / cos, F.lit(180.0))
-    rows = F.sequence(F.floor((F.col("lat") - reach) / step), F.floor((F.col("lat") + reach) / step))
-    turn = int(round(360 / step))
-    cols = F.array_distinct(F.transform(F.sequence(F.floor((F.col("lon") - half) / step), F.floor((F.col("lon") + half) / step)), lambda c: F.pmod(c + turn // 2, F.lit(turn)) - turn // 2))
-    return df.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cols))
+def cell_side(radius_km: float) -> float:
+    """The side in degrees of cells for a radius: a circle touches two rows of them at most, or three at LARGEST."""
+    return min(max(2 * radius_km / KM_PER_DEGREE, SMALLEST), LARGEST)
+
+
+def _columns(cy: Column, side: float) -> Column:
+    """How many cells the row cy has; towards the poles they grow fewer, so that they stay about square in km."""
+    low = F.least(F.abs(cy), F.abs(cy + 1)) * side
+    return F.greatest(F.floor(F.round(F.lit(360 / side) * F.cos(F.radians(low)), 6)), F.lit(1))
 
 
-def _cell(df: DataFrame, step: float) -> DataFrame:
-    turn = int(round(360 / step))
-    return df.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", F.pmod(F.floor(F.col("lon") / step) + turn // 2, F.lit(turn)) - turn // 2)
+def _neighbours(df: DataFrame, radius_km: float, side: float) -> DataFrame:
+    """A row per cell (cy, cx) that a circle around (lon, lat) may touch, over the date line and round a pole too."""
+    reach = radius_km / KM_PER_DEGREE + SLACK
+    rows = F.sequence(F.floor(F.greatest(F.col("lat") - reach, F.lit(-90.0)) / side), F.floor(F.least(F.col("lat") + reach, F.lit(90.0)) / side))
+    half = F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians("lat")), F.lit(1.0)))) + SLACK
+    whole = (F.abs("lat") + reach >= 90) | (half >= 179)
+    columns = _columns(F.col("cy"), side)
+    first, last = (F.floor((F.col("lon") + sign * half + 180) / 360 * columns) for sign in (-1, 1))
+    some = F.transform(F.sequence(first, F.least(last, first + columns - 1)), lambda c: F.pmod(c, columns))
+    cells = F.when(whole, F.sequence(F.lit(0).cast("long"), columns.cast("long") - 1)).otherwise(some)
+    return df.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(cells))
 
 
-def within_distance(left: DataFrame, right: DataFrame, radius_km: float, step: float = 1.0) -> DataFrame:
+def _cell(df: DataFrame, side: float) -> DataFrame:
+    """df with the cell (cy, cx) of each row."""
+    rows = df.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("cy", F.floor(F.col("lat") / side))
+    columns = _columns(F.col("cy"), side)
+    return rows.withColumn("cx", F.pmod(F.floor((F.col("lon") + 180) / 360 * columns), columns))
+
+
+def within_distance(left: DataFrame, right: DataFrame, radius_km: float, same: dict[str, str] | None = None) -> DataFrame:
     """All pairs at most radius_km apart. left and right have lon and lat; right's columns must differ from left's but for
-    those two, which come back as r_lon and r_lat; km is the distance."""
-    near = _neighbours(left, radius_km, step)
-    cells = _cell(right, step).withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "cx": "r_cx", "cy": "r_cy"})
-    pairs = near.join(cells, (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))).drop("cx", "cy", "r_cx", "r_cy")
+    those two, which come back as r_lon and r_lat; km is the distance. same names columns of left and right that have to be
+    equal besides."""
+    side = cell_side(radius_km)
+    cells = _cell(right, side).withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "cx": "r_cx", "cy": "r_cy"})
+    on = (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))
+    for a, b in (same or {}).items():
+        on = on & (F.col(a) == F.col(b))
+    pairs = _neighbours(left, radius_km, side).join(cells, on).drop("cx", "cy", "r_cx", "r_cy")
     return pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") <= radius_km)
 
 
-def within_time_and_distance(left: DataFrame, right: DataFrame, radius_km: float, seconds: int, step: float = 1.0) -> DataFrame:
+def within_time_and_distance(left: DataFrame, right: DataFrame, radius_km: float, seconds: int) -> DataFrame:
     """Pairs at most radius_km and seconds apart; left has lon, lat, t (epoch seconds), right r_t beside lon and lat.
     Time is cut into buckets of the window, so a left row meets three of them."""
     bucket = F.floor(F.col("t") / seconds)
-    near = _neighbours(left.where("t IS NOT NULL"), radius_km, step).withColumn("tb", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    cells = _cell(right.where("r_t IS NOT NULL"), step).withColumn("r_tb", F.floor(F.col("r_t") / seconds)).withColumnsRenamed({"lon": "r_lon", "lat": "r_lat", "cx": "r_cx", "cy": "r_cy"})
-    pairs = near.join(cells, (F.col("tb") == F.col("r_tb")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy"))).drop("cx", "cy", "r_cx", "r_cy", "tb", "r_tb")
-    pairs = pairs.where(F.abs(F.col("t") - F.col("r_t")) <= seconds)
-    return pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") <= radius_km)
+    near = left.where("t IS NOT NULL").withColumn("tb", F.explode(F.sequence(bucket - 1, bucket + 1)))
+    timed = right.where("r_t IS NOT NULL").withColumn("r_tb", F.floor(F.col("r_t") / seconds))
+    pairs = within_distance(near, timed, radius_km, {"tb": "r_tb"}).drop("tb", "r_tb")
+    return pairs.where(F.abs(F.col("t") - F.col("r_t")) <= seconds)
+
+
+def counts_near(left: DataFrame, targets: dict[str, tuple[DataFrame, float, str | None]]) -> DataFrame:
+    """left (lon, lat; any row) with a column per target: how many rows of its DataFrame (lon, lat) lie within its radius in
+    km, or how many different values its third part has there; 0 where there are none, or no coordinates. Equal places of
+    left are asked once, and the rows of a target are counted per place (or per place and value) first."""
+    places = left.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct()
+    out = left
+    for name, (rows, radius_km, distinct) in targets.items():
+        counted = rows.groupBy("lon", "lat", *([F.col(distinct).alias("value_")] if distinct else [])).agg(F.count(F.lit(1)).alias("n_"))
+        number = F.count_distinct("value_") if distinct else F.sum("n_")
+        near = within_distance(places, counted, radius_km).groupBy(F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat")).agg(number.alias("number_"))
+        out = out.join(near, (F.col("lon") == F.col("at_lon")) & (F.col("lat") == F.col("at_lat")), "left").withColumn(name, F.coalesce("number_", F.lit(0))).drop("at_lon", "at_lat", "number_")
+    return out
 
 
 def zone_cells(zones: DataFrame, pad: int = 0) -> DataFrame:
@@ -167,9 +201,10 @@ def nearest_of_each(left: DataFrame, right: DataFrame, key: str, source: str, ti
     names = places.agg(F.collect_set(source)).scalar()
     open_ = _written(left.where(known).select(key, "lon", "lat").withColumn("names_", names).select(key, "lon", "lat", F.explode("names_").alias(source)))
     answers = None
-    for radius, step in RINGS:
-        cells = _cell(places, step).select(F.col(source).alias("r_source"), tie, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("cx").alias("r_cx"), F.col("cy").alias("r_cy"))
-        pairs = _neighbours(open_, radius, step).join(cells, (F.col(source) == F.col("r_source")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")))
+    for radius in RINGS:
+        side = cell_side(radius)
+        cells = _cell(places, side).select(F.col(source).alias("r_source"), tie, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("cx").alias("r_cx"), F.col("cy").alias("r_cy"))
+        pairs = _neighbours(open_, radius, side).join(cells, (F.col(source) == F.col("r_source")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")))
         pairs = pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") <= radius)
         found = _written(pairs.groupBy(key, source).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col(tie))).alias("best")).select(key, source, "best.*"))
         answers = found if answers is None else answers.unionByName(found)

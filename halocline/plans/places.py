@@ -81,7 +81,7 @@ def site_neighbourhoods(spark, d):
     """What lies within 1,200 km of a site: counts and years, and the three nearest in order."""
     sites = table(spark, d, "tags").select("site", "lon", "lat").distinct()
     places = table(spark, d, "occurrences").select("occ_id", "lon", "lat", "year").distinct()
-    pairs = S.within_distance(sites, places, 1200.0, 10.0)
+    pairs = S.within_distance(sites, places, 1200.0)
     top = S.nearest(pairs.withColumn("km", F.round("km", 6)), ["site"], "occ_id", 3).groupBy(F.col("site").alias("t_site")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "occ_id"))), lambda x: x["occ_id"].cast("string")), ",").alias("nearest"))
     g = pairs.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("min_year"), F.max("year").alias("max_year"), F.percentile("year", 0.5).alias("median_year"), F.count_if(F.col("year").isNull()).alias("undated"))
     return g.join(top, F.col("site") == F.col("t_site")).drop("t_site")

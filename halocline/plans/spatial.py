@@ -71,6 +71,29 @@ def multi_radius_counts(spark, d):
     return det.select("det_id").join(pairs, "det_id", "left").select("det_id", F.coalesce("a", zero).alias("within_400m"), F.coalesce("b", zero).alias("fast_within_800m"), F.round(F.coalesce("km", F.lit(0.0)), 6).alias("farthest_km"))
 
 
+def site(key):
+    """Stand-in coordinates from a key: two expressions of either SQL."""
+    return f"CAST({key} % 360 - 180 AS DOUBLE) AS lon", f"CAST({key} % 120 - 60 AS DOUBLE) AS lat"
+
+
+@query("J7", f"""
+WITH c AS (SELECT c_custkey AS site, {', '.join(site('c_custkey'))} FROM customer), s AS (SELECT DISTINCT lon, lat FROM c),
+v AS (SELECT {', '.join(site('(s_suppkey * 7)'))}, s_acctbal FROM supplier), f AS (SELECT {', '.join(site('(o_custkey * 5)'))}, o_custkey, o_orderdate FROM orders),
+n1 AS (SELECT a.lon, a.lat, count(*) AS n FROM s a JOIN v b ON {AB} <= 50 GROUP BY ALL), n2 AS (SELECT a.lon, a.lat, count(*) AS n FROM s a JOIN occurrences b ON abs(a.lat - b.lat) < 1 AND {AB} <= 10 GROUP BY ALL),
+n3 AS (SELECT a.lon, a.lat, count(DISTINCT o_custkey) AS n FROM s a JOIN f b ON abs(a.lat - b.lat) < 3 AND o_orderdate >= DATE '1998-05-01' AND {AB} <= 200 GROUP BY ALL),
+n4 AS (SELECT a.lon, a.lat, count(*) AS n FROM s a JOIN v b ON s_acctbal > 0 AND {AB} <= 200 GROUP BY ALL), n5 AS (SELECT a.lon, a.lat, count(*) AS n FROM s a JOIN occurrences b ON abs(a.lat - b.lat) < 6 AND edna AND {AB} <= 500 GROUP BY ALL)
+SELECT site, coalesce(n1.n, 0)::BIGINT AS vents_50km, coalesce(n2.n, 0)::BIGINT AS finds_10km, coalesce(n3.n, 0)::BIGINT AS floats_200km, coalesce(n4.n, 0)::BIGINT AS sensors_200km, coalesce(n5.n, 0)::BIGINT AS edna_500km
+FROM c LEFT JOIN n1 USING (lon, lat) LEFT JOIN n2 USING (lon, lat) LEFT JOIN n3 USING (lon, lat) LEFT JOIN n4 USING (lon, lat) LEFT JOIN n5 USING (lon, lat)""")
+def site_surroundings(spark, d):
+    """Five targets around every site, each with its radius and its filter; floats are counted once each."""
+    sites = table(spark, d, "customer").selectExpr("c_custkey AS site", *site("c_custkey"))
+    vents = table(spark, d, "supplier").selectExpr(*site("(s_suppkey * 7)"), "s_acctbal")
+    floats = table(spark, d, "orders").where("o_orderdate >= DATE '1998-05-01'").selectExpr(*site("(o_custkey * 5)"), "o_custkey")
+    finds = table(spark, d, "occurrences")
+    targets = {"vents_50km": (vents, 50.0, None), "finds_10km": (finds, 10.0, None), "floats_200km": (floats, 200.0, "o_custkey"), "sensors_200km": (vents.where("s_acctbal > 0"), 200.0, None), "edna_500km": (finds.where("edna"), 500.0, None)}
+    return S.counts_near(sites, targets).select("site", *targets)
+
+
 @query("J6 J9", f"""
 WITH k AS (SELECT DISTINCT p.lon, p.lat, z.zone_id, z.zone_name, {BOX_KM} AS km FROM detections p JOIN boxes z ON abs(p.lat - z.my) < 1 AND abs(p.lon - z.mx) < 1 WHERE {BOX_KM} <= 0.5)
 SELECT round(lon, 3) AS rlon, round(lat, 3) AS rlat, count(*) AS zones, min_by(zone_id, (round(km, 9), zone_id)) AS nearest, round(min(km), 6) AS km, string_agg(zone_id::VARCHAR, ',' ORDER BY zone_id) AS all_zones FROM k GROUP BY lon, lat""")
@@ -123,9 +146,8 @@ l AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY round(km, 9), po
 SELECT pos_id, min_by(det_id, (round(km, 9), det_id)) AS det_id FROM l WHERE rn = 1 GROUP BY pos_id""")
 def one_claim_per_target(spark, d):
     det = table(spark, d, "detections").select("det_id", F.floor(F.col("t") / 3600).alias("hour"), "lon", "lat")
-    pos = table(spark, d, "positions").select("pos_id", F.floor(F.col("r_t") / 3600).alias("r_hour"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    km = geo.haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
-    pairs = det.join(pos, F.col("hour") == F.col("r_hour")).withColumn("km", km).where("km <= 5")
+    pos = table(spark, d, "positions").select("pos_id", F.floor(F.col("r_t") / 3600).alias("r_hour"), "lon", "lat")
+    pairs = S.within_distance(det, pos, 5.0, {"hour": "r_hour"})
     best = S.nearest(pairs, ["det_id"], "pos_id")
     return best.groupBy("pos_id").agg(F.min_by("det_id", F.struct(F.round("km", 9), "det_id")).alias("det_id"))
 

@@ -71,13 +71,18 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.sha1(F.to_json("f")).alias("id"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
-def ragged(header: DataFrame, values: DataFrame) -> DataFrame:
+def ragged(header: DataFrame, values: DataFrame, chunk: int = 65_536) -> DataFrame:
     """Per (var, cast_no): its values in order. header (var, cast_no, row_size) and values (var, at, value) meet on the offset
-    that the running sum of row sizes gives each variable; a variable whose lengths disagree is left out."""
+    that the running sum of row sizes gives each variable; a variable whose lengths disagree is left out. Sums run inside
+    chunks of cast numbers and then over a row per chunk, so that one variable is not one task."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("var").orderBy("cast_no")
-    spans = header.withColumn("end", F.sum("row_size").over(w)).withColumn("start", F.col("end") - F.col("row_size"))
+    rows = header.withColumn("chunk", F.floor(F.col("cast_no") / chunk))
+    sums = rows.groupBy("var", "chunk").agg(F.sum("row_size").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy("var").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = W.partitionBy("var", "chunk").orderBy("cast_no")
+    spans = rows.withColumn("run", F.sum("row_size").over(inside)).join(sums.select("var", "chunk", before.alias("before")), ["var", "chunk"])
+    spans = spans.select("var", "cast_no", "row_size", (F.col("before") + F.col("run")).alias("end")).withColumn("start", F.col("end") - F.col("row_size"))
     held = values.groupBy("var").agg(F.count(F.lit(1)).alias("have"))
     fits = spans.groupBy("var").agg(F.max("end").alias("need")).join(held, "var").where("have = need").select("var")
     at = spans.join(fits, "var").where("row_size > 0").select("var", "cast_no", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))

@@ -75,6 +75,27 @@ def test_within_distance_over_the_date_line_and_far_north(spark):
     assert got == {(1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("radius", [0.5, 60.0, 900.0, 8000.0])
+def test_within_distance_finds_what_all_pairs_hold(spark, radius):
+    rng = random.Random(int(radius))
+    special = [(179.9999, 0.0), (-180.0, 0.001), (180.0, -0.001), (0.0, 90.0), (77.0, 89.999), (-103.0, 89.998), (12.0, -90.0), (-168.0, -89.9995), (0.0, 60.0), (0.004, 60.0), (359.999, 59.999)]
+    places = special + [(rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(60)]
+    near = [(x + rng.uniform(-1, 1) * radius / 111, max(-90.0, min(90.0, y + rng.uniform(-1, 1) * radius / 111))) for x, y in places]
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lon double, lat double")
+    b = spark.createDataFrame([(i, *p) for i, p in enumerate(places + near)], "other int, lon double, lat double")
+    got = [(r.id, r.other) for r in spatial.within_distance(a, b, radius).select("id", "other").collect()]
+    km = spatial.haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
+    want = a.crossJoin(b.withColumnsRenamed({"lon": "r_lon", "lat": "r_lat"})).where(km <= radius).select("id", "other").collect()
+    assert len(got) == len(set(got)) and set(got) == {(r.id, r.other) for r in want} and len(got) >= len(places)
+
+
+def test_counts_near(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 50.0, 50.0), (4, None, 1.0)], "id int, lon double, lat double")
+    rows = spark.createDataFrame([(0.0, 0.1, "a"), (0.0, 0.1, "a"), (0.1, 0.0, "b"), (0.1, 0.0, "a"), (0.0, None, "c"), (0.1, 0.1, None), (0.0, 3.0, "z")], "lon double, lat double, v string")
+    got = spatial.counts_near(left, {"n": (rows, 20.0, None), "kinds": (rows, 20.0, "v"), "far": (rows, 400.0, None), "none": (rows.limit(0), 9.0, None)}).orderBy("id").collect()
+    assert [(r.id, r.n, r.kinds, r.far, r.none) for r in got] == [(1, 5, 2, 6, 0), (2, 5, 2, 6, 0), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)]
+
+
 def test_nearest_of_each_widens_until_all_are_answered(spark):
     rng = random.Random(8)
     places = [("dense", i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(300)] + [("one", 900, 179.9, 89.0), ("one", 901, 179.9, 89.0), ("two", 902, -60.0, -45.0), (None, 5, 0.0, 0.0), ("gone", 6, None, 1.0)]
