@@ -38,6 +38,8 @@ from halocline.llm.components import components
 
 GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 256, 3, 2048, 512, 32, 48, 1_000_000
 NEAREST, CHUNK = (1, 4, None), 1 << 16
+#: Keys looked up as frequent at most, and counters of the sketch that finds them.
+FREQUENT, COUNTERS = 1024, 1 << 16
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -266,6 +268,26 @@ def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": u, "v": v})[u != v].drop_duplicates()
 
 
+def _members(keys: DataFrame) -> DataFrame:
+    """key, node, size of the blocks that hold more than one node; of blocks with the same members one stays. One shuffle by
+    key serves the blocks and their members, but for the most frequent keys (FREQUENT at most, found by a sketch): those are
+    counted in place and their blocks broadcast, so no task holds all rows of a key."""
+    found = keys.agg(F.expr(f"approx_top_k(key, {FREQUENT}, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("all")).first()
+    # Rarer keys are no larger than the share of a task among that many.
+    frequent = [x["item"] for x in found["top"] or [] if x["count"] * COUNTERS >= found["all"] and x["count"] > PIECE // 2]
+    often = F.col("key").isin(frequent)
+
+    def kinds(rows: DataFrame) -> DataFrame:
+        out = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum(F.shiftright(F.xxhash64("node"), 32)).alias("z"))  # repeated rows cancel in x and y
+        return out.where("low < high").groupBy("size", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "size")
+
+    rare = (keys.where(~often) if frequent else keys).repartition("key")
+    out = rare.join(kinds(rare), "key")
+    if frequent:
+        out = out.unionByName(keys.where(often).join(F.broadcast(kinds(keys.where(often))), "key"))
+    return C.materialise(out, "members")
+
+
 def _first_search(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) in each block (members: key, node, size): one for each member at most, and so a number in
     proportion to the members."""
@@ -286,6 +308,7 @@ def _second_search(known: DataFrame, points: DataFrame, percent: int, nearest: i
     each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     top = each.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     top = top.select(F.col("key").alias("t_key"), F.col("top.component").alias("largest"), F.ceil(F.col("top.m") / PIECE).cast("int").alias("p_in"), F.ceil((F.col("all") - F.col("top.m")) / PIECE).cast("int").alias("p_out"))
+    top = _small(C.materialise(top, "open"))
     rows = known.join(top, F.col("key") == F.col("t_key")).withColumn("out", F.col("component") != F.col("largest"))
     # Pieces 0 to p_out - 1 hold the members outside the largest component, the next p_in those inside.
     rows = rows.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("p_out"))).otherwise(F.col("p_out") + F.pmod(F.xxhash64("node"), F.col("p_in"))).cast("int"))
@@ -390,11 +413,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_lin
     known = index.where("keys IS NOT NULL")
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs"))
     firsts = known.join(_small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
-    # One shuffle by key: the blocks and their members both come from it. Of blocks with the same members one stays.
-    keys = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
-    blocks = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum(F.shiftright(F.xxhash64("node"), 32)).alias("z"))  # repeated rows cancel in x and y
-    blocks = blocks.where("low < high").groupBy("size", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "size")
-    members = C.materialise(keys.join(blocks, "key"), "members")
+    keys = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).where("key IS NOT NULL")
+    members = _members(keys)
     points = firsts.select(F.col("doc_id").alias("node"), "n", "point").distinct()
     links = _verified(_first_search(members, points, percent), docs, k, percent)  # NEAREST[0]
     # The texts of one doc_id, where they differ.
