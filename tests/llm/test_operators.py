@@ -446,6 +446,21 @@ def test_texts_of_one_id_are_in_one_component(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90).collect()) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
 
 
+def test_jaccard_frequent_keys(spark, monkeypatch):
+    """Keys counted in place give the blocks that a shuffle by key gives, repeated rows included."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(200), rng.choice([1, 1, 1, 2, rng.randrange(3, 60)])) for _ in range(600)]
+    keys = spark.createDataFrame(rows, "node long, key long")
+    by_shuffle = collections.Counter(jaccard_join._members(keys).select("key", "node", "size").collect())
+    plans = []
+    broadcast = jaccard_join.F.broadcast
+    monkeypatch.setattr(jaccard_join.F, "broadcast", lambda df: plans.append(df) or broadcast(df))
+    monkeypatch.setattr(jaccard_join, "PIECE", 20)
+    assert collections.Counter(jaccard_join._members(keys).select("key", "node", "size").collect()) == by_shuffle
+    assert {r.key for r in plans[0].collect()} >= {1, 2}
+    assert jaccard_join._members(keys.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("piece", [7, 512])
 def test_jaccard_counts_every_link(spark, monkeypatch, piece):
     """A group of distinct near copies has all its pairs, not a star; exact copies and pieces change nothing."""
