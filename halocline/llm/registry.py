@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can say the same, their DuckDB SQL."""
 
-from halocline.llm import decontaminate, divergence, fingerprint, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, token_files, toxicity
+from halocline.llm import decontaminate, divergence, fingerprint, hard_negatives, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, token_files, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.SQL,
     "op2_fingerprints": fingerprint.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op11_source_divergence": divergence.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
