@@ -5,9 +5,13 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: White space of the word contracts; all of it is ASCII.
 WHITE = r"\x20\x09-\x0D"
@@ -55,7 +59,32 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     go to the Parquet writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    vars(out)["written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise wrote and nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(vars(table)["written_to"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def added(rows: DataFrame, column: str, schema: str, make: Callable[[list], list[list]]) -> DataFrame:
+    """rows without a column, with the columns of schema (DDL) that make gives for a list of its values. All others ride along
+    as Arrow arrays: nothing in them is converted, whatever their types and nulls."""
+    kept = [c for c in rows.columns if c != column]
+    new = StructType.fromDDL(schema).fields
+    kinds = [to_arrow_type(f.dataType) for f in new]
+    out = StructType([*rows.select(*kept).schema.fields, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = make(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

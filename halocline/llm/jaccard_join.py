@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from halocline.llm import common as C
 from halocline.llm.components import components
 
-GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 256, 3, 2048, 512, 32, 48, 1_000_000
+GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 256, 3, 2048, 8192, 32, 48, 1_000_000
 NEAREST, CHUNK = (1, 4, None), 1 << 16
 #: Keys looked up as frequent at most, and counters of the sketch that finds them.
 FREQUENT, COUNTERS = 1024, 1 << 16
@@ -154,14 +154,15 @@ def _index(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, h in zip(batch["doc_id"], batch["h"], strict=True):
+            for no_id, h in zip(batch["no_id"], batch["h"], strict=True):
                 s = shingles(h, k)
-                known = len(s) > 0 and not pd.isna(doc)
+                known = len(s) > 0 and not no_id
                 digests = (int(mix(s ^ m).sum(dtype=np.uint64).view(np.int64)) for m in (M1, M2))
                 out.append((len(s), *digests, packed(point(s)) if known else None, run_keys(s, percent).view(np.int64) if known else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")} | {c: [x[i] for x in out] for i, c in enumerate(("n", "d1", "d2", "point", "keys"))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").mask(batch["no_id"])} | {c: [x[i] for x in out] for i, c in enumerate(("n", "d1", "d2", "point", "keys"))})
 
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.word_hashes(C.whole_text()).alias("h"))
+    doc_id = F.col("doc_id").cast("long")
+    hashed = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), C.word_hashes(C.whole_text()).alias("h"))
     return C.materialise(hashed.mapInPandas(rows, "doc_id long, n long, d1 long, d2 long, point binary, keys array<long>"), "shingles", **{"parquet.writer.version": "PARQUET_2_0"})  # sorted keys are stored as differences
 
 
@@ -261,6 +262,8 @@ def nearest_earlier(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent:
 
 
 PAIRS = "u long, v long"
+#: Pairs that a set is copied for at once, bytes of the copies in a frame, and bytes of sets in a piece of a component.
+PARTNERS, FRAME_BYTES, COUNT_BYTES = 256, 1 << 25, 1 << 25
 
 
 def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
@@ -288,12 +291,17 @@ def _members(keys: DataFrame) -> DataFrame:
     return C.materialise(out, "members")
 
 
+def dealt_twice(members: DataFrame) -> DataFrame:
+    """key, node, piece: large blocks dealt over pieces of PIECE members, twice by independent hashes."""
+    parts = F.ceil(F.col("size") / PIECE).cast("int")
+    deals = F.when(parts > 1, F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), parts).cast("int") + i * parts for i in range(2)])).otherwise(F.array(F.lit(0)))
+    return members.select("key", "node", F.explode(deals).alias("piece"))
+
+
 def _first_search(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (u, v) in each block (members: key, node, size): one for each member at most, and so a number in
     proportion to the members."""
-    parts = F.ceil(F.col("size") / PIECE).cast("int")
-    deals = F.when(parts > 1, F.array(*[F.pmod(F.xxhash64("node", F.lit(i)), parts).cast("int") + i * parts for i in range(2)])).otherwise(F.array(F.lit(0)))
-    dealt = members.select("key", "node", F.explode(deals).alias("piece")).join(points, "node").repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "node")
+    dealt = dealt_twice(members).join(points, "node").repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "node")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in whole_groups(batches, ["key", "piece"]):
@@ -302,42 +310,74 @@ def _first_search(members: DataFrame, points: DataFrame, percent: int) -> DataFr
     return dealt.mapInPandas(search, PAIRS)
 
 
-def _second_search(known: DataFrame, points: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Candidate pairs (u, v) of different components, all or for each member and piece the nearest, in the blocks (known: key,
-    node, size, component) that hold more than one. Members of the largest component of a block meet the others only."""
+def open_blocks(known: DataFrame) -> DataFrame | None:
+    """The blocks (known: key, node, size, component) that hold more than one component, with the largest one in them and the
+    numbers of pieces inside and outside it; None if there are none."""
     each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     top = each.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     top = top.select(F.col("key").alias("t_key"), F.col("top.component").alias("largest"), F.ceil(F.col("top.m") / PIECE).cast("int").alias("p_in"), F.ceil((F.col("all") - F.col("top.m")) / PIECE).cast("int").alias("p_out"))
-    top = _small(C.materialise(top, "open"))
+    top = C.materialise(top, "open")
+    n = top.count()
+    return (F.broadcast(top) if n <= BROADCAST_ROWS else top) if n else None
+
+
+def open_pieces(known: DataFrame, top: DataFrame) -> DataFrame:
+    """key, lo, hi, own, node, component: pairs of pieces of the open blocks. Members of the largest component of a block meet
+    the others only."""
     rows = known.join(top, F.col("key") == F.col("t_key")).withColumn("out", F.col("component") != F.col("largest"))
     # Pieces 0 to p_out - 1 hold the members outside the largest component, the next p_in those inside.
     rows = rows.withColumn("own", F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("p_out"))).otherwise(F.col("p_out") + F.pmod(F.xxhash64("node"), F.col("p_in"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("p_out") + F.col("p_in")).otherwise(F.col("p_out")) - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return rows.select("key", "lo", "hi", "own", "node", "component")
+
+
+def _second_search(known: DataFrame, top: DataFrame, points: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Candidate pairs (u, v) of different components, all or for each member and piece the nearest, in the open blocks."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in whole_groups(batches, ["key", "lo", "hi"]):
             node, comp, n, own = (rows[c].to_numpy() for c in ("node", "component", "n", "own"))
             yield _pairs(node, *candidates(unpacked(rows["point"]), n, cut, percent, np.ones(len(n), bool), comp, own, nearest))
 
-    dealt = rows.select("key", "lo", "hi", "own", "node", "component").join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
+    dealt = open_pieces(known, top).join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
     return dealt.mapInPandas(search, PAIRS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The distinct pairs (u, v) whose sets are linked. Each text is read once; its set goes to every pair that names it."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The distinct pairs (u, v) whose sets are linked. A text is read once for every PARTNERS pairs that name it or so; its
+    set goes to each of them."""
     pairs = C.materialise(pairs.distinct(), "pairs")
+    n_pairs = pairs.count()
     ends = pairs.select(F.col("u").alias("node"), "u", "v").unionByName(pairs.select(F.col("v").alias("node"), "u", "v"))
-    ends = ends.groupBy("node").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(_small(ends) if pairs.count() <= BROADCAST_ROWS else ends, "node")
+    if n_pairs > PARTNERS:  # a node in more pairs than that has them in several lists
+        lists = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PARTNERS).select("node", F.ceil(F.col("n") / PARTNERS).cast("int").alias("lists"))
+        ends = ends.join(F.broadcast(lists) if n_pairs <= PARTNERS * BROADCAST_ROWS else lists, "node", "left").withColumn("slot", F.when(F.col("lists") > 1, F.pmod(F.xxhash64("u", "v"), F.col("lists")).cast("int")).otherwise(0))
+    else:
+        ends = ends.withColumn("slot", F.lit(0))
+    ends = ends.groupBy("node", "slot").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(F.broadcast(ends) if n_pairs <= BROADCAST_ROWS else ends, "node")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+
+        def frame() -> pd.DataFrame:
+            rows = pd.DataFrame(held, columns=["u", "v", "node", "s"])
+            held.clear()
+            return rows
+
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                reps = part["us"].map(len).to_numpy()
-                own = [shingles(h, k).tobytes() for h in part["h"]]
-                yield pd.DataFrame({"u": np.concatenate(part["us"].tolist()), "v": np.concatenate(part["vs"].tolist()), "node": np.repeat(part["node"].to_numpy(), reps), "s": np.repeat(np.array(own, object), reps)})
+            for node, us, vs, h in zip(batch["node"], batch["us"], batch["vs"], batch["h"], strict=True):
+                own = shingles(h, k).tobytes()
+                for u, v in zip(us, vs, strict=True):
+                    held.append((u, v, node, own))
+                    size += len(own) + 64
+                    if size > FRAME_BYTES:
+                        yield frame()
+                        size = 0
+        if held:
+            yield frame()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in whole_groups(batches, ["u", "v"]):
@@ -353,9 +393,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return C.materialise(sent.repartition("u", "v").sortWithinPartitions("u", "v").mapInPandas(verify, PAIRS), "links")
 
 
-def _linked(docs: DataFrame, labels: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, linked (documents of the other classes that node's class is linked with; left out where none). labels: node, component."""
-    sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / COUNT_PIECE).cast("int").alias("parts"))
+def _linked(docs: DataFrame, labels: DataFrame, classes: DataFrame, points: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, linked (documents of the other classes that node's class is linked with; left out where none). labels: node,
+    component. A component is cut into pieces by the bytes of its sets, so that it is sent as often as it has pieces of COUNT_BYTES."""
+    sizes = labels.join(points.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum("n") * 8 / COUNT_BYTES + F.count(F.lit(1)) / COUNT_PIECE).cast("int").alias("parts"))
     ids = _small(C.materialise(labels.join(sizes, "component").join(classes.groupBy("node").agg(F.sum("docs").alias("docs")), "node"), "labelled"))
     found = docs.select(F.col("doc_id").cast("long").alias("node"), C.whole_text().alias("text")).join(ids, "node")
 
@@ -406,6 +447,13 @@ def _linked(docs: DataFrame, labels: DataFrame, classes: DataFrame, k: int, perc
     return C.materialise(dealt.mapInPandas(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked")), "linked")
 
 
+def same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes (d1, d2, node) of one doc_id's texts, where they differ."""
+    many = known.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
+    same = known.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node")
+    return same.join(same.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")).where("u < v")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs, and n_links with count_links: the number of other documents it
     is linked with. Two documents are linked when 100 * shared shingles >= percent * all shingles of the two."""
@@ -416,21 +464,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, count_lin
     keys = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")).where("key IS NOT NULL")
     members = _members(keys)
     points = firsts.select(F.col("doc_id").alias("node"), "n", "point").distinct()
-    links = _verified(_first_search(members, points, percent), docs, k, percent)  # NEAREST[0]
-    # The texts of one doc_id, where they differ.
-    many = known.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("doc_id")
-    same = known.join(many, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select("doc_id", "node")
-    links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")).where("u < v"))
+    links = verified(_first_search(members, points, percent), docs, k, percent)  # NEAREST[0]
+    links = links.unionByName(same_ids(known, classes))
     labels = components(links)
     for nearest in NEAREST[1:]:
         now = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        more = _verified(_second_search(now, points, percent, nearest), docs, k, percent)
+        top = open_blocks(now)
+        if top is None:
+            break
+        more = verified(_second_search(now, top, points, percent, nearest), docs, k, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
     roots = classes.join(labels, "node", "left")
     if count_links:
-        roots = roots.join(_linked(docs, labels, classes, k, percent), "node", "left")
+        roots = roots.join(_linked(docs, labels, classes, points, k, percent), "node", "left")
     else:
         roots = roots.withColumn("linked", F.lit(None).cast("long"))
     roots = roots.select("d1", "d2", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("links"))
