@@ -1,6 +1,6 @@
 """Queries of the corpus operators and, where SQL can say the same, their DuckDB SQL."""
 
-from halocline.llm import decontaminate, divergence, fingerprint, hard_negatives, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, token_files, toxicity
+from halocline.llm import decontaminate, divergence, fingerprint, hard_negatives, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, near_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_near_dedup": near_dedup.op13_near_dedup,
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.SQL,
