@@ -1,7 +1,7 @@
 """Licence scan by diagonal voting (native: DataFrame functions only).
 
 Every text is cut into rolling word 3-grams; their hashes meet the 3-grams of a fixed set of templates in one broadcast
-join (the templates are constants of this module, under 40 KB). A hit votes for the diagonal
+join (the templates are constants of this module, under 200 KB). A hit votes for the diagonal
 ``word position - template position`` of its document; votes are aggregated per diagonal, diagonals at most ``slack``
 words apart are merged, and a merged span is accepted when enough of the template's words stand in it.
 
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from halocline.llm import common as C
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-K = 3
+K, LONGEST = 3, 64
 
 # Phrases whose every place counts, and the label of each.
 PHRASES = [
@@ -26,20 +26,45 @@ PHRASES = [
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-# Well-known sentences of public licences, in lower-case words.
+# The sentences of well-known public licences and of the notices that name them, in lower-case words. A
+# sentence of more than LONGEST words stands in several rows, so that the 3-grams of a row fit a mask of 64 bits.
 TEMPLATES = [
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license"),
+    ("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    ("proprietary", "in any form or by any means without the prior written permission of the publisher"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 SLACK, COVERAGE = 3, 0.6
 
@@ -64,12 +89,13 @@ def license_spans(docs: DataFrame, slack: int = SLACK, coverage: float = COVERAG
     spark = docs.sparkSession
     templates = spark.sql(f"SELECT *, xxhash64(t_gram) AS t_hash FROM VALUES {_values()} AS t(tid, label, phrase, t_words, t_grams, t_pos, t_gram)")
     text = docs.select("doc_id", C.whole_text().alias("text"))
-    tokens = text.select("doc_id", F.xxhash64("text").alias("th"), C.words(C.ascii_lower(F.col("text")), WORD).alias("w"))
+    # The words are bound to a name once: what stands in a lambda over positions would else be evaluated for each of them.
     # Position 0 is a row of the document itself, so that one pass keeps documents without a hit.
-    grams = tokens.select(
-        "doc_id", "th", F.size("w").alias("n_words"),
-        F.posexplode(F.expr(f"concat(array(''), if(size(w) >= {K}, transform(sequence(0, greatest(size(w) - {K}, 0)), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])), array()))")).alias("p", "gram"),
-    ).withColumn("hash", F.xxhash64("gram"))
+    found = F.transform(F.array(C.words(C.ascii_lower(F.col("text")), WORD)), lambda w: F.struct(
+        F.size(w).alias("n_words"),
+        F.concat(F.array(F.lit("")), F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)]))).otherwise(F.array().cast("array<string>"))).alias("grams"),
+    ))
+    grams = text.select("doc_id", F.xxhash64("text").alias("th"), F.inline(found)).select("doc_id", "th", "n_words", F.posexplode("grams").alias("p", "gram")).withColumn("hash", F.xxhash64("gram"))
     hits = grams.join(F.broadcast(templates), (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")), "left").where("p = 0 OR tid IS NOT NULL")
     hits = hits.select("doc_id", "th", "n_words", "tid", "label", "phrase", "t_words", "t_grams", (F.col("p") - 1 - F.col("t_pos")).alias("diagonal"), F.expr("if(tid IS NULL, 0L, shiftleft(1L, t_pos))").alias("bit"), F.expr("if(tid IS NULL, 1L, 0L)").alias("own"))
     votes = hits.groupBy("doc_id", "th", "tid", "label", "phrase", "t_words", "t_grams", "diagonal").agg(F.bit_or("bit").alias("mask"), F.max("n_words").alias("n_words"), F.sum("own").alias("copies"))
