@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences and its probability the noisy-or of theirs.
 
 Every labelled training document counts in the word statistics that choose the features (a word, or its first five
-letters); the weights are then learned by gradient ascent on the noisy-or likelihood of the document labels, over at most
+letters): those of the greatest gain in likelihood, FEATURES at most, which bounds the classifier (a documented bound, with
+SAMPLE: the model that is collected and broadcast has the same size whatever the corpus); the weights are then learned by gradient ascent on the noisy-or likelihood of the document labels, over at most
 SAMPLE documents drawn by a hash of the id (the documented bound), each reduced to the chosen features of its sentences. A
-chosen feature that no drawn document holds takes its weight from the statistics. The features grow with the corpus.
+chosen feature that no drawn document holds takes its weight from the statistics.
 Sentence scores then tell which sentences offend.
 
 Edge cases: a null or empty text has no sentence and scores 0; without both labels in training all scores are 0; several
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-SAMPLE, MIN_DOCS, PREFIX, STEPS, THRESHOLD = 20_000, 4, 5, 400, 0.7
+SAMPLE, FEATURES, MIN_DOCS, PREFIX, STEPS, THRESHOLD = 20_000, 20_000, 4, 5, 400, 0.7
 BROADCAST_ROWS = 1_000_000
 #: Documents whose doubt a feature must settle to keep its weight: words that only repeat what others tell lose theirs.
 SPARSE = 0.3
@@ -62,7 +63,7 @@ def noisy_or_fit(bags: list[list[list[int]]], empty: np.ndarray, labels: np.ndar
     return w, float(bias)
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
+def learn(labelled: DataFrame, sample: int = SAMPLE, features_at_most: int = FEATURES) -> tuple[dict[str, float], float]:
     """Feature weights and bias from columns doc_id, text (not null), toxic (0 or 1)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     both = F.array_distinct(F.concat(found, F.transform(F.filter(found, lambda w: F.length(w) >= PREFIX), lambda w: F.concat(F.lit("^"), F.substring(w, 1, PREFIX)))))
@@ -74,7 +75,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float],
     # The gain in log-likelihood that the feature's own rate brings over the base rate, of features that speak for toxic.
     rate = F.col("pos") / F.col("n")
     gain = F.col("pos") * F.log(rate / base) + F.when(F.col("pos") < F.col("n"), (F.col("n") - F.col("pos")) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
-    rows = counts.where((F.col("n") >= MIN_DOCS) & (rate > min(0.9, 2 * base))).withColumn("gain", gain).orderBy(F.desc("gain"), "f").select("f", "n", "pos").toPandas()
+    rows = counts.where((F.col("n") >= MIN_DOCS) & (rate > min(0.9, 2 * base))).withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(features_at_most).select("f", "n", "pos").toPandas()
     chosen = rows["f"].tolist()
     ids = {f: i for i, f in enumerate(chosen)}
     shared = labelled.sparkSession.sparkContext.broadcast(ids)
@@ -109,30 +110,26 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], keep: list[str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights, a few bytes a feature
     value, where, text = C.fresh(docs.select(*keep), "score", "offending", "text_in")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marks(texts: list[str]) -> list[list]:
         weights, bias = shared.value
         calm = np.log1p(-1 / (1 + np.exp(-bias)))
-        for batch in batches:
-            scores, bad = [], []
-            for t in batch.pop(text):
-                none, hits = 0.0, []
-                for i, s in enumerate(sentences(t)):
-                    z = sum([weights.get(w, 0.0) + weights.get("^" + w[:PREFIX], 0.0) if len(w) >= PREFIX else weights.get(w, 0.0) for w in s])
-                    if z:
-                        p = 1 / (1 + np.exp(-min(30.0, bias + z)))
-                        none += np.log1p(-min(p, 1 - 1e-9))
-                        if p > 0.5:
-                            hits.append({"sentence": i, "score": float(p)})
-                    else:
-                        none += calm
-                scores.append(float(-np.expm1(none)))
-                bad.append(hits)
-            batch[value], batch[where] = scores, bad
-            yield batch
-
-    kind = "array<struct<sentence: int, score: double>>"
-    schema = docs.select(*keep, F.lit(0.0).alias(value), F.lit(None).cast(kind).alias(where)).schema
-    return docs.select(*keep, C.whole_text().alias(text)).mapInPandas(rows, schema)
+        scores, bad = [], []
+        for t in texts:
+            none, hits = 0.0, []
+            for i, s in enumerate(sentences(t)):
+                z = sum([weights.get(w, 0.0) + weights.get("^" + w[:PREFIX], 0.0) if len(w) >= PREFIX else weights.get(w, 0.0) for w in s])
+                if z:
+                    p = 1 / (1 + np.exp(-min(30.0, bias + z)))
+                    none += np.log1p(-min(p, 1 - 1e-9))
+                    if p > 0.5:
+                        hits.append({"sentence": i, "score": float(p)})
+                else:
+                    none += calm
+            scores.append(float(-np.expm1(none)))
+            bad.append(hits)
+        return [scores, bad]
+
+    return C.added(docs.select(*keep, C.whole_text().alias(text)), text, f"{value} double, {where} array<struct<sentence: int, score: double>>", marks)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
