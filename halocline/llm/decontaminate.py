@@ -20,7 +20,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,20 +196,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFr
     rows = docs.select(*keep, C.whole_text().alias(text), F.array().cast(KIND).alias(name))
     for items in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                texts, found, part, size = batch[text].tolist(), [], [], 0
-                for i, t in enumerate(texts):
-                    part.append(normal(t))
-                    size += len(part[-1])
-                    if size >= CHUNK or i == len(texts) - 1:
-                        found += find(shared.value, part)
-                        part, size = [], 0
-                batch[name] = [list(old) + [dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in new] for old, new in zip(batch[name], found, strict=True)]
-                yield batch
-
-        rows = rows.mapInPandas(scan, rows.schema)
+        both = C.fresh(rows, "both")[0]
+
+        def scan(pairs: list[dict], shared=shared) -> list[list]:
+            found, part, size = [], [], 0
+            for i, pair in enumerate(pairs):
+                part.append(normal(pair["text"]))
+                size += len(part[-1])
+                if size >= CHUNK or i == len(pairs) - 1:
+                    found += find(shared.value, part)
+                    part, size = [], 0
+            return [[p["text"] for p in pairs], [p["old"] + [dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in new] for p, new in zip(pairs, found, strict=True)]]
+
+        rows = C.added(rows.select(*keep, F.struct(F.col(text).alias("text"), F.col(name).alias("old")).alias(both)), both, f"{text} string, {name} {KIND}", scan)
     return rows.drop(text), name
 
 

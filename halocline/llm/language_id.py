@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,11 +24,17 @@ from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-DIM, SEED, GRAMS, LANGUAGES = 512, 11, 4096, 32
+DIM, SEED, GRAMS, LANGUAGES, LEAST = 512, 11, 4096, 32, 64
 
 
 def letter_vectors(letters: np.ndarray) -> np.ndarray:
     """A row of DIM numbers +1 and -1 for each code point, from a hash of it."""
+    return np.concatenate([np.empty((0, DIM), np.int8), *map(_vector, letters.tolist())]).reshape(len(letters), DIM)
+
+
+@lru_cache(maxsize=4096)
+def _vector(letter: int) -> np.ndarray:
+    letters = np.array([letter])
     x = letters.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(SEED << 40)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
@@ -84,32 +91,32 @@ def learn(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
 
 
 def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str]) -> DataFrame:
-    """The columns of keep, with lang_pred and score, for every row; text is the input. A row of keep rides along."""
+    """The columns of keep, untouched, with lang_pred, score and likeness for every row; text is the input. likeness is the
+    cosine of document and nearest prototype, nothing taken off; null for a text with under LEAST different 3-grams, too
+    short to tell a language from noise."""
     names = [x for x, _ in model]
     table = np.array([unit(v) for _, v in model], np.float32).reshape(len(model), DIM)
     mean = table.mean(axis=0) if len(model) > 1 else np.zeros(DIM, np.float32)
     centred = np.array([unit(v - mean) for v in table], np.float32).reshape(len(model), DIM)
-    shared = docs.sparkSession.sparkContext.broadcast((names, mean, centred))  # a row of 2 KB per language
-    label, score, text = C.fresh(docs.select(*keep), "lang_pred", "score", "text_in")
-
-    def score_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, mean, centred = shared.value
-        for batch in batches:
-            said = []
-            for t in batch.pop(text):
-                letters, grams, n = gram_counts(t or "")
-                if not len(grams) or not names:
-                    said.append(("und", 0.0))
-                    continue
-                cos = centred @ unit(unit(bundle(letters, grams, n).astype(np.float32)) - mean)
-                best = int(np.argmax(cos))
-                said.append((names[best], float(min(1.0, max(0.0, (1 + cos[best]) / 2)))))
-            batch[label], batch[score] = [x[0] for x in said], [x[1] for x in said]
-            yield batch
+    shared = docs.sparkSession.sparkContext.broadcast((names, mean, centred, table))  # two rows of 2 KB per language
+    label, score, likeness, text = C.fresh(docs.select(*keep), "lang_pred", "score", "likeness", "text_in")
+
+    def marks(texts: list[str | None]) -> list[list]:
+        names, mean, centred, table = shared.value
+        said = []
+        for t in texts:
+            letters, grams, n = gram_counts(t or "")
+            if not len(grams) or not names:
+                said.append(("und", 0.0, None))
+                continue
+            own = unit(bundle(letters, grams, n).astype(np.float32))
+            cos = centred @ unit(own - mean)
+            best = int(np.argmax(cos))
+            said.append((names[best], float(min(1.0, max(0.0, (1 + cos[best]) / 2))), float((table @ own).max()) if len(grams) >= LEAST else None))
+        return [list(x) for x in zip(*said, strict=True)] or [[], [], []]
 
     rows = docs.select(*keep, F.col("text").cast("string").alias(text))
-    schema = docs.select(*keep, F.lit("").alias(label), F.lit(0.0).alias(score)).schema
-    return rows.mapInPandas(score_rows, schema)
+    return C.added(rows, text, f"{label} string, {score} double, {likeness} double", marks)
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    return predict(docs.withColumn("held_out", C.fold("doc_id", 3) == 1), learn(training(docs)), ["doc_id", "held_out"])
+    return predict(docs.withColumn("held_out", C.fold("doc_id", 3) == 1), learn(training(docs)), ["doc_id", "held_out"]).drop("likeness")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,14 +79,14 @@ def coded(docs: DataFrame, train: bool) -> DataFrame:
             return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "deleted": [deleted], "doc_id": [ids], "no_id": [none], "held_out": [out], "sizes": [sizes], "words": [words.tobytes()], "tokens": [small(tokens)]})
 
         for batch in batches:
-            for doc, out, deleted, text in zip(batch["doc_id"], batch["held_out"], batch["deleted"], batch["text"], strict=True):
+            for doc, no_id, out, deleted, text in zip(batch["doc_id"], batch["no_id"], batch["held_out"], batch["deleted"], batch["text"], strict=True):
                 words = text.encode().translate(LOWER).split()  # bytes are cut at ASCII white space alone
                 own = held[deleted]
                 if own[4] and len(own[4]) + len(words) > BLOCK:
                     yield block(deleted)
                     own = held[deleted]
-                own[0].append(0 if pd.isna(doc) else int(doc))
-                own[1].append(bool(pd.isna(doc)))
+                own[0].append(int(doc))
+                own[1].append(bool(no_id))
                 own[2].append(bool(out))
                 own[3].append(len(words) + 1)
                 own[4] += map(keys.__getitem__, words)
@@ -96,7 +96,8 @@ def coded(docs: DataFrame, train: bool) -> DataFrame:
                 yield block(deleted)
 
     out, deleted = folds()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), (deleted if train else F.lit(False)).alias("deleted"), C.whole_text().alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("doc_id"), doc_id.isNull().alias("no_id"), out.alias("held_out"), (deleted if train else F.lit(False)).alias("deleted"), C.whole_text().alias("text"))
     return C.materialise(rows.mapInPandas(code, CODED), "blocks", compression="zstd")
 
 
@@ -245,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         p = w[:, 2] * c2[b.pair] / np.maximum(cu, 1) + w[:, 1] * (cv + 1) / (n + v + 1.0) + w[:, 0] / (v + 1.0)
         total = lambda x: np.bincount(b.doc, x, size)
         n_tokens = np.asarray(row.sizes, np.int64)
-        out = {"doc_id": pd.Series(row.doc_id, dtype="Int64").mask(np.array(row.no_id, bool)), "held_out": row.held_out, "n_tokens": n_tokens, "n_known": np.rint(total((cv > 0).astype(float))).astype(np.int64), "train_tokens": n}
+        out = {"doc_id": pd.Series(np.asarray(row.doc_id, np.int64)).astype("Int64").mask(np.array(row.no_id, bool)), "held_out": row.held_out, "n_tokens": n_tokens, "n_known": np.rint(total((cv > 0).astype(float))).astype(np.int64), "train_tokens": n}
         return pd.DataFrame(out | {"base_score": total(np.log10(cv + 1.0)) - n_tokens * np.log10(n + v + 1.0), "score": total(np.log10(p))})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

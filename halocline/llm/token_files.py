@@ -155,7 +155,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
                 rows = batch.iloc[i : i + 64]
                 of = rows["shard"].to_numpy()
                 ids = [b + end for b in encode(rows["text"].tolist())]
-                keys = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
+                keys = [None if gone else int(x) for x, gone in zip(rows["doc_id"], rows["no_id"], strict=True)]
                 cut = [0, *(1 + np.flatnonzero(of[1:] != of[:-1])).tolist(), len(rows)]
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                     if files is None or files.shard != of[lo]:
@@ -169,7 +169,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     rows = docs.select("doc_id", C.whole_text().alias("text"), (F.col(shard) if shard else F.lit(0)).cast("int").alias("shard"), *([F.col(place).alias("place")] if place else [])).withColumn("th", F.xxhash64("text"))
     order = ["shard", "place"] if place else [F.asc_nulls_first("doc_id")]
     ordered = rows.repartitionByRange(*order, "th").sortWithinPartitions(*order, "th", "text")
-    return C.materialise(ordered.select("doc_id", "text", "shard").mapInPandas(write, MANIFEST), "manifest")
+    return C.materialise(ordered.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text", "shard").mapInPandas(write, MANIFEST), "manifest")
 
 
 def open_file(store: pafs.FileSystem, path: str) -> pa.ipc.RecordBatchFileReader:
@@ -196,9 +196,9 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                 now, at = np.empty(0, "u2"), 0
                 index = open_file(store, f.index_path)
                 for b in range(index.num_record_batches):
-                    part = index.get_batch(b).to_pandas(integer_object_nulls=True)
-                    sums = []
-                    for n in part["n_tokens"]:
+                    part = index.get_batch(b)
+                    sums, sizes = [], part.column("n_tokens").to_pylist()
+                    for n in sizes:
                         crc = 0
                         while n > 0:
                             if at == len(now):
@@ -207,7 +207,9 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                             crc = zlib.crc32(take.astype("<u4").tobytes(), crc)
                             at, n = at + len(take), n - len(take)
                         sums.append(crc)
-                    yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "start": part["start"].astype("int64") + f.offset, "n_tokens": part["n_tokens"].astype("int64"), "ids_crc32": np.array(sums, "int64")})
+                    ids = part.column("doc_id")
+                    known = pd.Series(ids.fill_null(0).to_numpy(zero_copy_only=False)).astype("Int64").mask(ids.is_null().to_numpy(zero_copy_only=False))
+                    yield pd.DataFrame({"doc_id": known, "start": part.column("start").to_numpy() + f.offset, "n_tokens": np.array(sizes, "int64"), "ids_crc32": np.array(sums, "int64")})
 
     # A row per file: their number is that of the partitions, not of the documents.
     before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)

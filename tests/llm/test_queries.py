@@ -9,7 +9,8 @@ from halocline.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, sf, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = registry.QUERIES[name](spark, sf)
     cur = c.execute(registry.ORACLE_SQL[name])
     cols = [x[0] for x in cur.description]
@@ -18,4 +19,4 @@ def test_against_sql(spark, sf, name):
 
 
 def test_one_query_per_operator():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)}
