@@ -7,7 +7,6 @@ mix repeats a document as often as it draws it.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +14,21 @@ from halocline.llm import common as C
 from halocline.llm import decontaminate, jaccard_join, language_id, mixing, token_files
 
 BROADCAST_ROWS = 1_000_000
+#: Random letters have a likeness of 0.06 with a deviation of 0.04, the texts of sf0.1 one of 0.93 and at least 0.19.
+FOREIGN = 0.15
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language (no text, or no letter in it); where no row has a lang to learn from, one nameless
-    language stands for all."""
-    model = language_id.learn(language_id.training(docs)) or [("?", np.zeros(language_id.DIM, np.float32))]
-    marked = language_id.predict(docs, model, docs.columns)
-    label = C.fresh(docs, "lang_pred")[0]
-    return marked.where(F.col(label) != "und").select(*docs.columns)
+    """Rejects documents in no language: those without a letter (found without the model), and those of LEAST or more different
+    3-grams whose likeness with every learned prototype is under FOREIGN, that is, near what random letters have. Where no row
+    has a lang to learn from, every document with letters passes."""
+    lettered = docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    model = language_id.learn(language_id.training(docs))
+    if not model:
+        return lettered
+    marked = language_id.predict(lettered, model, docs.columns)
+    likeness = F.col(marked.columns[-1])
+    return marked.where(likeness.isNull() | (likeness >= FOREIGN)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
