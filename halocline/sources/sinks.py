@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 FORMULA = "=+-@"
 
@@ -32,10 +33,65 @@ def write_csv(df: DataFrame, path: str, provenance: dict[str, str]) -> None:
     df.select(*columns, *extra).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_weekly(positions: DataFrame, path: str, ts: str = "ts") -> None:
-    """Positions partitioned by the week they fall in; only the weeks present are replaced."""
-    weeks = positions.withColumn("week", F.to_date(F.date_trunc("week", ts)))
-    weeks.repartition("week").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week").parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+WEEKS = "week date, version long, n long"
+
+
+def _weeks(spark: SparkSession, path: str) -> DataFrame:
+    """week, version, n: where the rows of each week are (a row per week)."""
+    if not _exists(spark, f"{path}/manifest"):
+        return spark.createDataFrame([], WEEKS)
+    return spark.read.schema(WEEKS).json(f"{path}/manifest/*").groupBy("week").agg(F.max(F.struct("version", "n")).alias("r")).select("week", "r.version", "r.n")
+
+
+def write_weekly(batch: DataFrame, path: str, number: int, key: list[str], ts: str = "ts", open_weeks: int = 1, rows_per_file: int = 4_000_000) -> None:
+    """Adds a batch (its number, so that it may run again) to a table in weekly partitions. The newest stored week, the open_weeks
+    before it and all later ones are open: their stored rows and the new ones (by key; what is stored stays) become a new
+    version of the week, in files of about rows_per_file rows by range of time. Rows of closed weeks go to a side table. The
+    manifest row that readers follow is written last, so a week is seen before or after the batch, never between."""
+    spark = batch.sparkSession
+    rows = batch.dropDuplicates(key).withColumn("week", F.to_date(F.date_trunc("week", ts)))
+    stored = _weeks(spark, path)
+    newest = stored.agg(F.max("week")).first()[0]
+    if newest is not None:
+        still = F.col("week").isNull() | (F.col("week") < F.date_sub(F.lit(newest), 7 * open_weeks))
+        rows.where(still).write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        rows = rows.where(~still)
+    else:
+        rows.where("week IS NULL").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        rows = rows.where("week IS NOT NULL")
+    touched = {r.week for r in rows.select("week").distinct().collect()}  # the open weeks of a batch
+    known = {r.week: r.version for r in stored.collect() if r.week in touched}
+    both = rows
+    if known:
+        old = spark.read.parquet(*[f"{path}/data/version={v}/week={w}" for w, v in known.items()]).withColumn("week", F.to_date(F.date_trunc("week", ts))).select(rows.columns)
+        both = old.unionByName(rows.join(old.select(*key), key, "left_anti").select(rows.columns))
+    n = {r.week: r["count"] for r in both.groupBy("week").count().collect()}
+    if not n:
+        return
+    version = (stored.agg(F.max("version")).first()[0] or 0) + 1
+    files = max(len(n), sum(-(-x // rows_per_file) for x in n.values()))
+    both.repartitionByRange(files, "week", ts).sortWithinPartitions("week", ts).write.mode("overwrite").option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("week").parquet(f"{path}/data/version={version}")
+    rows_of = [(w, version, x) for w, x in n.items()]
+    spark.createDataFrame(rows_of, WEEKS).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{version}")
+
+
+def read_weekly(spark: SparkSession, path: str, weeks: list | None = None) -> DataFrame:
+    """The table as of now, or only some of its weeks (dates)."""
+    at = _weeks(spark, path).collect()  # a row per week
+    parts = [f"{path}/data/version={r.version}/week={r.week}" for r in at if weeks is None or r.week in weeks]
+    return spark.read.parquet(*parts).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+
+
+def read_rejected(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that came for weeks that were closed, with their week and batch."""
+    if not _exists(spark, f"{path}/rejected"):
+        return spark.createDataFrame([], StructType([*schema.fields, StructField("week", DateType())]))
+    return spark.read.schema(StructType([*schema.fields, StructField("week", DateType()), StructField("batch", LongType())])).parquet(f"{path}/rejected")
 
 
 def retained(table: DataFrame, now: Column, weeks: int) -> DataFrame:
