@@ -166,10 +166,12 @@ def groups_by_hand(rows, k, percent):
     return {d: find(d) for d in root}, sets
 
 
-@pytest.mark.parametrize("k, percent, piece", [(2, 80, 2048), (5, 80, 8)])
-def test_near_duplicates(spark, monkeypatch, k, percent, piece):
-    """Chains of edits, a shared passage of many documents, repeated rows and ids; also in small pieces of blocks."""
+@pytest.mark.parametrize("k, percent, piece, small", [(2, 80, 2048, 256), (5, 80, 8, 256), (2, 80, 8, 0), (2, 80, 16, 90)])
+def test_near_duplicates(spark, monkeypatch, k, percent, piece, small):
+    """Chains of edits, a shared passage of many documents, repeated rows and ids; also in small pieces of blocks, and with no
+    or few sets that ride along."""
     monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     rows = []
