@@ -27,12 +27,15 @@ def is_copepod(cls: Column, subclass: Column) -> Column:
     return F.coalesce(cls == "Copepoda", F.lit(False)) | F.coalesce(subclass == "Copepoda", F.lit(False))
 
 
-def taxon_group(cls: Column, subclass: Column, order: Column, phylum: Column) -> Column:
-    """The group of a record by its ranks, first rule first; null outside all groups."""
+def taxon_group(cls: Column, subclass: Column, order: Column, phylum: Column, division: Column | None = None, subphylum: Column | None = None, infraphylum: Column | None = None) -> Column:
+    """The group of a record by its ranks, first rule first; null outside all groups. Sources put a group's name at different
+    ranks; a rank that is not given counts as null."""
+    division, subphylum, infraphylum = (F.lit(None).cast("string") if c is None else c for c in (division, subphylum, infraphylum))
+    at = lambda name, *ranks: F.array_contains(F.array(*[F.coalesce(r, F.lit("")) for r in ranks]), name)
     chalky = cls.isin(*COCCOLITH_CLASSES) & ~F.coalesce(order.isin(*NON_CALCIFYING_ORDERS), F.lit(False))
     return (
-        F.when(is_copepod(cls, subclass), "copepoda").when(order == "Euphausiacea", "euphausiacea").when((phylum == "Bacillariophyta") | cls.isin(*DIATOM_CLASSES), "diatoms")
-        .when(chalky, "coccolithophores").when((cls == "Dinophyceae") | (phylum == "Dinoflagellata"), "dinoflagellates")
+        F.when(is_copepod(cls, subclass), "copepoda").when(order == "Euphausiacea", "euphausiacea").when(at("Bacillariophyta", phylum, division) | cls.isin(*DIATOM_CLASSES), "diatoms")
+        .when(chalky, "coccolithophores").when((cls == "Dinophyceae") | at("Dinoflagellata", phylum, division, subphylum, infraphylum), "dinoflagellates")
     )
 
 
@@ -119,7 +122,12 @@ def written_date(text: Column, day_first: Column) -> Column:
 def resolved_date(text: Column, day_first: Column, start: Column, end: Column, y: Column, m: Column, d: Column) -> Column:
     """struct(y, m, d, source): the date of a record by the first source that can say it: the reader's own interval (shared
     parts; not if the text says 24 o'clock, which shifts it), the fields, the text, else the year alone of fields or text."""
-    t = written_date(text, day_first)
+    # Bound to a name once: an expression that is named nine times would be nine trees of it.
+    t = F.get(F.transform(F.array(F.struct(text.alias("text"), day_first.alias("vouched"))), lambda x: written_date(x["text"], x["vouched"])), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(t.alias("t"), text.alias("text"), start.alias("start"), end.alias("end"), y.alias("y"), m.alias("m"), d.alias("d"))), lambda x: _first_said(x["t"], x["text"], *(x[c] for c in ("start", "end", "y", "m", "d")))), F.lit(0))
+
+
+def _first_said(t: Column, text: Column, start: Column, end: Column, y: Column, m: Column, d: Column) -> Column:
     midnight = F.coalesce(text.contains("T24:"), F.lit(False))
     own_y = F.when(F.year(start) == F.year(end), F.year(start))
     own_m = F.when(own_y.isNotNull() & (F.month(start) == F.month(end)), F.month(start))

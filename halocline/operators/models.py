@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from halocline.operators.ordered import rank_auc
+
 
 def thin(points: DataFrame, species: str, places: int = 2) -> DataFrame:
     """One point per place (rounded) and species, the one first in order."""
@@ -81,15 +83,6 @@ def publish_gate(auc: Column, boyce: Column, n: Column) -> Column:
     return F.coalesce((auc >= 0.7) & (boyce > 0) & (n >= 50), F.lit(False))
 
 
-def rank_auc(scored: DataFrame) -> DataFrame:
-    """auc of score over label (0 or 1), ties counting half, from the counts of each distinct score."""
-    by = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
-    # Steps of a thousandth are put in order on one task; within a step its rows count as ties.
-    steps = by.groupBy(F.round("score", 3).alias("score")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    under = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return steps.withColumn("under", under).agg(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
-
-
 def importance(scored: DataFrame, score_of, features: list[str], seed: int = 1) -> DataFrame:
     """feature, loss: how much auc falls when a feature's values are dealt anew over the rows (by a seeded hash of row_id, which
     is unique). score_of(df) gives column score from the features."""

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from halocline.functions.geo import fold_lon, haversine_km
+from halocline.operators import ordered
+from halocline.operators.ordered import bounded_cuts
+from halocline.sources import scratch
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -71,24 +74,29 @@ def segments(track: DataFrame, key: str, gap_s: int = 6 * 3600) -> DataFrame:
 
 
 def bounded_segments(track: DataFrame, key: str, gap_s: int = 6 * 3600, span: float = 1.0, limit: int = 512) -> DataFrame:
-    """As segments, also ending a segment at limit rows or a span over span degrees; those depend on where it began, so a
-    track of one key is walked in order (a cruise is bounded by nature)."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "lon", "lat"], kind="stable")
-        out, n, box, before = [], 0, None, None
-        for t, lon, lat in zip(rows["t"], rows["lon"], rows["lat"], strict=True):
-            if box is not None:
-                x0, x1, y0, y1 = min(box[0], lon), max(box[1], lon), min(box[2], lat), max(box[3], lat)
-            if box is None or n >= limit or t - before[0] > gap_s or abs(lon - before[1]) > 180 or x1 - x0 > span or y1 - y0 > span:
-                out.append((out[-1] if out else 0) + 1)
-                n, x0, x1, y0, y1 = 0, lon, lon, lat, lat
-            else:
-                out.append(out[-1])
-            n, box, before = n + 1, (x0, x1, y0, y1), (t, lon)
-        return rows.assign(segment=out)
-
-    return track.groupBy(key).applyInPandas(walk, track.withColumn("segment", F.lit(0).cast("long")).schema)
+    """As segments, also ending a segment at limit rows or a span over span degrees; those depend on where it began. Tracks of
+    any length are cut in chunks (see ordered.bounded_cuts)."""
+
+    def next_cut(rows: pd.DataFrame) -> np.ndarray:
+        t, lon, lat = (rows[c].to_numpy() for c in ("t", "lon", "lat"))
+        n = len(rows)
+        forced = np.append(np.flatnonzero((np.diff(t) > gap_s) | (np.abs(np.diff(lon)) > 180)) + 1, n)
+        here = np.arange(n)
+        out = np.minimum(forced[np.searchsorted(forced, here, "right")], here + limit)
+        # Widen the boxes of all segments row by row; those that leave the span end there.
+        box, alive = [lon.copy(), lon.copy(), lat.copy(), lat.copy()], here
+        for step in range(1, limit):
+            alive = alive[alive + step < out[alive]]
+            if not len(alive):
+                break
+            x, y = lon[alive + step], lat[alive + step]
+            for b, v, widen in zip(box, (x, x, y, y), (np.minimum, np.maximum, np.minimum, np.maximum), strict=True):
+                b[alive] = widen(b[alive], v)
+            far = (box[1][alive] - box[0][alive] > span) | (box[3][alive] - box[2][alive] > span)
+            out[alive[far]] = alive[far] + step
+        return out
+
+    return bounded_cuts(track, [key], ["t", "lon", "lat"], next_cut, limit).drop("pos")
 
 
 def trail(track: DataFrame, key: str) -> DataFrame:
@@ -130,33 +138,75 @@ def level_arrays(levels: DataFrame, key: str) -> DataFrame:
 def track_pieces(track: DataFrame, key: str, cell: float, gap_s: int = 86400, jump: int = 3, most: int = 64) -> DataFrame:
     """key, year, piece, n, mean, vertices array<struct<lon, lat>> of tracks (key, t seconds, lon, lat, value) drawn in cells of
     a size. A point in a new cell is a vertex. A piece ends at a new year, after a gap, at the date line and at a jump of more
-    than jump cells; a full piece ends too, and the next one begins with its last vertex. As years end pieces, a frame holds
-    one year of a key."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "lon", "lat"])
-        out, piece = [], None
-        t, lon, lat = (rows[c].to_numpy() for c in ("t", "lon", "lat"))
-        at = np.floor(np.stack([lon, lat]) / cell).astype(np.int64)
-        moved = np.abs(np.diff(at, axis=1, prepend=at[:, :1])).max(0)
-        broken = (np.diff(t, prepend=t[0]) > gap_s) | (np.abs(np.diff(lon, prepend=lon[0])) > 180) | (moved > jump)
-        for i in range(len(rows)):
-            carried = None
-            if piece is not None and (broken[i] or moved[i] and len(piece[1]) >= most):
-                carried = None if broken[i] else piece[1][-1]
-                out.append(piece)
-                piece = None
-            if piece is None:
-                piece = [[], ([carried] if carried else []) + [(lon[i], lat[i])]]
-            elif moved[i]:
-                piece[1].append((lon[i], lat[i]))
-            piece[0].append(rows["value"].iloc[i])
-        out.append(piece)
-        values = [pd.Series(v, dtype=float).dropna() for v, _ in out]
-        return pd.DataFrame({key: rows[key].iloc[0], "year": rows["year"].iloc[0], "piece": range(len(out)), "n": [len(v) for v, _ in out], "mean": [v.mean() if len(v) else None for v in values], "vertices": [[{"lon": x, "lat": y} for x, y in p] for _, p in out]})
-
+    than jump cells; a full piece (most vertices, two at least) ends too, and the next one begins with its last vertex.
+
+    Between two breaks only the number of vertices so far matters: the first piece takes most of them, each later one most - 1
+    new ones. So chunks of a track tell how many they have before and after their breaks, those numbers are added up per year of
+    a key, and the rows are then placed in all chunks at once."""
+    if most < 2:
+        raise ValueError("a piece has two vertices at least")
+    order = ["t", "lon", "lat", "value"]
     rows = track.select(key, "t", "lon", "lat", F.col("value").cast("double").alias("value"), F.year(F.timestamp_seconds("t")).alias("year"))
-    return rows.groupBy(key, "year").applyInPandas(walk, f"{key} long, year int, piece int, n int, mean double, vertices array<struct<lon: double, lat: double>>")
+    size = ordered.CHUNK
+    placed = scratch.written(ordered.chunked(rows, [key, "year"], order, before=1), "chunks")
+    full = lambda m: np.where(m < most, 0, 1 + (m - most) // (most - 1))  # noqa: E731  pieces filled after m moves
+
+    def marks(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        """The chunk's own rows in order, where a break is, and where a new cell is entered without one."""
+        frame, own = ordered.walk_frame(frame, size)
+        t, lon, lat = (frame[c].to_numpy() for c in ("t", "lon", "lat"))
+        at = np.floor(np.stack([lon, lat]) / cell).astype(np.int64)
+        steps = np.abs(np.diff(at, axis=1, prepend=at[:, :1])).max(0)
+        broken = (np.diff(t, prepend=t[0]) > gap_s) | (np.abs(np.diff(lon, prepend=lon[0])) > 180) | (steps > jump)
+        broken |= frame["pos"].to_numpy() == 0
+        return frame[own], broken[own], ((steps > 0) & ~broken)[own]
+
+    def summary(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, broken, moved = marks(frame)
+        if not len(frame):  # a chunk behind the last one, with nothing but the row before it
+            return pd.DataFrame({key: [], "year": [], "chunk": [], "before": [], "breaks": [], "after": [], "pieces": []})
+        breaks = np.flatnonzero(broken)
+        first, last = (breaks[0], breaks[-1]) if len(breaks) else (len(frame), 0)
+        total = np.append(0, np.cumsum(moved))
+        runs = np.diff(total[np.append(breaks, len(frame))]) if len(breaks) else np.empty(0, np.int64)
+        pieces = len(breaks) + int(full(runs).sum())
+        return pd.DataFrame({key: [frame[key].iloc[0]], "year": [frame["year"].iloc[0]], "chunk": [frame["pos"].iloc[0] // size], "before": [total[first]], "breaks": [len(breaks)], "after": [total[-1] - total[last]], "pieces": [pieces]})
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("chunk")
+        moves, number, run, out = 0, 0, 0, []
+        for before, breaks, after, pieces in zip(frame["before"], frame["breaks"], frame["after"], frame["pieces"], strict=True):
+            out.append((moves, number, run))
+            number, run = number + int(full(np.array(moves + before)) - full(np.array(moves))) + pieces, run + breaks
+            moves = after if breaks else moves + before
+        return frame[[key, "year", "chunk"]].assign(**dict(zip(("moves", "number", "run"), zip(*out, strict=True), strict=True)))
+
+    def place(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(entry):
+            return pd.DataFrame({c: [] for c in (key, "year", "run", "piece", "pos", "lon", "lat", "value", "vertex", "carried")})
+        frame, broken, moved = marks(frame)
+        total = np.cumsum(moved)
+        since = np.maximum.accumulate(np.where(broken, np.arange(len(frame)), -1))
+        m = np.where(since < 0, total + int(entry["moves"].iloc[0]), total - total[np.maximum(since, 0)])
+        filled = full(m)
+        begins = broken | (moved & (filled > full(m - moved)))
+        piece = int(entry["number"].iloc[0]) + np.cumsum(begins) - 1
+        vertex = broken | moved
+        # The last vertex of a full piece is the first of the next one too.
+        ends = vertex & (full(m + 1) > filled)
+        run = int(entry["run"].iloc[0]) + np.cumsum(broken)
+        out = pd.DataFrame({key: frame[key].to_numpy(), "year": frame["year"].to_numpy(), "run": run, "piece": piece, "pos": frame["pos"].to_numpy(), "lon": frame["lon"].to_numpy(), "lat": frame["lat"].to_numpy(), "value": frame["value"].to_numpy(), "vertex": vertex, "carried": False})
+        return pd.concat([out, out[ends].assign(piece=piece[ends] + 1, value=np.nan, carried=True)])
+
+    keys = f"{key} long, year int, "
+    tables = placed.groupBy(key, "year", "chunk").applyInPandas(summary, keys + "chunk long, before long, breaks long, after long, pieces long")
+    entries = scratch.written(tables.groupBy(key, "year").applyInPandas(chain, keys + "chunk long, moves long, number long, run long"), "entries")
+    placed = placed.groupBy(key, "year", "chunk").cogroup(entries.groupBy(key, "year", "chunk")).applyInPandas(place, keys + "run long, piece int, pos long, lon double, lat double, value double, vertex boolean, carried boolean")
+    # A vertex that is lent to a piece which never begins (the track ends or breaks) is alone there, as its run has no such piece.
+    own = ~F.col("carried")
+    vertices = F.array_sort(F.collect_list(F.when(F.col("vertex"), F.struct("pos", "lon", "lat"))))  # most at most
+    pieces = placed.groupBy(key, "year", "run", "piece").agg(F.count_if(own).cast("int").alias("n"), F.avg(F.when(own, F.col("value"))).alias("mean"), vertices.alias("v")).where("n > 0")
+    return pieces.select(key, "year", "piece", "n", "mean", F.transform("v", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat"))).alias("vertices"))
 
 
 def thin_levels(levels: DataFrame, key: str, must: Column, most: int) -> DataFrame:

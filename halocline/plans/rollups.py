@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 
 from halocline.functions import classify, geo
 from halocline.operators import rollup as R
+from halocline.operators.ordered import quantiles
 from halocline.plans.book import query
 from halocline.plans.standins import table
 
@@ -170,9 +171,10 @@ def exposure_shares(spark, d):
 @query("A36", """
 SELECT o_custkey % 7 AS dataset, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_custkey) AS customers, round(quantile_cont(o_totalprice, 0.01), 4) AS p1, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states FROM orders GROUP BY ALL""")
 def segment_statistics(spark, d):
-    p = F.percentile("o_totalprice", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    g = table(spark, d, "orders").groupBy((F.col("o_custkey") % 7).alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_custkey").alias("customers"), p.alias("p"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"))
-    return g.select("dataset", "n", "total", "customers", *[F.round(F.col("p")[i], 4).alias(x) for i, x in enumerate(("p1", "p50", "p99"))], "states")
+    o = table(spark, d, "orders").withColumn("dataset", F.col("o_custkey") % 7)
+    g = o.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_distinct("o_custkey").alias("customers"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("states"))
+    q = quantiles(o, "o_totalprice", [0.01, 0.5, 0.99], ["dataset"]).groupBy(F.col("dataset").alias("q_dataset")).agg(*[F.round(F.max(F.when(F.col("q") == p, F.col("value"))), 4).alias(x) for x, p in (("p1", 0.01), ("p50", 0.5), ("p99", 0.99))])
+    return g.join(q, F.col("dataset") == F.col("q_dataset"), "left").drop("q_dataset")
 
 
 @query("A37", """SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, count(*) AS n FROM orders GROUP BY ALL""")
@@ -216,18 +218,22 @@ def licence_classes(spark, d):
 
 
 @query("P13", """
-WITH k AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT *, lag(day) OVER (ORDER BY day) AS a, lead(day) OVER (ORDER BY day) AS b FROM k)
+WITH k AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN make_date(1900 + (o_custkey % 20)::INT, 1, 1) WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE END AS day, count(*) AS n FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL), w AS (SELECT *, lag(day) OVER (ORDER BY day) AS a, lead(day) OVER (ORDER BY day) AS b FROM k)
 SELECT day, n FROM w WHERE n >= 5 AND (a IS NULL OR day - a > 1) AND (b IS NULL OR b - day > 1)""")
 def date_spikes(spark, d):
     """Days with many records and none on the days around: what a filled-in date looks like."""
-    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders").where("o_orderkey % 3 < 2")
+    filled = F.when(F.col("o_orderkey") % 3 == 0, F.make_date(F.lit(1900) + (F.col("o_custkey") % 20).cast("int"), F.lit(1), F.lit(1))).otherwise(F.to_date("o_orderdate"))
+    days = o.groupBy(filled.alias("day")).agg(F.count(F.lit(1)).alias("n"))
     around = days.select(F.explode(F.array(F.date_add("day", -1), F.date_add("day", 1))).alias("near")).distinct()
     return days.where("n >= 5").join(around, F.col("day") == F.col("near"), "left_anti")
 
 
-@query("P21", "SELECT occ_id FROM occurrences WHERE occ_id % 16 = 0")
+@query("P21", "SELECT occ_id FROM occurrences WHERE (occ_id // 8 * 7 + occ_id % 8) % 16 = 0")
 def thinned_points(spark, d):
-    return table(spark, d, "occurrences").where(classify.thinning(F.col("occ_id"), 3)).select("occ_id")
+    """Ids without gaps are thinned: the order times seven and the line."""
+    row = F.expr("occ_id div 8 * 7") + F.col("occ_id") % 8
+    return table(spark, d, "occurrences").where(classify.thinning(row, 3)).select("occ_id")
 
 
 @query("F1 F13 F15 F19", """

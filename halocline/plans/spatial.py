@@ -195,3 +195,36 @@ def area_export(spark, d):
     part = rows.where(near & F.col("lon").between(-20, 20) & F.col("lat").between(-10, 30))
     total = part.agg(F.count(F.lit(1))).scalar()
     return part.orderBy("occ_id").limit(500).select("occ_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), (total > 500).alias("capped"))
+
+
+#: Zones of suppliers: a box with a hole, and (but for the first, which is nearly the world) a second box 30 degrees
+#: east, which runs on over the date line for some. Edges lie
+#: between the places of occurrences.
+HOLED = """SELECT s_suppkey AS zone_id, CAST(s_suppkey * 37 % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) + CAST(5 AS DOUBLE) / CAST(100 AS DOUBLE) AS mx, CAST(s_suppkey * 53 % 1200 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(60 AS DOUBLE) + CAST(5 AS DOUBLE) / CAST(100 AS DOUBLE) AS my,
+  CASE WHEN s_suppkey = 1 THEN CAST(170 AS DOUBLE) ELSE CAST(1 + s_suppkey % 5 * 2 AS DOUBLE) END AS half, CASE WHEN s_suppkey = 1 THEN CAST(80 AS DOUBLE) ELSE CAST(1 + s_suppkey % 5 * 2 AS DOUBLE) END AS tall FROM supplier"""
+
+
+def holed_zones(spark, d):
+    box = lambda x, half, tall: F.array(*[F.struct((x + i * half).alias("x"), (F.col("my") + j * tall).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    mx, half, tall = F.col("mx"), F.col("half"), F.col("tall")
+    z = spark.sql(HOLED.replace("FROM supplier", "FROM {src}"), src=table(spark, d, "supplier"))
+    z = z.withColumn("my", F.when(F.col("zone_id") == 1, 0.05).otherwise(F.col("my"))).withColumn("mx", F.when(F.col("zone_id") == 1, 0.05).otherwise(mx))
+    holed = F.array(box(mx, half, tall), box(mx, half / 2, tall / 2))
+    rings = F.when(F.col("zone_id") == 1, holed).otherwise(F.concat(holed, F.array(box(mx + 2 * half + 30, half, tall))))
+    return z.select("zone_id", rings.alias("rings"), (half * tall).alias("extent"))
+
+
+@query("J1 J2 J21", f"""
+WITH h AS (SELECT * REPLACE (CASE WHEN zone_id = 1 THEN 0.05 ELSE mx END AS mx, CASE WHEN zone_id = 1 THEN 0.05 ELSE my END AS my) FROM ({HOLED})),
+p AS (SELECT zone_id, half * tall AS extent, mx AS x, my, half, tall, half / 2 AS hole, tall / 2 AS low FROM h UNION ALL SELECT zone_id, half * tall, mx + 2 * half + 30, my, half, tall, -1, -1 FROM h WHERE zone_id <> 1),
+o AS (SELECT *, lon + 360 * t AS at FROM occurrences, (SELECT unnest([-1, 0, 1]) AS t)),
+m AS (SELECT DISTINCT o.occ_id, o.lon, o.lat, p.zone_id, extent FROM o JOIN p ON abs(o.at - p.x) < p.half AND abs(o.lat - p.my) < p.tall AND NOT (abs(o.at - p.x) < p.hole AND abs(o.lat - p.my) < p.low))
+SELECT occ_id, lon, lat, count(*) AS zones, arg_min(zone_id, (extent, zone_id)) AS smallest FROM m GROUP BY occ_id, lon, lat""")
+def points_in_holed_zones(spark, d):
+    """Zones with holes, two parts and the date line, one of them nearly as large as the world: how many hold a point, and the smallest."""
+    from halocline.operators import zones as Z
+    from halocline.sources import scratch
+
+    z = scratch.written(holed_zones(spark, d), "zones")
+    found = Z.points_in(table(spark, d, "occurrences").select("occ_id", "lon", "lat").distinct(), scratch.written(Z.cover(z), "cover")).join(F.broadcast(z.select(F.col("zone_id").alias("z_id"), "extent")), F.col("zone_id") == F.col("z_id"))
+    return found.groupBy("occ_id", "lon", "lat").agg(F.count(F.lit(1)).alias("zones"), F.min_by("zone_id", F.struct("extent", "zone_id")).alias("smallest"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from halocline.functions.geo import haversine_km
+from halocline.operators import ordered
 from halocline.operators import profiles as P
 from halocline.plans.book import query
 from halocline.plans.standins import table
@@ -36,24 +37,19 @@ def counted_latest(spark, d):
     return g.select("mmsi", "n", "r.pos_id", "r.sog")
 
 
-def packed_segments(spark, d):
-    """Segments of vessels as arrays of observations, with the ordinal of their first one."""
-    rows = P.segments(table(spark, d, "positions").select("mmsi", F.col("r_t").alias("t"), "lon", "lat", "pos_id"), "mmsi")
-    packed = rows.groupBy("mmsi", "segment").agg(F.array_sort(F.collect_list(F.struct("t", "lon", "lat", "pos_id"))).alias("obs"))
-    before = W.partitionBy("mmsi").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    return packed.withColumn("ord0", F.coalesce(F.sum(F.size("obs")).over(before), F.lit(0)))
+def ordinals(spark, d):
+    """Positions with their place in the track of their vessel; a track of any length lies in many tasks."""
+    return ordered.numbered(table(spark, d, "positions").select("mmsi", F.col("r_t").alias("t"), "lon", "lat", "pos_id"), ["mmsi"], ["t", "lon", "lat", "pos_id"])
 
 
 @query("W15", "SELECT pos_id, mmsi || '~' || (row_number() OVER (PARTITION BY mmsi ORDER BY r_t, lon, lat, pos_id)) AS key FROM positions")
 def observation_keys(spark, d):
-    at = packed_segments(spark, d).select("mmsi", "ord0", F.posexplode("obs").alias("i", "o"))
-    return at.select("o.pos_id", F.concat_ws("~", "mmsi", F.col("ord0") + F.col("i") + 1).alias("key"))
+    return ordinals(spark, d).select("pos_id", F.concat_ws("~", "mmsi", F.col("pos") + 1).alias("key"))
 
 
 @query("W17", "SELECT mmsi, pos_id FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY r_t, lon, lat, pos_id) - 1 AS nth FROM positions) WHERE nth % 6 = 0")
 def every_sixth_observation(spark, d):
-    at = packed_segments(spark, d).select("mmsi", "ord0", F.posexplode("obs").alias("i", "o"))
-    return at.where(F.pmod(F.col("ord0") + F.col("i"), F.lit(6)) == 0).select("mmsi", "o.pos_id")
+    return ordinals(spark, d).where(F.col("pos") % 6 == 0).select("mmsi", "pos_id")
 
 
 @query("W16", """
