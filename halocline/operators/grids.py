@@ -12,16 +12,21 @@ def axis_index(v: Column, start: float, step: float) -> Column:
     return F.floor((v - start) / step + 0.5).cast("int")
 
 
-def sample(points: DataFrame, field: DataFrame, start: tuple[float, float], step: float) -> DataFrame:
-    """points (lon, lat) with the value of the nearest node (i, j) of field, null off the grid or in a gap, and a status."""
-    at = points.withColumn("i", axis_index(F.col("lon"), start[0], step)).withColumn("j", axis_index(F.col("lat"), start[1], step))
+def sample(points: DataFrame, field: DataFrame, start: tuple[float, float], step: float, around: int | None = None) -> DataFrame:
+    """points (lon, lat) with the value of the nearest node (i, j) of field, null off the grid or in a gap, and a status. With
+    around, the columns are a closed circle of that many nodes, so a point before the seam may be nearest to the first one."""
+    column = axis_index(F.col("lon"), start[0], step)
+    at = points.withColumn("i", column if around is None else F.pmod(column, F.lit(around))).withColumn("j", axis_index(F.col("lat"), start[1], step))
     out = at.join(field.select(F.col("i").alias("f_i"), F.col("j").alias("f_j"), F.col("value"), F.lit(True).alias("covered")), (F.col("i") == F.col("f_i")) & (F.col("j") == F.col("f_j")), "left")
     return out.withColumn("status", F.when(F.col("covered").isNull(), "not_covered").when(F.col("value").isNull(), "no_data").otherwise("ok")).drop("f_i", "f_j", "covered")
 
 
-def block_mean(field: DataFrame, size: int = 6) -> DataFrame:
-    """Mean and number of values per block of size x size nodes; a block of gaps has mean null and count 0."""
-    return field.groupBy(F.floor(F.col("i") / size).cast("int").alias("bi"), F.floor(F.col("j") / size).cast("int").alias("bj")).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
+def block_mean(field: DataFrame, size: int = 6, around: int | None = None, first: int = 0) -> DataFrame:
+    """Mean and number of values per block of size x size nodes; a block of gaps has mean null and count 0. With around, the
+    columns i are a closed circle of that many nodes: blocks are counted from column first and one may lie over the seam
+    (columns that are left over make a narrower last block)."""
+    column = F.col("i") if around is None else F.pmod(F.col("i") - first, F.lit(around))
+    return field.groupBy(F.floor(column / size).cast("int").alias("bi"), F.floor(F.col("j") / size).cast("int").alias("bj")).agg(F.avg("value").alias("mean"), F.count("value").alias("valid"))
 
 
 def with_fallback(points: DataFrame, monthly: DataFrame, annual: DataFrame, keys: list[str], deepest: float = 1500.0) -> DataFrame:

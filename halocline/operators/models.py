@@ -48,6 +48,36 @@ def evaluate_folds(rows: DataFrame, features: list[str], k: int, least_auc: floa
     return table.withColumn("publish", F.coalesce((F.col("auc") >= least_auc) & (F.col("n") >= least_n), F.lit(False)))
 
 
+def fold_models(rows: DataFrame, features: list[str], k: int, reg: float = 0.01, standardise: bool = True) -> list:
+    """The model of each fold that has both labels to learn from: logistic regression of presences (label 1) against background
+    (0) on the rows of the other folds, where all background together weighs as much as all presences."""
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    counts = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 k rows
+    out = []
+    for fold in range(k):
+        absent, present = (sum(n for (f, y), n in counts.items() if f != fold and y == label) for label in (0.0, 1.0))
+        if absent and present:
+            train = ready.where(F.col("fold") != fold).withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(present / absent))
+            out.append(LogisticRegression(maxIter=100, tol=1e-10, regParam=reg, standardization=standardise, weightCol="weight").fit(train))
+    return out
+
+
+def predict_ensemble(models: list, cells: DataFrame, features: list[str]) -> DataFrame:
+    """cells with mean and std (of the population) of the chance of presence that the models give; null without models."""
+    chance = []
+    for m in models:  # k models of a few numbers: the predictions are column expressions of one pass
+        z = F.lit(float(m.intercept))
+        for c, w in zip(features, m.coefficients.toArray(), strict=True):
+            z = z + F.col(c) * float(w)
+        chance.append(1 / (1 + F.exp(-z)))
+    if not chance:
+        none = F.lit(None).cast("double")
+        return cells.withColumns({"mean": none, "std": none})
+    mean = sum(chance[1:], chance[0]) / len(chance)
+    spread = [F.pow(c - F.col("mean"), 2) for c in chance]
+    return cells.withColumn("mean", mean).withColumn("std", F.sqrt(sum(spread[1:], spread[0]) / len(chance)))
+
+
 def boyce(scored: DataFrame, bins: int = 10) -> DataFrame:
     """bin, presence, background, ratio of a score in [0, 1]: the share of presences over that of background per bin."""
     b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")

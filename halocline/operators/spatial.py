@@ -14,8 +14,8 @@ from halocline.functions.geo import EARTH_KM, haversine_km
 from halocline.sources import scratch
 
 KM_PER_DEGREE = math.pi * EARTH_KM / 180
-#: Radii in km of a search that widens; the last is beyond half the way round the Earth.
-RINGS = (100.0, 400.0, 1600.0, 6400.0, 25600.0)
+#: The finest cells of a search without a radius, in degrees.
+FINEST = 0.1
 #: Bounds of a cell's side in degrees, and what covers the rounding of a radius.
 SMALLEST, LARGEST, SLACK = 0.001, 60.0, 1e-9
 
@@ -187,31 +187,51 @@ def nearest(pairs: DataFrame, by: list[str], tie: str, k: int = 1) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder."""
-    return scratch.written(df, "rings")
+def _cells(df: DataFrame, prefix: str) -> DataFrame:
+    """df with the finest cell (<prefix>x2, <prefix>y2) of each row and those that hold it, ten times as wide each."""
+    x, y = F.floor((F.col("lon") + 180) / FINEST).cast("long"), F.floor((F.col("lat") + 90) / FINEST).cast("long")
+    return df.withColumns({f"{prefix}x2": x, f"{prefix}y2": y}).withColumns({f"{prefix}{c}{n}": F.expr(f"{prefix}{c}2 div {10 ** (2 - n)}") for c in "xy" for n in (0, 1)})
+
+
+def _bounds(pairs: DataFrame, n: int) -> DataFrame:
+    """pairs (columns of level n: source, lx, ly, rx, ry) whose cells may hold the nearest row: no farther apart at least than
+    some occupied cell of the source is at most."""
+    side = FINEST * 10 ** (2 - n)
+    middle = lambda c, off: (F.col(c) + 0.5) * side - off
+    reach = 2 * side * math.sqrt(0.5) * KM_PER_DEGREE  # the half diagonals of both
+    km = haversine_km(middle(f"lx{n}", 180.0), middle(f"ly{n}", 90.0), middle(f"rx{n}", 180.0), middle(f"ry{n}", 90.0))
+    met = pairs.withColumn("apart_", km)
+    most = met.groupBy("source_", f"lx{n}", f"ly{n}").agg((F.min("apart_") + reach).alias("most_"))
+    return met.join(most, ["source_", f"lx{n}", f"ly{n}"]).where(F.col("apart_") - reach <= F.col("most_") + SLACK).drop("apart_", "most_")
 
 
 def nearest_of_each(left: DataFrame, right: DataFrame, key: str, source: str, tie: str) -> DataFrame:
     """key, source, km, tie: for every key of left (unique; lon, lat) the nearest row of each source in right (source, tie,
-    lon, lat), however far; of equally near ones the least tie. Places are one row per source first, and the cell rings
-    widen for the pairs of key and source that are not answered yet. Null sources match nothing."""
+    lon, lat), however far; of equally near ones the least tie. Null sources match nothing.
+
+    Places are one row per source first. Occupied cells of left and of each source are compared before any rows: at ten degrees
+    all of them (a number that has a bound), then at one and at a tenth only inside the pairs that are left. An occupied cell
+    bounds the distance from above, and cells beyond the bound are not opened, so a place far from a dense source meets a few
+    cells of it."""
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    places = _written(right.where(known & F.col(source).isNotNull()).groupBy(source, "lon", "lat").agg(F.min(tie).alias(tie)))
-    names = places.agg(F.collect_set(source)).scalar()
-    open_ = _written(left.where(known).select(key, "lon", "lat").withColumn("names_", names).select(key, "lon", "lat", F.explode("names_").alias(source)))
-    answers = None
-    for radius in RINGS:
-        side = cell_side(radius)
-        cells = _cell(places, side).select(F.col(source).alias("r_source"), tie, F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("cx").alias("r_cx"), F.col("cy").alias("r_cy"))
-        pairs = _neighbours(open_, radius, side).join(cells, (F.col(source) == F.col("r_source")) & (F.col("cx") == F.col("r_cx")) & (F.col("cy") == F.col("r_cy")))
-        pairs = pairs.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))).where(F.col("km") <= radius)
-        found = _written(pairs.groupBy(key, source).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col(tie))).alias("best")).select(key, source, "best.*"))
-        answers = found if answers is None else answers.unionByName(found)
-        open_ = _written(open_.join(found, [key, source], "left_anti"))
-        if open_.isEmpty():
-            break
-    return answers
+    places = right.where(known & F.col(source).isNotNull()).groupBy(F.col(source).alias("source_"), "lon", "lat").agg(F.min(tie).alias(tie))
+    places = scratch.written(_cells(places, "r").withColumnsRenamed({"lon": "r_lon", "lat": "r_lat"}), "places")
+    asks = scratch.written(_cells(left.where(known).select(key, "lon", "lat"), "l"), "asks")
+    level = lambda df, prefix, n, *more: df.select(*more, *[f"{prefix}{c}{m}" for m in range(n + 1) for c in "xy"]).distinct()
+    # Cells of ten degrees are 37 by 19 at most, the edges of the world included.
+    coarse = [(r.lx0, r.ly0) for r in asks.select("lx0", "ly0").distinct().collect()] or [(-1, -1)]
+    each = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("lx0"), F.lit(y).cast("long").alias("ly0")) for x, y in coarse]))
+    pairs = level(places, "r", 0, "source_").withColumn("l_", each).select("source_", "l_.lx0", "l_.ly0", "rx0", "ry0")
+    for n in range(3):
+        if n:
+            lefts, rights = level(asks, "l", n), level(places, "r", n, "source_")
+            up = [f"{c}{n - 1}" for c in ("lx", "ly")]
+            pairs = pairs.select("source_", *up, f"rx{n - 1}", f"ry{n - 1}").join(lefts.select(*up, f"lx{n}", f"ly{n}"), up).join(rights.select("source_", f"rx{n - 1}", f"ry{n - 1}", f"rx{n}", f"ry{n}"), ["source_", f"rx{n - 1}", f"ry{n - 1}"])
+        pairs = scratch.written(_bounds(pairs, n).select("source_", f"lx{n}", f"ly{n}", f"rx{n}", f"ry{n}"), "cells")
+    rows = asks.select(key, "lon", "lat", "lx2", "ly2").join(pairs, ["lx2", "ly2"]).join(places.select("source_", tie, "r_lon", "r_lat", "rx2", "ry2"), ["source_", "rx2", "ry2"])
+    rows = rows.withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat")))
+    best = rows.groupBy(key, F.col("source_").alias(source)).agg(F.min(F.struct(F.round("km", 9).alias("km"), F.col(tie))).alias("best"))
+    return best.select(key, source, "best.*")
 
 
 def match_detections(detections: DataFrame, positions: DataFrame, radius_km: float = 0.5, seconds: int = 600, heard_km: float = 50.0, heard_seconds: int = 3600) -> DataFrame:

@@ -21,6 +21,12 @@ def block_means(spark, d):
     return G.block_mean(table(spark, d, "field")).withColumn("mean", F.round("mean", 6))
 
 
+@query("G4", "SELECT (i - 57 + 60) % 60 // 6 AS bi, j // 6 AS bj, round(avg(value), 6) AS mean, count(value) AS valid FROM field GROUP BY ALL")
+def seam_blocks(spark, d):
+    """Blocks on a closed circle of 60 columns counted from column 57: the first one lies over the seam."""
+    return G.block_mean(table(spark, d, "field"), 6, 60, 57).withColumn("mean", F.round("mean", 6))
+
+
 @query("G2", """
 WITH m AS (SELECT i, j, i % 12 + 1 AS month, value FROM field WHERE j % 3 = 0), p AS (SELECT i, j, j % 12 + 1 AS month, CASE WHEN i % 2 = 0 THEN 100 ELSE 2000 END::DOUBLE AS depth FROM field)
 SELECT p.i, p.j, p.month, coalesce(CASE WHEN p.depth <= 1500 THEN m.value END, a.value) AS value FROM p LEFT JOIN m ON m.i = p.i AND m.j = p.j AND m.month = p.month LEFT JOIN field a ON a.i = p.i AND a.j = p.j""")
@@ -76,3 +82,14 @@ def habitat_model(spark, d):
     o = table(spark, d, "occurrences").where("depth IS NOT NULL")
     rows = o.select("lon", "lat", F.col("depth"), F.col("edna").cast("double").alias("label"), M.block_fold(F.col("lon"), F.col("lat"), 3).alias("fold"))
     return M.evaluate_folds(rows, ["depth", "lat"], 3)
+
+
+@query("M4")
+def habitat_surface(spark, d):
+    """Models of spatial folds, presences against weighted background, applied together to a grid of cells: mean and spread of
+    what they say (tested against a plain fit of the same folds)."""
+    o = table(spark, d, "occurrences").where("depth IS NOT NULL")
+    rows = o.select("depth", "lat", F.col("edna").cast("double").alias("label"), M.block_fold(F.col("lon"), F.col("lat"), 3).alias("fold"))
+    cells = o.groupBy(F.floor(F.col("lon") / 5).cast("int").alias("cx"), F.floor(F.col("lat") / 5).cast("int").alias("cy")).agg(F.avg("depth").alias("depth"), F.avg("lat").alias("lat"))
+    out = M.predict_ensemble(M.fold_models(rows, ["depth", "lat"], 3), cells, ["depth", "lat"])
+    return out.select("cx", "cy", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))

@@ -33,6 +33,20 @@ def measured_scan(spark, d):
     return rows.select(F.col("Expocode").alias("id"), F.round("value", 2).alias("value"), "flag")
 
 
+@query("S4", """
+SELECT 'X' || k AS code, CASE WHEN k IN (3, 4) THEN 'unlisted' WHEN k = 5 THEN 'repeated' END AS reason, count(*) AS rows FROM (SELECT o_custkey % 12 AS k FROM orders) WHERE k IN (3, 4, 5) GROUP BY k UNION ALL SELECT 'X99', 'missing', 0""")
+def sectioned_scan(spark, d):
+    """Text with a table of datasets between preamble and data: codes that the table lacks, lists twice, or has no rows for."""
+    o = table(spark, d, "orders")
+    known = [f"X{k}\tv{k}\tcruise {k}" for k in (0, 1, 2, 5, 5, 6, 7, 8, 9, 10, 11, 99)]
+    head = ["Collection of orders", "X3\tv1\tnot in the table", "Code\tversion\tname", *known, "", "X4\tv2\ta note below the table", "code\tid\tvalue"]
+    path = scratch.folder(spark, "sections")
+    text = spark.createDataFrame([(x, 0, i) for i, x in enumerate(head)], "value string, part int, n long")
+    body = o.select(F.concat_ws("\t", F.concat(F.lit("X"), F.col("o_custkey") % 12), "o_orderkey", F.col("o_totalprice").cast("string")).alias("value"), F.lit(1).alias("part"), F.col("o_orderkey").cast("long").alias("n"))
+    text.unionByName(body).coalesce(1).sortWithinPartitions("part", "n").select("value").write.text(path)
+    return scans.sectioned_text(spark, path, ["Code", "version", "name"], ["code", "id", "value"], {"id": "bigint", "value": "double"}, "code")[3].select("code", "reason", "rows")
+
+
 @query("S5", "SELECT 'Series ' || (o_custkey % 5) AS title, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS depth, NULL::DOUBLE AS salinity FROM orders")
 def commented_scan(spark, d):
     """Tab files with a comment block: typed columns, text that does not fit is null, and a column that no file has."""

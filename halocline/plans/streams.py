@@ -30,3 +30,16 @@ def hourly_positions(spark, d):
 def watch_boxes(spark, d):
     last = table(spark, d, "positions").groupBy("mmsi").agg(F.max_by(F.struct("lon", "lat"), F.struct("r_t", "pos_id")).alias("p")).select("mmsi", "p.*")
     return V.watch_boxes(last, 0.5).select("mmsi", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("T8", """
+WITH l AS (SELECT o_custkey AS mmsi, max_by(lon, (r_t, o_orderkey)) AS lon, max_by(lat, (r_t, o_orderkey)) AS lat FROM (SELECT o_custkey, o_orderkey, o_orderdate AS r_t, CAST(o_orderkey * 7 % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST(o_orderkey * 11 % 1800 AS DOUBLE) / 10 - 90 AS lat FROM orders) GROUP BY o_custkey),
+b AS (SELECT *, 100.0 / (pi() * 6371.0 / 180) AS r FROM l), c AS (SELECT *, abs(lat) + r >= 90 AS polar, greatest(lat - r, -90) AS y0, least(lat + r, 90) AS y1, degrees(asin(least(sin(radians(r)) / cos(radians(lat)), 1))) AS half FROM b),
+p AS (SELECT mmsi, 0 AS part, CASE WHEN polar THEN -180 WHEN lon - half < -180 THEN lon - half + 360 ELSE lon - half END AS x0, y0, CASE WHEN polar OR lon + half > 180 OR lon - half < -180 THEN 180 ELSE lon + half END AS x1, y1 FROM c
+ UNION ALL SELECT mmsi, 1, -180, y0, CASE WHEN lon + half > 180 THEN lon + half - 360 ELSE lon + half END, y1 FROM c WHERE NOT polar AND (lon + half > 180 OR lon - half < -180))
+SELECT mmsi, part, round(x0, 6)::DOUBLE AS x0, round(y0, 6)::DOUBLE AS y0, round(x1, 6)::DOUBLE AS x1, round(y1, 6)::DOUBLE AS y1 FROM p""")
+def buffered_boxes(spark, d):
+    """Boxes around 100 km of the newest place of each customer's orders, over the date line and at the poles too."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("mmsi"), "o_orderkey", "o_orderdate", ((F.col("o_orderkey") * 7 % 3600).cast("double") / 10 - 180).alias("lon"), ((F.col("o_orderkey") * 11 % 1800).cast("double") / 10 - 90).alias("lat"))
+    last = o.groupBy("mmsi").agg(F.max_by(F.struct("lon", "lat"), F.struct("o_orderdate", "o_orderkey")).alias("p")).select("mmsi", "p.*")
+    return V.buffered_boxes(last, 100.0).select("mmsi", "part", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])

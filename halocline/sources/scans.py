@@ -37,6 +37,28 @@ def measured_text(spark: SparkSession, path: str, header: list[str], types: dict
     return rows, data.where(F.size(parts) != len(header)).select("file", "value")
 
 
+def sectioned_text(spark: SparkSession, path: str, sets: list[str], header: list[str], types: dict[str, str], code: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, rejects, datasets, problems) of tab-separated text in sections: a preamble, a table of datasets (its header is sets;
+    it ends at the first empty line), notes, and the data below header. Every data row's code (the first column of the table,
+    the column code of the data) is held against its file's table: problems has file, code and reason, which is unlisted (rows
+    of a dataset that the table lacks, with their number), missing (a dataset without rows) or repeated (listed twice)."""
+    rows, rejects = measured_text(spark, path, header, types)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value")
+    first = lambda test: F.min(F.when(test, F.col("at")))
+    top = lines.where(F.col("value") == "\t".join(sets)).groupBy("file").agg(F.min("at").alias("top"))
+    below = lines.join(top.withColumnRenamed("file", "t_file"), F.col("file") == F.col("t_file")).where(F.col("at") > F.col("top")).drop("t_file")
+    end = below.groupBy("file").agg(first((F.col("value") == "") | (F.col("value") == "\t".join(header))).alias("end")).withColumnRenamed("file", "e_file")
+    parts = F.split("value", "\t", -1)
+    listed = below.join(end, F.col("file") == F.col("e_file")).where("end IS NULL OR at < end").where(F.size(parts) == len(sets))
+    datasets = listed.select("file", *[F.nullif(parts[i], F.lit("")).alias(c) for i, c in enumerate(sets)])
+    named = datasets.groupBy("file", F.col(sets[0]).alias("code")).agg(F.count(F.lit(1)).alias("listed"))
+    seen = rows.groupBy("file", F.col(code).cast("string").alias("code")).agg(F.count(F.lit(1)).alias("rows"))
+    both = named.join(seen.select(F.col("file").alias("s_file"), F.col("code").alias("s_code"), "rows"), (F.col("file") == F.col("s_file")) & F.col("code").eqNullSafe(F.col("s_code")), "full")
+    reason = F.when(F.col("listed").isNull(), "unlisted").when(F.col("listed") > 1, "repeated").when(F.col("rows").isNull(), "missing")
+    problems = both.select(F.coalesce("file", "s_file").alias("file"), F.coalesce("code", "s_code").alias("code"), reason.alias("reason"), F.coalesce("rows", F.lit(0)).alias("rows")).where("reason IS NOT NULL")
+    return rows, rejects, datasets, problems
+
+
 def commented_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """file, title, columns of tab files that begin with a comment block between /* and */ and a header. The block's 'Title:'
     line is kept; a value that does not fit its column's type is null; a column that a file lacks is null."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from halocline.operators.spatial import KM_PER_DEGREE
+
 MESSAGE = "MessageType string, MetaData struct<MMSI: long, ShipName: string, time_utc: string>, Message struct<Latitude: double, Longitude: double, Sog: double, Cog: double, TrueHeading: int, NavigationalStatus: int>"
 
 
@@ -42,6 +46,22 @@ def watch_boxes(latest: DataFrame, degrees: float) -> DataFrame:
     return latest.select("mmsi", (F.col("lon") - degrees).alias("x0"), (F.col("lat") - degrees).alias("y0"), (F.col("lon") + degrees).alias("x1"), (F.col("lat") + degrees).alias("y1"))
 
 
+def buffered_boxes(latest: DataFrame, km: float) -> DataFrame:
+    """mmsi, part, x0, y0, x1, y1: the boxes around all that lies within km of a vessel's newest position (lon, lat). A circle that
+    holds a pole has a box all round; one over the date line has two (part 0 west of the line, part 1 east of it)."""
+    reach = km / KM_PER_DEGREE
+    south, north = F.greatest(F.col("lat") - reach, F.lit(-90.0)), F.least(F.col("lat") + reach, F.lit(90.0))
+    polar = F.abs("lat") + reach >= 90
+    half = F.degrees(F.asin(F.least(F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians("lat")), F.lit(1.0))))
+    x0, x1 = F.col("lon") - half, F.col("lon") + half
+    box = lambda part, west, east: F.struct(F.lit(part).alias("part"), west.alias("x0"), east.alias("x1"))
+    whole = F.array(box(0, F.lit(-180.0), F.lit(180.0)))
+    over_east, over_west = F.array(box(0, x0, F.lit(180.0)), box(1, F.lit(-180.0), x1 - 360)), F.array(box(0, x0 + 360, F.lit(180.0)), box(1, F.lit(-180.0), x1))
+    boxes = F.when(polar, whole).when(x1 > 180, over_east).when(x0 < -180, over_west).otherwise(F.array(box(0, x0, x1)))
+    known = latest.where("lon IS NOT NULL AND lat IS NOT NULL").select("mmsi", south.alias("y0"), north.alias("y1"), F.explode(boxes).alias("b"))
+    return known.select("mmsi", "b.part", "b.x0", "y0", "b.x1", "y1")
+
+
 def open_flags(flags: DataFrame, existing: DataFrame) -> DataFrame:
     """New (key_id, flag) rows without an open flag of the same kind."""
     return flags.dropDuplicates(["key_id", "flag"]).join(existing.where("acknowledged_at IS NULL").select("key_id", "flag"), ["key_id", "flag"], "left_anti")
