@@ -98,25 +98,43 @@ def _parts(y: Column, m: Column, d: Column) -> Column:
 def written_date(text: Column, day_first: Column) -> Column:
     """struct(y, m, d) of a date text, each part null where it is not certain. An interval keeps the parts its ends share; of
     two numbers before a year, one over 12 is the day, and if neither is, day_first must vouch for the order."""
-    s = F.trim(text)
-    number = lambda t, pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
     ends = "^" + ISO_END + r"\s*/\s*" + ISO_END + "$"
-    a, b = ([number(s, ends, i) for i in at] for at in ((1, 2, 3), (4, 5, 6)))
-    year = F.when(a[0] == b[0], a[0])
-    month = F.when(year.isNotNull() & (a[1] == b[1]), a[1])
-    interval = F.when(_real(*a) & _real(*b), _parts(year, month, F.when(month.isNotNull() & (a[2] == b[2]), a[2])))
-    hour, minute, second = (number(s, CLOCK, i) for i in (2, 3, 4))
-    timed = s.rlike(CLOCK)
-    good_time = ((hour < 24) & (minute < 60) & (F.coalesce(second, F.lit(0)) < 61)) | ((hour == 24) & (minute == 0) & (F.coalesce(second, F.lit(0)) == 0))
-    day = F.when(timed, F.trim(F.regexp_extract(s, CLOCK, 1))).otherwise(s)
-    y, m, d = (number(day, YEAR_FIRST, i) for i in (1, 3, 4))
-    first = F.when(_real(y, m, d), _parts(y, m, d))
-    p, q, z = (number(day, YEAR_LAST, i) for i in (1, 3, 4))
+    groups = lambda t, pattern, names: {n: F.regexp_extract(t, pattern, i).try_cast("int").alias(n) for n, i in names}
+    clock = lambda s: F.struct(s.alias("s"), F.when(s.rlike(CLOCK), F.struct(F.trim(F.regexp_extract(s, CLOCK, 1)).alias("day"), *groups(s, CLOCK, (("hour", 2), ("minute", 3), ("second", 4))).values())).alias("c"))
+    # A text is one of the kinds, so the groups of one pattern only are taken; each is taken once.
+    return _bound(F.trim(text), lambda s: F.when(s.rlike(ends), _bound(F.struct(*groups(s, ends, zip(("ay", "am", "ad", "by", "bm", "bd"), range(1, 7), strict=True)).values()), _interval)).otherwise(_bound(clock(s), lambda x: _single(x, day_first))))
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _interval(n: Column) -> Column:
+    year = F.when(n["ay"] == n["by"], n["ay"])
+    month = F.when(year.isNotNull() & (n["am"] == n["bm"]), n["am"])
+    day = F.when(month.isNotNull() & (n["ad"] == n["bd"]), n["ad"])
+    return F.when(_real(n["ay"], n["am"], n["ad"]) & _real(n["by"], n["bm"], n["bd"]), _parts(year, month, day))
+
+
+def _single(x: Column, day_first: Column) -> Column:
+    """The parts of one day x: s the text, c the day's text and the clock time behind it, null without one."""
+    c, second = x["c"], F.coalesce(x["c"]["second"], F.lit(0))
+    good_time = ((c["hour"] < 24) & (c["minute"] < 60) & (second < 61)) | ((c["hour"] == 24) & (c["minute"] == 0) & (second == 0))
+    number = lambda t, pattern, names: F.struct(*[F.regexp_extract(t, pattern, i).try_cast("int").alias(n) for n, i in names])
     none = F.lit(None).cast("int")
-    known = z.between(FIRST_YEAR, LAST_YEAR)
-    last = F.when(known & (p > 12) & q.between(1, 12) & _real(z, q, p), _parts(z, q, p)).when(known & p.between(1, 12) & q.between(1, 12), F.when(day_first & _real(z, q, p), _parts(z, q, p)).otherwise(_parts(z, none, none)))
-    last = F.when(known & p.between(1, 12) & (q > 12), _parts(z, none, none)).otherwise(last)
-    return F.when(s.rlike(ends), interval).when(timed & ~good_time, F.lit(None)).when(day.rlike(YEAR_FIRST), first).when(day.rlike(YEAR_LAST), last)
+
+    def year_last(n: Column) -> Column:
+        p, q, z = n["p"], n["q"], n["z"]
+        known = z.between(FIRST_YEAR, LAST_YEAR)
+        last = F.when(known & (p > 12) & q.between(1, 12) & _real(z, q, p), _parts(z, q, p)).when(known & p.between(1, 12) & q.between(1, 12), F.when(day_first & _real(z, q, p), _parts(z, q, p)).otherwise(_parts(z, none, none)))
+        return F.when(known & p.between(1, 12) & (q > 12), _parts(z, none, none)).otherwise(last)
+
+    def of_day(day: Column) -> Column:
+        first = _bound(number(day, YEAR_FIRST, (("y", 1), ("m", 3), ("d", 4))), lambda n: F.when(_real(n["y"], n["m"], n["d"]), _parts(n["y"], n["m"], n["d"])))
+        return F.when(day.rlike(YEAR_FIRST), first).when(day.rlike(YEAR_LAST), _bound(number(day, YEAR_LAST, (("p", 1), ("q", 3), ("z", 4))), year_last))
+
+    return F.when(c.isNotNull() & ~good_time, F.lit(None)).otherwise(_bound(F.when(c.isNotNull(), c["day"]).otherwise(x["s"]), of_day))
 
 
 def resolved_date(text: Column, day_first: Column, start: Column, end: Column, y: Column, m: Column, d: Column) -> Column:

@@ -29,6 +29,11 @@ def edges_of_rings(rings: Column) -> Column:
     return F.flatten(F.transform(rings, one))
 
 
+def bound(value: Column, then) -> Column:
+    """then(value) with the value evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _meets(e: Column, x: Column, y: Column, size: Column) -> Column:
     """Whether an edge passes through the cell with its corner at (x, y)."""
     side = lambda px, py: (e["x1"] - e["x0"]) * (py - e["y0"]) - (px - e["x0"]) * (e["y1"] - e["y0"])
@@ -110,27 +115,34 @@ def points_in(points: DataFrame, covered: DataFrame) -> DataFrame:
     return met.where(keep).select(*points.columns, "zone_id")
 
 
-def clipped_area(a: Column, b: Column, x_scale: float = 1.0) -> Column:
+def clipped_area(a: Column, b: Column) -> Column:
     """The area that a ring shares with a convex ring b (both closed arrays of x and y), in square units of the plane: a is cut by
     the half-plane of each edge of b in turn, then the shoelace."""
-    turn = F.aggregate(edges_of_rings(F.array(b)), F.lit(0.0), lambda s, e: s + e["x0"] * e["y1"] - e["x1"] * e["y0"])
-    sign = F.when(turn < 0, -1.0).otherwise(1.0)
     bare = lambda ring: F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    start = F.transform(bare(a), lambda p: point(p["x"], p["y"]))
+    round_ = lambda ring: F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring), F.lit(1))), F.slice(ring, F.lit(1), F.lit(1)))
+    none = F.array().cast("array<struct<x: double, y: double>>")
 
-    def cut(ring: Column, e: Column) -> Column:
+    def cut(ring: Column, e: Column, sign: Column) -> Column:
         side = lambda p: sign * ((e["x1"] - e["x0"]) * (p["y"] - e["y0"]) - (p["x"] - e["x0"]) * (e["y1"] - e["y0"]))
-        pairs = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring), F.lit(1))), F.slice(ring, F.lit(1), F.lit(1))), lambda p, q: F.struct(p.alias("p"), q.alias("q"), side(p).alias("s"), side(q).alias("t")))
-        share = lambda w: w["s"] / (w["s"] - w["t"])
-        crossing = lambda w: point(w["p"]["x"] + share(w) * (w["q"]["x"] - w["p"]["x"]), w["p"]["y"] + share(w) * (w["q"]["y"] - w["p"]["y"]))
-        none = F.array().cast("array<struct<x: double, y: double>>")
-        kept = lambda w: F.concat(F.when(w["s"] >= 0, F.array(point(w["p"]["x"], w["p"]["y"]))).otherwise(none), F.when((w["s"] >= 0) != (w["t"] >= 0), F.array(crossing(w))).otherwise(none))
-        return F.flatten(F.transform(pairs, kept))
-
-    clipped = F.aggregate(edges_of_rings(F.array(b)), start, cut)
-    area = lambda ring: F.abs(F.aggregate(F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring), F.lit(1))), F.slice(ring, F.lit(1), F.lit(1))), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
-    return F.get(F.transform(F.array(clipped), lambda ring: F.when(F.size(ring) >= 3, area(ring)).otherwise(0.0)), F.lit(0)) * x_scale
+        sided = F.transform(ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("s")))
+
+        def kept(pairs: Column) -> Column:
+            share = lambda w: w["p"]["s"] / (w["p"]["s"] - w["q"]["s"])
+            crossing = lambda w: point(w["p"]["x"] + share(w) * (w["q"]["x"] - w["p"]["x"]), w["p"]["y"] + share(w) * (w["q"]["y"] - w["p"]["y"]))
+            inside = lambda w: F.when(w["p"]["s"] >= 0, F.array(point(w["p"]["x"], w["p"]["y"]))).otherwise(none)
+            return F.flatten(F.transform(pairs, lambda w: F.concat(inside(w), F.when((w["p"]["s"] >= 0) != (w["q"]["s"] >= 0), F.array(crossing(w))).otherwise(none))))
+
+        return bound(sided, lambda r: kept(F.zip_with(r, round_(r), lambda p, q: F.struct(p.alias("p"), q.alias("q")))))
+
+    def clipped(given: Column) -> Column:
+        turn = F.aggregate(given["edges"], F.lit(0.0), lambda s, e: s + e["x0"] * e["y1"] - e["x1"] * e["y0"])
+        return bound(F.when(turn < 0, -1.0).otherwise(1.0), lambda sign: F.aggregate(given["edges"], given["start"], lambda ring, e: cut(ring, e, sign)))
+
+    area = lambda ring: F.abs(F.aggregate(F.zip_with(ring, round_(ring), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
+    start = F.transform(bare(a), lambda p: point(p["x"], p["y"]))
+    met = bound(F.struct(edges_of_rings(F.array(b)).alias("edges"), start.alias("start")), clipped)
+    return bound(met, lambda ring: F.when(F.size(ring) >= 3, area(ring)).otherwise(0.0))
 
 
 def equal_area(ring: Column) -> Column:
