@@ -24,7 +24,7 @@ nothing, has no component and is kept. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -163,14 +163,14 @@ def _first_search(members: DataFrame, sigs: DataFrame, percent: int) -> DataFram
                 left = np.setdiff1d(left, np.append(b[~both], [y for _, y in linked]).astype(np.int64))
             yield _found(rows["node"].to_numpy(), sure, np.concatenate(i), np.concatenate(j))
 
-    dealt = J.dealt_twice(members).join(sigs, "node").repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "node")
+    dealt = J.dealt_twice(members).join(sigs.drop("keys"), "node").repartition("key", "piece").sortWithinPartitions("key", "piece", "n", "node")
     return dealt.mapInPandas(search, FOUND)
 
 
-def across(sig: np.ndarray, n: np.ndarray, settled: Settled, own: np.ndarray, percent: int, need: list[int], last: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+def across(sig: np.ndarray, n: np.ndarray, settled: Settled, own: np.ndarray, mine: Callable[[np.ndarray, np.ndarray], np.ndarray], percent: int, need: list[int], last: bool) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Pairs of rows of different components (and of the two pieces, if there are two): the small ones that are linked, and
     candidates (i, j) of the others, for each j the likeliest. The last search leaves out small pairs, all of which the first
-    one has settled, and returns every candidate."""
+    one has settled, and returns every candidate. mine tells which pairs are this block's to settle."""
     two = own.min() != own.max()
     sure, out = [], [(np.empty(0, np.int64),) * 2]
     rows = np.arange(len(n))
@@ -185,6 +185,8 @@ def across(sig: np.ndarray, n: np.ndarray, settled: Settled, own: np.ndarray, pe
             some &= ~(settled.is_small[i] & settled.is_small[j])
         i, j = i[some], j[some]
         found, equal = survivors(sig, n, i, j, percent, need)
+        own_ones = mine(i[found], j[found])
+        found, equal = found[own_ones], equal[own_ones]
         i, j = i[found], j[found]
         both = settled.is_small[i] & settled.is_small[j]
         sure += settled.links(i[both], j[both], equal[both], percent)
@@ -199,20 +201,36 @@ def across(sig: np.ndarray, n: np.ndarray, settled: Settled, own: np.ndarray, pe
 
 
 def _second_search(known: DataFrame, top: DataFrame, sigs: DataFrame, percent: int, last: bool) -> DataFrame:
+    """u, v, sure of pairs of different components in the open blocks. A pair that shares several open blocks is settled in the one
+    with the least key only: keys holds, band by band, a member's keys of open blocks, and 0 elsewhere."""
     need = least_matches(percent)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in J.whole_groups(batches, ["key", "lo", "hi"]):
             node, comp, n, own, sig = *(rows[c].to_numpy() for c in ("node", "component", "n", "own")), _opened(rows)
+            keys = np.stack(rows["keys"].to_numpy())
             for start, end in zip(cut[:-1], cut[1:], strict=True):
-                at = slice(start, end)
+                at, key = slice(start, end), rows["key"].iloc[start]
+
+                def mine(i: np.ndarray, j: np.ndarray, k: np.ndarray = keys[at], key: int = key) -> np.ndarray:
+                    out = [np.where((k[i[a : a + SLICE]] == k[j[a : a + SLICE]]) & (k[i[a : a + SLICE]] > 0), k[i[a : a + SLICE]], np.int64(1) << 62).min(1) == key for a in range(0, len(i), SLICE)]
+                    return np.concatenate([np.empty(0, bool), *out])
+
                 settled = Settled(comp[at], rows["small"].iloc[at])
-                yield _found(node[at], *across(sig[at], n[at], settled, own[at], percent, need, last))
+                yield _found(node[at], *across(sig[at], n[at], settled, own[at], mine, percent, need, last))
 
-    dealt = J.open_pieces(known, top).join(sigs, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
+    pieces = open_rows(known, top)
+    held = pieces.groupBy("node").agg(F.collect_set("key").alias("open_keys"))  # BANDS for each text at most
+    keyed = sigs.join(held, "node").withColumn("keys", F.transform("keys", lambda k: F.when(F.array_contains("open_keys", k), k).otherwise(0))).drop("open_keys")
+    dealt = J.open_pieces(known, top).join(keyed, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
     return dealt.mapInPandas(search, FOUND)
 
 
+def open_rows(known: DataFrame, top: DataFrame) -> DataFrame:
+    """key, node of the members of the open blocks."""
+    return known.join(top, F.col("key") == F.col("t_key")).select("key", "node")
+
+
 def _links(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links among pairs u, v, sure: those that are sure, and those of the others that the full sets confirm."""
     found = C.materialise(found.distinct(), "found")
@@ -227,7 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = C.materialise(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     firsts = known.join(J._small(classes.select("node").distinct()), F.col("doc_id") == F.col("node"), "left_semi")
     members = J._members(firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
-    sigs = firsts.select(F.col("doc_id").alias("node"), "n", "sig", "small").distinct()
+    sigs = firsts.select(F.col("doc_id").alias("node"), "n", "sig", "small", "keys").distinct()
     links = _links(_first_search(members, sigs, percent), docs, k, percent).unionByName(J.same_ids(known, classes))
     labels = components(links)
     for last in (False, True):
