@@ -2,8 +2,9 @@
 
 A zone is a list of closed rings under the even-odd rule, so holes and parts need no marks; its longitudes may run on beyond
 180 where it crosses the date line (over 360 degrees at most). A quadtree covers it: a cell without edges lies wholly inside or outside, one with few
-edges (or at the deepest level) keeps those that pass through it and whether its corner is inside, and others are split. So a
-world-sized zone is a few large inner cells and small ones along its border only.
+edges (or at the deepest level) keeps those that pass through it and whether its corner is inside, and others are split. A cell
+is split, too, while it is large beside the ring that passes through it, so that small zones do not meet all points of a large
+cell. So a world-sized zone is a few large inner cells and small ones along its border only.
 
 Points meet cells by an equi join on (level, column, row). An inner cell answers by the join alone; in an edge cell the way
 from the corner to the point is walked, up and then along, and every edge on it changes sides. The grid's origin is set off
@@ -21,6 +22,8 @@ ROOT, COLUMNS = 45.0, 8
 WEST, SOUTH = -180.000314159, -90.000271828
 #: Edges of a cell that is not split, and the deepest level (45 / 2^12 degrees, about a km).
 EDGES, DEEPEST = 16, 12
+#: A ring is this many cells wide or high at least.
+FINE = 8
 EDGE = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 
@@ -65,7 +68,9 @@ def _on(edges: Column, x: Column, y: Column) -> Column:
 def cover(zones: DataFrame, most: int = EDGES, deepest: int = DEEPEST) -> DataFrame:
     """zone_id, level, cx, cy, turn, inside, edges of the cells of zones (zone_id, rings array<array<struct<x, y>>>): turn is how
     often the cell lies once more round the world, inside whether its corner is in the zone. Cells outside are left out."""
-    z = zones.where("zone_id IS NOT NULL AND rings IS NOT NULL").select("zone_id", edges_of_rings(F.col("rings")).alias("all"))
+    wide = lambda ring, c: F.array_max(F.transform(ring, lambda p: p[c])) - F.array_min(F.transform(ring, lambda p: p[c]))
+    marked = lambda ring: F.transform(edges_of_rings(F.array(ring)), lambda e: e.withField("span", F.greatest(wide(ring, "x"), wide(ring, "y"))))
+    z = zones.where("zone_id IS NOT NULL AND rings IS NOT NULL").select("zone_id", F.flatten(F.transform("rings", marked)).alias("all"))
     ends = lambda f, c: f(F.transform("all", lambda e: (F.greatest if f is F.array_max else F.least)(e[f"{c}0"], e[f"{c}1"])))
     span = lambda c, start: F.sequence(F.floor((ends(F.array_min, c) - start) / ROOT), F.floor((ends(F.array_max, c) - start) / ROOT))
     size = F.lit(ROOT)
@@ -75,7 +80,8 @@ def cover(zones: DataFrame, most: int = EDGES, deepest: int = DEEPEST) -> DataFr
     out = None
     for level in range(deepest + 1):
         cells = scratch.written(cells, "cells")
-        done = (F.size("edges") <= most) | F.lit(level == deepest)
+        narrow = F.exists("edges", lambda e: e["span"] < ROOT / 2**level * FINE)  # noqa: B023
+        done = ((F.size("edges") <= most) & ~narrow) | F.lit(level == deepest)
         own = cells.where(done).where((F.size("edges") > 0) | F.col("inside")).withColumn("level", F.lit(level))
         out = own if out is None else out.unionByName(own)
         more = cells.where(~done)
@@ -92,27 +98,49 @@ def cover(zones: DataFrame, most: int = EDGES, deepest: int = DEEPEST) -> DataFr
         quarters = quarters.select("zone_id", (F.col("ix") * 2 + F.col("q.i")).alias("n_ix"), (F.col("iy") * 2 + F.col("q.j")).alias("n_iy"), inside.alias("n_inside"), own.alias("n_edges"))
         cells = quarters.withColumnsRenamed({f"n_{c}": c for c in ("ix", "iy", "inside", "edges")})
     around = F.lit(COLUMNS) * F.expr("shiftleft(1L, level)")
-    return out.select("zone_id", "level", F.pmod("ix", around).alias("cx"), F.col("iy").alias("cy"), F.floor(F.col("ix") / around).alias("turn"), "inside", "edges")
+    return out.select("zone_id", "level", F.pmod("ix", around).alias("cx"), F.col("iy").alias("cy"), F.floor(F.col("ix") / around).alias("turn"), "inside", F.transform("edges", lambda e: e.dropFields("span")).alias("edges"))
 
 
-def points_in(points: DataFrame, covered: DataFrame) -> DataFrame:
-    """points (lon, lat) with zone_id, a row for each zone that holds them. covered comes from cover; write it once if it serves
-    several joins."""
-    levels = [r.level for r in covered.select("level").distinct().orderBy("level").collect()]  # DEEPEST + 1 at most
-    if not levels:
-        levels = [0]
+def _in_cells(points: DataFrame, levels: list[int]) -> DataFrame:
+    """A row of points for each level, with the cell (p_level, p_x, p_y) there."""
+    side, around = F.lit(ROOT) / F.expr("shiftleft(1L, p_level)"), F.lit(COLUMNS) * F.expr("shiftleft(1L, p_level)")
+    at = points.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("p_level", F.explode(F.array(*[F.lit(n) for n in levels or [0]])))
+    return at.withColumn("p_x", F.pmod(F.floor((F.col("lon") - WEST) / side), around)).withColumn("p_y", F.floor((F.col("lat") - SOUTH) / side))
+
+
+def _levels(covered: DataFrame) -> list[int]:
+    return [r.level for r in covered.select("level").distinct().orderBy("level").collect()]  # DEEPEST + 1 at most
+
+
+def _meet() -> Column:
+    return (F.col("p_level") == F.col("level")) & (F.col("p_x") == F.col("cx")) & (F.col("p_y") == F.col("cy"))
+
+
+def least_of(places: DataFrame, covered: DataFrame, rank: str) -> DataFrame:
+    """lon, lat, zones, least of the places (lon, lat; each once) in any zone: how many hold it and their least rank, a whole
+    number in covered beside each cell's zone. The zones that hold a cell whole are summed up per cell before any place meets
+    them, so a place joins one row a level and, for the zones whose border is near, the cells of those."""
+    inner = covered.where(F.size("edges") == 0).where("inside").groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"))
+    inner = scratch.written(inner, "inner")
+    edged = covered.where(F.size("edges") > 0)
+    whole = _in_cells(places.select("lon", "lat"), _levels(inner)).join(inner, _meet()).select("lon", "lat", "n", "least")
+    near = points_in(places.select("lon", "lat"), edged, rank).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"))
+    return whole.unionByName(near).groupBy("lon", "lat").agg(F.sum("n").alias("zones"), F.min("least").alias("least"))
+
+
+def points_in(points: DataFrame, covered: DataFrame, *more: str) -> DataFrame:
+    """points (lon, lat) with zone_id (and more columns of covered), a row for each zone that holds them. covered comes from cover;
+    write it once if it serves several joins."""
+    met = _in_cells(points, _levels(covered)).join(covered, _meet())
     side = F.lit(ROOT) / F.expr("shiftleft(1L, p_level)")
     around = F.lit(COLUMNS) * F.expr("shiftleft(1L, p_level)")
-    at = points.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("p_level", F.explode(F.array(*[F.lit(n) for n in levels])))
-    at = at.withColumn("p_x", F.pmod(F.floor((F.col("lon") - WEST) / side), around)).withColumn("p_y", F.floor((F.col("lat") - SOUTH) / side))
-    met = at.join(covered, (F.col("p_level") == F.col("level")) & (F.col("p_x") == F.col("cx")) & (F.col("p_y") == F.col("cy")))
     # The point in the zone's own longitudes: as many turns on as the cell.
     x0 = (F.col("cx") + F.col("turn") * around) * side + WEST
     lon = F.col("lon") + 360.0 * (F.col("turn") - F.floor((F.col("lon") - WEST) / 360))
     y0 = F.col("cy") * side + SOUTH
     held = F.col("inside") != (_up(F.col("edges"), x0, y0, F.col("lat")) != _along(F.col("edges"), x0, F.col("lat"), lon))
     keep = F.when(F.size("edges") == 0, F.col("inside")).otherwise(held | _on(F.col("edges"), lon, F.col("lat")))
-    return met.where(keep).select(*points.columns, "zone_id")
+    return met.where(keep).select(*points.columns, "zone_id", *more)
 
 
 def clipped_area(a: Column, b: Column) -> Column:

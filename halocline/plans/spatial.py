@@ -223,8 +223,13 @@ SELECT occ_id, lon, lat, count(*) AS zones, arg_min(zone_id, (extent, zone_id))
 def points_in_holed_zones(spark, d):
     """Zones with holes, two parts and the date line, one of them nearly as large as the world: how many hold a point, and the smallest."""
     from halocline.operators import zones as Z
+    from halocline.operators.ordered import numbered
     from halocline.sources import scratch
 
-    z = scratch.written(holed_zones(spark, d), "zones")
-    found = Z.points_in(table(spark, d, "occurrences").select("occ_id", "lon", "lat").distinct(), scratch.written(Z.cover(z), "cover")).join(F.broadcast(z.select(F.col("zone_id").alias("z_id"), "extent")), F.col("zone_id") == F.col("z_id"))
-    return found.groupBy("occ_id", "lon", "lat").agg(F.count(F.lit(1)).alias("zones"), F.min_by("zone_id", F.struct("extent", "zone_id")).alias("smallest"))
+    # Zones by extent, then id: the least number among those that hold a place is the smallest zone.
+    z = scratch.written(numbered(holed_zones(spark, d), [], ["extent", "zone_id"]), "zones")
+    covered = Z.cover(z).join(z.select(F.col("zone_id").alias("z_id"), "pos"), F.col("zone_id") == F.col("z_id")).drop("z_id")
+    points = table(spark, d, "occurrences").select("occ_id", "lon", "lat").distinct()
+    found = Z.least_of(points.select("lon", "lat").distinct(), scratch.written(covered, "cover"), "pos")
+    found = found.join(z.select("pos", F.col("zone_id").alias("smallest")), F.col("least") == F.col("pos")).select(F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"), "zones", "smallest")
+    return points.join(found, (F.col("lon") == F.col("f_lon")) & (F.col("lat") == F.col("f_lat"))).select("occ_id", "lon", "lat", "zones", "smallest")

@@ -92,3 +92,17 @@ def test_equal_area_of_a_cap(spark):
     want = 6371.0**2 * math.radians(30) * (math.sin(math.radians(60)) - math.sin(math.radians(20)))
     a = Z.equal_area(F.col("a"))
     assert df.select(Z.clipped_area(a, a).alias("v")).first().v == pytest.approx(want, rel=1e-9)
+
+
+def test_small_zones_meet_few_points(spark):
+    """A zone far smaller than a root cell is cut to its own size, though it has few edges; what holds a place is counted and
+    ranked as from the single pairs."""
+    rng = random.Random(9)
+    zones = [(i, [ring((x, y), (x + 3, y), (x + 3, y + 3), (x, y + 3)), ring((x + 1, y + 1), (x + 2, y + 1), (x + 2, y + 2), (x + 1, y + 2))]) for i in range(30) for x, y in [(rng.uniform(-10, 10), rng.uniform(-10, 10))]]
+    zones.append((99, [ring((-179, -89), (179, -89), (179, 89), (-179, 89))]))
+    covered = Z.cover(frame(spark, zones)).withColumn("rank", 1000 - F.col("zone_id")).cache()
+    edged = covered.where("zone_id < 30").where(F.size("edges") > 0)
+    assert edged.agg(F.max(F.lit(Z.ROOT) / F.pow(2.0, "level"))).first()[0] <= 3 / Z.FINE
+    points = spark.createDataFrame([(rng.uniform(-12, 14), rng.uniform(-12, 14)) for _ in range(2000)], "lon double, lat double")
+    pairs = Z.points_in(points, covered).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("zones"), F.min(1000 - F.col("zone_id")).alias("least"))
+    assert sorted(map(tuple, Z.least_of(points, covered, "rank").collect())) == sorted(map(tuple, pairs.collect()))
