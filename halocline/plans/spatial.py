@@ -145,8 +145,12 @@ WITH k AS (SELECT a.det_id, b.pos_id, {AB} AS km FROM detections a JOIN position
 l AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY round(km, 9), pos_id) AS rn FROM k)
 SELECT pos_id, min_by(det_id, (round(km, 9), det_id)) AS det_id FROM l WHERE rn = 1 GROUP BY pos_id""")
 def one_claim_per_target(spark, d):
+    """Every detection claims the nearest position of its hour. Detections at one place in one hour claim the same one, and of
+    positions there the least id is nearest, so a place and hour is one row on each side of the join."""
     det = table(spark, d, "detections").select("det_id", F.floor(F.col("t") / 3600).alias("hour"), "lon", "lat")
     pos = table(spark, d, "positions").select("pos_id", F.floor(F.col("r_t") / 3600).alias("r_hour"), "lon", "lat")
+    det = det.groupBy("hour", "lon", "lat").agg(F.min("det_id").alias("det_id"))
+    pos = pos.groupBy("r_hour", "lon", "lat").agg(F.min("pos_id").alias("pos_id"))
     pairs = S.within_distance(det, pos, 5.0, {"hour": "r_hour"})
     best = S.nearest(pairs, ["det_id"], "pos_id")
     return best.groupBy("pos_id").agg(F.min_by("det_id", F.struct(F.round("km", 9), "det_id")).alias("det_id"))
