@@ -46,3 +46,9 @@ def test_equal_paths_are_asked_once(spark, monkeypatch):
     seen = recorded(monkeypatch, "near_zone")
     got = {r.id: (r.zone_id, r.fallback) for r in S.path_zone(paths, zones, 50.0).collect()}
     assert got == {i: (4, i % 3 == 1) for i in range(30) if i % 3 < 2} and seen[0][0].count() == 2
+
+
+def test_an_export_reads_its_table_once(spark, sf):
+    df = registry.QUERIES["area_export"](spark, sf)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
