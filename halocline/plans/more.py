@@ -85,15 +85,17 @@ f AS (SELECT o_orderkey AS file, 'st' || (o_custkey % 50) || '-' || o_orderstatu
 l AS (SELECT s.station, f.file, f.started FROM s JOIN f ON s.name = split_part(f.title, '-', 1) AND abs(s.lon - f.lon) < 2 AND abs(s.lat - f.lat) < 2 WHERE 2 * 6371.0 * asin(least(1.0, sqrt(power(sin(radians(f.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(f.lat)) * power(sin(radians(f.lon - s.lon) / 2), 2)))) <= 50)
 SELECT s.station, count(l.file) AS files, min(l.started) AS first_start, max(l.started) AS last_start FROM s LEFT JOIN l ON l.station = s.station GROUP BY s.station""")
 def file_links(spark, d):
-    """Files linked to stations by the first token of the title and at most 50 km; an equi join on the name comes first."""
+    """Files linked to stations by the first token of the title and at most 50 km; an equi join on the name comes first. Stations
+    and files of one name and place are one row each before they meet."""
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("station"), F.concat(F.lit("st"), F.col("c_custkey") % 50).alias("name"), (F.col("c_custkey") % 360 - 180).cast("double").alias("lon"), (F.col("c_custkey") % 120 - 60).cast("double").alias("lat"))
     f = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.concat(F.lit("st"), F.col("o_custkey") % 50, F.lit("-"), "o_orderstatus").alias("title"), ((F.col("o_custkey") % 360 - 180).cast("double") + 0.1).alias("f_lon"), (F.col("o_custkey") % 120 - 60).cast("double").alias("f_lat"), F.col("o_orderdate").alias("started"))
     cell = lambda c: F.floor(F.col(c) / 2)
-    near = s.withColumn("cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("lon") + i))).withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("lat") + i)))
-    token = F.split("title", "-")[0]
-    pairs = near.join(f.withColumn("token", token), (F.col("name") == F.col("token")) & (F.col("cx") == cell("f_lon")) & (F.col("cy") == cell("f_lat")))
-    links = pairs.where(haversine_km(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat")) <= 50).groupBy(F.col("station").alias("l_station")).agg(F.count(F.lit(1)).alias("files"), F.min("started").alias("first_start"), F.max("started").alias("last_start"))
-    return s.select("station").join(links, F.col("station") == F.col("l_station"), "left").select("station", F.coalesce("files", F.lit(0)).alias("files"), "first_start", "last_start")
+    places = s.select("name", "lon", "lat").distinct()
+    f = f.groupBy(F.split("title", "-")[0].alias("token"), "f_lon", "f_lat").agg(F.count(F.lit(1)).alias("n"), F.min("started").alias("first_start"), F.max("started").alias("last_start"))
+    near = places.withColumn("cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("lon") + i))).withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: cell("lat") + i)))
+    pairs = near.join(f, (F.col("name") == F.col("token")) & (F.col("cx") == cell("f_lon")) & (F.col("cy") == cell("f_lat")))
+    links = pairs.where(haversine_km(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat")) <= 50).groupBy(*[F.col(c).alias(f"l_{c}") for c in ("name", "lon", "lat")]).agg(F.sum("n").alias("files"), F.min("first_start").alias("first_start"), F.max("last_start").alias("last_start"))
+    return s.join(links, (F.col("name") == F.col("l_name")) & (F.col("lon") == F.col("l_lon")) & (F.col("lat") == F.col("l_lat")), "left").select("station", F.coalesce("files", F.lit(0)).alias("files"), "first_start", "last_start")
 
 
 @query("W9", """

@@ -52,3 +52,9 @@ def test_an_export_reads_its_table_once(spark, sf):
     df = registry.QUERIES["area_export"](spark, sf)
     df.collect()
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_files_of_one_name_and_place_are_one_row(spark, sf):
+    """Both sides are aggregated before they meet, and the pairs after that."""
+    df = registry.QUERIES["file_links"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
