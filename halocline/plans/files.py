@@ -36,15 +36,23 @@ def measured_scan(spark, d):
 @query("S4", """
 SELECT 'X' || k AS code, CASE WHEN k IN (3, 4) THEN 'unlisted' WHEN k = 5 THEN 'repeated' END AS reason, count(*) AS rows FROM (SELECT o_custkey % 12 AS k FROM orders) WHERE k IN (3, 4, 5) GROUP BY k UNION ALL SELECT 'X99', 'missing', 0""")
 def sectioned_scan(spark, d):
-    """Text with a table of datasets between preamble and data: codes that the table lacks, lists twice, or has no rows for."""
+    """Texts with a table of datasets between preamble and data: codes that the table lacks, lists twice, or has no rows for. A
+    file holds some orders of one code and that code's lines of the table, and one file has no data, so no task writes more
+    than a file."""
     o = table(spark, d, "orders")
-    known = [f"X{k}\tv{k}\tcruise {k}" for k in (0, 1, 2, 5, 5, 6, 7, 8, 9, 10, 11, 99)]
-    head = ["Collection of orders", "X3\tv1\tnot in the table", "Code\tversion\tname", *known, "", "X4\tv2\ta note below the table", "code\tid\tvalue"]
+    listed = (0, 1, 2, 5, 5, 6, 7, 8, 9, 10, 11, 99)
+    # Orders of one code whose keys are in one range of this many are a file.
+    keys = 2_000_000
+    rows = o.select((F.col("o_custkey") % 12).cast("int").alias("k"), F.floor(F.col("o_orderkey") / keys).alias("range"), F.col("o_orderkey").cast("long").alias("n"), F.concat_ws("\t", F.concat(F.lit("X"), F.col("o_custkey") % 12), "o_orderkey", F.col("o_totalprice").cast("string")).alias("value"))
+    known = F.transform(F.filter(F.array(*map(F.lit, listed)), lambda k: k == F.col("k")), lambda k: F.concat(F.lit("X"), k, F.lit("\tv"), k, F.lit("\tcruise "), k))
+    above, below = (F.array(*map(F.lit, x)) for x in (["Collection of orders", "X3\tv1\tnot in the table", "Code\tversion\tname"], ["", "X4\tv2\ta note below the table", "code\tid\tvalue"]))
+    empty = spark.range(1).select(F.lit(99).alias("k"), F.lit(0).cast("long").alias("range"))
+    text = rows.select("k", "range").distinct().unionByName(empty).select("k", "range", F.posexplode(F.concat(above, known, below)).alias("n", "value")).select("k", "range", F.lit(0).alias("part"), F.col("n").cast("long").alias("n"), "value")
     path = scratch.folder(spark, "sections")
-    text = spark.createDataFrame([(x, 0, i) for i, x in enumerate(head)], "value string, part int, n long")
-    body = o.select(F.concat_ws("\t", F.concat(F.lit("X"), F.col("o_custkey") % 12), "o_orderkey", F.col("o_totalprice").cast("string")).alias("value"), F.lit(1).alias("part"), F.col("o_orderkey").cast("long").alias("n"))
-    text.unionByName(body).coalesce(1).sortWithinPartitions("part", "n").select("value").write.text(path)
-    return scans.sectioned_text(spark, path, ["Code", "version", "name"], ["code", "id", "value"], {"id": "bigint", "value": "double"}, "code")[3].select("code", "reason", "rows")
+    both = text.unionByName(rows.select("k", "range", F.lit(1).alias("part"), "n", "value"))
+    both.repartition("k", "range").sortWithinPartitions("k", "range", "part", "n").select("k", "range", "value").write.partitionBy("k", "range").text(path)
+    problems = scans.sectioned_text(spark, path, ["Code", "version", "name"], ["code", "id", "value"], {"id": "bigint", "value": "double"}, "code")[3]
+    return problems.groupBy("code", "reason").agg(F.sum("rows").alias("rows"))
 
 
 @query("S5", "SELECT 'Series ' || (o_custkey % 5) AS title, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS depth, NULL::DOUBLE AS salinity FROM orders")

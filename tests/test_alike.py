@@ -58,3 +58,9 @@ def test_files_of_one_name_and_place_are_one_row(spark, sf):
     """Both sides are aggregated before they meet, and the pairs after that."""
     df = registry.QUERIES["file_links"](spark, sf)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
+
+
+def test_sections_are_in_many_files(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: f"{tmp_path}/{name}")
+    assert registry.QUERIES["sectioned_scan"](spark, sf).count() == 4
+    assert len({f.rpartition("/")[0] for f in spark.read.text(f"{tmp_path}/sections").inputFiles()}) >= 13
