@@ -7,6 +7,7 @@ from halocline.operators import rollup as R
 from halocline.plans.book import query
 from halocline.plans.rollups import BAND, CUTOFF, DECADE, MX, MY, cell_sql, cube, morton_sql
 from halocline.plans.standins import table
+from halocline.sources import scratch
 
 COPEPOD = "(class IS NOT DISTINCT FROM 'Copepoda' OR subclass IS NOT DISTINCT FROM 'Copepoda')"
 GROUP = f"""CASE WHEN {COPEPOD} THEN 'copepoda' WHEN ord = 'Euphausiacea' THEN 'euphausiacea' WHEN phylum = 'Bacillariophyta' OR class = 'Bacillariophyceae' THEN 'diatoms'
@@ -50,7 +51,7 @@ r AS (SELECT occ_id, CASE WHEN style = 9 THEN NULL ELSE y END AS year,
  CASE style WHEN 8 THEN 'reader' WHEN 7 THEN 'fields' WHEN 9 THEN 'none' ELSE 'text' END AS source FROM k) SELECT * FROM r""")
 def resolved_dates(spark, d):
     """Dates in ten spellings; a dataset vouches for day before month if enough of its first numbers are over 12 and no
-    second one is."""
+    second one is. Texts and fields are read once for each form in which they come, not once a record."""
     c = F.col
     two = lambda x: F.lpad(c(x).cast("string"), 2, "0")
     iso = F.concat_ws("-", c("y").cast("string"), two("m"), two("d"))
@@ -58,12 +59,19 @@ def resolved_dates(spark, d):
                F.when(c("dataset") == 5, F.concat_ws(".", "m", "d", "y")).otherwise(F.concat_ws(".", "d", "m", "y")), F.concat(iso, F.lit("T24:00")), F.concat(iso, F.lit("T12:30:00Z")), F.lit("unknown"), F.lit(None).cast("string"), F.concat(c("y"), F.lit("-13-01"))]
     f = table(spark, d, "finds").withColumn("text", F.element_at(F.array(*spelled), (c("style") + 1).cast("int"))).withColumn("own", F.make_date("y", "m", "d"))
     pair = [F.regexp_extract("text", occurrence.YEAR_LAST, i).try_cast("int") for i in (1, 3)]
-    proof = f.groupBy("dataset").agg(F.count_if(pair[0] > 12).alias("firsts"), F.count_if(pair[1] > 12).alias("seconds")).where("firsts >= 3 AND seconds = 0").select(c("dataset").alias("proven"))
+    over = lambda n: F.coalesce(F.sum(F.when(n > 12, F.col("n"))), F.lit(0))
+    proof = f.groupBy("dataset", "text").agg(F.count(F.lit(1)).alias("n")).groupBy("dataset").agg(over(pair[0]).alias("firsts"), over(pair[1]).alias("seconds")).where("firsts >= 3 AND seconds = 0").select(c("dataset").alias("proven"))
     f = f.join(proof, c("dataset") == c("proven"), "left")
     start = F.when(c("style") == 8, c("own")).when(c("style") == 5, F.date_add("own", 1))
     fields = c("style") == 7
-    out = occurrence.resolved_date(c("text"), c("proven").isNotNull(), start, start, F.when(fields, c("y")), F.when(fields & (c("l_linenumber") % 2 == 0), c("m")), F.lit(None).cast("int"))
-    return f.select("occ_id", out.alias("r")).select("occ_id", c("r.y").alias("year"), c("r.m").alias("month"), c("r.d").alias("day"), "r.source")
+    f = f.select("occ_id", "text", c("proven").isNotNull().alias("vouched"), start.alias("start"), F.when(fields, c("y")).alias("own_y"), F.when(fields & (c("l_linenumber") % 2 == 0), c("m")).alias("own_m"))
+    said = ["text", "vouched", "start", "own_y", "own_m"]
+    out = occurrence.resolved_date(c("text"), c("vouched"), c("start"), c("start"), c("own_y"), c("own_m"), F.lit(None).cast("int"))
+    forms = scratch.written(f.select(*said).distinct().select(*[c(x).alias(f"s_{x}") for x in said], out.alias("r")), "forms")
+    alike = F.lit(True)
+    for x in said:
+        alike = alike & c(x).eqNullSafe(c(f"s_{x}"))
+    return f.join(forms, alike).select("occ_id", c("r.y").alias("year"), c("r.m").alias("month"), c("r.d").alias("day"), "r.source")
 
 
 @query("P12", """SELECT o_orderkey AS id, o_custkey % 4 AS source, CASE WHEN o_custkey % 4 = 1 AND o_orderdate::DATE IN (DATE '1995-01-01', DATE '1996-06-15') OR o_custkey % 4 = 2 AND o_orderdate::DATE = DATE '1997-03-03' THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")

@@ -64,3 +64,10 @@ def test_sections_are_in_many_files(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "folder", lambda spark, name: f"{tmp_path}/{name}")
     assert registry.QUERIES["sectioned_scan"](spark, sf).count() == 4
     assert len({f.rpartition("/")[0] for f in spark.read.text(f"{tmp_path}/sections").inputFiles()}) >= 13
+
+
+def test_dates_are_read_once_for_each_form(spark, sf):
+    """The records are joined with the forms that were read, and no record's text is taken apart."""
+    df = registry.QUERIES["resolved_dates"](spark, sf)
+    records = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in records
