@@ -49,10 +49,11 @@ def streamed_correlation(spark, d):
     for name, rows in (("det", det), ("pos", pos)):
         in_order(rows, f"{folder}/{name}", "at", 3)
     stream = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}").drop("at")
-    for name, km, seconds in (("close", 0.5, 600), ("heard", 50.0, 3600)):
-        # Files are a third of the time span each and in order, so no row comes later than a third.
-        correlate.collect_pairs(correlate.pair_stream(stream("det", det), stream("pos", pos), km, seconds, "40 days"), f"{folder}/{name}", f"{folder}/{name}-checkpoint")
     read = lambda name: spark.read.schema("batch int, det_id long, mmsi long, km double, r_t long, gap double").parquet(f"{folder}/{name}")
+    # Files are a third of the time span each and in order, so no row comes later than a third.
+    run = lambda name, asked, km, seconds, nearest: correlate.collect_pairs(correlate.pair_stream(asked, stream("pos", pos), km, seconds, "40 days"), f"{folder}/{name}", f"{folder}/{name}-checkpoint", nearest)
+    run("close", stream("det", det), 0.5, 600, True)
+    run("heard", stream("det", det).join(read("close").select("det_id").distinct(), "det_id", "left_anti"), 50.0, 3600, False)
     early = correlate.classify(det, read("close").where("batch < 2"), read("heard").where("batch < 2"))
     return correlate.judge_again(scratch.written(early, "early"), det, read("close"), read("heard"))
 

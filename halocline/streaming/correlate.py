@@ -2,8 +2,8 @@
 
 The streams are joined on cell and time bucket (an equi join), with the exact window of event time beside it, so Spark drops
 state that no later row can meet. Pairs are appended batch by batch (a batch that runs again writes the same place). Results
-follow from the pairs: a detection is classified when the watermark has passed its window, and one that was ambiguous is
-judged again when a pair arrives later.
+follow from the pairs: a detection is classified when the watermark has passed its window, and judged again when a pair
+arrives later. Who was heard around matters only without a match, so that stream may leave out the detections that have one.
 """
 
 from __future__ import annotations
@@ -34,11 +34,15 @@ def pair_stream(detections: DataFrame, positions: DataFrame, radius_km: float, s
     return pairs.select("det_id", "mmsi", gap.alias("gap"), km.alias("km"), F.unix_seconds("r_ts").alias("r_t"))
 
 
-def collect_pairs(pairs: DataFrame, folder: str, checkpoint: str):
+def collect_pairs(pairs: DataFrame, folder: str, checkpoint: str, nearest: bool = False):
     """Run a pair stream over what there is now; every batch's pairs are a table of their own, one row per detection and vessel
-    (the nearest, then the earliest)."""
+    (the nearest, then the earliest), or the nearest only, one per detection (ties by vessel, then time)."""
 
     def keep(batch: DataFrame, number: int) -> None:
+        if nearest:
+            best = batch.groupBy("det_id").agg(F.min(F.struct(F.round("km", 9).alias("km"), "mmsi", "r_t", "gap")).alias("b"))
+            best.select("det_id", "b.mmsi", "b.km", "b.r_t", "b.gap").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            return
         best = batch.groupBy("det_id", "mmsi").agg(F.min(F.struct(F.round("km", 9).alias("km"), "r_t", "gap")).alias("b"))
         best.select("det_id", "mmsi", "b.km", "b.r_t", "b.gap").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
@@ -58,7 +62,8 @@ def classify(detections: DataFrame, close: DataFrame, heard: DataFrame) -> DataF
 
 
 def judge_again(results: DataFrame, detections: DataFrame, close: DataFrame, heard: DataFrame) -> DataFrame:
-    """results where those that are not matched yet, and have pairs now, are classified anew; all others stay as they are."""
-    again = results.where("class <> 'matched'").select("det_id").join(close.select("det_id").unionByName(heard.select("det_id")).distinct(), "det_id", "left_semi")
+    """results where those that have pairs now are classified anew (a later pair may be nearer than the one that matched); all
+    others stay as they are."""
+    again = results.select("det_id").join(close.select("det_id").unionByName(heard.select("det_id")).distinct(), "det_id", "left_semi")
     fresh = classify(detections.join(again, "det_id", "left_semi"), close, heard)
     return results.join(fresh.select("det_id"), "det_id", "left_anti").unionByName(fresh)

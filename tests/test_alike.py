@@ -71,3 +71,13 @@ def test_dates_are_read_once_for_each_form(spark, sf):
     df = registry.QUERIES["resolved_dates"](spark, sf)
     records = df._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in records
+
+
+def test_a_later_nearer_pair_wins(spark):
+    """A detection that an early pair matched is judged again when a nearer one comes; one without new pairs stays as it was."""
+    det = spark.createDataFrame([(1,), (2,), (3,)], "det_id long")
+    close = spark.createDataFrame([(0, 1, 7, 0.4, 100, 9.0), (2, 1, 8, 0.1, 120, 11.0), (2, 2, 9, 0.2, 50, 3.0)], "batch int, det_id long, mmsi long, km double, r_t long, gap double")
+    heard = close.where("false")
+    early = correlate.classify(det, close.where("batch < 2"), heard)
+    got = {r.det_id: (r["class"], r.mmsi, r.gap_s) for r in correlate.judge_again(early, det, close, heard).collect()}
+    assert got == {1: ("matched", 8, 11), 2: ("matched", 9, 3), 3: ("ambiguous", None, None)}
