@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from halocline.sources import scratch
 
@@ -86,13 +87,44 @@ def walk_frame(rows: pd.DataFrame, size: int) -> tuple[pd.DataFrame, np.ndarray]
     return rows, (rows["pos"].to_numpy() // size) == rows["chunk"].iloc[0]
 
 
+def short_and_long(placed: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """placed (from chunked) as the groups that lie in one chunk, and all others (None if there are none). Groups with a null in a
+    column of whole numbers are among the others: in one frame with them, pandas would turn the numbers of all to floats."""
+    apart = F.col("chunk") > 0
+    for f in placed.schema.fields:
+        apart = apart | F.col(f.name).isNull() if isinstance(f.dataType, IntegralType) else apart
+    others = scratch.written(placed.where(apart).select(*[F.col(k).alias(f"o_{k}") for k in by]).distinct(), "others")
+    if others.isEmpty():
+        return placed, None
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    return placed.join(others, on, "left_anti"), placed.join(others, on, "left_semi")
+
+
+def walk_short(short: DataFrame, by: list[str], one: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """one over every group of short ones; about a chunk of rows of many groups is a call, as a call for each group costs more
+    than its rows."""
+    calls = max(1, -(-short.count() // CHUNK))
+
+    def many(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="call_")
+        codes = rows.groupby(by, sort=False).ngroup().to_numpy()
+        order = np.lexsort((rows["pos"].to_numpy(), codes))
+        rows, ends = rows.iloc[order], np.append(np.flatnonzero(np.diff(codes[order])) + 1, len(rows))
+        return pd.concat([one(rows.iloc[a:b]) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
+
+    return short.withColumn("call_", F.pmod(F.xxhash64(*by), F.lit(calls))).groupBy("call_").applyInPandas(many, schema)
+
+
 def bounded_cuts(track: DataFrame, by: list[str], order: list[str], next_cut: Callable[[pd.DataFrame], np.ndarray], limit: int) -> DataFrame:
     """track with pos and segment (from 1), where a segment that begins at row p ends before row next_cut(frame)[p], at most limit
     rows on (the frame's length where that is not in it).
 
     A segment's end depends on where it began, so each chunk first tells, for every row of its first ``limit`` where a segment
     may begin, which row of the next chunk the walk then reaches and after how many segments. Those short tables are chained per
-    group; then every chunk walks from the row that it is entered at. No task holds more than a chunk or the tables of a group."""
+    group; then every chunk walks from the row that it is entered at. No task holds more than a chunk or the tables of a group.
+    Groups that lie in one chunk need no tables and are walked many in a call."""
     size = CHUNK
     if limit >= size:
         raise ValueError("a segment must be shorter than a chunk")
@@ -125,12 +157,11 @@ def bounded_cuts(track: DataFrame, by: list[str], order: list[str], next_cut: Ca
 
     schema = {f.name: f.dataType.simpleString() for f in track.schema.fields}
     keys = ", ".join(f"{k} {schema[k]}" for k in by)
-    tables = placed.groupBy(*by, "chunk").applyInPandas(summary, f"{keys}, chunk long, first long, last array<long>, count array<long>")
-    entries = scratch.written(tables.groupBy(*by).applyInPandas(chain, f"{keys}, chunk long, entry long, number long"), "entries")
+    short, placed = short_and_long(placed, by)
 
-    def cut(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    def walked(rows: pd.DataFrame, at: int, number: int) -> pd.DataFrame:
         ordered, own, leap = leaps(rows)
-        n, at, number = int(own.sum()), int(entry["entry"].iloc[0]), int(entry["number"].iloc[0])
+        n = int(own.sum())
         begins = np.zeros(n, np.int64)
         while 0 <= at < n:
             begins[at] = 1
@@ -138,5 +169,10 @@ def bounded_cuts(track: DataFrame, by: list[str], order: list[str], next_cut: Ca
         return ordered.iloc[:n].drop(columns="chunk").assign(segment=number + np.cumsum(begins))
 
     out = ", ".join(f"{f.name} {schema[f.name]}" for f in track.schema.fields) + ", pos long, segment long"
-    return placed.groupBy(*by, "chunk").cogroup(entries.groupBy(*by, "chunk")).applyInPandas(cut, out)
-
+    done = walk_short(short, by, lambda rows: walked(rows, 0, 0), out)
+    if placed is None:
+        return done
+    tables = placed.groupBy(*by, "chunk").applyInPandas(summary, f"{keys}, chunk long, first long, last array<long>, count array<long>")
+    entries = scratch.written(tables.groupBy(*by).applyInPandas(chain, f"{keys}, chunk long, entry long, number long"), "entries")
+    cut = lambda rows, entry: walked(rows, int(entry["entry"].iloc[0]), int(entry["number"].iloc[0]))
+    return done.unionByName(placed.groupBy(*by, "chunk").cogroup(entries.groupBy(*by, "chunk")).applyInPandas(cut, out))

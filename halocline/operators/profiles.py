@@ -199,9 +199,14 @@ def track_pieces(track: DataFrame, key: str, cell: float, gap_s: int = 86400, ju
         return pd.concat([out, out[ends].assign(piece=piece[ends] + 1, value=np.nan, carried=True)])
 
     keys = f"{key} long, year int, "
-    tables = placed.groupBy(key, "year", "chunk").applyInPandas(summary, keys + "chunk long, before long, breaks long, after long, pieces long")
-    entries = scratch.written(tables.groupBy(key, "year").applyInPandas(chain, keys + "chunk long, moves long, number long, run long"), "entries")
-    placed = placed.groupBy(key, "year", "chunk").cogroup(entries.groupBy(key, "year", "chunk")).applyInPandas(place, keys + "run long, piece int, pos long, lon double, lat double, value double, vertex boolean, carried boolean")
+    out = keys + "run long, piece int, pos long, lon double, lat double, value double, vertex boolean, carried boolean"
+    short, placed = ordered.short_and_long(placed, [key, "year"])
+    done = ordered.walk_short(short, [key, "year"], lambda frame: place(frame, pd.DataFrame({"moves": [0], "number": [0], "run": [0]})), out)
+    if placed is not None:
+        tables = placed.groupBy(key, "year", "chunk").applyInPandas(summary, keys + "chunk long, before long, breaks long, after long, pieces long")
+        entries = scratch.written(tables.groupBy(key, "year").applyInPandas(chain, keys + "chunk long, moves long, number long, run long"), "entries")
+        done = done.unionByName(placed.groupBy(key, "year", "chunk").cogroup(entries.groupBy(key, "year", "chunk")).applyInPandas(place, out))
+    placed = done
     # A vertex that is lent to a piece which never begins (the track ends or breaks) is alone there, as its run has no such piece.
     own = ~F.col("carried")
     vertices = F.array_sort(F.collect_list(F.when(F.col("vertex"), F.struct("pos", "lon", "lat"))))  # most at most

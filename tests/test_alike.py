@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from halocline.operators import profiles as P
 from halocline.operators import spatial as S
 from halocline.plans import registry
 from halocline.sources import scratch
@@ -50,8 +51,7 @@ def test_equal_paths_are_asked_once(spark, monkeypatch):
 
 def test_an_export_reads_its_table_once(spark, sf):
     df = registry.QUERIES["area_export"](spark, sf)
-    df.collect()
-    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert "Subquery" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_files_of_one_name_and_place_are_one_row(spark, sf):
@@ -81,3 +81,24 @@ def test_a_later_nearer_pair_wins(spark):
     early = correlate.classify(det, close.where("batch < 2"), heard)
     got = {r.det_id: (r["class"], r.mmsi, r.gap_s) for r in correlate.judge_again(early, det, close, heard).collect()}
     assert got == {1: ("matched", 8, 11), 2: ("matched", 9, 3), 3: ("ambiguous", None, None)}
+
+
+def test_short_tracks_share_a_call(spark):
+    """Tracks that one chunk holds need no tables of chunks: they are walked together, each on its own, with the results of the walk in chunks."""
+    rows = [(k if k < 500 else None, t * 60, (t * 7 + (k or 0)) % 5 * 0.3, 0.1 * (t % 3), float(t)) for k in range(501) for t in range(k % 11 + 1)]
+    track = spark.createDataFrame(rows, "key long, t long, lon double, lat double, value double")
+    cut = P.bounded_segments(track, "key", gap_s=600, limit=4)
+    got = [(r.key, r.t // 60, r.segment) for r in cut.collect()]
+    assert len(got) == len(rows) == len(set(got))
+    # Segments end at four rows or over a degree; each track begins with its own first.
+    for k in (5, 10, 499, None):
+        mine, begin, number, want = sorted((r for r in rows if r[0] == k), key=lambda r: r[1:4]), 0, 1, []
+        for i, r in enumerate(mine):
+            held = [x[2] for x in mine[begin : i + 1]]
+            if i - begin >= 4 or max(held) - min(held) > 1.0:
+                begin, number = i, number + 1
+            want.append((i, number))
+        assert sorted((p, s) for key, p, s in got if key == k) == want
+    whole = track.where("key IS NOT NULL")
+    for df in (P.bounded_segments(whole, "key", gap_s=600, limit=4), P.track_pieces(whole, "key", 0.002, most=8)):
+        assert "CoGroup" not in df._jdf.queryExecution().executedPlan().toString()
