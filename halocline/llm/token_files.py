@@ -7,6 +7,8 @@ carry a random part and only the files that a finished task reports stand in the
 
 The encoder splits at spaces, line feeds and before closing commas and full stops, which no token of the vocabulary
 crosses, and encodes words with the tokenizers library; frequent words are remembered in two generations of MEMORY bytes.
+Words of Latin-1 letters, ASCII digits and signs need no normaliser but lower case, and are cut here as the pre-tokenizer
+cuts them, so the library's model gets their pieces at once.
 
 Edge cases: a null or empty text has the end id only; null ids come first; rows that share an id are ordered by text and
 each has its own entry; an empty table gives no file and an empty manifest. Other columns are not read.
@@ -34,9 +36,14 @@ from pyspark.sql import Window as W
 
 from halocline.llm import common as C
 
-SEQUENCE, SEQUENCES_PER_BATCH, END_ID, MEMORY, LONGEST = 1024, 256, 2, 40_000_000, 32
+SEQUENCE, SEQUENCES_PER_BATCH, END_ID, MEMORY, LONGEST = 1024, 256, 2, 20_000_000, 32
 #: What stands before a comma or full stop at the end of a word, unless it is an ASCII letter or digit.
 BEFORE = re.compile(r"([^A-Za-z0-9 ])[.,] ")
+#: The pre-tokenizer's pieces of a plain word. The apostrophe (it has rules of its own) and what opens a special token are not plain.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
+PLAIN, PIECES = re.compile(f"[{LETTERS}0-9{SIGNS}]+"), re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
+#: The signs that the byte-level vocabulary has for the two bytes of a letter: bytes 80 to A0 and AD stand as signs from U+0122 on.
+LATIN = {c: "Ã" + (chr(b + 0xA2) if (b := c - 0x40) <= 0xA0 else "Ń" if b == 0xAD else chr(b)) for c in range(0xC0, 0x100)}
 MANIFEST = "shard int, part int, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -58,6 +65,17 @@ class Encoder:
         self.tokenizer, self.code = Tokenizer.from_file(path), code
         self.young, self.old, self.size = {}, {}, 0
 
+    def ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word, in any order, and its token ids."""
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in words:
+            if not PLAIN.fullmatch(w):
+                rest.append(w)
+                continue
+            pieces = PIECES.findall(w.lower())
+            yield w, [t.id for p in pieces for t in tokenize(p if p.isascii() else p.translate(LATIN))]
+        yield from zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True)
+
     def learn(self, words: set[str]) -> list[str]:
         """Brings words into young; returns those that are too long to stay."""
         if self.size > MEMORY:  # words not met in a whole generation are forgotten
@@ -69,8 +87,8 @@ class Encoder:
             else:
                 self.young[w] = known
                 self.size += 150 + len(known) + len(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = known = array.array(self.code, e.ids).tobytes()
+        for w, ids in self.ids(new):
+            self.young[w] = known = array.array(self.code, ids).tobytes()
             self.size += 150 + len(known) + len(w)
         return [w for w in new if len(w) > LONGEST]
 

@@ -9,6 +9,7 @@ import random
 import re
 import string
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -211,6 +212,18 @@ def test_encoder_agrees_with_the_library_on_mixtures():
         assert np.frombuffer(own([text])[0], np.uint16).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_words_go_to_the_model_at_once():
+    """Every Latin-1 letter, digit and sign, in all pairs and in random words, without the normaliser's and pre-tokenizer's passes."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    lib, own = Tokenizer.from_file(path), token_files.Encoder(path, "H")
+    signs = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x100))]
+    words = signs + [a + b for a in signs for b in signs] + ["".join(rng.choices(signs, k=rng.randint(3, 20))) for _ in range(5000)]
+    assert dict(own.ids(words)) == dict(zip(words, (e.ids for e in lib.encode_batch_fast(words, add_special_tokens=False)), strict=True))
+    plain = ["straße", "ÉTÉ,", "it", "a1b22!?", "...", "x@y.z"]
+    own.tokenizer = SimpleNamespace(model=own.tokenizer.model, encode_batch_fast=lambda ws, **_: [lib.encode(w) for w in ws if w not in plain])
+    assert {w for w, _ in own.ids([*plain])} == {*plain}
+
+
 def test_encoder_forgets(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     monkeypatch.setattr(token_files, "MEMORY", 20_000)
