@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, LongType, StructField, StructType
@@ -38,6 +40,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: Rows that a task writes at least, in one file or many.
+TASK_ROWS = 500_000
 WEEKS = "week date, version long, n long"
 
 
@@ -51,31 +55,37 @@ def _weeks(spark: SparkSession, path: str) -> DataFrame:
 def write_weekly(batch: DataFrame, path: str, number: int, key: list[str], ts: str = "ts", open_weeks: int = 1, rows_per_file: int = 4_000_000) -> None:
     """Adds a batch (its number, so that it may run again) to a table in weekly partitions. The newest stored week, the open_weeks
     before it and all later ones are open: their stored rows and the new ones (by key; what is stored stays) become a new
-    version of the week, in files of about rows_per_file rows by range of time. Rows of closed weeks go to a side table. The
+    version of the week, in files of about rows_per_file rows by range of time; a week without new rows stays as it is. A task
+    writes files of TASK_ROWS rows, however small they are. Rows of closed weeks go to a side table. The
     manifest row that readers follow is written last, so a week is seen before or after the batch, never between."""
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(key).withColumn("week", F.to_date(F.date_trunc("week", ts)))
-    stored = _weeks(spark, path)
-    newest = stored.agg(F.max("week")).first()[0]
-    if newest is not None:
-        still = F.col("week").isNull() | (F.col("week") < F.date_sub(F.lit(newest), 7 * open_weeks))
-        rows.where(still).write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
-        rows = rows.where(~still)
-    else:
-        rows.where("week IS NULL").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
-        rows = rows.where("week IS NOT NULL")
-    touched = {r.week for r in rows.select("week").distinct().collect()}  # the open weeks of a batch
-    known = {r.week: r.version for r in stored.collect() if r.week in touched}
-    both = rows
+    rows = batch.withColumn("week", F.to_date(F.date_trunc("week", ts)))
+    known = {r.week: r for r in _weeks(spark, path).collect()}  # a row per week
+    still = F.col("week").isNull()
     if known:
-        old = spark.read.parquet(*[f"{path}/data/version={v}/week={w}" for w, v in known.items()]).withColumn("week", F.to_date(F.date_trunc("week", ts))).select(rows.columns)
-        both = old.unionByName(rows.join(old.select(*key), key, "left_anti").select(rows.columns))
-    n = {r.week: r["count"] for r in both.groupBy("week").count().collect()}
+        still |= F.col("week") < F.date_sub(F.lit(max(known)), 7 * open_weeks)
+    touched = {r.week for r in rows.where(~still).select("week").distinct().collect()} & set(known)  # the stored open weeks of a batch
+    stored = lambda weeks: spark.read.schema(batch.schema).parquet(*[f"{path}/data/version={known[w].version}/week={w}" for w in weeks])
+    new = rows.dropDuplicates(key).withColumn("closed_", still)
+    if touched:
+        old = stored(touched).select(*[F.col(k).alias(f"old_{i}") for i, k in enumerate(key)])
+        new = new.join(old, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"old_{i}") for i, k in enumerate(key)], ~F.col("closed_")), "left_anti")
+    # Written once, so that all that follows sees the same rows; the next batch writes over it.
+    new.write.mode("overwrite").parquet(f"{path}/staged")
+    new = spark.read.schema(new.schema).parquet(f"{path}/staged")
+    new.where("closed_").drop("closed_").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+    new = new.where("NOT closed_").drop("closed_")
+    n = {r.week: r["count"] + (known[r.week].n if r.week in known else 0) for r in new.groupBy("week").count().collect()}
     if not n:
         return
-    version = (stored.agg(F.max("version")).first()[0] or 0) + 1
+    both = new
+    if again := n.keys() & known.keys():
+        both = stored(again).withColumn("week", F.to_date(F.date_trunc("week", ts))).select(new.columns).unionByName(new)
+    version = max((r.version for r in known.values()), default=0) + 1
     files = max(len(n), sum(-(-x // rows_per_file) for x in n.values()))
-    both.repartitionByRange(files, "week", ts).sortWithinPartitions("week", ts).write.mode("overwrite").option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("week").parquet(f"{path}/data/version={version}")
+    tasks = min(files, max(spark.sparkContext.defaultParallelism, -(-sum(n.values()) // max(rows_per_file, TASK_ROWS))))
+    most = rows_per_file if tasks < files else 2 * rows_per_file
+    both.repartitionByRange(tasks, "week", ts).sortWithinPartitions("week", ts).write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy("week").parquet(f"{path}/data/version={version}")
     rows_of = [(w, version, x) for w, x in n.items()]
     spark.createDataFrame(rows_of, WEEKS).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{version}")
 

@@ -103,3 +103,14 @@ def test_late_rows_add_and_closed_weeks_reject(spark, tmp_path):
     assert sinks.read_weekly(spark, path).count() == 105
     assert [r.pos_id for r in sinks.read_rejected(spark, path, week(spark, [0]).schema).collect()] == [300]
     assert sinks.read_weekly(spark, path, [datetime.date(2024, 3, 11)]).count() == 2
+
+
+def test_small_files_of_a_week_share_tasks_and_replays_write_nothing(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = spark.sql("SELECT id, timestamp_seconds(1709510400 + id * 60) AS ts FROM range(100)")
+    for _ in range(2):
+        sinks.write_weekly(rows, path, 0, ["id"], rows_per_file=2)
+    assert [p.name for p in (tmp_path / "w" / "data").glob("version=*")] == ["version=1"]
+    files = [p.name for p in (tmp_path / "w" / "data").rglob("*.parquet")]
+    assert len(files) >= 50 and len({f.split("-")[1] for f in files}) <= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in sinks.read_weekly(spark, path).collect()) == list(range(100))
