@@ -9,12 +9,23 @@ from halocline.sources import scratch, sinks
 from halocline.streaming import correlate, ledger
 
 
-def in_order(df, folder: str, by: str, parts: int) -> None:
-    """df as files in order of a number, written one after the other, so that a stream reads them in that order."""
+#: Rows of a stream's file.
+FILE_ROWS = 250_000
+
+
+def in_order(df, folder: str, by: str, parts: int) -> int:
+    """df as parts in order of a number, written one after the other, so that a stream reads them in that order. A part is files
+    of about FILE_ROWS rows; their number in a part, to be read at a time, is returned. (If a part has a file less, a batch
+    reads one of the next part early; the order stays.)"""
     low, high = df.agg(F.min(by), F.max(by)).first()
-    for i in range(parts if low is not None else 0):
-        cut = [low + (high + 1 - low) * k / parts for k in (i, i + 1)]
-        df.where((F.col(by) >= cut[0]) & (F.col(by) < cut[1])).coalesce(1).write.mode("append").parquet(folder)
+    if low is None:
+        return 1
+    cuts = [low + (high + 1 - low) * k / parts for k in range(parts + 1)]
+    inside = [(F.col(by) >= a) & (F.col(by) < b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    files = max(1, -(-max(df.agg(*[F.count_if(x) for x in inside]).first()) // FILE_ROWS))
+    for part in inside:
+        df.where(part).repartition(files, by).write.mode("append").parquet(folder)
+    return files
 
 
 @query("T1 T5", "SELECT date_trunc('hour', ts) AS hour, key_id, count(*) AS n, count(*) FILTER (status >= 400) AS errors, sum(bytes)::BIGINT AS bytes FROM requests GROUP BY ALL")
@@ -24,9 +35,9 @@ def ledgered_hours(spark, d):
     checkpoint: every row counts once."""
     folder = scratch.folder(spark, "ledger")
     rows = table(spark, d, "requests").select(F.col("event_id").cast("long").alias("event_id"), "ts", "key_id", "status", "bytes")
-    in_order(rows, f"{folder}/in", "event_id", 4)
+    files = in_order(rows, f"{folder}/in", "event_id", 4)
     book = ledger.Ledger(spark, folder, "event_id", {"hour": F.date_trunc("hour", "ts"), "key_id": F.col("key_id")}, {"n": F.lit(1).cast("long"), "errors": (F.col("status") >= 400).cast("long"), "bytes": F.col("bytes").cast("long")})
-    source = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     second = rows.where(F.col("event_id") >= 0)
     book.add(second, 1, commit=False)  # killed; what it wrote counts for nothing
     ledger.run_batches(source(), f"{folder}/checkpoint", book).awaitTermination()
@@ -46,9 +57,8 @@ def streamed_correlation(spark, d):
     folder = scratch.folder(spark, "correlation")
     det = table(spark, d, "detections").select(F.col("det_id").cast("long").alias("det_id"), "ts", "lon", "lat", F.col("t").alias("at"))
     pos = table(spark, d, "positions").select(F.col("mmsi").cast("long").alias("mmsi"), "ts", "lon", "lat", F.col("r_t").alias("at"))
-    for name, rows in (("det", det), ("pos", pos)):
-        in_order(rows, f"{folder}/{name}", "at", 3)
-    stream = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}").drop("at")
+    files = {name: in_order(rows, f"{folder}/{name}", "at", 3) for name, rows in (("det", det), ("pos", pos))}
+    stream = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files[name]).parquet(f"{folder}/{name}").drop("at")
     read = lambda name: spark.read.schema("batch int, det_id long, mmsi long, km double, r_t long, gap double").parquet(f"{folder}/{name}")
     # Files are a third of the time span each and in order, so no row comes later than a third.
     run = lambda name, asked, km, seconds, nearest: correlate.collect_pairs(correlate.pair_stream(asked, stream("pos", pos), km, seconds, "40 days"), f"{folder}/{name}", f"{folder}/{name}-checkpoint", nearest)

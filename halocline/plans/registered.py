@@ -68,11 +68,11 @@ def merged_identities(spark, d):
     is replayed after a compaction that holds it, and one comes twice: the state is the same."""
     folder = scratch.folder(spark, "latest")
     frames = both_frames(spark, d)
-    in_order(frames, f"{folder}/in", "pos_id", 4)
-    stream = messages(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    files = in_order(frames, f"{folder}/in", "pos_id", 4)
+    stream = messages(spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
     book = Latest(spark, folder, "mmsi", {"at": (["ts"], ["lon", "lat", "sog"]), "who": (["ts"], ["name"])})
     book.run(stream, f"{folder}/checkpoint", every=3)
-    some = messages(frames.where("pos_id % 2 = 0"))
+    some = messages(spark.read.schema(frames.schema).parquet(f"{folder}/in").where("pos_id % 2 = 0"))
     book.add(some, 1)  # in the base already
     book.add(some, 99)
     state = book.read(some)

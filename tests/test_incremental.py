@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.operators.spatial import match_detections
+from halocline.plans import incremental
 from halocline.plans.incremental import in_order
 from halocline.sources import sinks
 from halocline.streaming import correlate, ledger
@@ -50,6 +51,19 @@ def test_a_killed_batch_and_replays_count_once(spark, tmp_path):
     assert rows_of(book.total()) == whole(spark, range(130))
 
 
+def test_parts_of_a_stream_are_many_files(spark, tmp_path, monkeypatch):
+    """A part is written by many tasks, and a batch is still a part, in order."""
+    monkeypatch.setattr(incremental, "FILE_ROWS", 10)
+    df = log(spark, range(90))
+    files = in_order(df, str(tmp_path / "in"), "id", 3)
+    assert files == 3 and len(list((tmp_path / "in").glob("*.parquet"))) == 9
+    seen = []
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+    each = lambda batch, number: seen.append(sorted(r.id for r in batch.collect()))
+    source.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(k, k + 30)) for k in (0, 30, 60)]
+
+
 def test_batches_by_size_or_interval(spark, tmp_path):
     in_order(log(spark, range(60)), str(tmp_path / "in"), "id", 3)
     book = book_of(spark, tmp_path / "book")
