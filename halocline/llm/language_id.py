@@ -18,13 +18,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocline.llm import common as C
 
-DIM, SEED, GRAMS, LANGUAGES, LEAST = 512, 11, 4096, 32, 64
+DIM, SEED, GRAMS, LANGUAGES, LEAST = 512, 11, 1024, 32, 64
 
 
 def letter_vectors(letters: np.ndarray) -> np.ndarray:
@@ -73,11 +73,11 @@ def unit(v: np.ndarray) -> np.ndarray:
 def learn(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
     """Prototypes (language, vector) from columns text and lang, both not null."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = defaultdict(lambda: np.zeros(DIM, np.int64))
-        rows = lambda: pd.DataFrame({"lang": np.repeat(list(held), DIM), "i": np.tile(np.arange(DIM, dtype=np.int32), len(held)), "v": np.concatenate(list(held.values()))})
-        for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
+        rows = lambda: pa.record_batch([pa.array([x for x in held for _ in range(DIM)], pa.string()), pa.array(np.tile(np.arange(DIM, dtype=np.int32), len(held))), pa.array(np.concatenate(list(held.values())))], names=["lang", "i", "v"])
+        for batch in (part for whole in batches for part in C.slices(whole)):
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if lang not in held and len(held) >= LANGUAGES:  # memory stays bounded however many languages there are
                     yield rows()
                     held.clear()
@@ -85,7 +85,7 @@ def learn(labelled: DataFrame) -> list[tuple[str, np.ndarray]]:
         if held:
             yield rows()
 
-    rows = labelled.select("text", "lang").mapInPandas(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     rows = rows.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
     return sorted((r.lang, np.array(r.v, np.float32)) for r in rows.collect())
 
@@ -115,8 +115,10 @@ def predict(docs: DataFrame, model: list[tuple[str, np.ndarray]], keep: list[str
             said.append((names[best], float(min(1.0, max(0.0, (1 + cos[best]) / 2))), float((table @ own).max()) if len(grams) >= LEAST else None))
         return [list(x) for x in zip(*said, strict=True)] or [[], [], []]
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias(text))
-    return C.added(rows, text, f"{label} string, {score} double, {likeness} double", marks)
+    schema = f"{label} string, {score} double, {likeness} double"
+    if ("text", "string") in docs.select(*keep).dtypes:  # it goes to the workers once
+        return C.added(docs.select(*keep), "text", schema, marks, stays=True)
+    return C.added(docs.select(*keep, F.col("text").cast("string").alias(text)), text, schema, marks)
 
 
 def training(docs: DataFrame) -> DataFrame:

@@ -325,6 +325,16 @@ def test_language_vectors_by_hand():
     assert abs(letters @ letters.T - language_id.DIM * np.eye(64)).max() < 150
 
 
+def test_language_id_holds_little_at_a_time(spark, docs):
+    """A batch becomes Python values in slices, and a text that is kept is not sent twice."""
+    long = spark.range(2000, numPartitions=1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = C.added(long, "text", "n int, size int", lambda texts: [[len(texts)] * len(texts), [len(t) for t in texts]], stays=True)
+    r = got.agg(F.count("id"), F.max("n"), F.sum("size"), F.sum(F.length("text"))).first()
+    assert r[0] == 2000 and 1 < r[1] <= C.SLICE // 10_000 and r[2] == r[3] == 20_000_000
+    marked = language_id.predict(docs.drop("text_in"), language_id.learn(language_id.training(docs)), docs.drop("text_in").columns)
+    assert "AS text_in" not in marked._jdf.queryExecution().analyzed().toString()
+
+
 def test_language_id_by_hand(docs, rows):
     """Every prediction is the largest cosine with prototypes summed over the training rows one by one."""
     bundle = lambda t: language_id.bundle(*language_id.gram_counts(t or "")).astype(float)
