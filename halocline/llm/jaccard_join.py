@@ -9,7 +9,9 @@ two linked sets has and the y that only the other has cut the common ones into x
 r * (1 - p) * n + r shingles of each set hold a common run of r. A block holds the classes with the same run. Of blocks with
 the same members one stays. The tree of a block (a block of up to LEAF members is one leaf) gives each member its nearest
 earlier one that may be linked, which joins nearly all; blocks that still hold more than one component are then searched
-for pairs of different components, the nearest few first and in the end all of them. Large blocks are dealt over pieces of
+for pairs of different components, the nearest few first and in the end all of them. There a pair belongs to the block with
+the least key among the first OPEN_KEYS open blocks of either member, if they share one of those, so that a pair with hundreds
+of blocks in common is a candidate once and not in each of them. Large blocks are dealt over pieces of
 PIECE members: twice by independent hashes in the first search; later, members outside the block's largest component meet
 every piece.
 
@@ -26,7 +28,7 @@ is linked with nothing and has no component. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ GROUPS, LONGEST_RUN, PIECE, COUNT_PIECE, LEAF, KEY_BITS, BROADCAST_ROWS = 256, 3
 NEAREST, CHUNK = (1, 4, None), 1 << 16
 #: Keys looked up as frequent at most, and counters of the sketch that finds them.
 FREQUENT, COUNTERS = 1024, 1 << 16
+#: Least keys of open blocks that ride along with a member, what fills the list up (above every key), and pairs whose lists are compared at once.
+OPEN_KEYS, NO_KEY, LISTS = 16, 1 << 62, 4096
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -201,13 +205,17 @@ def whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tup
         yield rows, cut(rows)
 
 
-def candidates(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int, asks: np.ndarray, comp: np.ndarray | None, own: np.ndarray | None, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+def candidates(points: np.ndarray, n: np.ndarray, cut: np.ndarray, percent: int, asks: np.ndarray, comp: np.ndarray | None, own: np.ndarray | None, nearest: int | None, mine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): for each row j that asks, the rows i before it in its group that may be linked with it (of another component
-    if comp is given; of the other piece, before or after, if the group has two), or only the nearest. Groups begin at cut."""
+    if comp is given; of the other piece, before or after, if the group has two; if mine is given, of the pairs that it keeps),
+    or only the nearest. Groups begin at cut."""
     size = np.diff(cut)
     out: list[tuple] = [(np.empty(0, np.int64),) * 2]
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
+        if mine is not None:
+            keep = mine(i, j)
+            i, j = i[keep], j[keep]
         order = np.lexsort((np.abs(j - i), j))
         i, j = i[order], j[order]
         if nearest is not None:
@@ -332,15 +340,40 @@ def open_pieces(known: DataFrame, top: DataFrame) -> DataFrame:
     return rows.select("key", "lo", "hi", "own", "node", "component")
 
 
+def open_rows(known: DataFrame, top: DataFrame) -> DataFrame:
+    """key, node of the members of the open blocks."""
+    return known.join(top, F.col("key") == F.col("t_key")).select("key", "node")
+
+
+def belongs(i: np.ndarray, j: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (i, j) of the blocks key belong there: those whose lists first share no lesser key. Every key of a
+    list is an open block of its row, so a pair that is left out here meets again in a block with a lesser key."""
+    out = [np.empty(0, bool)]
+    for at in range(0, len(i), LISTS):
+        a, b = i[at : at + LISTS], j[at : at + LISTS]
+        x = first[a]
+        x = np.where(x < key[a][:, None], x, -1)
+        out.append(~(x[:, :, None] == first[b][:, None, :]).any((1, 2)))
+    return np.concatenate(out)
+
+
 def _second_search(known: DataFrame, top: DataFrame, points: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Candidate pairs (u, v) of different components, all or for each member and piece the nearest, in the open blocks."""
+    """Candidate pairs (u, v) of different components, all or for each member and piece the nearest, in the open blocks; a pair
+    only in the block to which it belongs."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, cut in whole_groups(batches, ["key", "lo", "hi"]):
-            node, comp, n, own = (rows[c].to_numpy() for c in ("node", "component", "n", "own"))
-            yield _pairs(node, *candidates(unpacked(rows["point"]), n, cut, percent, np.ones(len(n), bool), comp, own, nearest))
+            node, comp, n, own, key = (rows[c].to_numpy() for c in ("node", "component", "n", "own", "key"))
+            first = np.stack(rows["first"].to_numpy())
+
+            def mine(i: np.ndarray, j: np.ndarray, key: np.ndarray = key, first: np.ndarray = first) -> np.ndarray:
+                return belongs(i, j, key, first)
+
+            yield _pairs(node, *candidates(unpacked(rows["point"]), n, cut, percent, np.ones(len(n), bool), comp, own, nearest, mine))
 
-    dealt = open_pieces(known, top).join(points, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
+    keys = F.concat(F.sort_array(F.collect_set("key")), F.array_repeat(F.lit(NO_KEY), OPEN_KEYS))  # as many as a text's prefix has
+    firsts = open_rows(known, top).groupBy("node").agg(F.slice(keys, 1, OPEN_KEYS).alias("first"))
+    dealt = open_pieces(known, top).join(points.join(firsts, "node"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
     return dealt.mapInPandas(search, PAIRS)
 
 

@@ -219,18 +219,13 @@ def _second_search(known: DataFrame, top: DataFrame, sigs: DataFrame, percent: i
                 settled = Settled(comp[at], rows["small"].iloc[at])
                 yield _found(node[at], *across(sig[at], n[at], settled, own[at], mine, percent, need, last))
 
-    pieces = open_rows(known, top)
+    pieces = J.open_rows(known, top)
     held = pieces.groupBy("node").agg(F.collect_set("key").alias("open_keys"))  # BANDS for each text at most
     keyed = sigs.join(held, "node").withColumn("keys", F.transform("keys", lambda k: F.when(F.array_contains("open_keys", k), k).otherwise(0))).drop("open_keys")
     dealt = J.open_pieces(known, top).join(keyed, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
     return dealt.mapInPandas(search, FOUND)
 
 
-def open_rows(known: DataFrame, top: DataFrame) -> DataFrame:
-    """key, node of the members of the open blocks."""
-    return known.join(top, F.col("key") == F.col("t_key")).select("key", "node")
-
-
 def _links(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links among pairs u, v, sure: those that are sure, and those of the others that the full sets confirm."""
     found = C.materialise(found.distinct(), "found")

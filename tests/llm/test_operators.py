@@ -484,6 +484,41 @@ def test_jaccard_frequent_keys(spark, monkeypatch):
     assert jaccard_join._members(keys.limit(0)).count() == 0
 
 
+def test_jaccard_pair_is_a_candidate_once(spark, monkeypatch):
+    """Pairs that share many open blocks come out of a later search once, not once a block, and all links are among them."""
+    monkeypatch.setattr(jaccard_join, "PIECE", 4)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(600)]
+    made = []
+    for g in range(12):
+        w = list(base)
+        for i in rng.sample(range(600), 10 if g < 10 else 3):
+            w[i] = f"x{g}-{i}"
+        made.append((g, " ".join(w)))
+    index = jaccard_join._index(spark.createDataFrame(made, "doc_id long, text string"), 5, 80).withColumnRenamed("doc_id", "node")
+    members = jaccard_join._members(index.select("node", jaccard_join.F.explode("keys").alias("key"))).withColumn("component", jaccard_join.F.col("node"))
+    got = [tuple(r) for r in jaccard_join._second_search(members, jaccard_join.open_blocks(members), index.select("node", "n", "point"), 80, None).collect()]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(596)} for _, t in made]
+    near = [(i, j) for i, j in itertools.combinations(range(12), 2) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert len(got) == len(set(got)) > len(near) > 0 and set(near) <= set(got)
+
+
+def test_pairs_belong_to_one_block():
+    """With lists that hold all blocks, one block for each pair that shares any; with shorter ones, one at least."""
+    rng = np.random.default_rng(6)
+    blocks = [np.sort(rng.choice(40, int(rng.integers(1, 12)), False)) for _ in range(60)]
+    for listed in (12, 3):
+        kept = collections.Counter()
+        first = np.array([[*b[:listed], *[jaccard_join.NO_KEY] * (listed - len(b[:listed]))] for b in blocks])
+        for key in range(40):
+            at = np.array([i for i, b in enumerate(blocks) if key in b], int)
+            i, j = (at[x] for x in np.triu_indices(len(at), 1))
+            keep = jaccard_join.belongs(i, j, np.full(60, key), first)
+            kept.update(zip(i[keep].tolist(), j[keep].tolist(), strict=True))
+        want = {(i, j) for i, j in itertools.combinations(range(60), 2) if len(np.intersect1d(blocks[i], blocks[j]))}
+        assert set(kept) == want and (listed < 12 or max(kept.values()) == 1)
+
+
 @pytest.mark.parametrize("piece", [7, 512])
 def test_jaccard_counts_every_link(spark, monkeypatch, piece):
     """A group of distinct near copies has all its pairs, not a star; exact copies and pieces change nothing."""
