@@ -7,8 +7,9 @@ carry a random part and only the files that a finished task reports stand in the
 
 The encoder splits at spaces, line feeds and before closing commas and full stops, which no token of the vocabulary
 crosses, and encodes words with the tokenizers library; frequent words are remembered in two generations of MEMORY bytes.
+A text's words are numbered by Arrow, so Python meets each different word of a slice once.
 Words of Latin-1 letters, ASCII digits and signs need no normaliser but lower case, and are cut here as the pre-tokenizer
-cuts them, so the library's model gets their pieces at once.
+cuts them, so the library's model gets the pieces of many words in a call.
 
 Edge cases: a null or empty text has the end id only; null ids come first; rows that share an id are ordered by text and
 each has its own entry; an empty table gives no file and an empty manifest. Other columns are not read.
@@ -17,6 +18,7 @@ each has its own entry; an empty table gives no file and an empty manifest. Othe
 from __future__ import annotations
 
 import array
+import itertools
 import os
 import re
 import unicodedata
@@ -28,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +40,15 @@ from pyspark.sql import Window as W
 from halocline.llm import common as C
 
 SEQUENCE, SEQUENCES_PER_BATCH, END_ID, MEMORY, LONGEST = 1024, 256, 2, 20_000_000, 32
+#: Characters of the texts encoded at once, and words of letters that the library gets in a call.
+TEXTS, WORDS = 3_000_000, 500
 #: What stands before a comma or full stop at the end of a word, unless it is an ASCII letter or digit.
 BEFORE = re.compile(r"([^A-Za-z0-9 ])[.,] ")
 #: The pre-tokenizer's pieces of a plain word. The apostrophe (it has rules of its own) and what opens a special token are not plain.
 LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
-PLAIN, PIECES = re.compile(f"[{LETTERS}0-9{SIGNS}]+"), re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
-#: The signs that the byte-level vocabulary has for the two bytes of a letter: bytes 80 to A0 and AD stand as signs from U+0122 on.
-LATIN = {c: "Ã" + (chr(b + 0xA2) if (b := c - 0x40) <= 0xA0 else "Ń" if b == 0xAD else chr(b)) for c in range(0xC0, 0x100)}
+LETTERED, PLAIN, PIECES = re.compile(f"[{LETTERS}]+"), re.compile(f"[{LETTERS}0-9{SIGNS}]+"), re.compile(f"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
+#: The byte-level vocabulary has a sign of Latin-1 for each byte, but others for 80 to A0 and AD, of which lower-case letters have these.
+SHIFTED = [("\x9f", "Ł"), ("\xa0", "ł"), ("\xad", "Ń")]
 MANIFEST = "shard int, part int, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -60,57 +65,90 @@ class Encoder:
 
     def __init__(self, path: str, code: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.code = Tokenizer.from_file(path), code
+        self.bare = Tokenizer(self.tokenizer.model)  # the model alone, between spaces
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(1 + max(vocabulary.values()), bool)  # the tokens that end a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young, self.old, self.size = {}, {}, 0
 
+    def packed(self, words: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """The words, in any order, and the bytes of their token ids, a list of words at a time."""
+        lettered, plain, rest = [], [], []
+        for w in words:
+            (lettered if LETTERED.fullmatch(w) else plain if PLAIN.fullmatch(w) else rest).append(w)
+        for kind in (lettered, plain):
+            for at in range(0, len(kind), WORDS):
+                some = kind[at : at + WORDS]
+                pieces = None if kind is lettered else [PIECES.findall(w.lower()) for w in some]
+                joined = " ".join(some).lower() if pieces is None else " ".join(map(" ".join, pieces))
+                if not joined.isascii():
+                    joined = joined.encode().decode("latin-1")
+                    for byte, sign in SHIFTED:
+                        joined = joined.replace(byte, sign)
+                ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.code)
+                ends = ids.itemsize * (1 + np.flatnonzero(self.closes[ids]))  # of pieces, that is, of words of letters
+                ends = (ends if pieces is None else ends[np.cumsum(list(map(len, pieces))) - 1]).tolist()
+                flat = ids.tobytes()
+                yield some, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        yield rest, [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+
     def ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word, in any order, and its token ids."""
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for w in words:
-            if not PLAIN.fullmatch(w):
-                rest.append(w)
-                continue
-            pieces = PIECES.findall(w.lower())
-            yield w, [t.id for p in pieces for t in tokenize(p if p.isascii() else p.translate(LATIN))]
-        yield from zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True)
+        return ((w, np.frombuffer(b, self.code).tolist()) for some, known in self.packed(words) for w, b in zip(some, known, strict=True))
 
     def learn(self, words: set[str]) -> list[str]:
         """Brings words into young; returns those that are too long to stay."""
         if self.size > MEMORY:  # words not met in a whole generation are forgotten
             self.young, self.old, self.size = {}, self.young, 0
-        new = []
-        for w in words.difference(self.young):
-            if (known := self.old.get(w)) is None:
-                new.append(w)
-            else:
-                self.young[w] = known
-                self.size += 150 + len(known) + len(w)
-        for w, ids in self.ids(new):
-            self.young[w] = known = array.array(self.code, ids).tobytes()
-            self.size += 150 + len(known) + len(w)
+        missing = words.difference(self.young)
+        new = list(missing.difference(self.old))
+        again = list(missing.intersection(self.old))
+        for some, known in itertools.chain([(again, [self.old[w] for w in again])], self.packed(new)):
+            self.young.update(zip(some, known, strict=True))
+            self.size += 150 * len(some) + sum(map(len, some)) + sum(map(len, known))
         return [w for w in new if len(w) > LONGEST]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut at spaces and line feeds, and before a comma or full stop that ends a word of letters and digits;
-        ASCII in lower case, as the vocabulary has it. Texts where that could change a token are cut at white space only."""
+    def spaced(text: str) -> str:
+        """The text with spaces for line feeds, and before a comma or full stop that ends a word of letters and digits; ASCII in
+        lower case, as the vocabulary has it. Texts where that could change a token have spaces for line feeds only."""
         text = text.replace("\n", " ") + " "
         if "<|" not in text:
             if text.isascii():
                 text = text.lower()
             if all(map(parts, set(BEFORE.findall(text)))):
                 text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        return text
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        long = self.learn(set().union(*split))
-        out = [b"".join(map(self.young.__getitem__, ws)) for ws in split]
+        split = pc.split_pattern(pa.array(map(self.spaced, texts), pa.string()), " ")
+        numbered = split.values.dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        long = self.learn(set(words))
+        known = [self.young[w] for w in words]
         for w in long:
             self.size -= 150 + len(self.young.pop(w)) + len(w)
-        return out
+        ids = np.frombuffer(b"".join(known), self.code)
+        n = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
+        numbers, cut = numbered.indices.to_numpy(), split.offsets.to_numpy()
+        sizes = n[numbers]
+        ends = np.cumsum(sizes)
+        place = np.repeat((np.cumsum(n) - n)[numbers] - ends + sizes, sizes)
+        place += np.arange(len(place))
+        ids = ids[place]
+        bounds = np.append(0, ends)[cut].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Rows (from, to) in runs of about TEXTS characters, a row at least."""
+    run = (np.cumsum(sizes) - sizes) // TEXTS
+    cut = [0, *(1 + np.flatnonzero(run[1:] != run[:-1])).tolist(), len(sizes)]
+    return list(zip(cut[:-1], cut[1:], strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -169,8 +207,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
         store, base = pafs.FileSystem.from_uri(folder)
         part, files = TaskContext.get().partitionId(), None
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                rows = batch.iloc[i : i + 64]
+            for first, last in runs(batch["text"].str.len().to_numpy()) if len(batch) else []:
+                rows = batch.iloc[first:last]
                 of = rows["shard"].to_numpy()
                 ids = [b + end for b in encode(rows["text"].tolist())]
                 keys = [None if gone else int(x) for x, gone in zip(rows["doc_id"], rows["no_id"], strict=True)]

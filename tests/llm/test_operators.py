@@ -224,6 +224,21 @@ def test_plain_words_go_to_the_model_at_once():
     assert {w for w, _ in own.ids([*plain])} == {*plain}
 
 
+def test_plain_words_go_to_the_model_many_in_a_call():
+    """A call for WORDS different words of a slice, whatever their number; texts, empty ones too, get their own ids back."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    lib, own = Tokenizer.from_file(path), token_files.Encoder(path, "H")
+    bare, calls = own.bare, []
+    own.bare = SimpleNamespace(encode_batch_fast=lambda texts, **_: calls.append(texts) or bare.encode_batch_fast(texts, add_special_tokens=False))
+    words = ["".join(rng.choices("abcdeßàíÉÿ", k=6)) + rng.choice(["", "", "!", "7b"]) for _ in range(1500)]
+    texts = ["", *(" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(400)), "  a\n\nb  "]
+    got = [np.frombuffer(b, np.uint16).tolist() for b in own(texts)]
+    assert got == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)] and own([]) == []
+    assert len(calls) <= 2 + len(words) / token_files.WORDS
+    sizes = np.array([0, token_files.TEXTS, 3 * token_files.TEXTS, 1, 2, token_files.TEXTS])
+    assert [x for a, b in token_files.runs(sizes) for x in range(a, b)] == list(range(6)) and len(token_files.runs(sizes)) == 3
+
+
 def test_encoder_forgets(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     monkeypatch.setattr(token_files, "MEMORY", 20_000)
