@@ -41,7 +41,7 @@ from halocline.llm import common as C
 
 SEQUENCE, SEQUENCES_PER_BATCH, END_ID, MEMORY, LONGEST = 1024, 256, 2, 20_000_000, 32
 #: Characters of the texts encoded at once, and words of letters that the library gets in a call.
-TEXTS, WORDS = 3_000_000, 500
+TEXTS, WORDS = 1_000_000, 500
 #: What stands before a comma or full stop at the end of a word, unless it is an ASCII letter or digit.
 BEFORE = re.compile(r"([^A-Za-z0-9 ])[.,] ")
 #: The pre-tokenizer's pieces of a plain word. The apostrophe (it has rules of its own) and what opens a special token are not plain.
