@@ -180,22 +180,17 @@ def streamed_hours(spark, d):
     return spark.read.parquet(last["path"]).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "messages", F.round("speed", 6).alias("speed"))
 
 
-def _results(spark, d):
-    from halocline.operators.spatial import match_detections
-
-    det, pos = table(spark, d, "detections"), table(spark, d, "positions")
-    whole = match_detections(det, pos).select("det_id", "class")
-    return det, pos, whole
-
-
 @query("T6")
 def incremental_matches(spark, d):
     """Detections in two instalments: those that have a result keep it, only the pending ones are matched. In the end all have the
     result of one whole run (tested)."""
-    det, pos, _ = _results(spark, d)
+    from halocline.operators.spatial import records
+
+    det, pos = table(spark, d, "detections"), table(spark, d, "positions")
+    said = scratch.written(records(pos, 600), "records")
     none = spark.createDataFrame([], "det_id long, class string")
-    first = V.correlate_pending(det.where("det_id % 2 = 0"), none, pos)
-    return V.correlate_pending(det, scratch.written(first, "results"), pos)
+    first = V.correlate_pending(det.where("det_id % 2 = 0"), none, pos, said)
+    return V.correlate_pending(det, scratch.written(first, "results"), pos, said)
 
 
 @query("T10")
@@ -203,6 +198,6 @@ def reclassified_matches(spark, d):
     """Results of half of the positions are judged again where they were ambiguous, once the other half is there (tested)."""
     from halocline.operators.spatial import match_detections
 
-    det, pos, _ = _results(spark, d)
+    det, pos = table(spark, d, "detections"), table(spark, d, "positions")
     early = scratch.written(match_detections(det, pos.where("mmsi % 2 = 0")).select("det_id", "class"), "early")
     return V.reclassify(early, det, pos)

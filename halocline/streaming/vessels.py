@@ -77,12 +77,12 @@ def split_late(rows: DataFrame, batch: str, weeks: int = 1) -> DataFrame:
     return rows.join(marks.select("m_batch", "open"), F.col(batch) == F.col("m_batch")).withColumn("late", F.coalesce(week < F.col("open") - F.expr(f"INTERVAL {7 * weeks} DAYS"), F.lit(False))).drop("m_batch", "open")
 
 
-def correlate_pending(detections: DataFrame, results: DataFrame, positions: DataFrame) -> DataFrame:
-    """results with those of detections that have none yet, matched against positions."""
+def correlate_pending(detections: DataFrame, results: DataFrame, positions: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """results with those of detections that have none yet, matched against positions (said: their records, if there are some)."""
     from halocline.operators.spatial import match_detections
 
     pending = detections.join(results.select("det_id"), "det_id", "left_anti")
-    return results.unionByName(match_detections(pending, positions).select(results.columns))
+    return results.unionByName(match_detections(pending, positions, said=said).select(results.columns))
 
 
 def reclassify(results: DataFrame, detections: DataFrame, positions: DataFrame) -> DataFrame:

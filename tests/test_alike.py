@@ -126,3 +126,12 @@ def test_dense_positions_are_not_met_one_by_one(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     asked = {(d[2], d[3], d[1]) for d in det if d[0] is not None and d[1] is not None}
     assert seen[0][0].count() < len(asked) / 2 and seen[0][1].count() < 800
+
+
+def test_instalments_share_what_was_said(spark, sf, monkeypatch):
+    """The positions are reduced to records once, not for every instalment, and no whole run is made beside them."""
+    called = []
+    for name in ("records", "match_detections"):
+        monkeypatch.setattr(S, name, lambda *args, real=getattr(S, name), name=name, **more: (called.append(name), real(*args, **more))[1])
+    registry.QUERIES["incremental_matches"](spark, sf)
+    assert sorted(called) == ["match_detections", "match_detections", "records"]
