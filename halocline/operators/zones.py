@@ -13,6 +13,8 @@ by a little, so that no border of a cell runs along coordinates that zones are m
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ ROOT, COLUMNS = 45.0, 8
 WEST, SOUTH = -180.000314159, -90.000271828
 #: Edges of a cell that is not split, and the deepest level (45 / 2^12 degrees, about a km).
 EDGES, DEEPEST = 16, 12
+#: Edges that a point is tested against one by one in generated code; beyond that by a lambda over the array.
+FEW = 2
 #: A ring is this many cells wide or high at least.
 FINE = 8
 EDGE = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
@@ -49,20 +53,33 @@ def _odd(edges: Column, test) -> Column:
     return F.pmod(F.size(F.filter(edges, test)), F.lit(2)) == 1
 
 
-def _up(edges: Column, x: Column, y: Column, to: Column) -> Column:
+def _each(edges: Column, test) -> list[Column]:
+    """The test of each of FEW edges at most, false beyond their end."""
+    return [F.coalesce(test(F.get(edges, F.lit(i))), F.lit(False)) for i in range(FEW)]
+
+
+def _odd_few(edges: Column, test) -> Column:
+    return reduce(lambda a, b: a != b, _each(edges, test))
+
+
+def _any_few(edges: Column, test) -> Column:
+    return reduce(lambda a, b: a | b, _each(edges, test))
+
+
+def _up(edges: Column, x: Column, y: Column, to: Column, odd=_odd) -> Column:
     """Whether an odd number of edges crosses the way from (x, y) north to (x, to)."""
     at = lambda e: e["y0"] + (x - e["x0"]) * (e["y1"] - e["y0"]) / (e["x1"] - e["x0"])
-    return _odd(edges, lambda e: ((e["x0"] > x) != (e["x1"] > x)) & (F.when((e["x0"] > x) != (e["x1"] > x), at(e)) > y) & (at(e) <= to))
+    return odd(edges, lambda e: ((e["x0"] > x) != (e["x1"] > x)) & (F.when((e["x0"] > x) != (e["x1"] > x), at(e)) > y) & (at(e) <= to))
 
 
-def _along(edges: Column, x: Column, y: Column, to: Column) -> Column:
+def _along(edges: Column, x: Column, y: Column, to: Column, odd=_odd) -> Column:
     """Whether an odd number of edges crosses the way from (x, y) east to (to, y)."""
     at = lambda e: e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])
-    return _odd(edges, lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (at(e) > x) & (at(e) <= to))
+    return odd(edges, lambda e: F.when((e["y0"] > y) != (e["y1"] > y), (at(e) > x) & (at(e) <= to)).otherwise(False))
 
 
-def _on(edges: Column, x: Column, y: Column) -> Column:
-    return F.exists(edges, lambda e: ((e["x1"] - e["x0"]) * (y - e["y0"]) == (x - e["x0"]) * (e["y1"] - e["y0"])) & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])))
+def _on(edges: Column, x: Column, y: Column, some=F.exists) -> Column:
+    return some(edges, lambda e: ((e["x1"] - e["x0"]) * (y - e["y0"]) == (x - e["x0"]) * (e["y1"] - e["y0"])) & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])))
 
 
 def cover(zones: DataFrame, most: int = EDGES, deepest: int = DEEPEST) -> DataFrame:
@@ -79,7 +96,7 @@ def cover(zones: DataFrame, most: int = EDGES, deepest: int = DEEPEST) -> DataFr
     cells = cells.select("zone_id", "ix", "iy", _along(F.col("all"), F.lit(-1e9), y, x).alias("inside"), F.filter("all", lambda e: _meets(e, x, y, size)).alias("edges"))
     out = None
     for level in range(deepest + 1):
-        cells = scratch.written(cells, "cells")
+        cells = scratch.written(cells.repartition("zone_id", "ix", "iy"), "cells")
         narrow = F.exists("edges", lambda e: e["span"] < ROOT / 2**level * FINE)  # noqa: B023
         done = ((F.size("edges") <= most) & ~narrow) | F.lit(level == deepest)
         own = cells.where(done).where((F.size("edges") > 0) | F.col("inside")).withColumn("level", F.lit(level))
@@ -116,15 +133,17 @@ def _meet() -> Column:
     return (F.col("p_level") == F.col("level")) & (F.col("p_x") == F.col("cx")) & (F.col("p_y") == F.col("cy"))
 
 
-def least_of(places: DataFrame, covered: DataFrame, rank: str) -> DataFrame:
+def least_of(places: DataFrame, covered: DataFrame, rank: str, alike: str | None = None) -> DataFrame:
     """lon, lat, zones, least of the places (lon, lat; each once) in any zone: how many hold it and their least rank, a whole
-    number in covered beside each cell's zone. The zones that hold a cell whole are summed up per cell before any place meets
-    them, so a place joins one row a level and, for the zones whose border is near, the cells of those."""
-    inner = covered.where(F.size("edges") == 0).where("inside").groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"))
+    number in covered beside each cell's zone; alike names a column of covered that counts a zone as so many. The zones that
+    hold a cell whole are summed up per cell before any place meets them, so a place joins one row a level and, for the zones
+    whose border is near, the cells of those."""
+    covered = covered.withColumn("alike_", F.col(alike) if alike else F.lit(1).cast("long"))
+    inner = covered.where(F.size("edges") == 0).where("inside").groupBy("level", "cx", "cy").agg(F.sum("alike_").alias("n"), F.min(rank).alias("least"))
     inner = scratch.written(inner, "inner")
     edged = covered.where(F.size("edges") > 0)
     whole = _in_cells(places.select("lon", "lat"), _levels(inner)).join(inner, _meet()).select("lon", "lat", "n", "least")
-    near = points_in(places.select("lon", "lat"), edged, rank).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least"))
+    near = points_in(places.select("lon", "lat"), edged, rank, "alike_").select("lon", "lat", F.col("alike_").alias("n"), F.col(rank).alias("least"))
     return whole.unionByName(near).groupBy("lon", "lat").agg(F.sum("n").alias("zones"), F.min("least").alias("least"))
 
 
@@ -138,8 +157,9 @@ def points_in(points: DataFrame, covered: DataFrame, *more: str) -> DataFrame:
     x0 = (F.col("cx") + F.col("turn") * around) * side + WEST
     lon = F.col("lon") + 360.0 * (F.col("turn") - F.floor((F.col("lon") - WEST) / 360))
     y0 = F.col("cy") * side + SOUTH
-    held = F.col("inside") != (_up(F.col("edges"), x0, y0, F.col("lat")) != _along(F.col("edges"), x0, F.col("lat"), lon))
-    keep = F.when(F.size("edges") == 0, F.col("inside")).otherwise(held | _on(F.col("edges"), lon, F.col("lat")))
+    edges, lat = F.col("edges"), F.col("lat")
+    held = lambda odd, some: (F.col("inside") != (_up(edges, x0, y0, lat, odd) != _along(edges, x0, lat, lon, odd))) | _on(edges, lon, lat, some)
+    keep = F.when(F.size("edges") == 0, F.col("inside")).when(F.size("edges") <= FEW, held(_odd_few, _any_few)).otherwise(held(_odd, F.exists))
     return met.where(keep).select(*points.columns, "zone_id", *more)
 
 

@@ -232,10 +232,16 @@ def points_in_holed_zones(spark, d):
     from halocline.operators.ordered import numbered
     from halocline.sources import scratch
 
-    # Zones by extent, then id: the least number among those that hold a place is the smallest zone.
+    # Zones by extent, then id: the least number among those that hold a place is the smallest zone. Zones of the same rings
+    # are covered once and count as so many.
     z = scratch.written(numbered(holed_zones(spark, d), [], ["extent", "zone_id"]), "zones")
-    covered = Z.cover(z).join(z.select(F.col("zone_id").alias("z_id"), "pos"), F.col("zone_id") == F.col("z_id")).drop("z_id")
-    points = table(spark, d, "occurrences").select("occ_id", "lon", "lat").distinct()
-    found = Z.least_of(points.select("lon", "lat").distinct(), scratch.written(covered, "cover"), "pos")
+    shapes = scratch.written(z.groupBy("rings").agg(F.min("pos").alias("zone_id"), F.count(F.lit(1)).alias("alike")), "shapes")
+    covered = Z.cover(shapes).join(shapes.select(F.col("zone_id").alias("pos"), "alike"), F.col("zone_id") == F.col("pos"))
+    rows = table(spark, d, "occurrences").where("lon IS NOT NULL AND lat IS NOT NULL").select("occ_id", "lon", "lat")
+    places = scratch.written(rows.select("lon", "lat").distinct(), "places")
+    found = Z.least_of(places, scratch.written(covered, "cover"), "pos", "alike")
     found = found.join(z.select("pos", F.col("zone_id").alias("smallest")), F.col("least") == F.col("pos")).select(F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"), "zones", "smallest")
-    return points.join(found, (F.col("lon") == F.col("f_lon")) & (F.col("lat") == F.col("f_lat"))).select("occ_id", "lon", "lat", "zones", "smallest")
+    # Rows are shuffled once, by place: equal rows lie in one partition then, and so does what was found for them.
+    points = rows.withColumn("place", F.xxhash64("lon", "lat")).repartition("place").distinct()
+    same = (F.col("place") == F.col("f_place")) & (F.col("lon") - F.col("f_lon") == 0) & (F.col("lat") - F.col("f_lat") == 0)
+    return points.join(found.withColumn("f_place", F.xxhash64("f_lon", "f_lat")), same).select("occ_id", "lon", "lat", "zones", "smallest")

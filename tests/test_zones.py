@@ -3,10 +3,12 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from halocline.operators import zones as Z
+from halocline.plans import registry
 
 
 def ring(*points):
@@ -106,3 +108,18 @@ def test_small_zones_meet_few_points(spark):
     points = spark.createDataFrame([(rng.uniform(-12, 14), rng.uniform(-12, 14)) for _ in range(2000)], "lon double, lat double")
     pairs = Z.points_in(points, covered).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("zones"), F.min(1000 - F.col("zone_id")).alias("least"))
     assert sorted(map(tuple, Z.least_of(points, covered, "rank").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_zones_of_the_same_rings_are_covered_once(spark, sf, tmp_path, monkeypatch):
+    """Suppliers 3600 apart have the same rings; each still counts, and the rows are those of the SQL."""
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").crossJoin(spark.range(3).withColumnRenamed("id", "copy"))
+    suppliers.withColumn("s_suppkey", F.col("s_suppkey") + F.col("copy") * 3600).drop("copy").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 3").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, real = [], Z.cover
+    monkeypatch.setattr(Z, "cover", lambda zones: (seen.append(zones.count()), real(zones))[1])
+    got = sorted(map(tuple, registry.QUERIES["points_in_holed_zones"](spark, str(tmp_path)).collect()))
+    assert seen[0] <= spark.read.parquet(f"{sf}/supplier.parquet").count() + 1
+    duck = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(duck.execute(registry.ORACLE_SQL["points_in_holed_zones"]).fetchall()) and got
